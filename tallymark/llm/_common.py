@@ -39,6 +39,18 @@ def map_slices(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, decide: Callable[[list[bytes]], list[bool]], text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns as they are, whose text ``decide`` keeps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, SLICE_ROWS):
+                part = b.slice(at, SLICE_ROWS)
+                yield part.filter(pa.array(decide(utf8(part.column(text_col))), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts as UTF-8; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
