@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import decontam, packing, quality, simhash, urlrules
+from tallymark.llm import decontam, licenses, packing, pii, quality, simhash, urlrules
 from tallymark.llm._common import table
 
 
@@ -22,6 +22,10 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"), urlrules.rule_table(spark))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_table(spark))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
@@ -30,14 +34,21 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
     "op3_url_rules": op3_url_rules,
+    "op4_licenses": op4_licenses,
     "op6_quality": op6_quality,
     "op7_decontam": op7_decontam,
+    "op8_pii": op8_pii,
 }
 ORACLES: dict[str, str] = {
     "op3_url_rules": urlrules.SQL,
+    "op4_licenses": licenses.SQL,
     "op7_decontam": decontam.SQL,
 }
