@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import decontam, licenses, packing, pii, quality, simhash, urlrules
+from tallymark.llm import decontam, htmltext, licenses, packing, pii, quality, simhash, urlrules
 from tallymark.llm._common import table
 
 
@@ -26,6 +26,10 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_table(spark))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_url_rules": op3_url_rules,
     "op4_licenses": op4_licenses,
+    "op5_html_text": op5_html_text,
     "op6_quality": op6_quality,
     "op7_decontam": op7_decontam,
     "op8_pii": op8_pii,
