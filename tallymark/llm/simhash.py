@@ -133,3 +133,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buck
     tied = tied.select("fp", "root").join(smallest, "root").select("fp", "first")
     named = found.join(tied, "fp", "left").select("fp", F.coalesce("first", "least").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """The rows of ``docs``, all columns, without those whose component has a smaller doc_id; equal rows stay once.
+
+    Rows with a null id cannot be told apart by it and stay.
+    """
+    later = groups(docs, id_col, text_col, bucket_limit).filter("doc_id <> component_id").select(F.col("doc_id").alias("_later")).distinct()
+    return docs.join(later, F.col(f"`{id_col}`") == F.col("_later"), "left_anti").dropDuplicates([id_col, text_col])
