@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import decontam, htmltext, langid, licenses, packing, pii, quality, simhash, urlrules
+from tallymark.llm import decontam, htmltext, langid, licenses, packing, pii, quality, simhash, substrings, urlrules
 from tallymark.llm._common import table
 
 
@@ -42,6 +42,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -55,10 +59,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_decontam": op7_decontam,
     "op8_pii": op8_pii,
+    "op9_substrings": op9_substrings,
     "op10_langid": op10_langid,
 }
 ORACLES: dict[str, str] = {
     "op3_url_rules": urlrules.SQL,
     "op4_licenses": licenses.SQL,
     "op7_decontam": decontam.SQL,
+    "op9_substrings": substrings.SQL,
 }
