@@ -5,8 +5,704 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallymark.functions import explain, fixed, fuzzy, strict, text
+from tallymark.operators import evaluate, judge, locate, pairing, quality, redline, review, status
+from tallymark.plans.verify import verify_labels
+from tallymark.plans.views import frame, over, with_views
+from tallymark.sources import expected as sources
+from tallymark.sources import exports
+from tallymark.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None, parts: str = "") -> Callable[[Query], Query]:
+    """Registers a query under its function's name."""
+
+    def register(made: Query) -> Query:
+        QUERIES[made.__name__] = made
+        if sql is not None:
+            ORACLES[made.__name__] = with_views(sql, parts=parts)
+        return made
+
+    return register
+
+
+def _pairs(spark: SparkSession, sf_dir: str, columns: str) -> DataFrame:
+    """Readings with their applications."""
+    return over(spark, sf_dir, f"SELECT {columns} FROM v_ext e JOIN v_app a ON a.app_id = e.label_id % 1000000")
+
+
+_PAIRED = "FROM v_ext e JOIN v_app a ON a.app_id = e.label_id % 1000000"
+#: Spark and DuckDB text for the ladder's normal form and for white space, where texts are ASCII.
+_LADDER = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[''\"]', '', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+_PHRASE = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"
+
+
+def _values(rows: list[tuple]) -> str:
+    def one(x: object) -> str:
+        return "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+
+    return "(VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + ")"
+
+
+# --- sources and sinks -------------------------------------------------------------------------
+
+_CANDIDATES = "SELECT app_id, brand, class_type, abv * 3 AS abv, net_contents, bottler_name, bottler_address, CASE WHEN app_id % 7 = 0 THEN '' ELSE country END AS country, warning_required, CASE WHEN app_id % 10 = 0 THEN 'cider' ELSE beverage END AS beverage FROM v_app"
+_APP_NAMES = {"brand": "brand", "classType": "class_type", "abv": "abv", "netContents": "net_contents", "bottlerName": "bottler_name", "bottlerAddress": "bottler_address", "countryOfOrigin": "country", "govWarningRequired": "warning_required", "beverageType": "beverage"}
+
+
+@query("SELECT app_id, CAST((abv > 100)::INT + (country = '')::INT + (beverage = 'cider')::INT AS BIGINT) AS n_issues, CASE WHEN abv > 100 THEN 'abv: ABV cannot exceed 100' WHEN country = '' THEN 'countryOfOrigin: Country of origin is required' WHEN beverage = 'cider' THEN 'beverageType: Invalid enum value' END AS first_issue FROM c", parts=f"c AS ({_CANDIDATES})")
+def validate_applications(spark: SparkSession, d: str) -> DataFrame:
+    return sources.validate_applications(over(spark, d, _CANDIDATES), _APP_NAMES).select("app_id", F.size("issues").cast("long").alias("n_issues"), "first_issue")
+
+
+_REVIEW_ROWS = "SELECT CAST(review_id AS STRING) AS review_id, brand, beverage, overall, reviewer, has_overrides, CAST(created_at AS DATE) AS created_at, CAST(floor(processing_ms) AS BIGINT) AS processing_ms FROM v_review"
+_SLUG = r"substr(lower(regexp_replace(trim(regexp_replace({0}, '[^\w\s-]', '', 'g')), '\s+', '-', 'g')), 1, 60) || '-' || substr({1}, 1, 8) || '.jpg'"
+
+
+@query(f"""SELECT review_id AS "ID", {_SLUG.format("brand", "review_id")} AS "Filename", brand AS "Brand", beverage AS "Beverage", overall AS "Overall status", CAST(created_at AS VARCHAR) AS "Completed at", reviewer AS "Reviewer", CASE WHEN has_overrides THEN 'true' ELSE 'false' END AS "Has overrides", CAST(processing_ms AS VARCHAR) AS "Processing time (ms)" FROM r""", parts=f"r AS ({_REVIEW_ROWS})")
+def write_summary_csv(spark: SparkSession, d: str) -> DataFrame:
+    return exports.summary_rows(over(spark, d, _REVIEW_ROWS))
+
+
+_FIELD_ROWS = "SELECT CAST(review_id AS STRING) AS review_id, concat('Brand No. ', CAST(field_no AS STRING)) AS brand, concat('f', CAST(field_no AS STRING)) AS field, CASE WHEN field_no = 2 THEN NULL ELSE 'x' END AS value, 'y' AS expected, ai_status, human_status, reason, CAST(field_no * 13 AS DOUBLE) / 97 AS confidence, 'why' AS explanation FROM v_field"
+
+
+@query(f"""SELECT review_id AS "Review ID", {_SLUG.format("brand", "review_id")} AS "Filename", field AS "Field name", expected AS "Expected", coalesce(value, '') AS "Extracted", ai_status AS "Status", printf('%.2f', confidence) AS "Confidence", explanation AS "Explanation", CASE WHEN human_status IS NULL THEN '' ELSE ai_status END AS "AI status", coalesce(human_status, '') AS "Human status", CASE WHEN human_status IS NULL THEN '' ELSE coalesce(reason, '') END AS "Override reason" FROM r""", parts=f"r AS ({_FIELD_ROWS})")
+def write_per_field_csv(spark: SparkSession, d: str) -> DataFrame:
+    return exports.field_rows(over(spark, d, _FIELD_ROWS))
+
+
+_CHANGES = "SELECT review_id + CASE WHEN review_id % 2 = 0 THEN 0 ELSE 100000000 END AS review_id, 'fail' AS overall, brand FROM v_review WHERE review_id % 3 = 0"
+
+
+@query("SELECT review_id, overall, brand FROM v_review WHERE review_id NOT IN (SELECT review_id FROM c) UNION ALL SELECT * FROM c", parts=f"c AS ({_CHANGES})")
+def upsert_reviews(spark: SparkSession, d: str) -> DataFrame:
+    return review.upsert_reviews(frame(spark, d, "v_review").select("review_id", "overall", "brand"), over(spark, d, _CHANGES))
+
+
+@query("SELECT review_id, overall FROM v_review WHERE review_id % 3 <> 0")
+def delete_reviews(spark: SparkSession, d: str) -> DataFrame:
+    return review.delete_reviews(frame(spark, d, "v_review").select("review_id", "overall"), over(spark, d, "SELECT review_id FROM v_review WHERE review_id % 3 = 0"))
+
+
+@query("SELECT count(*) AS n FROM v_review")
+def count_reviews(spark: SparkSession, d: str) -> DataFrame:
+    return review.count_reviews(frame(spark, d, "v_review"))
+
+
+@query("SELECT review_id, field_no, trim(reason) <> '' AS valid FROM v_field WHERE human_status IS NOT NULL")
+def validate_decisions(spark: SparkSession, d: str) -> DataFrame:
+    good, bad = review.validate_decisions(frame(spark, d, "v_field").filter("human_status IS NOT NULL"))
+    return good.select("review_id", "field_no", F.lit(True).alias("valid")).unionByName(bad.select("review_id", "field_no", F.lit(False).alias("valid")))
+
+
+@query(None)
+def write_review_json(spark: SparkSession, d: str) -> DataFrame:
+    rows = frame(spark, d, "v_review").withColumnRenamed("review_id", "id").withColumn("thumbnail", F.encode("brand", "UTF-8"))
+    return exports.review_json(rows, "2026-01-01T00:00:00.000Z")
+
+
+# --- text, number and rule projections -----------------------------------------------------------
+
+
+@query(r"SELECT e.label_id, " + _LADDER.format("e.brand_value") + r" AS ladder, regexp_replace(lower(e.bottler_evidence), '[^a-z0-9]', '', 'g') AS token, " + _PHRASE.format("e.bottler_evidence") + " AS phrase FROM v_ext e")
+def normalize_text(spark: SparkSession, d: str) -> DataFrame:
+    out = frame(spark, d, "v_ext").select("label_id", "brand_value", "bottler_evidence")
+    for column, profile in (("brand_value", "ladder"), ("bottler_evidence", "token"), ("bottler_evidence", "phrase")):
+        out = text.normalize_text(out, column, profile, profile)
+    return out.select("label_id", "ladder", "token", "phrase")
+
+
+_OCR = "SELECT label_id, CASE label_id % 3 WHEN 0 THEN concat('Fine drink. ', statement, ' Made here.') WHEN 1 THEN lower(statement) ELSE 'no text' END AS ocr, CASE WHEN label_id % 2 = 0 THEN statement END AS model FROM v_statement"
+
+
+@query("SELECT label_id, CASE WHEN instr(ocr, 'GOVERNMENT WARNING:') > 0 THEN trim(substr(ocr, instr(ocr, 'GOVERNMENT WARNING:'), 600)) WHEN instr(upper(ocr), 'GOVERNMENT WARNING') > 0 THEN trim(substr(ocr, instr(upper(ocr), 'GOVERNMENT WARNING'), 600)) ELSE coalesce(model, '') END AS statement FROM o", parts=f"o AS ({_OCR})")
+def pick_statement(spark: SparkSession, d: str) -> DataFrame:
+    return over(spark, d, _OCR).select("label_id", text.pick_statement(F.col("ocr"), F.col("model")).alias("statement"))
+
+
+_BODY_SQL = r"trim(regexp_replace(lower(substr(trim(statement), 20)), '\s+', ' ', 'g'))"
+_CANON_SQL = "'" + fixed.STATEMENT_BODY.lower() + "'"
+
+
+@query(f"SELECT label_id, CASE WHEN trim(statement) = '' THEN 'prefix_missing' WHEN NOT starts_with(trim(statement), 'GOVERNMENT WARNING:') THEN CASE WHEN starts_with(upper(trim(statement)), 'GOVERNMENT WARNING:') THEN 'prefix_capitalization' ELSE 'prefix_missing' END WHEN {_BODY_SQL} = {_CANON_SQL} THEN 'pass' ELSE 'wording_mismatch' END AS result FROM v_statement")
+def check_statement(spark: SparkSession, d: str) -> DataFrame:
+    return frame(spark, d, "v_statement").select("label_id", text.check_statement(F.col("statement")).alias("result"))
+
+
+@query(f"SELECT label_id, CASE WHEN starts_with(trim(statement), 'GOVERNMENT WARNING:') THEN CAST(levenshtein({_BODY_SQL}, {_CANON_SQL}) AS BIGINT) END AS distance FROM v_statement")
+def statement_distance(spark: SparkSession, d: str) -> DataFrame:
+    return frame(spark, d, "v_statement").select("label_id", text.statement_distance(F.col("statement")).cast("long").alias("distance"))
+
+
+@query(None)
+def statement_redline(spark: SparkSession, d: str) -> DataFrame:
+    return redline.redline_summary(redline.statement_redline(frame(spark, d, "v_statement"), "label_id", "statement"))
+
+
+_FIRST = "TRY_CAST(nullif(regexp_extract(coalesce(abv_text, ''), '{0}', 1, 'i'), '') AS DOUBLE)"
+_ABV_SQL, _PROOF_SQL = f"coalesce({_FIRST.format(fixed.ALCOHOL_FIRST_PATTERN)}, {_FIRST.format(fixed.PERCENT_PATTERN)})", _FIRST.format(fixed.PROOF_PATTERN)
+
+
+@query(f"SELECT label_id, {_ABV_SQL} AS abv, {_PROOF_SQL} AS proof FROM v_ext")
+def extract_abv(spark: SparkSession, d: str) -> DataFrame:
+    return frame(spark, d, "v_ext").select("label_id", strict.parse_abv(F.col("abv_text")).alias("p")).select("label_id", "p.abv", "p.proof")
+
+
+_ABV_PARTS = f"p AS (SELECT e.label_id, a.abv AS want, a.beverage, e.abv_text, {_ABV_SQL.replace('abv_text', 'e.abv_text')} AS abv, {_PROOF_SQL.replace('abv_text', 'e.abv_text')} AS proof {_PAIRED}), q AS (SELECT *, coalesce(abv, proof / 2) AS found, CASE WHEN beverage = 'wine' THEN CASE WHEN want > 14 THEN 1.0::DOUBLE ELSE 1.5::DOUBLE END ELSE 0.3::DOUBLE END AS tol FROM p), ck AS (SELECT *, CASE WHEN found IS NULL THEN 'unparseable' WHEN abv IS NOT NULL AND proof IS NOT NULL AND abs(proof - 2 * abv) > 2 * tol THEN 'internal_inconsistency' WHEN beverage = 'wine' AND (found > 14) <> (want > 14) THEN 'out_of_tolerance' WHEN abs(found - want) <= tol + 1e-9 THEN 'pass' ELSE 'out_of_tolerance' END AS result FROM q)"
+
+
+@query("SELECT label_id, result, found, abs(found - want) AS delta, tol AS tolerance FROM ck", parts=_ABV_PARTS)
+def check_abv(spark: SparkSession, d: str) -> DataFrame:
+    made = strict.check_abv(strict.parse_abv(F.col("abv_text")), F.col("abv"), F.col("beverage"))
+    return _pairs(spark, d, "e.label_id, e.abv_text, a.abv, a.beverage").select("label_id", made.alias("c")).select("label_id", "c.*")
+
+
+def _ml_sql(column: str) -> str:
+    value = f"trim(coalesce({column}, ''))"
+    amount = rf"TRY_CAST(nullif(regexp_extract({value}, '{fixed.VOLUME_AMOUNT_PATTERN}', 1, 'i'), '') AS DOUBLE)"
+    unit = rf"regexp_replace(lower(regexp_extract({value}, '{fixed.VOLUME_UNIT_PATTERN}', 1, 'i')), '\s+', ' ', 'g')"
+    cases = " ".join(f"WHEN '{u}' THEN {ml}::DOUBLE" for u, ml in fixed.ML_PER_UNIT.items())
+    return f"CASE WHEN {amount} > 0 THEN {amount} * CASE {unit} {cases} END END"
+
+
+@query(f"SELECT label_id, {_ml_sql('net_text')} AS ml FROM v_ext")
+def extract_volume(spark: SparkSession, d: str) -> DataFrame:
+    return frame(spark, d, "v_ext").select("label_id", strict.parse_volume(F.col("net_text")).alias("ml"))
+
+
+_VOLUME_PARTS = f"v AS (SELECT e.label_id, a.beverage, {_ml_sql('e.net_text')} AS found, {_ml_sql('a.net_contents')} AS want {_PAIRED})"
+_VOLUME_CASE = "CASE WHEN found IS NULL OR want IS NULL THEN 'unparseable' WHEN abs(found - want) / greatest(found, want) <= 0.001 + 1e-12 THEN 'pass' ELSE 'volume_mismatch' END"
+
+
+@query(f"SELECT label_id, {_VOLUME_CASE} AS result FROM v", parts=_VOLUME_PARTS)
+def check_volume(spark: SparkSession, d: str) -> DataFrame:
+    rows = _pairs(spark, d, "e.label_id, e.net_text, a.net_contents")
+    return rows.select("label_id", strict.check_volume(strict.parse_volume(F.col("net_text")), strict.parse_volume(F.col("net_contents"))).alias("result"))
+
+
+@query(r"SELECT app_id, regexp_replace(regexp_replace(bottler_address, '\b\d{5}(-\d{4})?\b', ' ', 'g'), '(?i)\bkentucky\b', 'KY', 'g') AS address FROM v_app")
+def normalize_address(spark: SparkSession, d: str) -> DataFrame:
+    return frame(spark, d, "v_app").select("app_id", text.normalize_address(F.col("bottler_address")).alias("address"))
+
+
+_STRIPPED = r"trim(regexp_replace(regexp_replace(trim(e.origin_value), '^product of\s+', '', 'i'), '^made in\s+', '', 'i'))"
+_US = "('usa', 'u s a', 'us', 'u s', 'united states', 'united states of america', 'america')"
+
+
+@query(f"SELECT e.label_id, {_STRIPPED} AS origin, coalesce({_LADDER.format(_STRIPPED)} IN {_US}, FALSE) AS is_us, a.country <> 'United States' AS is_imported {_PAIRED}")
+def classify_origin(spark: SparkSession, d: str) -> DataFrame:
+    rows = _pairs(spark, d, "e.label_id, e.origin_value, a.country")
+    return rows.select("label_id", text.strip_origin(F.col("origin_value")).alias("origin"), text.is_united_states(text.strip_origin(F.col("origin_value"))).alias("is_us"), (~text.is_united_states(F.col("country"))).alias("is_imported"))
+
+
+_PHRASES = sorted(fixed.FUNCTION_PHRASES, key=len, reverse=True)
+_OCR_TEXT = "CASE WHEN label_id % 3 = 0 THEN 'produced by someone else' ELSE '' END"
+_HAY = _PHRASE.format(f"({_OCR_TEXT} || chr(10) || coalesce(bottler_evidence, ''))")
+
+
+@query(f"SELECT label_id, CASE {' '.join(f"WHEN contains(near, '{p}') THEN '{p}'" for p in _PHRASES)} END AS phrase FROM n", parts=f"h AS (SELECT label_id, {_HAY} AS hay, {_PHRASE.format("coalesce(bottler_evidence, '')")} AS anchor FROM v_ext), n AS (SELECT label_id, CASE WHEN anchor = '' OR instr(hay, anchor) = 0 THEN hay ELSE substr(hay, greatest(1, instr(hay, anchor) - 80), instr(hay, anchor) - greatest(1, instr(hay, anchor) - 80) + length(anchor)) END AS near FROM h)")
+def find_function_phrase(spark: SparkSession, d: str) -> DataFrame:
+    ocr = F.when(F.col("label_id") % 3 == 0, "produced by someone else").otherwise("")
+    return frame(spark, d, "v_ext").select("label_id", text.function_phrase(ocr, F.col("bottler_evidence")).alias("phrase"))
+
+
+_NOTE_FLAGS = "CASE quality_note WHEN 'blurry text with glare' THEN 'blur,glare' WHEN 'finger covering edge' THEN 'obstruction' ELSE '' END"
+
+
+@query(f"SELECT label_id, {_NOTE_FLAGS} AS flags FROM v_ext")
+def parse_quality_notes(spark: SparkSession, d: str) -> DataFrame:
+    return frame(spark, d, "v_ext").select("label_id", F.array_join(text.quality_flags(F.col("quality_note")), ",").alias("flags"))
+
+
+@query(r"SELECT label_id, regexp_replace(lower(filename), '^(.+)\.[^.]*$', '\1') AS file_key FROM v_ext")
+def filename_key(spark: SparkSession, d: str) -> DataFrame:
+    return frame(spark, d, "v_ext").select("label_id", text.filename_key(F.col("filename")).alias("file_key"))
+
+
+@query(f"SELECT app_id, {_SLUG.format('brand', 'CAST(app_id AS VARCHAR)')} AS filename FROM v_app")
+def export_filename(spark: SparkSession, d: str) -> DataFrame:
+    return frame(spark, d, "v_app").select("app_id", text.export_filename(F.col("brand"), F.col("app_id").cast("string")).alias("filename"))
+
+
+_OUTCOMES = "SELECT app_id, beverage, CASE app_id % 5 WHEN 0 THEN 'abv_out_of_tolerance' WHEN 1 THEN 'gov_warning_wording_mismatch' WHEN 2 THEN 'nuanced_fail' WHEN 3 THEN 'net_contents_non_standard_fill' ELSE 'field_missing' END AS kind, abv AS expected, abv + 0.3 AS found, CAST(0.3 AS DOUBLE) AS delta, CAST(app_id % 3 AS DOUBLE) AS distance, CAST(app_id % 100 AS DOUBLE) / 100 AS similarity FROM v_app"
+_NUM = r"CASE WHEN {0} % 1 = 0 THEN printf('%.0f', {0}) ELSE regexp_replace(printf('%.2f', {0}), '\.?0+$', '') END"
+
+
+@query("SELECT app_id, CASE kind WHEN 'abv_out_of_tolerance' THEN 'Expected ' || " + _NUM.format("expected") + " || '% ABV; found ' || " + _NUM.format("found") + " || '% (Δ 0.3 pp, tolerance ±0.3 pp).' WHEN 'gov_warning_wording_mismatch' THEN 'Warning text differs from the canonical 27 CFR § 16.21 statement (off by ' || " + _NUM.format("distance") + " || CASE WHEN distance = 1 THEN ' character' ELSE ' characters' END || ' after normalisation). The text must match verbatim.' WHEN 'nuanced_fail' THEN 'Value does not match the expected entry (similarity ' || " + _NUM.format("similarity * 100") + " || '%).' WHEN 'net_contents_non_standard_fill' THEN 'Net contents (' || " + _NUM.format("found") + " || ' mL) match the application''s expected value, but ' || " + _NUM.format("found") + " || ' mL is not on the TTB authorized standards of fill for ' || CASE beverage WHEN 'wine' THEN 'wine' WHEN 'distilled-spirits' THEN 'distilled spirits' ELSE 'this beverage class' END || ' (27 CFR ' || CASE beverage WHEN 'wine' THEN '§ 4.72' ELSE '§ 5.203' END || '). Reviewer should flag for non-standard fill or correct the application.' ELSE 'This required field is not visible on the label.' END AS explanation FROM o", parts=f"o AS ({_OUTCOMES})")
+def render_explanations(spark: SparkSession, d: str) -> DataFrame:
+    detail = F.struct("found", "expected", "delta", F.col("delta").alias("tolerance"), "distance", "similarity", F.lit(None).cast("double").alias("ai_confidence"), "beverage")
+    return over(spark, d, _OUTCOMES).select("app_id", explain.explanation(F.col("kind"), detail).alias("explanation"))
+
+
+_ACTION_CASES = " ".join(f"WHEN '{s}' THEN '{t}'" for s, t in fixed.ACTIONS.items())
+
+
+@query(f"SELECT review_id, field_no, CASE WHEN review_id % 2 = 0 AND ai_status IN ('manual-review', 'low-confidence') THEN CASE WHEN field_no = 1 THEN '{fixed.ACTION_SPOT_CHECK}' ELSE '{fixed.ACTION_BETTER_IMAGE}' END ELSE CASE ai_status {_ACTION_CASES} END END AS action FROM v_field")
+def suggested_action(spark: SparkSession, d: str) -> DataFrame:
+    return frame(spark, d, "v_field").select("review_id", "field_no", explain.suggested_action(F.col("ai_status"), F.col("review_id") % 2 == 0, F.col("field_no") == 1).alias("action"))
+
+
+@query("SELECT label_id, CASE WHEN label_id % 2 = 0 THEN greatest(confidence, 0.95::DOUBLE) ELSE confidence END AS confidence FROM v_ext")
+def displayed_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return frame(spark, d, "v_ext").select("label_id", explain.displayed_confidence(F.col("confidence"), F.col("label_id") % 2 == 0).alias("confidence"))
+
+
+def _title_sql(column: str, titles: dict[str, str]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in titles.items()) + " END"
+
+
+@query(f"SELECT app_id, {_title_sql('beverage', fixed.SHOWN_BEVERAGE)} AS shown, {_title_sql('beverage', fixed.BEVERAGE_TITLES)} AS title FROM v_app")
+def display_labels(spark: SparkSession, d: str) -> DataFrame:
+    return frame(spark, d, "v_app").select("app_id", explain.title_of(F.col("beverage"), fixed.SHOWN_BEVERAGE).alias("shown"), explain.title_of(F.col("beverage"), fixed.BEVERAGE_TITLES).alias("title"))
+
+
+@query("SELECT CAST(used_at AS DATE) AS day, model_role, round(sum(prompt_tokens / 1e6 * CASE model_role WHEN 'primary' THEN 1 ELSE 3 END + completion_tokens / 1e6 * CASE model_role WHEN 'primary' THEN 5 ELSE 15 END), 6) AS cost_usd FROM v_usage GROUP BY ALL")
+def ai_cost(spark: SparkSession, d: str) -> DataFrame:
+    return explain.ai_cost(frame(spark, d, "v_usage")).groupBy(F.to_date("used_at").alias("day"), "model_role").agg(F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
+
+
+@query("SELECT batch_id, n * 0.01::DOUBLE AS cost_usd, CAST(ceil(n / 10) * 5000 AS BIGINT) AS duration_ms, CASE WHEN s < 60 THEN '~' || s || ' s' WHEN s % 60 = 0 THEN '~' || s // 60 || ' min' ELSE '~' || s // 60 || ' min ' || s % 60 || ' s' END AS eta, n >= 50 AS warn, substr(n || ' labels — ' || trim(brand), 1, 80) AS title FROM (SELECT batch_id, count(*) AS n, min(brand) AS brand, CAST(ceil(count(*) / 10) * 5 AS BIGINT) AS s FROM v_review GROUP BY batch_id)")
+def forecast_batch(spark: SparkSession, d: str) -> DataFrame:
+    sizes = frame(spark, d, "v_review").groupBy("batch_id").agg(F.count("*").alias("n"), F.min("brand").alias("brand"))
+    return sizes.select("batch_id", explain.forecast(F.col("n"), F.lit(fixed.SLOTS)).alias("f"), explain.batch_title(F.col("n"), F.col("brand"), F.lit("")).alias("title")).select("batch_id", "f.*", "title")
+
+
+@query("SELECT review_id, 'Government warning text was checked against 27 CFR § 16.21 (verified ' || CAST(CAST(created_at AS DATE) AS VARCHAR) || ').' AS footer, strftime(created_at, '%b %d, %Y, %I:%M %p') || ' UTC' AS completed FROM v_review")
+def audit_header(spark: SparkSession, d: str) -> DataFrame:
+    day = F.date_format("created_at", "yyyy-MM-dd")
+    return frame(spark, d, "v_review").select("review_id", explain.rules_footer(F.concat(F.lit("ttb-"), day)).alias("footer"), explain.completed_at(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("completed"))
+
+
+# --- matching, status and the verification job ---------------------------------------------------
+
+_RUNG = "CASE WHEN e.brand_value IS NULL THEN 'missing' WHEN e.brand_value = a.brand THEN 'pass' WHEN " + _LADDER.format("e.brand_value") + " = " + _LADDER.format("a.brand") + " THEN 'pass-normalised' WHEN e.brand_value = a.brand || ' llc' THEN 'likely-match' ELSE 'fail' END"
+
+
+@query(f"SELECT e.label_id, NOT (e.brand_value = 'zzzz') AS is_full {_PAIRED} WHERE e.brand_value IS NOT NULL")
+def token_set_similarity(spark: SparkSession, d: str) -> DataFrame:
+    rows = _pairs(spark, d, "e.label_id, e.brand_value, a.brand").filter("brand_value IS NOT NULL")
+    near = fuzzy.similarity(text.normal(F.col("brand_value"), "ladder"), text.normal(F.col("brand"), "ladder"))
+    return rows.select("label_id", (near == 1.0).alias("is_full"))
+
+
+@query(f"SELECT e.label_id, {_RUNG} AS result {_PAIRED}")
+def match_ladder(spark: SparkSession, d: str) -> DataFrame:
+    rows = _pairs(spark, d, "e.label_id, e.brand_value, a.brand")
+    return fuzzy.match_ladder(rows, "brand_value", "brand").select("label_id", F.col("match_result").alias("result"))
+
+
+_ORIGIN_RUNG = f"CASE WHEN e.origin_value IS NULL THEN 'missing' WHEN {_LADDER.format(_STRIPPED)} IN {_US} AND a.country = 'United States' THEN 'pass-normalised' WHEN {_STRIPPED} = a.country THEN 'pass' ELSE 'other' END"
+
+
+@query(f"SELECT e.label_id, {_ORIGIN_RUNG} AS result {_PAIRED}")
+def match_origin(spark: SparkSession, d: str) -> DataFrame:
+    rows = fuzzy.match_ladder(_pairs(spark, d, "e.label_id, e.origin_value, a.country"), "origin_value", "country", kind="origin")
+    return rows.select("label_id", F.when(F.col("match_result").isin("missing", "pass", "pass-normalised"), F.col("match_result")).otherwise("other").alias("result"))
+
+
+_ADDRESS_READ = "CASE e.label_id % 4 WHEN 0 THEN replace(a.bottler_address, 'Kentucky', 'KY') WHEN 1 THEN upper(a.bottler_address) WHEN 2 THEN replace(a.bottler_address, ', Kentucky 40004', '') ELSE NULL END"
+
+
+@query(f"SELECT e.label_id, CASE e.label_id % 4 WHEN 0 THEN 'pass' WHEN 1 THEN CASE WHEN upper(a.bottler_address) = a.bottler_address THEN 'pass' ELSE 'pass' END WHEN 2 THEN 'likely-match' ELSE 'missing' END AS result {_PAIRED}")
+def match_address(spark: SparkSession, d: str) -> DataFrame:
+    rows = _pairs(spark, d, f"e.label_id, {_ADDRESS_READ} AS address_value, a.bottler_address")
+    return fuzzy.match_ladder(rows, "address_value", "bottler_address", kind="address").select("label_id", F.col("match_result").alias("result"))
+
+
+_REQUIREMENT_ROWS = _values([(b, f, {"R": "required", "C": "conditional", "N": "not-applicable"}[row[k]]) for b, row in fixed.REQUIREMENTS.items() for k, f in enumerate(fixed.FIELDS)])
+
+
+@query(f"SELECT a.app_id, t.field, CASE WHEN t.base <> 'conditional' THEN t.base WHEN t.field = 'abv' AND a.beverage = 'wine' AND a.abv > 14 THEN 'required' WHEN t.field = 'countryOfOrigin' AND a.country <> 'United States' THEN 'required' ELSE 'optional' END AS requirement FROM v_app a JOIN {_REQUIREMENT_ROWS} t(beverage, field, base) ON t.beverage = a.beverage")
+def resolve_requirements(spark: SparkSession, d: str) -> DataFrame:
+    rows = frame(spark, d, "v_app").select("app_id", "beverage", F.col("abv").alias("expected_abv"), (~text.is_united_states(F.col("country"))).alias("imported"))
+    return status.resolve_requirements(rows).select("app_id", "field", "requirement")
+
+
+def _strict_sql(missing: str, passed: str, sure: str = "confidence", poor: str = "image_poor") -> str:
+    return f"CASE WHEN {missing} THEN 'missing' WHEN {passed} THEN CASE WHEN {poor} THEN 'manual-review' ELSE 'pass' END WHEN {sure} < 0.6 THEN 'low-confidence' ELSE 'fail' END"
+
+
+def _nuanced_sql(result: str, sure: str = "confidence", poor: str = "image_poor") -> str:
+    return f"CASE WHEN {result} = 'missing' THEN 'missing' WHEN {result} IN ('pass', 'pass-normalised') THEN CASE WHEN {poor} THEN 'manual-review' ELSE 'pass' END WHEN {result} = 'likely-match' THEN CASE WHEN {poor} THEN 'manual-review' ELSE 'likely-match' END WHEN {result} = 'fail' THEN CASE WHEN {sure} >= 0.85 THEN 'fail' WHEN {sure} < 0.6 THEN 'low-confidence' WHEN {poor} THEN 'manual-review' ELSE 'warning' END ELSE 'manual-review' END"
+
+
+@query(f"SELECT label_id, {_strict_sql('abv_text IS NULL', 'label_id % 2 = 0')} AS status FROM v_ext")
+def strict_status(spark: SparkSession, d: str) -> DataFrame:
+    return frame(spark, d, "v_ext").select("label_id", status.strict_status(F.col("abv_text").isNull(), F.col("label_id") % 2 == 0, F.col("image_poor"), F.col("confidence")).alias("status"))
+
+
+_KIND = "CASE label_id % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'pass' WHEN 2 THEN 'likely-match' WHEN 3 THEN 'fail' ELSE 'gray' END"
+
+
+@query(f"SELECT label_id, {_nuanced_sql('k')} AS status FROM (SELECT *, {_KIND} AS k FROM v_ext)")
+def nuanced_status(spark: SparkSession, d: str) -> DataFrame:
+    return frame(spark, d, "v_ext").select("label_id", status.nuanced_status(F.expr(_KIND), F.col("confidence"), F.col("image_poor")).alias("status"))
+
+
+def _listed(sizes: tuple[int, ...], ml: str) -> str:
+    return "(" + " OR ".join(f"abs({ml} - {s}) <= 0.5" for s in sizes) + ")"
+
+
+def _fill_sql(ml: str) -> str:
+    return f"CASE beverage WHEN 'wine' THEN {_listed(fixed.WINE_SIZES_ML, ml)} OR ({ml} > 3000 AND ({ml} % 1000 <= 0.5 OR {ml} % 1000 >= 999.5)) WHEN 'distilled-spirits' THEN {_listed(fixed.SPIRITS_SIZES_ML, ml)} ELSE TRUE END"
+
+
+@query(f"SELECT app_id, {_fill_sql('ml')} AS standard FROM (SELECT app_id, beverage, {_ml_sql('net_contents')} AS ml FROM v_app)")
+def check_fill_size(spark: SparkSession, d: str) -> DataFrame:
+    return frame(spark, d, "v_app").select("app_id", strict.is_standard_fill(strict.parse_volume(F.col("net_contents")), F.col("beverage")).alias("standard"))
+
+
+@query("SELECT label_id, CASE WHEN passed AND NOT standard THEN 'warning' ELSE 'pass' END AS volume_status, CASE WHEN passed AND NOT standard THEN 'net_contents_non_standard_fill' END AS volume_outcome, CASE WHEN NOT phrase AND b IN ('pass', 'likely-match') THEN 'warning' ELSE b END AS bottler_status, CASE WHEN NOT phrase AND b IN ('pass', 'likely-match') THEN 'bottler_function_phrase_missing' END AS bottler_outcome FROM (SELECT label_id, label_id % 2 = 0 AS passed, label_id % 3 = 0 AS standard, label_id % 5 = 0 AS phrase, CASE label_id % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'likely-match' WHEN 2 THEN 'fail' ELSE 'manual-review' END AS b FROM v_ext)")
+def apply_overlays(spark: SparkSession, d: str) -> DataFrame:
+    label = F.col("label_id")
+    bottler = F.when(label % 4 == 0, "pass").when(label % 4 == 1, "likely-match").when(label % 4 == 2, "fail").otherwise("manual-review")
+    made = status.apply_overlays(F.lit("pass"), label % 2 == 0, label % 3 == 0, bottler, label % 5 == 0)
+    return frame(spark, d, "v_ext").select("label_id", *[c.alias(n) for c, n in zip(made, ("volume_status", "volume_outcome", "bottler_status", "bottler_outcome"), strict=True)])
+
+
+def _job_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return over(spark, d, _JOB)
+
+
+_JOB = f"SELECT e.label_id, e.brand_value, e.abv_text, e.net_text, e.bottler_evidence, {_ADDRESS_READ} AS address_value, CASE WHEN e.label_id % 9 <> 0 THEN a.bottler_name END AS bottler_value, CASE WHEN e.label_id % 3 = 0 THEN upper(a.class_type) ELSE a.class_type END AS class_value, CASE WHEN e.label_id % 4 < 3 THEN concat('Made in ', a.country) END AS origin_value, s.statement AS raw_text, CAST(NULL AS STRING) AS statement_text, e.confidence, e.image_poor, a.brand, a.class_type, a.abv, a.net_contents, a.bottler_name, a.bottler_address, a.country, a.warning_required, a.beverage FROM v_ext e JOIN v_app a ON a.app_id = e.label_id % 1000000 JOIN v_statement s ON s.label_id = a.app_id"
+
+_S = {
+    "brand": _nuanced_sql("CASE WHEN brand_value IS NULL THEN 'missing' WHEN brand_value = brand THEN 'pass' WHEN " + _LADDER.format("brand_value") + " = " + _LADDER.format("brand") + " THEN 'pass-normalised' WHEN brand_value = brand || ' llc' THEN 'likely-match' ELSE 'fail' END"),
+    "class": f"CASE WHEN beverage = 'unknown' THEN 'not-required' ELSE {_nuanced_sql(chr(39) + 'pass' + chr(39))} END",
+    "abv": f"CASE WHEN beverage = 'unknown' OR (abv_text IS NULL AND (beverage = 'malt-beverage' OR beverage = 'wine' AND NOT abv > 14)) THEN 'not-required' ELSE {_strict_sql('abv_text IS NULL', 'abv_ok')} END",
+    "net": f"CASE WHEN volume_ok AND NOT ({_fill_sql('found_ml')}) THEN 'warning' ELSE {_strict_sql('net_text IS NULL', 'volume_ok')} END",
+    "bottler": f"CASE WHEN beverage = 'unknown' THEN 'not-required' WHEN bottler_value IS NULL THEN 'missing' WHEN image_poor THEN 'manual-review' WHEN NOT contains({_PHRASE.format("coalesce(bottler_evidence, '')")}, 'bottled by') AND NOT contains({_PHRASE.format("coalesce(bottler_evidence, '')")}, 'distilled by') THEN 'warning' ELSE 'pass' END",
+    "address": f"CASE WHEN beverage = 'unknown' THEN 'not-required' ELSE {_nuanced_sql("CASE label_id % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'pass' WHEN 2 THEN 'likely-match' ELSE 'missing' END")} END",
+    "origin": f"CASE WHEN beverage = 'unknown' OR (country = 'United States' AND origin_value IS NULL) THEN 'not-required' ELSE {_nuanced_sql("CASE WHEN origin_value IS NULL THEN 'missing' ELSE 'pass' END")} END",
+    "warning": f"CASE WHEN NOT warning_required THEN 'not-required' ELSE {_strict_sql('FALSE', 'warning_ok', 'CASE WHEN confidence = 0 THEN 0.9 ELSE confidence END')} END",
+}
+_JOB_PARTS = (
+    f"j AS ({_JOB}), j1 AS (SELECT *, {_ABV_SQL} AS read_abv, {_PROOF_SQL} AS read_proof, {_ml_sql('net_text')} AS found_ml, {_ml_sql('net_contents')} AS want_ml, CASE WHEN beverage = 'wine' THEN CASE WHEN abv > 14 THEN 1.0::DOUBLE ELSE 1.5::DOUBLE END ELSE 0.3::DOUBLE END AS tol, coalesce(raw_text, '') AS statement FROM j),"
+    f" j2 AS (SELECT *, coalesce(NOT (read_abv IS NOT NULL AND read_proof IS NOT NULL AND abs(read_proof - 2 * read_abv) > 2 * tol) AND NOT (beverage = 'wine' AND (coalesce(read_abv, read_proof / 2) > 14) <> (abv > 14)) AND abs(coalesce(read_abv, read_proof / 2) - abv) <= tol + 1e-9, FALSE) AS abv_ok, coalesce(abs(found_ml - want_ml) / greatest(found_ml, want_ml) <= 0.001 + 1e-12, FALSE) AS volume_ok, starts_with(trim(statement), 'GOVERNMENT WARNING:') AND {_BODY_SQL} = {_CANON_SQL} AS warning_ok FROM j1),"
+    f" j3 AS (SELECT label_id, beverage, [{', '.join(_S.values())}] AS s FROM j2)"
+)
+
+
+def _count_sql(*statuses: str) -> str:
+    return "len(list_filter(s, lambda x: x IN (" + ", ".join(f"'{x}'" for x in statuses) + ")))"
+
+
+_OVERALL_SQL = f"CASE WHEN {_count_sql('fail')} > 0 THEN 'fail' WHEN {_count_sql('low-confidence')} >= 2 OR ({_count_sql('missing')} >= 2 AND {_count_sql('missing')} * 2 > {_count_sql(*[x for x in fixed.FIELD_STATUSES if x != 'not-required'])}) THEN 'request-better-image' WHEN {_count_sql('manual-review', 'missing')} > 0 THEN 'needs-manual-review' WHEN {_count_sql('warning', 'likely-match', 'low-confidence')} > 0 THEN 'pass-with-warnings' ELSE 'pass' END"
+
+
+@query(f"SELECT label_id, array_to_string(s, ',') AS statuses, {_OVERALL_SQL} AS overall FROM j3", parts=_JOB_PARTS)
+def verify_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return verify_labels(_job_pairs(spark, d)).select("label_id", F.array_join(F.transform("field_results", lambda r: r["status"]), ",").alias("statuses"), "overall")
+
+
+@query(f"SELECT beverage, overall, count(*) AS n FROM (SELECT beverage, {_OVERALL_SQL} AS overall FROM j3) GROUP BY ALL", parts=_JOB_PARTS)
+def verdicts_by_beverage(spark: SparkSession, d: str) -> DataFrame:
+    return verify_labels(_job_pairs(spark, d)).groupBy("beverage", "overall").agg(F.count("*").alias("n"))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """How many labels of each beverage pass, fail or need review."""
+    return verdicts_by_beverage(spark, d)
+
+
+# --- joins ---------------------------------------------------------------------------------------
+
+_KEY = r"regexp_replace(lower({0}), '^(.+)\.[^.]*$', '\1')"
+_LABELS = f"l AS (SELECT label_id, filename, {_KEY.format('filename')} AS file_key, row_number() OVER (PARTITION BY {_KEY.format('filename')} ORDER BY label_id) AS rn FROM v_ext)"
+#: Every 40th application is filed twice.
+_EXPECTED = "SELECT app_id, filename FROM v_app WHERE app_id % 19 <> 0 UNION ALL SELECT app_id + 5000000, filename FROM v_app WHERE app_id % 40 = 0"
+_PAIR_PARTS = f"{_LABELS}, x0 AS ({_EXPECTED}), x AS (SELECT app_id, filename, {_KEY.format('filename')} AS file_key, row_number() OVER (PARTITION BY {_KEY.format('filename')} ORDER BY app_id) AS rn FROM x0)"
+
+
+def _label_files(spark: SparkSession, d: str) -> DataFrame:
+    return frame(spark, d, "v_ext").select("label_id", "filename")
+
+
+@query("SELECT l.file_key, l.filename AS label_filename, l.label_id, x.filename AS expected_filename, x.app_id AS expected_id FROM l JOIN x ON x.file_key = l.file_key WHERE l.rn = 1 AND x.rn = 1", parts=_PAIR_PARTS)
+def pair_labels(spark: SparkSession, d: str) -> DataFrame:
+    return pairing.pair_labels(_label_files(spark, d), over(spark, d, _EXPECTED), "label_id", "app_id")
+
+
+@query("SELECT l.label_id, l.filename, l.file_key FROM l WHERE l.file_key NOT IN (SELECT file_key FROM x) OR l.rn > 1", parts=_PAIR_PARTS)
+def unpaired_labels(spark: SparkSession, d: str) -> DataFrame:
+    return pairing.unpaired_labels(_label_files(spark, d), over(spark, d, _EXPECTED), "label_id")
+
+
+@query("SELECT x.app_id, x.filename, x.file_key FROM x WHERE x.rn = 1 AND x.file_key NOT IN (SELECT file_key FROM l)", parts=_PAIR_PARTS)
+def unpaired_expected(spark: SparkSession, d: str) -> DataFrame:
+    return pairing.unpaired_expected(_label_files(spark, d), over(spark, d, _EXPECTED), "app_id")
+
+
+@query("""SELECT 'expected' AS kind, filename, 'Duplicate expected-data row for "' || filename || '" — using first occurrence.' AS message FROM x WHERE rn > 1 UNION ALL SELECT 'label', filename, 'Duplicate label filename "' || filename || '" — using first occurrence.' FROM l WHERE rn > 1 AND file_key IN (SELECT file_key FROM x)""", parts=_PAIR_PARTS)
+def pairing_warnings(spark: SparkSession, d: str) -> DataFrame:
+    return pairing.pairing_warnings(_label_files(spark, d), over(spark, d, _EXPECTED), "label_id", "app_id")
+
+
+@query("SELECT scenario_id, app_id FROM (SELECT app_id % 200 AS scenario_id, app_id FROM v_app) WHERE scenario_id NOT IN (SELECT scenario_id FROM v_review WHERE scenario_id IS NOT NULL)")
+def pending_queue(spark: SparkSession, d: str) -> DataFrame:
+    return pairing.pending_queue(over(spark, d, "SELECT app_id % 200 AS scenario_id, app_id FROM v_app"), frame(spark, d, "v_review"))
+
+
+@query("SELECT batch_id, rn - 1 AS pos, review_id, overall FROM (SELECT batch_id, review_id, overall, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY review_id) AS INTEGER) AS rn FROM v_review)")
+def hydrate_batch(spark: SparkSession, d: str) -> DataFrame:
+    batches = frame(spark, d, "v_review").groupBy("batch_id").agg(F.concat(F.array_sort(F.collect_list("review_id")), F.array(F.lit(-1).cast("long"))).alias("review_ids"))
+    return pairing.hydrate_batch(batches, frame(spark, d, "v_review").select("review_id", "overall"))[0].select("batch_id", "pos", "review_id", "overall")
+
+
+@query("SELECT batch_id, 1::BIGINT AS n_missing FROM v_review GROUP BY batch_id")
+def hydrate_batch_missing(spark: SparkSession, d: str) -> DataFrame:
+    batches = frame(spark, d, "v_review").groupBy("batch_id").agg(F.concat(F.collect_list("review_id"), F.array(F.lit(-1).cast("long"))).alias("review_ids"))
+    return pairing.hydrate_batch(batches, frame(spark, d, "v_review").select("review_id"))[1]
+
+
+@query(f"SELECT e.label_id, CASE WHEN e.brand_value = a.brand || ' llc' THEN 'manual-review' ELSE {_RUNG} END AS result, CASE WHEN e.brand_value = a.brand || ' llc' THEN 'uncertain' END AS verdict {_PAIRED}")
+def judge_gray_pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows = fuzzy.match_ladder(_pairs(spark, d, "e.label_id, e.brand_value AS extracted, a.brand AS expected"), "extracted", "expected")
+    gray = rows.select("label_id", "extracted", "expected", F.lit("brand").alias("field"), F.when(F.col("match_result") == "likely-match", "gray").otherwise(F.col("match_result")).alias("result"))
+    return judge.final_result(judge.judge_gray_pairs(gray, None)).select("label_id", "result", "verdict")
+
+
+_WORDS_SQL = r"list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda x: x <> '')"
+_TOKEN_SQL = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]', '', 'g')"
+
+
+@query("SELECT d.doc_id, p.item_id, CAST(min(g.k) - 1 AS INTEGER) AS first_pos, 6::BIGINT AS n_words FROM g JOIN p ON p.phrase = g.g JOIN d ON d.doc_id = g.doc_id GROUP BY ALL", parts=f"d AS (SELECT doc_id, list_transform({_WORDS_SQL}, lambda x: {_TOKEN_SQL.format('x')}) AS w FROM documents), g AS (SELECT doc_id, k, array_to_string(w[k:k + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 5)) AS k FROM d WHERE len(w) >= 6)), b AS (SELECT item_id, list_transform({_WORDS_SQL}, lambda x: {_TOKEN_SQL.format('x')})[1:6] AS w FROM benchmark), p AS (SELECT item_id, array_to_string(w, ' ') AS phrase FROM b WHERE len(w) = 6)")
+def locate_phrase(spark: SparkSession, d: str) -> DataFrame:
+    token = text.normal(F.col("word"), "token").alias("token")
+    words = locate.words_of(frame(spark, d, "documents"), "doc_id", "text").select("doc_id", "pos", token)
+    phrases = locate.words_of(frame(spark, d, "benchmark"), "item_id", "text").filter("pos < 6").select("item_id", "pos", token)
+    return locate.locate_phrase(words, phrases, "doc_id", "item_id")
+
+
+@query("SELECT case_id, actual, expected = actual AS matched FROM v_golden")
+def score_golden_join(spark: SparkSession, d: str) -> DataFrame:
+    cases = frame(spark, d, "v_golden")
+    wanted = cases.select("case_id", F.array("expected").alias("allowed"))
+    return evaluate.score_golden_join(wanted, cases.select("case_id", "actual"), ["case_id"]).select("case_id", "actual", "matched")
+
+
+# --- aggregations --------------------------------------------------------------------------------
+
+
+def _rollup_sql(source: str, column: str) -> str:
+    def n(*s: str) -> str:
+        return f"count(*) FILTER ({column} IN (" + ", ".join(f"'{x}'" for x in s) + "))"
+
+    active = n(*[x for x in fixed.FIELD_STATUSES if x != "not-required"])
+    return f"SELECT review_id, CASE WHEN {n('fail')} > 0 THEN 'fail' WHEN {n('low-confidence')} >= 2 OR ({n('missing')} >= 2 AND {n('missing')} * 2 > {active}) THEN 'request-better-image' WHEN {n('manual-review', 'missing')} > 0 THEN 'needs-manual-review' WHEN {n('warning', 'likely-match', 'low-confidence')} > 0 THEN 'pass-with-warnings' ELSE 'pass' END AS overall FROM {source} GROUP BY review_id"
+
+
+@query(_rollup_sql("v_field", "ai_status"))
+def rollup_overall(spark: SparkSession, d: str) -> DataFrame:
+    return status.rollup_overall(frame(spark, d, "v_field"), "review_id")
+
+
+_ONE_EACH = "SELECT review_id, field_no, min(ai_status) AS ai_status, min(human_status) AS human_status FROM v_field GROUP BY review_id, field_no"
+_ACTIONS_SQL = f"SELECT review_id, field_no, 1 AS step, human_status FROM ({_ONE_EACH}) WHERE human_status IS NOT NULL UNION ALL SELECT review_id, field_no, 2 AS step, CAST(NULL AS STRING) AS human_status FROM ({_ONE_EACH}) WHERE review_id % 4 = 0"
+
+
+@query(_rollup_sql(f"(SELECT review_id, CASE WHEN review_id % 4 = 0 THEN ai_status ELSE coalesce(human_status, ai_status) END AS st FROM ({_ONE_EACH}))", "st"))
+def rollup_with_overrides(spark: SparkSession, d: str) -> DataFrame:
+    fields = over(spark, d, _ONE_EACH).select("review_id", "field_no", "ai_status")
+    return status.rollup_with_overrides(fields, over(spark, d, _ACTIONS_SQL), "review_id", "field_no", "step")
+
+
+_SUMMARY_SQL = "count(*) AS total, " + ", ".join(f"count(*) FILTER (ok AND overall = '{s}') AS n_{s.replace('-', '_')}" for s in fixed.OVERALL_STATUSES) + ", count(*) FILTER (NOT ok) AS failures, count(*) FILTER (ok AND quality_issue) AS quality_issues, CAST(coalesce(floor(avg(processing_ms) FILTER (ok) + 0.5), 0) AS BIGINT) AS avg_ms, coalesce(round(sum(processing_ms), 2), 0) AS total_ms"
+
+
+@query(f"SELECT batch_id, {_SUMMARY_SQL} FROM v_review GROUP BY batch_id")
+def batch_summary(spark: SparkSession, d: str) -> DataFrame:
+    return review.batch_summary(frame(spark, d, "v_review"))
+
+
+_FOLD_SQL = "SELECT item_id, CASE arg_max(kind, event_id) WHEN 'start' THEN 'processing' WHEN 'complete' THEN 'complete' WHEN 'error' THEN 'failed' ELSE 'queued' END AS status, CASE WHEN arg_max(kind, event_id) IN ('complete', 'error') THEN arg_max_null(duration_ms, event_id) END AS duration_ms, count(*) AS n_events FROM v_event GROUP BY item_id"
+
+
+@query("SELECT item_id % 7 AS batch_id, count(*) AS total, count(*) FILTER (status IN ('complete', 'failed')) AS done, count(*) FILTER (status = 'failed') AS failed, CAST(floor(count(*) FILTER (status IN ('complete', 'failed')) * 100 / count(*) + 0.5) AS BIGINT) AS percent, CASE WHEN count(*) FILTER (status = 'failed') > 0 THEN 'partial-failed' ELSE 'complete' END AS batch_status FROM f GROUP BY 1", parts=f"f AS ({_FOLD_SQL})")
+def batch_progress(spark: SparkSession, d: str) -> DataFrame:
+    return review.batch_progress(jobs.fold_batch(frame(spark, d, "v_event")).withColumn("batch_id", F.col("item_id") % 7), "batch_id")
+
+
+@query("SELECT review_id, bool_or(human_status IS NOT NULL) AS has_overrides, bool_or(ai_status = 'fail') AS has_failures FROM v_field GROUP BY review_id")
+def review_flags(spark: SparkSession, d: str) -> DataFrame:
+    return review.review_flags(frame(spark, d, "v_field"))
+
+
+@query("SELECT quantile_cont(latency_ms, 0.5) AS p50, quantile_cont(latency_ms, 0.95) AS p95 FROM v_golden")
+def latency_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.latency_quantiles(frame(spark, d, "v_golden"), "latency_ms")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (skipped) AS skipped, count(*) FILTER (NOT skipped) AS ran, count(*) FILTER (NOT skipped AND expected = actual) AS passed, count(*) FILTER (NOT skipped AND expected <> actual) AS failed, count(*) FILTER (NOT skipped AND expected = actual) / count(*) FILTER (NOT skipped) AS accuracy, quantile_cont(latency_ms, 0.5) FILTER (NOT skipped) AS p50, quantile_cont(latency_ms, 0.95) FILTER (NOT skipped) AS p95, round(avg(cost_usd) FILTER (NOT skipped), 9) AS avg_cost, round(sum(cost_usd) FILTER (NOT skipped), 9) AS total_cost FROM v_golden")
+def score_golden(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.score_golden(frame(spark, d, "v_golden").withColumn("matched", F.col("expected") == F.col("actual")))
+
+
+@query("SELECT tag, count(*) AS n FROM v_golden GROUP BY tag")
+def tag_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.tag_breakdown(frame(spark, d, "v_golden").withColumn("tags", F.array("tag")))
+
+
+@query("SELECT count(*) FILTER (must_fail) AS must_fail, count(*) FILTER (must_fail AND actual = 'fail') AS hits, coalesce(count(*) FILTER (must_fail AND actual = 'fail') / nullif(count(*) FILTER (must_fail), 0), 1) AS recall, count(*) FILTER (must_fail AND actual = 'fail') < count(*) FILTER (must_fail) OR avg((expected = actual)::INT) < 0.95 AS gate_failed FROM v_golden")
+def recall_gate(spark: SparkSession, d: str) -> DataFrame:
+    cases = frame(spark, d, "v_golden").withColumns({"overall": F.col("actual"), "statement": F.col("actual"), "matched": F.col("expected") == F.col("actual")})
+    return evaluate.recall_gate(cases)
+
+
+@query("SELECT image_id, avg(lum) AS mean, avg((lum >= 248)::INT) AS bright_share, CASE WHEN avg(lum) <= 50 THEN 'low-light' WHEN avg(lum) >= 220 OR avg((lum >= 248)::INT) >= 0.4 THEN 'glare' ELSE '' END AS flags FROM v_pixel GROUP BY image_id")
+def image_exposure(spark: SparkSession, d: str) -> DataFrame:
+    return quality.pixel_exposure(frame(spark, d, "v_pixel")).withColumn("flags", F.array_join("flags", ","))
+
+
+@query("SELECT image_id, round(var_pop(4 * c.lum - w.lum - e.lum - n.lum - s.lum), 6) AS variance, var_pop(4 * c.lum - w.lum - e.lum - n.lum - s.lum) < 100 AS blurred FROM v_pixel c JOIN v_pixel w USING (image_id) JOIN v_pixel e USING (image_id) JOIN v_pixel n USING (image_id) JOIN v_pixel s USING (image_id) WHERE w.x = c.x - 1 AND w.y = c.y AND e.x = c.x + 1 AND e.y = c.y AND n.y = c.y - 1 AND n.x = c.x AND s.y = c.y + 1 AND s.x = c.x GROUP BY image_id")
+def image_sharpness(spark: SparkSession, d: str) -> DataFrame:
+    return quality.pixel_sharpness(frame(spark, d, "v_pixel")).withColumn("variance", F.round("variance", 6))
+
+
+_EXPOSED = "CASE label_id % 3 WHEN 0 THEN 'glare' WHEN 1 THEN 'low-light' ELSE '' END"
+
+
+@query(f"SELECT label_id, array_to_string(f, ',') AS flags, len(f) > 0 AS poor, CAST(len(list_filter(f, lambda x: x IN (CASE WHEN label_id % 2 = 0 THEN 'blur' ELSE '-' END, {_EXPOSED}))) AS BIGINT) AS n_measured FROM (SELECT label_id, list_filter(list_concat(m, list_filter(string_split({_NOTE_FLAGS}, ','), lambda x: NOT list_contains(m, x))), lambda x: x <> '') AS f FROM (SELECT label_id, quality_note, [CASE WHEN label_id % 2 = 0 THEN 'blur' ELSE '' END, {_EXPOSED}] AS m FROM v_ext))")
+def merge_quality_flags(spark: SparkSession, d: str) -> DataFrame:
+    exposed = F.filter(F.array(F.expr(_EXPOSED)), lambda x: x != "")
+    flags, sourced, poor = quality.merge_flags(F.col("label_id") % 2 == 0, exposed, text.quality_flags(F.col("quality_note")))
+    return frame(spark, d, "v_ext").select("label_id", F.array_join(flags, ",").alias("flags"), poor.alias("poor"), F.size(F.filter(sourced, lambda s: s["source"] == "heuristic")).cast("long").alias("n_measured"))
+
+
+@query("SELECT field_no, ai_status, human_status, count(*) AS n, count(*) FILTER (ai_status = human_status) AS n_same FROM v_field WHERE human_status IS NOT NULL GROUP BY ALL")
+def override_audit(spark: SparkSession, d: str) -> DataFrame:
+    return review.override_audit(frame(spark, d, "v_field"))
+
+
+_GOOD = "g AS (SELECT trim(statement) AS s FROM v_statement WHERE label_id % 8 IN (0, 1, 6))"
+
+
+def _edits() -> str:
+    def q(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    body = "substr(s, 20)"
+    one = [("prefix-title", f"'Government Warning:' || {body}"), ("prefix-lower", f"'government warning:' || {body}"), ("prefix-drop", f"trim({body})"), ("comma-drop-general", "replace(s, 'General,', 'General')"), ("comma-drop-machinery", "replace(s, 'machinery,', 'machinery')")]
+    one += [(c, f"replace(s, {q(a)}, {q(b)})") for c, pairs in (("word-swap", evaluate.SWAPS), ("typographic", evaluate.TYPOGRAPHIC)) for a, b in pairs]
+    one += [("sentence-swap", r"regexp_replace(s, '\(1\)(.*?)\s*\(2\)(.*)$', '(2)\2 (1)\1')"), *[("trailing-text", f"s || {q(t)}") for t in evaluate.TRAILING]]
+    parts = [f"SELECT '{c}' AS category, s, {e} AS edit FROM g" for c, e in one]
+    at = "(SELECT s, unnest(generate_series(instr(s, '(1)'), length(s) - 1)) AS k FROM g)"
+    parts += [f"SELECT 'char-insert', s, substr(s, 1, k - 1) || {q(c)} || substr(s, k) FROM {at}" for c in evaluate.INSERTED]
+    parts.append(f"SELECT 'char-delete', s, substr(s, 1, k - 1) || substr(s, k + 1) FROM {at} WHERE k >= instr(s, '(1)') + 5 AND substr(s, k, 1) <> ' '")
+    return " UNION ALL ".join(parts)
+
+
+@query("SELECT category, count(*) AS n, count(*) AS rejected FROM m WHERE edit <> s GROUP BY category", parts=f"{_GOOD}, m AS ({_edits()})")
+def mutation_audit(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.mutation_audit(frame(spark, d, "v_statement"))
+
+
+# --- windows, sorts, sets, filters ---------------------------------------------------------------
+
+
+@query("SELECT brand, min(app_id) AS app_id FROM v_app GROUP BY brand")
+def first_wins(spark: SparkSession, d: str) -> DataFrame:
+    return pairing.first_wins(frame(spark, d, "v_app").select("brand", "app_id"), "brand", "app_id")
+
+
+@query("SELECT item_id, max(event_id) AS event_id, arg_max(kind, event_id) AS kind FROM v_event GROUP BY item_id")
+def latest_version(spark: SparkSession, d: str) -> DataFrame:
+    return pairing.latest_version(frame(spark, d, "v_event").select("item_id", "event_id", "kind"), "item_id", "event_id")
+
+
+@query("SELECT item_id, CAST(k - 1 AS INTEGER) AS pos, array_to_string(w[k:k + 3], ' ') AS ngram FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 3)) AS k FROM b WHERE len(w) >= 4)", parts=f"b AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark)")
+def token_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    return locate.token_ngrams(locate.words_of(frame(spark, d, "benchmark"), "item_id", "text"), "item_id", 4)
+
+
+@query("SELECT app_id AS id, CASE WHEN app_id % 3 = 0 THEN 'photo' ELSE 'synthetic' END AS source, CASE WHEN app_id % 3 = 0 THEN 'APP-2026-R' || lpad(rn, CAST(greatest(3, length(rn)) AS INTEGER), '0') ELSE 'APP-2026-' || lpad(rn, CAST(greatest(4, length(rn)) AS INTEGER), '0') END AS app_id FROM (SELECT app_id, CAST(row_number() OVER (PARTITION BY app_id % 3 = 0 ORDER BY app_id) AS VARCHAR) AS rn FROM v_app)")
+def assign_app_ids(spark: SparkSession, d: str) -> DataFrame:
+    return pairing.assign_app_ids(over(spark, d, "SELECT app_id AS id, CASE WHEN app_id % 3 = 0 THEN 'photo' ELSE 'synthetic' END AS source FROM v_app"), "source", "id")
+
+
+@query("SELECT item_id, CAST(k - 1 AS INTEGER) AS pos, w[k] AS word, CAST(10 + coalesce(sum(greatest(20, 12 * length(w[k])) + 10) OVER (PARTITION BY item_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS x0 FROM (SELECT item_id, w, unnest(generate_series(1, len(w))) AS k FROM b)", parts=f"b AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark)")
+def layout_words(spark: SparkSession, d: str) -> DataFrame:
+    return locate.layout_words(locate.words_of(frame(spark, d, "benchmark"), "item_id", "text"), "item_id").select("item_id", "pos", "word", F.col("x0").cast("long").alias("x0"))
+
+
+@query("SELECT review_id, created_at FROM v_review ORDER BY created_at DESC, review_id DESC")
+def newest_first(spark: SparkSession, d: str) -> DataFrame:
+    return review.newest_first(frame(spark, d, "v_review").select("review_id", "created_at"), "created_at", "review_id")
+
+
+@query("SELECT app_id, importer FROM (SELECT app_id, importer, row_number() OVER (PARTITION BY importer ORDER BY app_id) AS rn FROM (SELECT app_id, app_id % 6 AS importer FROM v_app)) WHERE rn <= greatest(0, 250 - coalesce((SELECT count(*) FROM v_review r WHERE r.review_id % 100 = importer), 0))")
+def cap_batch(spark: SparkSession, d: str) -> DataFrame:
+    new = over(spark, d, "SELECT app_id, app_id % 6 AS importer FROM v_app")
+    return pairing.cap_batch(new, over(spark, d, "SELECT review_id % 100 AS importer FROM v_review"), "importer", "app_id", fixed.CAP)
+
+
+@query(f"SELECT label_id, phrase FROM (SELECT e.label_id, p.phrase, row_number() OVER (PARTITION BY e.label_id ORDER BY length(p.phrase) DESC, p.ordinal) AS k FROM v_ext e JOIN {_values([(p, k) for k, p in enumerate(fixed.FUNCTION_PHRASES)])} p(phrase, ordinal) ON contains(lower(e.bottler_evidence), p.phrase)) WHERE k = 1")
+def longest_match(spark: SparkSession, d: str) -> DataFrame:
+    phrases = spark.createDataFrame([(p, k) for k, p in enumerate(fixed.FUNCTION_PHRASES)], "phrase string, ordinal int")
+    return pairing.longest_match(frame(spark, d, "v_ext").select("label_id", F.lower("bottler_evidence").alias("t")), "t", phrases, "label_id")
+
+
+@query("SELECT app_id, filename, 'synthetic' AS source, 0 AS ordinal, NULL::VARCHAR AS scenario_id FROM v_app WHERE app_id % 2 = 0 UNION ALL SELECT label_id, filename, 'photo', 1, 'real-' || " + _KEY.format("filename") + " FROM v_ext WHERE label_id % 2 = 1")
+def union_queue(spark: SparkSession, d: str) -> DataFrame:
+    a = over(spark, d, "SELECT app_id, filename FROM v_app WHERE app_id % 2 = 0")
+    return pairing.union_queue(a, over(spark, d, "SELECT label_id AS app_id, filename FROM v_ext WHERE label_id % 2 = 1"), "app_id")
+
+
+@query(f"SELECT label_id, array_to_string(list_filter(list_concat(m, list_filter(n, lambda x: NOT list_contains(m, x))), lambda x: x <> ''), ',') AS flags FROM (SELECT label_id, [{_EXPOSED}] AS m, string_split({_NOTE_FLAGS}, ',') AS n FROM v_ext)")
+def flag_union(spark: SparkSession, d: str) -> DataFrame:
+    both = F.array_union(F.filter(F.array(F.expr(_EXPOSED)), lambda x: x != ""), text.quality_flags(F.col("quality_note")))
+    return frame(spark, d, "v_ext").select("label_id", F.array_join(both, ",").alias("flags"))
+
+
+@query("SELECT label_id, array_to_string(list_sort(list_filter(x, lambda t: list_contains(y, t))), ' ') AS shared, array_to_string(list_sort(list_filter(x, lambda t: NOT list_contains(y, t))), ' ') AS only_left, array_to_string(list_sort(list_filter(y, lambda t: NOT list_contains(x, t))), ' ') AS only_right FROM t", parts="t AS (SELECT e.label_id, list_distinct(string_split(" + _LADDER.format("e.brand_value") + ", ' ')) AS x, list_distinct(string_split(" + _LADDER.format("a.brand") + f", ' ')) AS y {_PAIRED} WHERE e.brand_value IS NOT NULL)")
+def token_sets(spark: SparkSession, d: str) -> DataFrame:
+    rows = _pairs(spark, d, "e.label_id, e.brand_value, a.brand").filter("brand_value IS NOT NULL")
+    made = fuzzy.token_sets(text.normal(F.col("brand_value"), "ladder"), text.normal(F.col("brand"), "ladder"))
+    return rows.select("label_id", made.alias("t")).select("label_id", *[F.array_join(f"t.{n}", " ").alias(n) for n in ("shared", "only_left", "only_right")])
+
+
+@query("SELECT review_id, brand, reviewer FROM v_review WHERE overall = 'fail' AND beverage = 'wine' AND contains(lower(brand || ' ' || reviewer), 'medium')")
+def filter_reviews(spark: SparkSession, d: str) -> DataFrame:
+    return review.filter_reviews(frame(spark, d, "v_review"), " Medium ", "fail", "wine").select("review_id", "brand", "reviewer")
+
+
+_ITEMS = "SELECT review_id, batch_id, reviewer, beverage, overall, has_overrides, ok, quality_issue, processing_ms, review_id % 7 = 0 AS has_failures, CASE review_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'processing' WHEN 2 THEN 'complete' ELSE 'failed' END AS status, CASE WHEN review_id % 4 = 3 THEN 'timeout' END AS error FROM v_review"
+
+
+@query("SELECT 'has-failures' AS kind, review_id FROM i WHERE has_failures OR overall = 'fail' UNION ALL SELECT 'failed-only', review_id FROM i WHERE status = 'failed' AND beverage = 'beer' UNION ALL SELECT 'overridden-only', review_id FROM i WHERE has_overrides", parts=f"i AS ({_ITEMS})")
+def filter_batch_items(spark: SparkSession, d: str) -> DataFrame:
+    items = over(spark, d, _ITEMS)
+    made = [review.filter_batch_items(items, kind, beverage).select(F.lit(kind).alias("kind"), "review_id") for kind, beverage in (("has-failures", None), ("failed-only", "beer"), ("overridden-only", None))]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+@query("SELECT review_id, CASE WHEN status = 'failed' THEN 'queued' ELSE status END AS status, CASE WHEN status <> 'failed' THEN error END AS error FROM i", parts=f"i AS ({_ITEMS})")
+def retry_failed(spark: SparkSession, d: str) -> DataFrame:
+    return review.retry_failed(over(spark, d, _ITEMS)).select("review_id", "status", "error")
+
+
+@query("SELECT review_id, 'processing' AS batch_status, CASE WHEN review_id % 5 = 0 THEN '—' ELSE reviewer END AS reviewer, DATE '2026-01-01' AS created_at FROM i WHERE status = 'complete'", parts=f"i AS ({_ITEMS})")
+def snapshot_completed(spark: SparkSession, d: str) -> DataFrame:
+    items = over(spark, d, _ITEMS).withColumn("reviewer", F.when(F.col("review_id") % 5 == 0, " ").otherwise(F.col("reviewer")))
+    return review.snapshot_completed(items, True, F.to_date(F.lit("2026-01-01"))).select("review_id", "batch_status", "reviewer", "created_at")
+
+
+# --- streaming twins -----------------------------------------------------------------------------
+
+
+@query(_FOLD_SQL)
+def fold_row_status(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.fold_batch(frame(spark, d, "v_event"))
+
+
+@query(f"SELECT batch_id, {_SUMMARY_SQL} FROM (SELECT * EXCLUDE (ok), status = 'complete' AS ok FROM i) GROUP BY batch_id", parts=f"i AS ({_ITEMS})")
+def live_summary(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.live_summary(over(spark, d, _ITEMS))
