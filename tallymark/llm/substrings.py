@@ -13,7 +13,8 @@ Equal windows have equal keys, and neighbouring windows mostly share one, so key
 than windows. A window in which no symbol's reach fits has its own digest as key.
 
 Spark joins the documents' work in three steps, each on groups of neighbouring documents that
-are kept, compressed, in a checkpoint:
+are kept, compressed, in a checkpoint. A text that a smaller doc_id has as well, as a whole,
+takes part in none of them: all its windows are repeats, and the first copy speaks for them.
 1. every group lists its keys once; keys listed by several groups, or by several documents of
    one, are shared;
 2. windows with a shared key are verified: their 128-bit digests are listed once a group with
@@ -152,7 +153,12 @@ def window_keys(names: np.ndarray, window: int = WINDOW_WORDS, rounds: int = ROU
             continue
         # Windows p with right - window <= p <= left hold the symbol's reach.
         first, last = np.maximum(right - window, 0), np.minimum(left, n - 1)
-        many = np.maximum(last - first + 1, 0)
+        still = np.concatenate(([0], np.cumsum(open_)))
+        wanted = (last >= first) & (still[np.maximum(last, first - 1) + 1] > still[first])
+        name, left, right, first, last = name[wanted], left[wanted], right[wanted], first[wanted], last[wanted]
+        if not len(name):
+            continue
+        many = last - first + 1
         at = np.repeat(first - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
         rank = _mix(name + _U(77))
         digest = _stretches(names, left, right) + _U(k)
@@ -186,13 +192,16 @@ def _unpack(blob: bytes) -> list[tuple[int | None, bytes]]:
 
 
 def _groups(docs: DataFrame) -> DataFrame:
-    """group, blob: neighbouring documents together."""
+    """group, blob, and the id and 128-bit digest of each text that has an id: neighbouring documents together."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
 
         def ended() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([_pack(held)], pa.binary())], ["group", "blob"])
+            seen = [(i, xxhash.xxh3_128_intdigest(t)) for i, t in held if i is not None]
+            halves = [[h >> 64 for _, h in seen], [h & 0xFFFFFFFFFFFFFFFF for _, h in seen]]
+            lists = [np.array([i for i, _ in seen], np.int64), *(np.array(x, _U).view(np.int64) for x in halves)]
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([_pack(held)], pa.binary()), *(pa.array([x], pa.list_(pa.int64())) for x in lists)], ["group", "blob", "ids", "h1", "h2"])
 
         for b in batches:
             for doc in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), strict=True):
@@ -204,7 +213,14 @@ def _groups(docs: DataFrame) -> DataFrame:
         if held:
             yield ended()
 
-    return map_slices(docs, work, "group long, blob binary")
+    return map_slices(docs, work, "group long, blob binary, ids array<long>, h1 array<long>, h2 array<long>")
+
+
+def _copies(held: DataFrame) -> DataFrame:
+    """group, copies: the ids in a group whose whole text a smaller id has too."""
+    texts = held.select("group", F.explode(F.arrays_zip("ids", "h1", "h2")).alias("t")).select("group", "t.*")
+    first = texts.groupBy("h1", "h2").agg(F.min("ids").alias("first"), F.max("ids").alias("last")).filter("first < last")
+    return texts.join(first, ["h1", "h2"]).filter("ids > first").groupBy("group").agg(F.collect_list("ids").alias("copies"))
 
 
 def _longs(values: np.ndarray) -> pa.Array:
@@ -214,8 +230,16 @@ def _longs(values: np.ndarray) -> pa.Array:
 class Row:
     """The words of a group's documents in one row, a separator after each document."""
 
-    def __init__(self, blob: bytes, names: Names, window: int) -> None:
-        self.docs = [(doc_id, text.split()) for doc_id, text in _unpack(blob)]
+    def __init__(self, blob: bytes, names: Names, window: int, copies: set[int] | frozenset[int] = frozenset()) -> None:
+        """copies: ids of texts that are left out, as a smaller id has all their windows; ``copied`` has their words."""
+        docs = [(doc_id, text.split()) for doc_id, text in _unpack(blob)]
+        self.copied = [d for d in docs if d[0] in copies and len(d[1]) >= window]
+        self.docs = [d for d in docs if not (d[0] in copies and len(d[1]) >= window)]
+        if not self.docs:
+            self.docs = [(None, [])]
+            self.empty = True
+        else:
+            self.empty = False
         sizes = np.array([len(w) for _, w in self.docs])
         self.ends = np.cumsum(sizes + 1)
         self.names = np.zeros((int(self.ends[-1]), 2), _U)
@@ -235,11 +259,11 @@ class Row:
 
 def _rows(batch: pa.RecordBatch, names: Names, window: int) -> Iterator[tuple[int, int, Row]]:
     for k, (group, blob) in enumerate(zip(batch.column("group").to_pylist(), batch.column("blob").to_pylist(), strict=True)):
-        yield k, group, Row(blob, names, window)
+        yield k, group, Row(blob, names, window, frozenset(_array(batch.column("copies"), k).tolist()))
 
 
 def _list_keys(groups: DataFrame, window: int, rounds: int) -> DataFrame:
-    """group, key: every key of a group once."""
+    """group, key: every key of a group once. groups: group, blob, copies."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names()
@@ -252,7 +276,7 @@ def _list_keys(groups: DataFrame, window: int, rounds: int) -> DataFrame:
 
 
 def _list_windows(groups: DataFrame, window: int, rounds: int) -> DataFrame:
-    """group, d1, d2, least, most: every window with a shared key once a group. groups: group, blob, keys (those shared with other groups)."""
+    """group, d1, d2, least, most: every window with a shared key once a group. groups: group, blob, copies, keys (those shared with other groups)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names()
@@ -291,7 +315,7 @@ def _array(column: pa.Array, k: int) -> np.ndarray:
 
 
 def _remove(groups: DataFrame, window: int) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (text). groups: group, blob, d1, d2, first (parallel lists)."""
+    """doc_id, n_words, n_removed, kept (text). groups: group, blob, copies, d1, d2, first (parallel lists)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names()
@@ -313,8 +337,8 @@ def _remove(groups: DataFrame, window: int) -> DataFrame:
                     np.add.at(mask, at, 1)
                     np.add.at(mask, at + window, -1)
                     gone = np.cumsum(mask)[:-1] > 0
-                out = []
-                for (doc_id, words), end in zip(row.docs, row.ends.tolist(), strict=True):
+                out = [(doc_id, len(words), len(words), "") for doc_id, words in row.copied]
+                for (doc_id, words), end in () if row.empty else zip(row.docs, row.ends.tolist(), strict=True):
                     mine = gone[end - 1 - len(words) : end - 1]
                     kept = [w for w, g in zip(words, mine.tolist(), strict=True) if not g] if mine.any() else words
                     out.append((doc_id, len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "replace")))
@@ -332,13 +356,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     neither loses words nor makes others lose them; rows of one id count as one document.
     """
     held = durable(_groups(text_columns(docs, id_col, text_col)))
+    known = held.select("group", "blob").join(_copies(held), "group", "left")
     by_key = Window.partitionBy("key")
-    shared = _list_keys(held, window, rounds).withColumn("n", F.count("*").over(by_key)).filter("n > 1").groupBy("group").agg(F.collect_list("key").alias("keys"))
-    windows = _list_windows(held.join(shared, "group", "left"), window, rounds)
+    shared = _list_keys(known, window, rounds).withColumn("n", F.count("*").over(by_key)).filter("n > 1").groupBy("group").agg(F.collect_list("key").alias("keys"))
+    windows = _list_windows(known.join(shared, "group", "left"), window, rounds)
     by_digest = Window.partitionBy("d1", "d2")
     repeated = windows.withColumn("first", F.min("least").over(by_digest)).filter("first < most")
     repeated = repeated.groupBy("group").agg(*[F.collect_list(c).alias(c) for c in ("d1", "d2", "first")])
-    return _remove(held.join(repeated, "group", "left"), window)
+    return _remove(known.join(repeated, "group", "left"), window)
 
 
 def digest(found: DataFrame) -> DataFrame:
