@@ -73,12 +73,12 @@ class Names:
         if len(self.number) > NAMES_KEPT:
             self._reset()
         number = self.number
-        for w in set(words).difference(number):
-            k = number[w] = len(number)
-            if k == len(self.table):
+        if new := list(set(words).difference(number)):
+            first, end = len(number), len(number) + len(new)
+            while end > len(self.table):
                 self.table = np.concatenate((self.table, np.empty_like(self.table)))
-            d = xxhash.xxh3_128_intdigest(w)
-            self.table[k] = d & 0xFFFFFFFFFFFFFFFF, d >> 64
+            self.table[first:end] = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, new)), ">u8").reshape(-1, 2)
+            number.update(zip(new, range(first, end), strict=True))
         return self.table[np.fromiter(map(number.__getitem__, words), np.int64, len(words))]
 
 
