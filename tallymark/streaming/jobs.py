@@ -46,8 +46,12 @@ def fold_batch(events: DataFrame, key: str = "item_id", order: str = "event_id")
     return events.groupBy(key).agg(last.alias("last"), F.count("*").alias("n_events")).select(key, "last.status", "last.duration_ms", "n_events")
 
 
-def fold_stream(events: DataFrame, key: str = "item_id", order: str = "event_id") -> DataFrame:
-    """The rows of ``fold_batch`` as a stream in update mode: a changed state for each row that got events."""
+def fold_stream(events: DataFrame, key: str = "item_id", order: str = "event_id", ttl_ms: int | None = STATE_TTL_MS) -> DataFrame:
+    """The rows of ``fold_batch`` as a stream in update mode: a changed state for each row that got events.
+
+    With a time to live the query runs batches without data as well, to drop old states, and so
+    never ends by itself; a run over what is there (``availableNow``) takes None.
+    """
 
     def fold(item: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -62,10 +66,11 @@ def fold_stream(events: DataFrame, key: str = "item_id", order: str = "event_id"
                 status = {"start": "processing", "complete": "complete", "error": "failed"}.get(last["kind"], "queued")
                 took = float(last["duration_ms"]) if status in ("complete", "failed") and pd.notna(last["duration_ms"]) else None
         state.update((seen, status, took, n))
-        state.setTimeoutDuration(STATE_TTL_MS)
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({key: [item[0]], "status": [status], "duration_ms": [took], "n_events": [n]})
 
-    return events.groupBy(key).applyInPandasWithState(fold, f"{key} long, status string, duration_ms double, n_events long", "seen long, status string, took double, n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy(key).applyInPandasWithState(fold, f"{key} long, status string, duration_ms double, n_events long", "seen long, status string, took double, n long", "update", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def live_summary(rows: DataFrame, key: str = "batch_id") -> DataFrame:

@@ -17,35 +17,43 @@ CLEAN = {"label_id": 1, "beverage": "distilled-spirits", "brand": "Old Tom", "cl
 KINDS = ", ".join(f"{k} {'long' if k == 'label_id' else 'double' if k in ('abv', 'confidence') else 'boolean' if k in ('warning_required', 'image_poor') else 'string'}" for k in CLEAN)
 
 
-def verdict(spark, **changes):
-    row = verify_labels(spark.createDataFrame([tuple((CLEAN | changes).values())], KINDS)).first()
-    return row.overall, {r.field: r for r in row.field_results}
+EDITED = "Bottled by Acme " + GOOD + " More."
+CASES = {
+    "clean": {},
+    "statement edit": {"raw_text": "Bottled by Acme " + GOOD.replace("General,", "General")},
+    "abv off": {"abv_text": "38%"},
+    "abv near": {"abv_text": "40.2%"},
+    "wine over 14": {"beverage": "wine", "abv": 14.5, "abv_text": "12.5%"},
+    "extra token": {"brand_value": "Old Tom Reserve"},
+    "other brand": {"brand_value": "Zebra Quartz"},
+    "poor image": {"image_poor": True},
+    "no abv": {"abv_text": None},
+    "malt without abv": {"beverage": "malt-beverage", "abv_text": None},
+    "unknown": {"beverage": "unknown"},
+    "odd size": {"net_contents": "680 mL", "net_text": "680 mL", "image_poor": True},
+    "no phrase": {"bottler_evidence": "Acme", "raw_text": GOOD},
+    "hole at 0": {"raw_text": EDITED, "confidence": 0.0},
+    "hole at 0.3": {"raw_text": EDITED, "confidence": 0.3},
+}
 
 
 def test_golden_families(spark):
-    overall, fields = verdict(spark)
-    assert overall == "pass", {k: v.status for k, v in fields.items()}
-    assert [r.status for r in fields.values()] == ["pass"] * 6 + ["not-required", "pass"]
-    assert verdict(spark, raw_text="Bottled by Acme " + GOOD.replace("General,", "General"))[0] == "fail"
-    assert verdict(spark, abv_text="38%")[0] == "fail"
-    assert verdict(spark, abv_text="40.2%")[0] == "pass"
-    assert verdict(spark, beverage="wine", abv=14.5, abv_text="12.5%")[0] == "fail"
-    assert verdict(spark, brand_value="Old Tom Reserve")[1]["brand"].status == "likely-match"
-    assert verdict(spark, brand_value="Zebra Quartz")[0] == "fail"
-    overall, fields = verdict(spark, image_poor=True)
-    assert overall == "needs-manual-review" and fields["brand"].status == "manual-review"
-    assert verdict(spark, abv_text=None)[0] == "needs-manual-review"
-    assert verdict(spark, beverage="malt-beverage", abv_text=None)[1]["abv"].status == "not-required"
-    assert verdict(spark, beverage="unknown")[1]["abv"].status == "not-required"
-    overall, fields = verdict(spark, net_contents="680 mL", net_text="680 mL", image_poor=True)
-    assert fields["netContents"].status == "warning" and fields["netContents"].outcomes[0] == "net_contents_non_standard_fill"
-    assert verdict(spark, bottler_evidence="Acme", raw_text=GOOD)[1]["bottlerName"].status == "warning"
-
-
-def test_statement_confidence_hole(spark):
-    bad = "Bottled by Acme " + GOOD + " More."
-    assert verdict(spark, raw_text=bad, confidence=0.0)[1]["governmentWarning"].status == "fail"
-    assert verdict(spark, raw_text=bad, confidence=0.3)[1]["governmentWarning"].status == "low-confidence"
+    rows = [tuple((CLEAN | changes | {"label_id": k}).values()) for k, changes in enumerate(CASES.values())]
+    got = sorted(verify_labels(spark.createDataFrame(rows, KINDS)).collect(), key=lambda r: r.label_id)
+    overall = {name: r.overall for name, r in zip(CASES, got, strict=True)}
+    fields = {name: {f.field: f for f in r.field_results} for name, r in zip(CASES, got, strict=True)}
+    assert [f.status for f in fields["clean"].values()] == ["pass"] * 6 + ["not-required", "pass"]
+    assert overall["clean"] == overall["abv near"] == "pass"
+    assert overall["statement edit"] == overall["abv off"] == overall["wine over 14"] == overall["other brand"] == "fail"
+    assert fields["extra token"]["brand"].status == "likely-match"
+    assert overall["poor image"] == "needs-manual-review" and fields["poor image"]["brand"].status == "manual-review"
+    assert overall["no abv"] == "needs-manual-review"
+    assert fields["malt without abv"]["abv"].status == fields["unknown"]["abv"].status == "not-required"
+    assert fields["odd size"]["netContents"].status == "warning" and fields["odd size"]["netContents"].outcomes[0] == "net_contents_non_standard_fill"
+    assert fields["no phrase"]["bottlerName"].status == "warning"
+    assert fields["hole at 0"]["governmentWarning"].status == "fail"
+    assert fields["hole at 0.3"]["governmentWarning"].status == "low-confidence"
+    assert fields["clean"]["abv"].explanation == "Alcohol content 40% matches the expected 40% within tolerance."
 
 
 def test_verification_does_not_shuffle(spark):
@@ -137,8 +145,8 @@ def test_stream_equals_batch(spark, tmp_path):
     events.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = str(tmp_path / "out")
-    q = jobs.fold_stream(stream).writeStream.outputMode("update").foreachBatch(lambda df, n: df.withColumn("n", F.lit(n)).write.mode("append").parquet(out)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    q = jobs.fold_stream(stream, ttl_ms=None).writeStream.outputMode("update").foreachBatch(lambda df, n: df.withColumn("n", F.lit(n)).write.mode("append").parquet(out)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
     last = spark.read.parquet(out).groupBy("item_id").agg(F.max_by(F.struct("status", "duration_ms", "n_events"), "n").alias("s")).select("item_id", "s.*")
     want = jobs.fold_batch(events)
     assert last.count() == want.count() and last.exceptAll(want.select(*last.columns)).count() == 0
@@ -150,7 +158,7 @@ def test_verify_stream(spark, tmp_path):
     labels = all_rows.drop(*apps)
     labels.unionByName(labels.withColumn("app_id", F.lit(99).cast("long"))).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(labels.schema).parquet(str(tmp_path / "in"))
-    jobs.start_verification(stream, all_rows.select("app_id", *apps), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    jobs.start_verification(stream, all_rows.select("app_id", *apps), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert [r.overall for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["pass"]
     assert spark.read.parquet(str(tmp_path / "out-quarantine")).count() == 1
 
