@@ -44,7 +44,7 @@ def parse_volume(text: Column) -> Column:
     text = trim(text)
     amount = _first_number(text, fixed.VOLUME_AMOUNT_PATTERN)
     unit = F.regexp_replace(F.lower(F.regexp_extract(text, f"(?i){fixed.VOLUME_UNIT_PATTERN}", 1)), r"\s+", " ")
-    factor = F.coalesce(*[F.when(unit == name, ml) for name, ml in fixed.ML_PER_UNIT.items()])
+    factor = F.create_map(*[F.lit(x) for name, ml in fixed.ML_PER_UNIT.items() for x in (name, float(ml))])[unit]
     return F.when(amount > 0, amount * factor)
 
 

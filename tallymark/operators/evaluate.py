@@ -52,9 +52,10 @@ def mutation_audit(statements: DataFrame, column: str = "statement") -> DataFram
 
     Eleven kinds: the prefix's case and absence, commas, words, sentences and marks exchanged, a
     character put in or taken out at every place of the body, text added. All must fail. A blank
-    is not taken out: beside another blank that would change nothing.
+    is not taken out: beside another blank that would change nothing. Equal statements are edited
+    once and counted as often as they occur; the edits are dealt out by their place.
     """
-    good = statements.filter(check_statement(F.col(column)) == "pass").select(F.trim(column).alias("s"))
+    good = statements.filter(check_statement(F.col(column)) == "pass").groupBy(F.trim(column).alias("s")).agg(F.count("*").alias("times"))
     body = F.substr(F.col("s"), F.lit(len(fixed.STATEMENT_PREFIX) + 1))
     whole = [("prefix-title", F.concat(F.lit("Government Warning:"), body)), ("prefix-lower", F.concat(F.lower(F.lit(fixed.STATEMENT_PREFIX)), body)), ("prefix-drop", F.trim(body))]
     whole += [("comma-drop-general", F.replace("s", F.lit("General,"), F.lit("General"))), ("comma-drop-machinery", F.replace("s", F.lit("machinery,"), F.lit("machinery")))]
@@ -64,11 +65,11 @@ def mutation_audit(statements: DataFrame, column: str = "statement") -> DataFram
     def listed(edits: list[tuple[str, Column]]) -> Column:
         return F.explode(F.array(*[F.struct(F.lit(c).alias("category"), e.alias("edit")) for c, e in edits])).alias("m")
 
-    fixed_edits = good.select("s", listed(whole)).select("s", "m.*")
-    at = good.select("s", F.explode(F.sequence(F.instr("s", "(1)"), F.char_length("s") - 1)).alias("k"))
+    fixed_edits = good.select("s", "times", listed(whole)).select("s", "times", "m.*")
+    at = good.select("s", "times", F.explode(F.sequence(F.instr("s", "(1)"), F.char_length("s") - 1)).alias("k")).repartition("s", "k")
     before, after = F.substr(F.col("s"), F.lit(1), F.col("k") - 1), F.substr(F.col("s"), F.col("k"))
     put = [("char-insert", F.concat(before, F.lit(c), after)) for c in INSERTED]
     cut = [("char-delete", F.concat(before, F.substr(after, F.lit(2))))]
-    placed = at.select("s", "k", listed(put + cut)).filter("m.category <> 'char-delete' OR (k >= instr(s, '(1)') + 5 AND substr(s, k, 1) <> ' ')").select("s", "m.*")
+    placed = at.select("s", "times", "k", listed(put + cut)).filter("m.category <> 'char-delete' OR (k >= instr(s, '(1)') + 5 AND substr(s, k, 1) <> ' ')").select("s", "times", "m.*")
     edits = fixed_edits.unionByName(placed).filter("edit <> s")
-    return edits.groupBy("category").agg(F.count("*").alias("n"), F.count_if(check_statement(F.col("edit")) != "pass").alias("rejected"))
+    return edits.groupBy("category").agg(F.sum("times").alias("n"), F.sum(F.when(check_statement(F.col("edit")) != "pass", F.col("times")).otherwise(0)).alias("rejected"))
