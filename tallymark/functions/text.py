@@ -26,6 +26,10 @@ def _fold(text: Column, zero_width: bool) -> Column:
     return F.regexp_replace(text, r"[​‌‍﻿]", "") if zero_width else text
 
 
+#: Set between parts of a text; one that was there before becomes a blank.
+_MARK = "\x01"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value made once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -124,11 +128,13 @@ def statement_distance(statement: Column) -> Column:
 
 
 def normalize_address(text: Column) -> Column:
-    """Without postal codes, states by their code, longest name first."""
-    text = F.regexp_replace(text, r"\b\d{5}(?:-\d{4})?\b", " ")
-    for name in sorted(fixed.STATE_CODES, key=len, reverse=True):
-        text = F.regexp_replace(text, rf"(?i)\b{name.replace(' ', r'\s+')}\b", fixed.STATE_CODES[name])
-    return text
+    """Without postal codes, states by their code, the longest name at each place."""
+    names = "|".join(name.replace(" ", r"\s+") for name in sorted(fixed.STATE_CODES, key=len, reverse=True))
+    codes = F.create_map(*[F.lit(x) for pair in fixed.STATE_CODES.items() for x in pair])
+    text = F.regexp_replace(F.translate(text, _MARK, " "), r"\b\d{5}(?:-\d{4})?\b", " ")
+    # Names stand alone between marks, so one pass finds them all and a map has their codes.
+    parts = F.split(F.regexp_replace(text, rf"(?i)\b({names})\b", f"{_MARK}$1{_MARK}"), _MARK)
+    return F.array_join(F.transform(parts, lambda p: F.coalesce(codes[F.lower(F.regexp_replace(p, r"\s+", " "))], p)), "")
 
 
 def is_united_states(country: Column) -> Column:
