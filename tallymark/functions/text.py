@@ -110,21 +110,42 @@ def statement_body(statement: Column) -> Column:
     return normal(F.substr(trim(statement), F.lit(len(fixed.STATEMENT_PREFIX) + 1)), "statement")
 
 
-def check_statement(statement: Column) -> Column:
-    """pass, prefix_missing, prefix_capitalization or wording_mismatch."""
+def check_statement(statement: Column, body: Column | None = None) -> Column:
+    """pass, prefix_missing, prefix_capitalization or wording_mismatch. body: ``statement_body``, if it is at hand."""
     text = trim(F.coalesce(statement, F.lit("")))
     return (
         F.when(text == "", "prefix_missing")
         .when(~text.startswith(fixed.STATEMENT_PREFIX), F.when(F.upper(text).startswith(fixed.STATEMENT_PREFIX), "prefix_capitalization").otherwise("prefix_missing"))
-        .when(statement_body(text) == _BODY, "pass")
+        .when((statement_body(text) if body is None else body) == _BODY, "pass")
         .otherwise("wording_mismatch")
     )
 
 
-def statement_distance(statement: Column) -> Column:
+def common_start(a: Column, b: Column, most: int) -> Column:
+    """How many characters (``most`` at most) two different texts share from the start: found by halving."""
+    def longer(step: int) -> Callable[[Column], Column]:
+        return lambda k: F.when(F.substr(a, k + 1, F.lit(step)) == F.substr(b, k + 1, F.lit(step)), k + step).otherwise(k)
+
+    at = F.lit(0)
+    for bit in reversed(range(most.bit_length())):
+        at = let(at, longer(1 << bit))
+    return at
+
+
+def edits(a: Column, b: Column, most: int) -> Column:
+    """Levenshtein distance of two texts, b of ``most`` characters at most: what they share at both ends costs none."""
+    def rest(pair: Column) -> Column:
+        return let(common_start(pair["a"], pair["b"], most), lambda k: F.struct(*[F.reverse(F.substr(pair[x], k + 1)).alias(x) for x in "ab"]))
+
+    ends = let(let(F.struct(a.alias("a"), b.alias("b")), rest), rest)
+    return F.when(a == b, 0).otherwise(let(ends, lambda p: F.levenshtein(p["a"], p["b"])))
+
+
+def statement_distance(statement: Column, body: Column | None = None) -> Column:
     """Edits between the body and the required one, where the prefix is right; else null."""
     text = trim(F.coalesce(statement, F.lit("")))
-    return F.when(text.startswith(fixed.STATEMENT_PREFIX), F.levenshtein(statement_body(text), F.lit(_BODY)))
+    found = statement_body(text) if body is None else body
+    return F.when(text.startswith(fixed.STATEMENT_PREFIX), let(found, lambda b: edits(b, F.lit(_BODY), len(_BODY))))
 
 
 def normalize_address(text: Column) -> Column:

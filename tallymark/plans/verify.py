@@ -40,8 +40,8 @@ def verify_labels(pairs: DataFrame, judged: str | None = None) -> DataFrame:
     # Each step's columns are made once and read by the steps after it.
     step = fuzzy.match_ladders(pairs, {"_brand": (read("brand_value"), F.col("brand"), "text"), "_class": (read("class_value"), F.col("class_type"), "text"), "_bottler": (read("bottler_value"), F.col("bottler_name"), "text"), "_address": (read("address_value"), F.col("bottler_address"), "address"), "_origin": (read("origin_value"), F.col("country"), "origin")})
     step = step.withColumns({"_abv_text": abv_text, "_found_ml": strict.parse_volume(read("net_text")), "_expected_ml": strict.parse_volume(F.col("net_contents")), "_statement": text.pick_statement(F.coalesce(read("raw_text"), F.lit("")), read("statement_text")), "_imported": imported, "_phrase": text.function_phrase(read("raw_text"), read("bottler_evidence"))})
-    step = step.withColumns({"_read": strict.parse_abv(F.col("_abv_text")), "_volume": strict.check_volume(F.col("_found_ml"), F.col("_expected_ml")), "_warning": text.check_statement(F.col("_statement")), "_distance": text.statement_distance(F.col("_statement")), "_standard": strict.is_standard_fill(F.col("_found_ml"), beverage)})
-    step = step.withColumns({"_read_abv": F.col("_read.abv"), "_read_proof": F.col("_read.proof")})
+    step = step.withColumns({"_read": strict.parse_abv(F.col("_abv_text")), "_volume": strict.check_volume(F.col("_found_ml"), F.col("_expected_ml")), "_body": F.when(text.trim(F.col("_statement")).startswith(fixed.STATEMENT_PREFIX), text.statement_body(F.col("_statement"))), "_standard": strict.is_standard_fill(F.col("_found_ml"), beverage)})
+    step = step.withColumns({"_warning": text.check_statement(F.col("_statement"), F.col("_body")), "_distance": text.statement_distance(F.col("_statement"), F.col("_body")), "_read_abv": F.col("_read.abv"), "_read_proof": F.col("_read.proof")})
     check = strict.check_abv(F.struct(F.col("_read_abv").alias("abv"), F.col("_read_proof").alias("proof")), F.col("abv"), beverage)
     step = step.withColumns({f"_abv_{k}": check[k] for k in ("result", "found", "delta", "tolerance")})
     imported = F.col("_imported")

@@ -98,3 +98,10 @@ def test_rollup_does_not_depend_on_order(spark, statuses):
 def test_quality_notes(spark):
     got = column(spark, ["blurry text with glare", "right-hand corner ok", "finger covering edge", None], text.quality_flags(F.col("v")))
     assert got == [["blur", "glare"], [], ["obstruction"], []]
+
+
+def test_edits_is_the_levenshtein_distance(spark):
+    texts = ["", "a", "ab", "ba", "aab", "abab", "kitten", "sitting", "kittens", "sit", "xkitten", "kiten", "ünï", "üni"]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    assert pairs.filter(text.edits(F.col("a"), F.col("b"), 7) != F.levenshtein("a", "b")).count() == 0
+    assert pairs.filter(text.edits(F.col("a"), F.col("b"), 7).isNull()).count() == 0
