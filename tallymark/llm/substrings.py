@@ -192,16 +192,18 @@ def _unpack(blob: bytes) -> list[tuple[int | None, bytes]]:
 
 
 def _groups(docs: DataFrame) -> DataFrame:
-    """group, blob, and the id and 128-bit digest of each text that has an id: neighbouring documents together."""
+    """group, blob, and for each different text its ids and 128-bit digest: neighbouring documents together."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
 
         def ended() -> pa.RecordBatch:
-            seen = [(i, xxhash.xxh3_128_intdigest(t)) for i, t in held if i is not None]
-            halves = [[h >> 64 for _, h in seen], [h & 0xFFFFFFFFFFFFFFFF for _, h in seen]]
-            lists = [np.array([i for i, _ in seen], np.int64), *(np.array(x, _U).view(np.int64) for x in halves)]
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([_pack(held)], pa.binary()), *(pa.array([x], pa.list_(pa.int64())) for x in lists)], ["group", "blob", "ids", "h1", "h2"])
+            ids: dict[bytes, list[int]] = {}
+            for i, t in held:
+                if i is not None:
+                    ids.setdefault(xxhash.xxh3_128_digest(t), []).append(i)
+            halves = np.frombuffer(b"".join(ids), ">i8").astype(np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([_pack(held)], pa.binary()), pa.array([list(ids.values())], pa.list_(pa.list_(pa.int64()))), *(pa.array([x], pa.list_(pa.int64())) for x in halves.T)], ["group", "blob", "ids", "h1", "h2"])
 
         for b in batches:
             for doc in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), strict=True):
@@ -213,14 +215,18 @@ def _groups(docs: DataFrame) -> DataFrame:
         if held:
             yield ended()
 
-    return map_slices(docs, work, "group long, blob binary, ids array<long>, h1 array<long>, h2 array<long>")
+    return map_slices(docs, work, "group long, blob binary, ids array<array<long>>, h1 array<long>, h2 array<long>")
 
 
 def _copies(held: DataFrame) -> DataFrame:
-    """group, copies: the ids in a group whose whole text a smaller id has too."""
+    """group, copies: the ids in a group whose whole text a smaller id has too.
+
+    A text counts once a group, so one with very many copies has no more rows than there are groups.
+    """
     texts = held.select("group", F.explode(F.arrays_zip("ids", "h1", "h2")).alias("t")).select("group", "t.*")
-    first = texts.groupBy("h1", "h2").agg(F.min("ids").alias("first"), F.max("ids").alias("last")).filter("first < last")
-    return texts.join(first, ["h1", "h2"]).filter("ids > first").groupBy("group").agg(F.collect_list("ids").alias("copies"))
+    first = texts.groupBy("h1", "h2").agg(F.min(F.array_min("ids")).alias("first"), F.max(F.array_max("ids")).alias("last")).filter("first < last")
+    later = texts.join(first, ["h1", "h2"]).select("group", F.explode(F.filter("ids", lambda i: i > F.col("first"))).alias("id"))
+    return later.groupBy("group").agg(F.collect_list("id").alias("copies"))
 
 
 def _longs(values: np.ndarray) -> pa.Array:
