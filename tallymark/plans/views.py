@@ -98,7 +98,6 @@ FROM labels l JOIN documents d ON d.doc_id = l.doc_id
 SELECT p.p_partkey AS image_id, x.r_regionkey * 5 + x2.r_regionkey AS x, y.r_regionkey * 5 + y2.r_regionkey AS y,
   (p.p_partkey * 31 + (x.r_regionkey * 5 + x2.r_regionkey) * 17 + (y.r_regionkey * 5 + y2.r_regionkey) * 13 * (p.p_partkey % 3)) % 256 AS lum
 FROM part p JOIN region x ON TRUE JOIN region x2 ON TRUE JOIN region y ON TRUE JOIN region y2 ON TRUE
-WHERE p.p_partkey < 100
 """,
 }
 

@@ -1,5 +1,7 @@
 import json
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -188,3 +190,17 @@ def test_registry(spark):
 def test_pending_is_an_anti_join(spark):
     plan = catalog.QUERIES["pending_queue"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in plan
+
+
+def test_every_part_is_an_image(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    side = np.arange(25)
+    exposure = {r.image_id: r for r in catalog.QUERIES["image_exposure"](spark, sf_dir).collect()}
+    sharpness = {r.image_id: r for r in catalog.QUERIES["image_sharpness"](spark, sf_dir).collect()}
+    parts = [r.p_partkey for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()]
+    assert len(parts) > 99 and sorted(exposure) == sorted(sharpness) == sorted(parts)
+    for k in parts:
+        lum = (k * 31 + side[:, None] * 17 + side[None, :] * 13 * (k % 3)) % 256
+        inner = 4 * lum[1:-1, 1:-1] - lum[:-2, 1:-1] - lum[2:, 1:-1] - lum[1:-1, :-2] - lum[1:-1, 2:]
+        assert exposure[k].mean == pytest.approx(lum.mean()) and exposure[k].bright_share == pytest.approx((lum >= 248).mean())
+        assert sharpness[k].variance == pytest.approx(inner.var(), abs=1e-5) and sharpness[k].blurred == (inner.var() < 100)
