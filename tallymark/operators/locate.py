@@ -20,6 +20,15 @@ def token_ngrams(words: DataFrame, key: str, n: int) -> DataFrame:
     return words.select(key, "pos", F.array(*parts).alias("_p")).filter(F.col("_p")[n - 1].isNotNull()).select(key, "pos", F.array_join("_p", " ").alias("ngram"))
 
 
+def passages(words: DataFrame, key: str, n: int) -> DataFrame:
+    """phrase (key, item_pos, whole), pos, token: the texts of ``words`` (key, pos, token), and every n words in a row of longer ones."""
+    size = words.groupBy(key).agg(F.count("*").alias("_n"))
+    starts = F.filter(F.sequence(F.col("pos") - (n - 1), F.col("pos")), lambda s: (s >= 0) & (s <= F.col("_n") - n))
+    parts = words.join(size.filter(F.col("_n") > n), key).select(key, "token", "pos", F.explode(starts).alias("item_pos"), F.lit(False).alias("whole"))
+    both = words.select(key, "token", "pos", F.lit(0).alias("item_pos"), F.lit(True).alias("whole")).unionByName(parts)
+    return both.select(F.struct(key, "item_pos", "whole").alias("phrase"), (F.col("pos") - F.col("item_pos")).alias("pos"), "token")
+
+
 def layout_words(words: DataFrame, key: str) -> DataFrame:
     """Stand-in boxes for words of a text line: x0, x1, y0, y1, confidence."""
     width = F.greatest(F.lit(20), F.char_length("word") * 12)

@@ -204,3 +204,12 @@ def test_every_part_is_an_image(spark):
         inner = 4 * lum[1:-1, 1:-1] - lum[:-2, 1:-1] - lum[2:, 1:-1] - lum[1:-1, :-2] - lum[1:-1, 2:]
         assert exposure[k].mean == pytest.approx(lum.mean()) and exposure[k].bright_share == pytest.approx((lum >= 248).mean())
         assert sharpness[k].variance == pytest.approx(inner.var(), abs=1e-5) and sharpness[k].blurred == (inner.var() < 100)
+
+
+def test_whole_items_and_their_passages_are_located(spark, tmp_path):
+    item = "One two three four five six seven eight nine ten"
+    docs = [f"x {item.upper()}, y", "one two three four five six but then another", "at the end: five six seven eight nine ten", "five six seven eight nine", "so be it"]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item), (2, "Be it")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {tuple(r) for r in catalog.QUERIES["locate_phrase"](spark, str(tmp_path)).select("doc_id", "item_id", "item_pos", "first_pos", "n_words").collect()}
+    assert got == {(0, 1, 0, 1, 10), *((0, 1, k, k + 1, 6) for k in range(5)), (1, 1, 0, 0, 6), (2, 1, 4, 3, 6), (4, 2, 0, 1, 2)}
