@@ -4,8 +4,9 @@ Every text node hangs on a root-to-leaf path of tags. Over each path of a page t
 the text, its punctuation and the text inside links are summed up; the two ratios that follow
 (length and punctuation for each node of the path) are smoothed over the paths in page order,
 fused by their product, and paths above a share of the page's mean are content. Paths that HTML
-itself marks as no content (navigation, forms, scripts and the like) never are; an article
-element, where the page has one with text outside such marks, bounds what may be.
+itself marks as no content (navigation, forms, scripts and the like) never are. Article elements
+that hold at least half of the text outside such marks bound what may be; with less, their paths
+and the others compete by their scores.
 
 The block elements of content paths are the blocks of the text. A page is one row, so all of
 this is a narrow step; pages are never shuffled.
@@ -26,6 +27,8 @@ from tallymark.llm._common import map_slices, utf8
 
 SMOOTH = 1
 THRESHOLD = 0.1
+#: Articles with this share of the text bound it; an element with this share and an h1 or main is not away by a class or id.
+MOST = 0.5
 
 #: Fixed values of HTML: elements without an end tag, with raw text, that end a block, that close an open paragraph.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,14 +37,16 @@ _BLOCK = frozenset("address article aside blockquote body button caption center
 _OPTIONAL = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "tr": frozenset(["tr", "td", "th"]), "option": frozenset(["option"])}
 _CLOSES_P = _BLOCK - {"body", "html", "button", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "select"}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What no class or id marks as away: a heading, and what holds the main text.
+_NEVER_BY_WORD = _HEADINGS | frozenset("html body main article".split())
 _HOLDS = frozenset("table ul ol dl body html article section main div aside nav header footer form".split())
 #: Elements, roles and words in a class or id that mark what is no main text.
 _AWAY = frozenset("head nav footer header aside form button select dialog menu".split())
 _AWAY_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
-_AWAY_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|header|masthead|footer|sidebar\w*|side|aside|breadcrumbs?|comments?|commentlist|disqus|replies|responses?|cookies?|consent|gdpr|notice\w*|newsletter|subscribe|signup|login|popup|modal|overlay|share|sharing|social|related|recommended|widget\w*|toolbar|pagination|pager|search\w*|tags|copyright|disclaimer|hidden)(?:$|[\s_-])")
+_AWAY_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|header|masthead|footer|sidebar\w*|side|aside|breadcrumbs?|comments?|commentlist|disqus|replies|responses?|cookies?|consent|gdpr|notice\w*|newsletter|subscribe|signup|login|popup|modal|overlay|share|sharing|social|related|recommended|widget\w*|toolbar|pagination|pager|search(?![\s_-]*results?)\w*|tags|copyright|disclaimer|hidden)(?:$|[\s_-])")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)\s*(?:=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
 _PUNCTUATION = re.compile(r"[,.;:!?…。、，！？؛،।]")
 _SPACE = re.compile(r"\s+")
 
@@ -49,45 +54,60 @@ _SPACE = re.compile(r"\s+")
 class Block:
     """A run of text without a block border, on its path."""
 
-    __slots__ = ("article", "away", "link", "path", "text")
+    __slots__ = ("article", "away", "link", "path", "text", "title", "words")
 
-    def __init__(self, path: tuple[str, ...], away: bool, article: bool) -> None:
+    def __init__(self, path: tuple[str, ...], away: bool, article: bool, words: tuple[int, ...], title: bool) -> None:
         self.path, self.away, self.article, self.text, self.link = path, away, article, [], 0
+        self.words, self.title = words, title  # elements around it with a word of _AWAY_WORDS; in an h1 or main
 
 
-def _is_away(tag: str, attributes: str) -> bool:
+def _is_away(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is no main text by its kind, role or style, and whether by a word in its class or id."""
     if tag in _AWAY:
-        return True
+        return True, False
     if not attributes:
-        return False
+        return False, False
+    word = False
+    seen = set()
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").lower()
+        if name in seen:  # of several attributes of one name HTML takes the first
+            continue
+        seen.add(name)
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _AWAY_ROLES:
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id") and tag not in _HEADINGS and _AWAY_WORDS.search(value):
-            return True
-    return False
+            return True, False
+        if name in ("class", "id") and tag not in _NEVER_BY_WORD and _AWAY_WORDS.search(value):
+            word = True
+    return False, word
+
+
+def _self_closed(attributes: str) -> bool:
+    """Whether a start tag ends in "/>"; the slash of an unquoted value is the value's."""
+    if not attributes.endswith("/"):
+        return False
+    return not any(m[4] is not None and m.end() == len(attributes) for m in _ATTRIBUTE.finditer(attributes))
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order. Unclosed elements end with their parent, or with the page."""
     out: list[Block] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, bool, int]] = []  # tag, away, its number if a word marks it, else 0
     now: Block | None = None
-    pieces = 0
+    pieces = marked = 0
 
     def text(raw: str) -> None:
         nonlocal now, pieces
         if not raw or now is None and not raw.strip():
             return
         if now is None:
-            now = Block(tuple(t for t, _ in stack if t in _BLOCK), any(a for _, a in stack), any(t == "article" for t, _ in stack))
+            tags = [t for t, _, _ in stack]
+            now = Block(tuple(t for t in tags if t in _BLOCK), any(a for _, a, _ in stack), "article" in tags, tuple(w for _, _, w in stack if w), "h1" in tags or "main" in tags)
             out.append(now)
         said = html.unescape(raw)
         now.text.append(said)
-        if any(t == "a" for t, _ in stack):
+        if any(t == "a" for t, _, _ in stack):
             now.link += len(said.strip())
 
     at = 0
@@ -111,11 +131,13 @@ def blocks(page: str) -> list[Block]:
                 continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    if any(a for _, a in stack[k:]):
+                    if any(a or w for _, a, w in stack[k:]):
                         now = None
                     del stack[k:]
                     break
             continue
+        if tag in ("svg", "math") and _self_closed(m[3]):
+            continue
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             close = page.find(">", end.end() - 1) if end else -1
@@ -132,10 +154,11 @@ def blocks(page: str) -> list[Block]:
                 break
             if stack[k][0] in _HOLDS:
                 break
-        away = _is_away(tag, m[3])
-        if away:
+        away, word = _is_away(tag, m[3])
+        if away or word:
             now = None
-        stack.append((tag, away))
+        marked += word
+        stack.append((tag, away, marked if word else 0))
     return out
 
 
@@ -143,9 +166,22 @@ def main_text(page: str | None) -> str:
     """The main text of one page: its content blocks, white space made one space, joined by an empty line."""
     found = blocks(page or "")
     shown = [(b, t) for b in found if not b.away and (t := _SPACE.sub(" ", "".join(b.text)).strip())]
+    held: dict[int, int] = {}
+    titled: set[int] = set()
+    for b, t in shown:
+        for w in b.words:
+            held[w] = held.get(w, 0) + len(t)
+        if b.title:
+            titled.update(b.words)
+    everything = sum(len(t) for _, t in shown)
+    away = {w for w, n in held.items() if w not in titled or n < MOST * everything}
+    # A page with all its text behind such words has no other: its paths decide.
+    shown = [(b, t) for b, t in shown if away.isdisjoint(b.words)] or shown
     if not shown:
         return ""
-    whole = any(b.article for b, _ in shown)
+    said = [(b.article, len(t) - min(b.link, len(t))) for b, t in shown]
+    inside = sum(n for article, n in said if article)
+    whole = any(article for article, _ in said) and inside >= MOST * sum(n for _, n in said)
     order: dict[tuple[str, ...], int] = {}
     for b, _ in shown:
         order.setdefault(b.path, len(order))

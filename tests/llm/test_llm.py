@@ -134,6 +134,19 @@ def test_html():
     assert [htmltext.main_text(x) for x in (None, "", "<script>x", "<p", "plain &lt;text&gt;")] == ["", "", "", "", "plain <text>"]
 
 
+def test_html_keeps_the_text_of_the_page():
+    said, more = "A long sentence, with marks. And one more, to be sure.", "Again a long one, with marks, and so on."
+    for start, end in (('<body class="right-sidebar">', "</body>"), ('<main class="has-comments">', "</main>"), ('<article class="post tags-python">', "</article>"), ('<div id="search-results">', "</div>"), ('<div class="page with-sidebar">', "</div>"), ("<div title='a hidden valley'>", "</div>"), ('<svg class="icon"/><div>', "</div>"), ("<math/><div>", "</div>")):
+        assert htmltext.main_text(f"{start}<p>{said}</p><p>{more}</p>{end}") == f"{said}\n\n{more}", start
+    assert htmltext.main_text(f'<p title="a hidden valley" data-note="x role=search">{said}</p>') == said
+    assert htmltext.main_text(f"<svg viewBox=0/><text>no</text></svg><p>{said}</p>") == said
+    assert htmltext.main_text(f"<p>{said}</p><p hidden>gone</p><p class='x' class='ad'>{more}</p>") == f"{said}\n\n{more}"
+    got = htmltext.main_text(f"<article><p>Teaser.</p></article><div><p>{said}</p><p>{more}</p><p>{said}</p></div>")
+    assert said in got and more in got
+    assert htmltext.main_text(f"<article><p>{said}</p><p>{more}</p></article><div><p>Other.</p></div>") == f"{said}\n\n{more}"
+    assert htmltext.main_text(f'<div class="layout right-sidebar"><h1>Title</h1><p>{said}</p><div class="sidebar"><p>{more}</p></div></div><div>end</div>') == f"Title\n\n{said}\n\nend"
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, 0), (1, "u", "<article><p>ä</p></article>", 0), (None, None, "<p>" * 2000, 0)], "page_id long, url string, html string, text int")
     assert sorted((r.text, r.n_chars) for r in htmltext.extract(pages).collect()) == [("", 0), ("", 0), ("ä", 1)]
