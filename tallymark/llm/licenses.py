@@ -16,16 +16,58 @@ from pyspark.sql import functions as F
 
 #: Spellings that count as one (the words of the right replace those of the left).
 EQUIVALENT = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("noncommercial", "non commercial"), ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("whilst", "while"))
-COPYRIGHT_LINE = r"(?im)^[ \t]*(?:copyright|\(c\)|©)[^\n]*$|all rights reserved\.?"
+#: A copyright notice, behind comment marks or not: with a sign, a year, a place for one, or a holder (a capital, or "by"). A line of a
+#: licence that merely starts with the word has none of them. The pattern is one that Java and RE2 read alike.
+COPYRIGHT_LINE = r"(?m)^[ \t#*/;%!<>|.-]*(?:(?i:copyright|spdx-filecopyrighttext)[ \t:]*(?:(?i:\(c\)|©|&copy;)|[12][0-9]{3}|[\[<{])|(?i:copyright[ \t]+by[ \t])|Copyright[ \t:]+(?:[Tt]he[ \t]+)?\p{Lu}|(?i:\(c\)[ \t]*(?:copyright|[12][0-9]{3}))|©)[^\n]*$|(?i:all rights reserved\.?)"
 NO_WORD = r"[^\p{L}\p{N}]+"
 
-_MIT = """MIT License
-Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
-_ISC = """ISC License
-Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_0BSD = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+)
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.",
+    "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+    "This notice may not be removed or altered from any source distribution.",
+)
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_APACHE = (
+    'Licensed under the Apache License, Version 2.0 (the "License");',
+    "you may not use this file except in compliance with the License.",
+    'You may obtain a copy of the License at\n{}://www.apache.org/licenses/LICENSE-2.0\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+)
+
+
+def _listed(head: str, items: tuple[str, ...], tail: str = "") -> tuple[str, str]:
+    """A text with its items numbered, and with bullets."""
+    return tuple("\n".join((head, *(mark.format(k) + i for k, i in enumerate(items, 1)), tail)) for mark in ("{}. ", "* "))
+
+
+#: Identifier, titles, texts: each text is known without a title and with each one.
+_TEXTS = (
+    ("MIT", ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"), (_MIT,)),
+    ("ISC", ("ISC License", "The ISC License", "ISC License (ISC)"), (_ISC, _ISC.replace("and/or", "and"))),
+    ("0BSD", ("BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)"), (_0BSD,)),
+    ("BSD-2-Clause", ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'), _listed(_BSD[0], _BSD[1:3], _BSD[4])),
+    ("BSD-3-Clause", ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License'), _listed(_BSD[0], _BSD[1:4], _BSD[4])),
+    ("Zlib", ("zlib License", "The zlib License", "The zlib/libpng License"), _listed(_ZLIB[0], _ZLIB[1:])),
+    ("Unlicense", ("The Unlicense",), (_UNLICENSE, f"{_UNLICENSE}\nFor more information, please refer to <https://unlicense.org>", f"{_UNLICENSE}\nFor more information, please refer to <https://unlicense.org/>", f"{_UNLICENSE}\nFor more information, please refer to <http://unlicense.org/>")),
+    ("Apache-2.0", (), (_APACHE[0], " ".join(_APACHE[:2]), *("\n".join(_APACHE).format(scheme) for scheme in ("http", "https")))),
+)
 
 #: Names that notices use, and the identifier of each.
 _NAMES = {
@@ -40,7 +82,12 @@ _NAMES = {
     "CC0-1.0": ("CC0 1.0",),
 }
 _PHRASES = ("{}", "Licensed under {}", "Licensed under the {}", "Released under the {}", "Released under {}", "Distributed under the {}", "This work is licensed under the {}", "This work is licensed under {}", "This software is licensed under the {}")
-KNOWN = (("MIT", _MIT), ("ISC", _ISC), *((i, p.format(n)) for i, names in _NAMES.items() for n in names for p in _PHRASES))
+_SPDX = dict.fromkeys((*(i for i, _, _ in _TEXTS), *_NAMES, *(f"{i}-{kind}" for i in _NAMES if "GPL" in i for kind in ("only", "or-later"))))
+KNOWN = (
+    *((i, f"{title}\n{text}") for i, titles, texts in _TEXTS for title in ("", *titles) for text in texts),
+    *((i, f"SPDX-License-Identifier: {i}") for i in _SPDX),
+    *((i, p.format(n)) for i, names in _NAMES.items() for n in names for p in _PHRASES),
+)
 
 
 def canonical(text: Column) -> Column:

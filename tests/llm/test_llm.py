@@ -128,6 +128,27 @@ def test_licenses(spark, edges):
     assert len(got) == len(EDGES) + 3 and by[20] == ("MIT", "MIT", 1) and by[21] == (None, "CC-BY-NC-4.0,MIT", 2) and by[22] == (None, "", 0) and by[1] == (None, "", 0)
 
 
+def test_licenses_wrapped_and_titled_anew(spark):
+    import textwrap
+
+    texts = {i: [f"{title}\n{text}" for title in ("", *titles) for text in forms] for i, titles, forms in licenses._TEXTS}
+    notices = ["Copyright (c) 2020, A B", "# Copyright 2020 The Authors", " * Copyright Ann Other <a@b.org>", "© 2020 A", "(C) 2020 A", "Copyright <year> <holder>"]
+    want, rows = {}, []
+    for i, forms in texts.items():
+        for form in forms:
+            for width in (30, 50, 61, 72, 80):
+                k = len(rows)
+                want[k] = i
+                rows.append((k, notices[k % 6] + "\nAll rights reserved.\n\n" + "\n".join((" * " if k % 2 else "") + x for x in textwrap.wrap(form, width, break_on_hyphens=False, break_long_words=False))))
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"
+    rows.append((-1, "ISC License\n\nCopyright (c) 2020 A\n\n" + isc + licenses._ISC.split("\n")[1]))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_table(spark)).collect()}
+    assert {k: got[k].license_id for k in want} == want and got[-1].license_id == "ISC"
+    lines = ['x\n// Licensed under the Apache License, Version 2.0 (the "License");\ny', "/* SPDX-License-Identifier: GPL-2.0-or-later */\nint x;", "# SPDX-License-Identifier: BSD-3-Clause"]
+    got = {r.doc_id: r.line_licenses for r in licenses.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), licenses.known_table(spark)).collect()}
+    assert got == {0: "Apache-2.0", 1: "GPL-2.0-or-later", 2: "BSD-3-Clause"}
+
+
 def test_html():
     assert htmltext.main_text("<nav>Menu</nav><article><h1>T&amp;x</h1><p>A  b<br>c<p>D.<div class=ad>Buy</div><form>f</form></article><footer>c</footer>") == "T&x\n\nA b c\n\nD."
     assert htmltext.main_text("<body><div class=nav><a>Home</a></div><div><p>A long sentence, with marks. And one more, to be sure.</p><p>Again a long one, with marks.</p></div><ul><li><a>x</a><li><a>y</a></ul></body>") == "A long sentence, with marks. And one more, to be sure.\n\nAgain a long one, with marks."
