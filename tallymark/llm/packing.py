@@ -11,7 +11,8 @@ to one another stay the same. What a queue has beyond its last full slot is appe
 slots, queue by queue, so only the very last sequence can be short.
 
 A task needs the number of tokens before its documents in each queue: token counts by task and
-queue (a small table) are summed up in order. Tokens are made once and kept in a checkpoint.
+queue (a small table) are summed up in order. Every source has a queue of its own, however small:
+its name and total go to the driver, and three numbers a source to every task. Tokens are made once and kept in a checkpoint.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ SEQUENCE = 1024
 SLOT = 128
 END_ID = 0
 VOCABULARY = "byte_bpe_50k"
-#: Sources with less than this share of the tokens have one queue together.
-LEAST_SHARE = 1 / 1024
+#: Numbers in memory at a time where slots are placed (queues by slots).
+CELLS = 1 << 20
 #: Fixed-point credit: a window's tokens are shared out in units of this fraction of a token.
 CREDIT = 1 << 20
 
@@ -93,6 +94,9 @@ class Schedule:
 
     def places(self, queue: int, first: int, last: int) -> np.ndarray:
         """Positions (in tokens) of slots first..last-1 of a queue."""
+        step = max(1, CELLS // len(self.slots))
+        if last - first > step:
+            return np.concatenate([self.places(queue, k, min(k + step, last)) for k in range(first, last, step)])
         n = np.arange(first, last, dtype=np.int64)
         # The round in which slot n goes: the first r with floor((r + 1) * credit / need) > n.
         high, low = divmod((n + 1), self.credit[queue])
@@ -135,18 +139,19 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     made = durable(tokens(docs, id_col, text_col, source_col, vocabulary))
     counts = made.groupBy("task", "source").agg(F.sum(F.octet_length("ids") / 2).cast("long").alias("n"))
     by_source = counts.groupBy("source").agg(F.sum("n").alias("n"))
-    total = by_source.agg(F.sum("n")).first()[0] or 0
-    # A source of some weight has a queue: at most 1 / LEAST_SHARE of them, or as many as ``weights`` names.
-    named = by_source.filter(F.col("source").isin(list(weights)) if weights else F.col("n") >= LEAST_SHARE * total)
-    rows = {r.source: r.n for r in named.collect()}
+    rows = {r.source: r.n for r in by_source.collect()}
     order = sorted(rows)
-    rest = total - sum(rows.values())
-    totals = [*(rows[s] for s in order), rest]
-    shares = [(weights[s] if weights else rows[s]) for s in order]
-    schedule = Schedule(totals, [*shares, max(rest, 1) if not weights else max(min(shares, default=1.0), 1e-9)], slot, window)
+    totals = [rows[s] for s in order]
+    shares = totals
+    if weights:  # sources without a weight have the least share together, by their tokens
+        named = [weights[s] for s in order if s in weights]
+        rest = max(sum(n for s, n in rows.items() if s not in weights), 1)
+        least = max(min(named, default=1.0), 1e-9)
+        shares = [weights[s] if s in weights else least * rows[s] / rest for s in order]
+    schedule = Schedule(totals, shares, slot, window) if order else None
     queue_of = docs.sparkSession.createDataFrame([(s, k) for k, s in enumerate(order)], "source string, queue int")
-    numbered = counts.join(F.broadcast(queue_of), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(order))))
-    run = Window.partitionBy("queue").orderBy("task", "source").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = counts.join(queue_of, "source")
+    run = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = numbered.withColumn("base", F.coalesce(F.sum("n").over(run), F.lit(0))).select("task", "source", "queue", "base")
     placed = made.join(bases, ["task", "source"]).select("queue", (F.col("base") + F.col("before")).alias("at"), "doc_id", "ids")
 

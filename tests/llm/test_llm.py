@@ -73,6 +73,16 @@ def test_packing_keeps_every_id_once(spark, edges, prose):
     assert packing.pack(docs, weights={"s0": 3.0, "s1": 1.0}).agg(F.sum("length")).first()[0] == sum(r.length for r in rows)
 
 
+def test_packing_gives_small_sources_their_own_queue(spark):
+    docs = spark.createDataFrame([(k, " a" * 300, "en", f"s{k:04}", 0) for k in range(1100)], DOCS)
+    rows = packing.pack(docs).select("doc_id", "start", "length", (F.col("sequence_id") * 1024 + F.col("offset")).alias("place"), "doc_tokens").collect()
+    assert {r.doc_tokens for r in rows} == {301} and sum(r.length for r in rows) == 301 * 1100
+    assert {(r.doc_id, r.start): r.place for r in rows if r.start < 256} == {(k, 128 * n): 128 * (1100 * n + k) for k in range(1100) for n in range(2)}
+    some = packing.pack(docs, weights={"s0001": 1.0, "s0002": 1.0}).select("doc_id", "start", "length", (F.col("sequence_id") * 1024 + F.col("offset")).alias("place")).collect()
+    assert sum(r.length for r in some) == 301 * 1100 and len({r.place for r in some}) == len(some)
+    assert {r.doc_id for r in some if r.place < 512} == {1, 2}
+
+
 def test_simhash_components(spark, edges, prose):
     base = [prose(60) for _ in range(30)]
     texts = [*base, *base[:5], *(b.replace(" ", "  ").upper() for b in base[5:8]), *(b + " x" for b in base)]
