@@ -43,7 +43,8 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SQL has no tokenizer and no EM: the tests hold each stage against a brute-force version.
+#: SQL has no tokenizer and no EM: the tests hold the operators of near-dedup, decontamination and packing against brute force, and of the
+#: stages the columns and counts, the documents that near-dedup keeps and those that packing holds.
 ORACLE_SQL = None
 
 
