@@ -37,8 +37,8 @@ KINDS = {
     "card": rf"{_LEFT}(?:[0-9]{{13,19}}|[0-9]{{4}}([ -])[0-9]{{4}}\2[0-9]{{4}}\2[0-9]{{4}}){_RIGHT}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
-#: Every kind has a run of two of these.
-HINT = "@|[0-9][0-9A-Fa-f.)-]"
+#: Every kind has one of these: a hexadecimal token with no digit, or one at its end, a run of 31 letters.
+HINT = "@|[0-9][0-9A-Fa-f.)-]|[A-Fa-f]{31}"
 
 
 def _sql(text: str) -> str:

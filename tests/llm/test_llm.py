@@ -239,6 +239,13 @@ def test_pii(spark, edges):
     assert pii.replace(edges).columns == edges.columns and pii.replace(edges).count() == len(EDGES)
 
 
+def test_pii_replaces_tokens_without_digits(spark):
+    texts = ["deadbeef" * 4, "a@b.org " + "deadbeef" * 4, "deadbeef" * 3 + "deadbee1"]
+    got = {r.doc_id: r for r in pii.scan(spark.createDataFrame([(k, t, "en", "a", 0) for k, t in enumerate(texts)], DOCS)).collect()}
+    assert [got[k].n_replaced for k in range(3)] == [1, 2, 1]
+    assert got[0].text == got[1].text.split()[1] != texts[0] and got[2].text != texts[2]
+
+
 def test_feistel_is_a_permutation(spark):
     pairs = spark.range(35).select(F.expr(pii.permute_pair("id", "t", "k", 5, 7)).alias("v")).collect()
     assert sorted(r.v for r in pairs) == list(range(35))
