@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm._common import connected, durable, map_slices, text_columns, utf8
+from tallymark.llm._common import connected, durable, fresh, map_slices, text_columns, utf8
 
 SEED = 42
 SHINGLE_WORDS = 4
@@ -39,6 +39,8 @@ SEGMENT = 13
 SEGMENTS = 5
 #: Above this a bucket's pairs (half its square) cost more than the points of its members.
 BUCKET_LIMIT = 2048
+#: Tasks over which the rows of one fingerprint are dealt.
+SALTS = 256
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
 
@@ -125,20 +127,38 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buck
     give repeated rows. A null doc_id stays null and gets the component of its fingerprint,
     which is null only if no document reachable has an id.
     """
-    prints = durable(fingerprints(docs, id_col, text_col))
-    found = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    prints = durable(fingerprints(docs, id_col, text_col).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))))
+    # A fingerprint of very many copies is dealt over SALTS tasks: its rows meet only in sums and minima.
+    dealt = prints.groupBy("fp", "salt").agg(F.min("doc_id").alias("least"))
+    found = durable(dealt.groupBy("fp").agg(F.min("least").alias("least")))
     roots = connected(links(found.select("fp"), bucket_limit))
     tied = found.join(roots, F.col("fp") == F.col("node"))
     smallest = tied.groupBy("root").agg(F.min("least").alias("first"))
     tied = tied.select("fp", "root").join(smallest, "root").select("fp", "first")
     named = found.join(tied, "fp", "left").select("fp", F.coalesce("first", "least").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = dealt.select("fp", "salt").join(named, "fp")
+    return prints.join(named, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """The rows of ``docs``, all columns, without those whose component has a smaller doc_id; equal rows stay once.
+    """The rows of ``docs``, all columns, without those whose component has a smaller doc_id.
 
-    Rows with a null id cannot be told apart by it and stay.
+    Rows of the smallest id of a component that have one text stay once, the one whose other
+    columns come first as JSON; with different texts all of them stay. Rows with a null id
+    cannot be told apart by it and stay, repeated ones as often as they are there.
     """
-    later = groups(docs, id_col, text_col, bucket_limit).filter("doc_id <> component_id").select(F.col("doc_id").alias("_later")).distinct()
-    return docs.join(later, F.col(f"`{id_col}`") == F.col("_later"), "left_anti").dropDuplicates([id_col, text_col])
+    later = fresh(docs, "later")
+    ids = groups(docs, id_col, text_col, bucket_limit).filter("doc_id <> component_id").select(F.col("doc_id").alias(later)).distinct()
+    named = docs.filter(F.col(f"`{id_col}`").isNotNull())
+    first = named.join(ids, F.col(f"`{id_col}`").cast("long") == F.col(later), "left_anti")
+    return _once(first, [id_col, text_col]).unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
+
+
+def _once(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each value of the keys: the one whose other columns come first as JSON."""
+    others = [c for c in rows.columns if c not in keys]
+    if not others:
+        return rows.dropDuplicates(keys)
+    rest, name = F.struct(*[F.col(f"`{c}`") for c in others]), fresh(rows, "rest")
+    chosen = rows.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(F.min_by(rest, F.to_json(rest)).alias(name))
+    return chosen.select(*[F.col(f"`{c}`") if c in keys else F.col(f"{name}.`{c}`").alias(c) for c in rows.columns])
