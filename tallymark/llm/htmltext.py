@@ -1,15 +1,23 @@
 """Main text of web pages by tag-path ratios.
 
 Every text node hangs on a root-to-leaf path of tags. Over each path of a page the length of
-the text, its punctuation and the text inside links are summed up; the two ratios that follow
-(length and punctuation for each node of the path) are smoothed over the paths in page order,
-fused by their product, and paths above a share of the page's mean are content. Paths that HTML
-itself marks as no content (navigation, forms, scripts and the like) never are. Article elements
-that hold at least half of the text outside such marks bound what may be; with less, their paths
-and the others compete by their scores.
+the text outside links and its punctuation are summed up, and divided by the nodes of the path.
+Both ratios are smoothed twice, with the paths before and after in page order and with the
+containers above (a heading or a list beside long paragraphs takes part of their ratio), and
+fused by their product. Paths are content by two thresholds, shares of the page's mean weighted
+by text: the higher one selects content nodes anywhere; the smallest element that holds most
+of their text is the root of the content, and under it the lower threshold is enough. Paths
+whose text is mostly links never are content.
+
+Mark-up is a weak feature. Forms and elements with a word in class or id that marks side matter
+weigh their text down by the share of the page they hold, so one that holds nearly all of it
+changes nothing; text outside articles is weighed down where articles hold at least half of the
+text. Only what HTML itself declares to be no content (head, navigation, footers, asides,
+controls, scripts, hidden parts and such roles, and headers outside the main part) is left out before.
 
 The block elements of content paths are the blocks of the text. A page is one row, so all of
-this is a narrow step; pages are never shuffled.
+this is a narrow step; pages are never shuffled. The work is linear in the page, however deep
+its elements are.
 """
 
 from __future__ import annotations
@@ -25,49 +33,86 @@ from pyspark.sql import functions as F
 
 from tallymark.llm._common import map_slices, utf8
 
-SMOOTH = 1
-THRESHOLD = 0.1
-#: Articles with this share of the text bound it; an element with this share and an h1 or main is not away by a class or id.
-MOST = 0.5
+#: Shares of the page's mean score: content anywhere, and content under the root.
+HIGH, LOW = 0.2, 0.002
+#: Share of the content's text that the root holds.
+ROOT = 0.8
+#: The weight of a container one level up, against the path itself.
+UP = 0.5
+#: Articles with this share of the text weigh the text outside by OUTSIDE.
+MOST, OUTSIDE = 0.5, 0.25
+#: Text in a marked element counts by this power of the share of the page that the element holds; by the share itself if it has a title.
+MARK_POWER = 8
 
 #: Fixed values of HTML: elements without an end tag, with raw text, that end a block, that close an open paragraph.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe template svg math".split())
 _BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
-_OPTIONAL = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "tr": frozenset(["tr", "td", "th"]), "option": frozenset(["option"])}
+_OPTIONAL = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
 _CLOSES_P = _BLOCK - {"body", "html", "button", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "select"}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: What no class or id marks as away: a heading, and what holds the main text.
+#: Block elements of one line of thought: never the root of the content.
+_LEAVES = _HEADINGS | frozenset("p pre li dt dd blockquote caption figcaption".split())
+#: What no class or id marks: a heading, and what holds the main text.
 _NEVER_BY_WORD = _HEADINGS | frozenset("html body main article".split())
+#: An open element of these kinds keeps elements around it from being closed by a start tag inside.
 _HOLDS = frozenset("table ul ol dl body html article section main div aside nav header footer form".split())
-#: Elements, roles and words in a class or id that mark what is no main text.
-_AWAY = frozenset("head nav footer header aside form button select dialog menu".split())
+#: Elements and roles that are no main text.
+_AWAY = frozenset("head nav footer aside button select dialog menu".split())
 _AWAY_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
-_AWAY_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|header|masthead|footer|sidebar\w*|side|aside|breadcrumbs?|comments?|commentlist|disqus|replies|responses?|cookies?|consent|gdpr|notice\w*|newsletter|subscribe|signup|login|popup|modal|overlay|share|sharing|social|related|recommended|widget\w*|toolbar|pagination|pager|search(?![\s_-]*results?)\w*|tags|copyright|disclaimer|hidden)(?:$|[\s_-])")
+#: Words in a class or id that mark side matter.
+_SIDE_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|header|masthead|footer|sidebar\w*|side|aside|breadcrumbs?|comments?|commentlist|disqus|replies|responses?|cookies?|consent|gdpr|notice\w*|newsletter|subscribe|signup|login|popup|modal|overlay|share|sharing|social|related|recommended|widget\w*|toolbar|pagination|pager|search(?![\s_-]*results?)\w*|tags|copyright|disclaimer|hidden)(?:$|[\s_-])")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)\s*(?:=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
+# An attribute's name runs up to white space, a slash, "=" or ">"; quotes count only right after "=". Possessive, so that no input is read twice.
+_VALUE = r"\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^\s>]*+))?"
+_ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+)(?:{_VALUE})?+")
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:{_VALUE.replace('(', '(?:').replace('(?:?:', '(?:')})?+)*+)(?:>|\Z)", re.S)
 _PUNCTUATION = re.compile(r"[,.;:!?…。、，！？؛،।]")
 _SPACE = re.compile(r"\s+")
 
 
+class Page:
+    """The blocks of a page, each a run of text without a block border, with the paths, elements and marks they hang on."""
+
+    def __init__(self) -> None:
+        self.paths: dict[tuple[int, str], int] = {}  # (path above, tag) to path
+        self.above: list[int] = []  # of each path; a path's number is higher than that of the one above
+        self.outer: list[int] = []  # the element around each block element, numbered as they open
+        self.holder: list[int] = []  # each element itself, or for a paragraph and the like the element around it
+        self.marks: list[int] = []  # the marked element around each marked element
+        self.titled: list[bool] = []  # whether a marked element has an h1, main or article
+        self.blocks: list[Block] = []
+
+    def path(self, above: int, tag: str) -> int:
+        found = self.paths.setdefault((above, tag), len(self.above))
+        if found == len(self.above):
+            self.above.append(above)
+        return found
+
+
 class Block:
-    """A run of text without a block border, on its path."""
+    __slots__ = ("article", "element", "link", "mark", "path", "text")
 
-    __slots__ = ("article", "away", "link", "path", "text", "title", "words")
+    def __init__(self, path: int, element: int, mark: int, article: bool) -> None:
+        self.path, self.element, self.mark, self.article, self.text, self.link = path, element, mark, article, [], 0
 
-    def __init__(self, path: tuple[str, ...], away: bool, article: bool, words: tuple[int, ...], title: bool) -> None:
-        self.path, self.away, self.article, self.text, self.link = path, away, article, [], 0
-        self.words, self.title = words, title  # elements around it with a word of _AWAY_WORDS; in an h1 or main
 
+class _Open:
+    """An open element: what text inside hangs on."""
 
-def _is_away(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is no main text by its kind, role or style, and whether by a word in its class or id."""
-    if tag in _AWAY:
+    __slots__ = ("article", "away", "element", "ended", "mark", "path", "tag")
+
+    def __init__(self, tag: str, path: int, element: int, mark: int, away: bool, article: bool) -> None:
+        self.tag, self.path, self.element, self.mark, self.away, self.article, self.ended = tag, path, element, mark, away, article, False
+
+
+def _kind(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
+    """Whether an element is no main text by its kind, role or style, and whether it may be side matter."""
+    if tag in _AWAY or tag == "header" and not in_main:
         return True, False
+    side = tag == "form"
     if not attributes:
-        return False, False
-    word = False
+        return False, side
     seen = set()
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").lower()
@@ -78,9 +123,9 @@ def _is_away(tag: str, attributes: str) -> tuple[bool, bool]:
             return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True, False
-        if name in ("class", "id") and tag not in _NEVER_BY_WORD and _AWAY_WORDS.search(value):
-            word = True
-    return False, word
+        if name in ("class", "id") and tag not in _NEVER_BY_WORD and _SIDE_WORDS.search(value):
+            side = True
+    return False, side
 
 
 def _self_closed(attributes: str) -> bool:
@@ -90,28 +135,46 @@ def _self_closed(attributes: str) -> bool:
     return not any(m[4] is not None and m.end() == len(attributes) for m in _ATTRIBUTE.finditer(attributes))
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order. Unclosed elements end with their parent, or with the page."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, away, its number if a word marks it, else 0
+def parse(page: str) -> Page:
+    """The blocks of a page in order, without what HTML declares to be no content. Unclosed elements end with their parent, or with the page."""
+    out = Page()
+    stack = [_Open("", -1, -1, -1, False, False)]
+    places: dict[str, list[int]] = {}  # where in the stack the open elements of a tag are
+    holds: list[int] = []  # where those of _HOLDS are
+    shut_blocks: list[int] = []  # where block elements are
+    links = 0
     now: Block | None = None
-    pieces = marked = 0
+    ends: dict[str, re.Pattern[str]] = {}
 
     def text(raw: str) -> None:
-        nonlocal now, pieces
-        if not raw or now is None and not raw.strip():
+        nonlocal now
+        top = stack[-1]
+        if not raw or top.away or now is None and not raw.strip():
             return
         if now is None:
-            tags = [t for t, _, _ in stack]
-            now = Block(tuple(t for t in tags if t in _BLOCK), any(a for _, a, _ in stack), "article" in tags, tuple(w for _, _, w in stack if w), "h1" in tags or "main" in tags)
-            out.append(now)
+            now = Block(top.path, top.element, top.mark, top.article)
+            out.blocks.append(now)
         said = html.unescape(raw)
         now.text.append(said)
-        if any(t == "a" for t, _, _ in stack):
+        if links:
             now.link += len(said.strip())
 
-    at = 0
-    n = len(page)
+    def cut(k: int) -> None:
+        """End the open elements from place k on."""
+        nonlocal links, now
+        if stack[-1].away != stack[k - 1].away or stack[-1].mark != stack[k - 1].mark:
+            now = None
+        while len(stack) > k:
+            gone = stack.pop()
+            if not gone.ended:
+                places[gone.tag].pop()
+                links -= gone.tag == "a"
+            if gone.tag in _HOLDS:
+                holds.pop()
+            if gone.tag in _BLOCK:
+                shut_blocks.pop()
+
+    at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -127,19 +190,21 @@ def blocks(page: str) -> list[Block]:
         if tag in _BLOCK:
             now = None
         if m[1]:
-            if tag in _VOID:
-                continue
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if any(a or w for _, a, w in stack[k:]):
-                        now = None
-                    del stack[k:]
-                    break
+            mine = places.get(tag)
+            if mine:
+                k = mine[-1]
+                if tag not in _BLOCK and shut_blocks and shut_blocks[-1] > k:
+                    # Blocks inside stay open; the element itself has ended.
+                    stack[k].ended = True
+                    mine.pop()
+                    links -= tag == "a"
+                else:
+                    cut(k)
             continue
         if tag in ("svg", "math") and _self_closed(m[3]):
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
+            end = ends.setdefault(tag, re.compile(rf"</{re.escape(tag)}[\s/>]", re.I)).search(page, at)
             close = page.find(">", end.end() - 1) if end else -1
             at = n if end is None or close < 0 else close + 1
             continue
@@ -147,61 +212,129 @@ def blocks(page: str) -> list[Block]:
             if tag in ("br", "hr"):
                 text(" ")
             continue
-        shut = _OPTIONAL.get(tag, frozenset()) | ({"p"} if tag in _CLOSES_P else frozenset())
-        for k in range(len(stack) - 1, -1, -1) if shut else ():
-            if stack[k][0] in shut:
-                del stack[k:]
-                break
-            if stack[k][0] in _HOLDS:
-                break
-        away, word = _is_away(tag, m[3])
-        if away or word:
+        shut = max((places[t][-1] for t in (*_OPTIONAL.get(tag, ()), *(("p",) if tag in _CLOSES_P else ())) if places.get(t)), default=0)
+        if shut and shut > (holds[-1] if holds else 0):
+            cut(shut)
+        top = stack[-1]
+        away, side = _kind(tag, m[3], top.article) if not top.away else (True, False)
+        block = tag in _BLOCK
+        path, element, mark = top.path, top.element, top.mark
+        if block and not away:
+            path = out.path(top.path, tag)
+            element = len(out.outer)
+            out.outer.append(top.element)
+            out.holder.append(element if tag not in _LEAVES else out.holder[top.element] if top.element >= 0 else -1)
+        if side:
             now = None
-        marked += word
-        stack.append((tag, away, marked if word else 0))
+            mark = len(out.marks)
+            out.marks.append(top.mark)
+            out.titled.append(False)
+        if away != top.away:
+            now = None
+        if tag in ("h1", "main", "article") and mark >= 0 and not away:
+            out.titled[mark] = True
+        k = len(stack)
+        places.setdefault(tag, []).append(k)
+        if tag in _HOLDS:
+            holds.append(k)
+        if block:
+            shut_blocks.append(k)
+        links += tag == "a"
+        stack.append(_Open(tag, path, element, mark, away, top.article or tag in ("article", "main")))
+    return out
+
+
+def _smooth(own: np.ndarray, weight: np.ndarray, leaf: np.ndarray, plain: np.ndarray, above: np.ndarray, n_paths: int) -> np.ndarray:
+    """The ratio of each leaf (in page order) by its neighbours and by the containers above it, whichever is more.
+
+    leaf: its path; weight: its text; plain: whether no mark weighs it down by half, as only such are neighbours. A container's ratio is the mean of the leaves right in it, by their text.
+    """
+    line = own.copy()
+    if plain.any():
+        line[plain] = np.convolve(np.pad(own[plain], 1, mode="edge"), np.full(3, 1 / 3), "valid")
+    mass, total = np.zeros(n_paths + 1), np.zeros(n_paths + 1)  # the last is the page itself
+    np.add.at(mass, above[leaf], weight)
+    np.add.at(total, above[leaf], weight * own)
+    ratio = np.full(n_paths + 1, np.nan)
+    if mass[-1]:
+        ratio[-1] = total[-1] / mass[-1]
+    for p in range(n_paths):  # containers come before what they hold
+        up = ratio[above[p]]
+        mine = total[p] / mass[p] if mass[p] else np.nan
+        ratio[p] = up if mine != mine else mine if up != up else (mine + UP * up) / (1 + UP)
+    up = ratio[above[leaf]]
+    return np.maximum(np.maximum(own, line), np.where(np.isnan(up), own, (own + UP * up) / (1 + UP)))
+
+
+def _add_up(values: np.ndarray, outer: list[int]) -> np.ndarray:
+    """The sum over each element and all inside it."""
+    out = values.copy()
+    for k in range(len(outer) - 1, -1, -1):
+        if outer[k] >= 0:
+            out[outer[k]] += out[k]
     return out
 
 
 def main_text(page: str | None) -> str:
     """The main text of one page: its content blocks, white space made one space, joined by an empty line."""
-    found = blocks(page or "")
-    shown = [(b, t) for b in found if not b.away and (t := _SPACE.sub(" ", "".join(b.text)).strip())]
-    held: dict[int, int] = {}
-    titled: set[int] = set()
-    for b, t in shown:
-        for w in b.words:
-            held[w] = held.get(w, 0) + len(t)
-        if b.title:
-            titled.update(b.words)
-    everything = sum(len(t) for _, t in shown)
-    away = {w for w, n in held.items() if w not in titled or n < MOST * everything}
-    # A page with all its text behind such words has no other: its paths decide.
-    shown = [(b, t) for b, t in shown if away.isdisjoint(b.words)] or shown
+    found = parse(page or "")
+    shown = [(b, t) for b in found.blocks if (t := _SPACE.sub(" ", "".join(b.text)).strip())]
     if not shown:
         return ""
-    said = [(b.article, len(t) - min(b.link, len(t))) for b, t in shown]
-    inside = sum(n for article, n in said if article)
-    whole = any(article for article, _ in said) and inside >= MOST * sum(n for _, n in said)
-    order: dict[tuple[str, ...], int] = {}
-    for b, _ in shown:
-        order.setdefault(b.path, len(order))
-    sums = np.zeros((len(order), 4))
-    for b, t in shown:
-        sums[order[b.path]] += (1, len(t), len(_PUNCTUATION.findall(t)), min(b.link, len(t)))
-    length = (sums[:, 1] - sums[:, 3]) / sums[:, 0]
-    marks = sums[:, 2] / sums[:, 0]
-    kernel = np.ones(2 * SMOOTH + 1) / (2 * SMOOTH + 1)
-
-    def smooth(x: np.ndarray) -> np.ndarray:
-        return np.maximum(x, np.convolve(np.pad(x, SMOOTH, mode="edge"), kernel, "valid")) if len(x) > 2 else x
-
-    fused = smooth(length) * (1 + smooth(marks))
-    mean = (fused * sums[:, 1]).sum() / max(sums[:, 1].sum(), 1)
-    if whole:  # the mark-up says where the article is: its short paths count as its mean ones, others not at all
-        inside = np.array(["article" in path for path in order])
-        fused = np.where(inside, np.maximum(fused, mean), 0.0)
-    content = (fused >= THRESHOLD * mean) & (fused > 0) & (sums[:, 3] < 0.5 * sums[:, 1])
-    return "\n\n".join(t for b, t in shown if content[order[b.path]])
+    size = np.array([len(t) for _, t in shown], float)
+    link = np.minimum([b.link for b, _ in shown], size)
+    punctuation = np.array([len(_PUNCTUATION.findall(t)) for _, t in shown], float)
+    element = np.array([b.element for b, _ in shown])
+    # Marks: text of each marked element, and what weight that leaves its text.
+    marked = np.ones(len(shown))
+    if found.marks:
+        mark = np.array([b.mark for b, _ in shown])
+        held, titled = np.zeros(len(found.marks)), found.titled[:]
+        np.add.at(held, mark[mark >= 0], size[mark >= 0])
+        held = _add_up(held, found.marks) / size.sum()
+        factor = np.ones(len(found.marks) + 1)
+        for k in range(len(found.marks) - 1, -1, -1):
+            if titled[k] and found.marks[k] >= 0:
+                titled[found.marks[k]] = True
+        for k, outer in enumerate(found.marks):
+            factor[k] = factor[outer] * held[k] ** (1 if titled[k] else MARK_POWER)
+        marked = factor[mark]
+    inside = np.array([b.article for b, _ in shown])
+    said = size - link
+    weight = marked
+    if inside.any() and said[inside].sum() >= MOST * said.sum():
+        weight = np.where(inside, marked, OUTSIDE * marked)
+    # Paths: marked text has its own, so that neither sways the other.
+    order: dict[tuple[int, int], int] = {}
+    at = np.array([order.setdefault((b.path, b.mark), len(order)) for b, _ in shown])
+    nodes, length, marks, linked = (np.bincount(at, x, len(order)) for x in (np.ones(len(shown)), size, punctuation, link))
+    leaf, plain = np.array([p for p, _ in order], int), np.ones(len(order), bool)
+    plain[at] = marked >= 0.5
+    above = np.append(np.array(found.above, int), -1)
+    n_paths = len(found.above)
+    smooth = (_smooth(x / nodes, length, leaf, plain, above, n_paths) for x in (length - linked, marks))
+    fused = next(smooth) * (1 + next(smooth))
+    score = fused[at] * weight
+    mean = (score * size).sum() / size.sum()
+    text_like = (linked < 0.5 * length)[at] & (score > 0)
+    high = text_like & (score >= HIGH * mean)
+    content = high
+    if high.any() and len(found.outer):
+        mass = np.zeros(len(found.outer) + 1)
+        np.add.at(mass, np.append(np.array(found.holder, int), -1)[element[high]], size[high])
+        root = _root(_add_up(mass[:-1], found.outer), found.outer, ROOT * size[high].sum())
+        under = np.zeros(len(found.outer) + 1, bool)
+        for k, outer in enumerate(found.outer):
+            under[k] = k == root or under[outer] or root < 0
+        under[-1] = root < 0
+        content = high | text_like & under[element] & (score >= LOW * mean)
+    return "\n\n".join(t for (_, t), c in zip(shown, content.tolist(), strict=True) if c)
+
+
+def _root(held: np.ndarray, outer: list[int], least: float) -> int:
+    """The innermost element that holds at least so much; -1, the page, if none does."""
+    enough = np.flatnonzero(held >= least)
+    return int(enough[-1]) if len(enough) else -1
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
