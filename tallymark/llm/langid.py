@@ -11,6 +11,7 @@ softmax. The fitted table (buckets times languages) goes to the tasks that score
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -24,7 +25,7 @@ from tallymark.llm._common import map_slices, text_columns, utf8
 FEATURES = 1 << 15
 NGRAMS = 3
 #: Labelled rows that the weights are fitted on, at most.
-SAMPLE = 6000
+SAMPLE = 4000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
 UNKNOWN = "und"
@@ -40,26 +41,36 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def counts(text: bytes) -> np.ndarray | None:
-    """How often each bucket's n-grams occur in a text (UTF-8); None if it has no letters."""
-    total = None
+def counts(text: bytes, block: int = BLOCK) -> np.ndarray | None:
+    """How often each bucket's n-grams occur in a text (UTF-8), the same for any ``block``; None if it has no letters."""
     lowered = text.decode("utf-8", "replace").lower()
-    for at in range(0, len(lowered), BLOCK):
-        points = np.frombuffer(lowered[max(0, at - NGRAMS + 1) * (at > 0) : at + BLOCK].encode("utf-32-le"), np.uint32)
+    total, any_letter = np.zeros(FEATURES, np.int64), False
+    seen = np.full(1, 32, np.uint64)  # the last characters of the text so far, which begins with a space
+    for at in range(0, len(lowered), block):
+        points = np.frombuffer(lowered[at : at + block].encode("utf-32-le", "replace"), np.uint32)
         letter = _letters()[points]
-        if not letter.any():
-            continue
+        any_letter |= bool(letter.any())
         points = np.where(letter, points, 32).astype(np.uint64)
-        points = np.concatenate(([32], points[np.concatenate(([True], letter[1:] | letter[:-1]))], [32])).astype(np.uint64)
-        if total is None:
-            total = np.zeros(FEATURES, np.int64)
-        key = points
-        for n in range(NGRAMS):
-            if n:
-                key = (key[:-1] << np.uint64(21)) | points[n:]
-            hashed = (key * np.uint64(_MIX[n])) >> np.uint64(64 - 15)
-            total += np.bincount(hashed.astype(np.int64), minlength=FEATURES)
-    return total
+        before = np.concatenate((seen[-1:], points[:-1]))
+        seen = _add_grams(seen, points[(points != 32) | (before != 32)], total)
+    if seen[-1] != 32:
+        _add_grams(seen, np.full(1, 32, np.uint64), total)
+    return total if any_letter else None
+
+
+def _add_grams(seen: np.ndarray, new: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Count the n-grams that end in ``new``, which follows ``seen``; returns the characters that the next ones need."""
+    line, old = np.concatenate((seen, new)), len(seen)
+    for n in range(NGRAMS):
+        first = max(old, n)  # of the last characters of the n-grams
+        if first >= len(line):
+            continue
+        key = line[first - n : len(line) - n]
+        for k in range(n - 1, -1, -1):
+            key = (key << np.uint64(21)) | line[first - k : len(line) - k]
+        hashed = (key * np.uint64(_MIX[n])) >> np.uint64(64 - 15)
+        total += np.bincount(hashed.astype(np.int64), minlength=FEATURES)
+    return line[-(NGRAMS - 1) :]
 
 
 def vector(found: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +93,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: in
     for _ in range(epochs):
         for k in order.permutation(len(rows)):
             at, value, label = rows[k]
-            at, value = np.append(at, FEATURES), np.append(value, 1.0)
+            at, value = np.append(at.astype(np.int64), FEATURES), np.append(value.astype(float), 1.0)
             w = weights(at)
             score = value @ w
             p = np.exp(score - score.max())
@@ -105,27 +116,27 @@ def calibrate(scores: np.ndarray, labels: np.ndarray) -> float:
     return min(np.geomspace(0.05, 20, 241).tolist(), key=loss) if len(labels) else 1.0
 
 
-def _document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many of the rows each bucket occurs, and how many rows there are with letters."""
+def _document_frequencies(rows: DataFrame) -> tuple[np.ndarray, dict[str, int]]:
+    """In how many of the rows each bucket occurs, and how many rows with letters each language has; one pass over the rows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = np.zeros(FEATURES, np.int64), 0
+        seen, sizes = np.zeros(FEATURES, np.int64), Counter()
         for b in batches:
-            for text in utf8(b.column("text")):
+            for text, lang in zip(utf8(b.column("text")), b.column("lang").to_pylist(), strict=True):
                 if (found := counts(text)) is not None:
                     seen += found > 0
-                    n += 1
+                    sizes[lang] += 1
         at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, FEATURES), pa.int32()), pa.array(np.append(seen[at], n), pa.int64())], ["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), *[-1] * len(sizes)], pa.int32()), pa.array([*[None] * len(at), *sizes], pa.string()), pa.array([*seen[at].tolist(), *sizes.values()], pa.int64())], ["bucket", "lang", "n"])
 
-    summed = map_slices(rows.select("text"), work, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    df, n = np.zeros(FEATURES, np.int64), 0
-    for r in summed.collect():  # at most FEATURES + 1 rows
-        if r.bucket == FEATURES:
-            n = r.n
+    summed = map_slices(rows.select("text", "lang"), work, "bucket int, lang string, n long").groupBy("bucket", "lang").agg(F.sum("n").alias("n"))
+    df, sizes = np.zeros(FEATURES, np.int64), {}
+    for r in summed.collect():  # a row for each bucket and each language
+        if r.bucket < 0:
+            sizes[r.lang] = r.n
         else:
             df[r.bucket] = r.n
-    return df, n
+    return df, sizes
 
 
 class Model:
@@ -144,40 +155,41 @@ class Model:
 
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from rows (doc_id, text, lang) whose lang is not null."""
-    df, n = _document_frequencies(rows)
+    """A model from rows (doc_id, text, lang) whose lang is not null; the rows are read twice, whatever the languages.
+
+    The sample takes about as many rows of each language, those of least hash. Its vectors come to the
+    driver, at most 4 * FEATURES bytes each.
+    """
+    df, sizes = _document_frequencies(rows)
+    n, languages = sum(sizes.values()), sorted(sizes)
     idf = np.log((1 + n) / (1 + df)) + 1
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
-    languages = sorted(sizes)
-    if not languages or not n:
+    if not languages:
         return Model([], idf, np.zeros((FEATURES + 1, 0)), 1.0)
     share = max(2, sample // len(languages))
-    # The rows of smallest hash, about as many for each language; a little more is let through and then cut.
-    lot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    chosen = [rows.filter(F.col("lang") == s).filter(lot < int((1 << 30) * min(1.0, 1.2 * share / sizes[s] + 1e-3))).orderBy(lot, "doc_id").limit(share) for s in languages]
-    chosen = _union(chosen).repartition(max(1, min(64, sample // 250)))
+    # Below this hash a language has its share of rows and some more, which are cut off below.
+    limits = rows.sparkSession.createDataFrame([(s, int((1 << 30) * min(1.0, 1.2 * share / sizes[s] + 1e-3))) for s in languages], "lang string, most long")
+    chosen = rows.withColumn("lot", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))).join(limits, "lang").filter("lot < most")
+    chosen = chosen.repartition(max(1, min(64, sample // 250)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(lang, *vector(found, idf)) for text, lang in zip(utf8(b.column("text")), b.column("lang").to_pylist(), strict=True) if (found := counts(text)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1].astype(np.int32).tobytes() for x in out], pa.binary()), pa.array([x[2].astype(np.float32).tobytes() for x in out], pa.binary())], ["lang", "at", "value"])
+            out = [(lang, lot, *vector(found, idf)) for text, lang, lot in zip(utf8(b.column("text")), b.column("lang").to_pylist(), b.column("lot").to_pylist(), strict=True) if (found := counts(text)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2].astype("<u2").tobytes() for x in out], pa.binary()), pa.array([x[3].astype("<f2").tobytes() for x in out], pa.binary())], ["lang", "lot", "at", "value"])
 
     number = {s: k for k, s in enumerate(languages)}
-    found = [(np.frombuffer(r.at, np.int32), np.frombuffer(r.value, np.float32).astype(float), number[r.lang]) for r in map_slices(chosen.select("text", "lang"), work, "lang string, at binary, value binary").collect()]
-    found.sort(key=lambda r: (r[2], r[1].tobytes()))
-    back = [r for k, r in enumerate(found) if k % 10 == 9]
-    weights = fit([r for k, r in enumerate(found) if k % 10 != 9], len(languages))
-    scores = np.array([v @ weights[at] + weights[FEATURES] for at, v, _ in back])
+    found = [(number[r.lang], r.lot, np.frombuffer(r.at, "<u2"), np.frombuffer(r.value, "<f2")) for r in map_slices(chosen.select("text", "lang", "lot"), work, "lang string, lot long, at binary, value binary").collect()]
+    found.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
+    taken, kept = Counter(), []
+    for label, _, at, value in found:
+        taken[label] += 1
+        if taken[label] <= share:
+            kept.append((at, value, label))
+    back = [r for k, r in enumerate(kept) if k % 10 == 9]
+    weights = fit([r for k, r in enumerate(kept) if k % 10 != 9], len(languages))
+    scores = np.array([v.astype(float) @ weights[at] + weights[FEATURES] for at, v, _ in back])
     return Model(languages, idf, weights, calibrate(scores, np.array([r[2] for r in back], int)))
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
 def held_out(id_col: Column) -> Column:
     """Whether crc32 of the id as text is 2 modulo 4; a null id is not held out, and not learned from."""
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string")), F.lit(4)) == 2, F.lit(False))
@@ -187,9 +199,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """doc_id, held_out, lang_pred, score: one row for each row of ``docs``.
 
     Learns from the text and the non-null lang of rows that are not held out. A null text, or one
-    without letters, is ``und`` with score 0; so are all rows where there is nothing to learn from.
+    without letters, is ``und`` with score 0; so are all rows where there is nothing to learn from,
+    as in a table without the column ``lang_col``.
     """
-    rows = text_columns(docs, id_col, text_col, F.col(f"`{lang_col}`").cast("string").alias("lang"))
+    lang = F.col(f"`{lang_col}`") if lang_col in docs.columns else F.lit(None)
+    rows = text_columns(docs, id_col, text_col, lang.cast("string").alias("lang"))
     model = train(rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))), sample)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x languages numbers
 
