@@ -9,6 +9,7 @@ longest wins; at the same length the longer host, then a blocking rule.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,9 +53,12 @@ def judge(urls: DataFrame, rules: DataFrame, keep: tuple[str, ...] = ("page_id",
     shapes = [tuple(r) for r in known.select("labels", "size").distinct().collect()]
     base = urls.select(*[F.col(f"`{c}`") for c in keep], host_of(F.col(f"`{url_col}`")).alias("host"), path_of(F.col(f"`{url_col}`")).alias("path"))
     labels = F.split("host", r"\.")
-    made = [F.when((F.size(labels) >= k) & (F.char_length("path") >= n), F.concat(F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - k + 1), F.lit(k)), "."), F.substring("path", 1, n))) for k, n in shapes]
+    # One expression whatever the rules: the shapes are a literal list.
+    listed = F.from_json(F.lit(json.dumps([{"k": k, "n": n} for k, n in shapes])), "array<struct<k: int, n: int>>")
+    fitting = F.filter(listed, lambda s: (F.size(labels) >= s["k"]) & (F.char_length("path") >= s["n"]))
+    made = F.transform(fitting, lambda s: F.concat(F.array_join(F.slice(labels, F.size(labels) - s["k"] + 1, s["k"]), "."), F.substring(F.col("path"), F.lit(1), s["n"])))
     best = F.struct(F.char_length("rule").alias("size"), F.col("host_size"), (F.col("verdict") == "block").alias("block"), "rule", "verdict")
-    fit = base.withColumn("expression", F.explode(F.array_compact(F.array(*made) if made else F.array().cast("array<string>"))))
+    fit = base.withColumn("expression", F.explode(made))
     fit = fit.withColumn("digest", F.sha2("expression", 256)).withColumn("prefix", F.substring("digest", 1, PREFIX_HEX))
     fit = fit.join(known, "prefix").filter(F.col("digest") == F.col("rule_digest")).select(*keep, "host", "path", best.alias("best"), F.lit(0).cast("long").alias("n"))
     none = base.select("*", F.lit(None).cast(fit.schema["best"].dataType).alias("best"), F.lit(1).cast("long").alias("n"))
