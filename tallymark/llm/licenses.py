@@ -91,11 +91,12 @@ KNOWN = (
 
 
 def canonical(text: Column) -> Column:
-    """The canonical form, between two spaces; empty if no letter or digit is left."""
-    out = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.regexp_replace(text, COPYRIGHT_LINE, " ")), NO_WORD, " "), F.lit(" "))
+    """The canonical form; empty if no letter or digit is left."""
+    # Two spaces between words, so that every word has its own on either side and equal neighbours are all replaced.
+    out = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.regexp_replace(text, COPYRIGHT_LINE, " ")), NO_WORD, "  "), F.lit(" "))
     for was, now in EQUIVALENT:
-        out = F.replace(out, F.lit(f" {was} "), F.lit(f" {now} "))
-    return F.trim(out)
+        out = F.replace(out, F.lit(f" {was.replace(' ', '  ')} "), F.lit(f" {now.replace(' ', '  ')} "))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
 def known_table(spark: SparkSession, known: Iterable[tuple[str, str]] = KNOWN) -> DataFrame:
@@ -123,10 +124,10 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _sql_form(text: str) -> str:
-    out = f"' ' || regexp_replace(lower(regexp_replace({text}, '{COPYRIGHT_LINE}', ' ', 'g')), '{NO_WORD}', ' ', 'g') || ' '"
+    out = f"' ' || regexp_replace(lower(regexp_replace({text}, '{COPYRIGHT_LINE}', ' ', 'g')), '{NO_WORD}', '  ', 'g') || ' '"
     for was, now in EQUIVALENT:
-        out = f"replace({out}, ' {was} ', ' {now} ')"
-    return f"trim({out})"
+        out = f"replace({out}, ' {was.replace(' ', '  ')} ', ' {now.replace(' ', '  ')} ')"
+    return f"trim(replace({out}, '  ', ' '))"
 
 
 SQL = f"""
