@@ -12,6 +12,7 @@ EM runs over that table, so its cost does not depend on the number of documents.
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,15 +20,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
-from tallymark.llm._common import durable, keep_rows, map_slices, text_columns, utf8
+from tallymark.llm._common import durable, fresh, map_slices, text_columns, utf8
 
 MIN_WORDS = 10
 MAX_REPEAT = 0.2
 THRESHOLD = 0.5
 REPEAT_WINDOW = 5
 GOOD, BAD, ABSTAIN = 0, 1, 2
-EM_ROUNDS = 200
+#: Beyond these ``fit`` warns and takes the posteriors as they are; it settles in some dozens.
+EM_ROUNDS = 2000
 
 _SYMBOLS = b"#*$%&|<>"
 _RUNS = re.compile(rb"[#*$%&|<>]+")
@@ -143,6 +146,8 @@ def fit(counts: dict[int, int]) -> dict[int, float]:
         chance = np.einsum("cp,prv->crv", both, one_hot) + hold * start
         chance /= chance.sum(2, keepdims=True)
         prior = (both.sum(1) + hold * np.array([0.8, 0.2])) / (weight.sum() + hold)
+    else:
+        warnings.warn(f"EM stopped after {EM_ROUNDS} rounds; posteriors still moved by {np.abs(good - before).max():.1e}", stacklevel=2)
     return dict(zip(patterns.tolist(), good.tolist(), strict=True))
 
 
@@ -162,10 +167,20 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``judge`` keeps."""
-    found = posteriors(measure(docs.withColumn("_none", F.lit(0)).select(F.col("_none").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))))
+    """The rows of ``docs``, all columns, that ``judge`` keeps.
 
-    def decide(texts: list[bytes]) -> list[bool]:
-        return [not base_failed(s) and found.get(pattern_of(votes(s)), 0.0) >= threshold for s in map(stats, texts)]
+    Each text is measured once: the rows go to a checkpoint with their pattern, as the model needs all patterns first.
+    """
+    failed, pattern = fresh(docs, "failed"), fresh(docs, "pattern")
+    schema = StructType([*docs.schema.fields, StructField(failed, BooleanType()), StructField(pattern, IntegerType())])
 
-    return keep_rows(docs, decide, text_col)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [stats(x) for x in utf8(b.column(text_col))]
+            more = [pa.array([base_failed(s) for s in found], pa.bool_()), pa.array([pattern_of(votes(s)) if s[0] else -1 for s in found], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, failed, pattern])
+
+    measured = durable(map_slices(docs, work, schema))
+    found = fit({r[pattern]: r["count"] for r in measured.filter(F.col(pattern) >= 0).groupBy(pattern).count().collect()})
+    good = [p for p, chance in found.items() if chance >= threshold]  # at most 3 to the power of the rules
+    return measured.filter(~F.col(failed) & F.col(pattern).isin(good)).select(*[F.col(f"`{c}`") for c in docs.columns])
