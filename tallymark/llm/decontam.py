@@ -97,12 +97,13 @@ def spans_of(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str | None, str | None]]]:
-    items = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("item_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list[tuple[str | None, str | None]], bool]]:
+    """The different items in blocks of about BLOCK_BYTES, and whether each is the last; only one at a time is on the driver."""
+    items = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("item_id"), F.col(f"`{text_col}`").cast("string").alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / BLOCK_BYTES))
     for k in range(n):
-        yield [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
+        yield [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()], k == n - 1
 
 
 _STATE = "doc_id long, text string, n_words long, spans array<struct<first: long, last: long>>, items array<string>"
@@ -116,10 +117,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     null text, match nothing; an item with a null id still marks its words but is not listed.
     """
     state = text_columns(docs, id_col, text_col, F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<first: bigint, last: bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    blocks = list(_blocks(benchmark, item_col, item_text_col))
-    for k, block in enumerate(blocks):
+    for block, last in _blocks(benchmark, item_col, item_text_col):
 
-        def work(batches: Iterator[pa.RecordBatch], block=block, last=k == len(blocks) - 1) -> Iterator[pa.RecordBatch]:
+        def work(batches: Iterator[pa.RecordBatch], block=block, last=last) -> Iterator[pa.RecordBatch]:
             found = searchers(block, window_words)
             for b in batches:
                 counts, spans, items = [], [], []
@@ -135,7 +135,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), text, pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "spans", "items"])
 
         state = map_slices(state, work, _STATE)
-        if k < len(blocks) - 1:
+        if not last:  # so that no plan holds more than one block
             state = durable(state)
     return state.drop("text")
 
@@ -147,8 +147,8 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window_words: int = WINDOW_WORDS) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no window of the benchmark occurs."""
-    for block in _blocks(benchmark, "item_id", "text"):
+    """The rows of ``docs``, all columns, in which no window of the benchmark occurs. A null text has no words, so its row stays."""
+    for block, last in _blocks(benchmark, "item_id", "text"):
 
         def decide(texts: list[bytes], found: list[list[WuManber]] = [], block=block) -> list[bool]:  # noqa: B006  one table a worker
             if not found:
@@ -156,6 +156,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
             return [next((True for s in found[0] for _ in s.search(words)), False) is False for words in map(words_of, texts)]
 
         docs = keep_rows(docs, decide, text_col)
+        if not last:
+            docs = durable(docs)
     return docs
 
 
