@@ -51,7 +51,6 @@ def test_packing_keeps_every_id_once(spark, edges, prose):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     docs = spark.createDataFrame([(100 + k, prose(5 * k) + " <|endoftext|> 123  \n x", "en", f"s{k % 3}", 0) for k in range(60)], DOCS).unionByName(edges.filter("doc_id <> 4"))
     rows, pieces = packing.pack(docs).collect(), collections.defaultdict(list)
     for r in rows:
