@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,21 +34,38 @@ def fixed_two(number: Column) -> Column:
     return let(let(number, rounded), shown)
 
 
+#: Numbers that the texts name, and those shown as a percentage.
+_NUMBERS, _PERCENT = ("found", "expected", "delta", "tolerance", "distance"), ("similarity", "ai_confidence")
+
+
 def explanation(kind: Column, detail: Column) -> Column:
-    """The fixed text of an outcome with its numbers. detail: a struct of the numbers that the texts name."""
-    names = {"characters": F.when(detail["distance"] == 1, "character").otherwise("characters"), "drink": F.when(detail["beverage"] == "wine", "wine").when(detail["beverage"] == "distilled-spirits", "distilled spirits").otherwise("this beverage class"), "section": F.when(detail["beverage"] == "wine", "§ 4.72").otherwise("§ 5.203")}
-
-    def part(text: str) -> Column:
-        if not text.startswith("{"):
-            return F.lit(text)
-        name, _, percent = text[1:-1].partition("|")
-        if name in names:
-            return names[name]
-        value = detail[name].cast("double")
-        return exact_text(F.coalesce(value, F.lit(0.0)) * 100 if percent else value)
-
-    made = [F.when(kind == k, F.concat(*[part(p) for p in re.split(r"(\{[^}]*\})", text) if p])) for k, text in fixed.EXPLANATIONS.items()]
-    return F.coalesce(*made)
+    """The fixed text of an outcome with its numbers. detail: a struct of the numbers that the texts name, and the beverage.
+
+    The text is looked up by kind and its places filled in turn, so the expression does not grow with the texts.
+    """
+    texts = F.expr("map(" + ", ".join(f"{_quoted(k)}, {_quoted(t)}" for k, t in fixed.EXPLANATIONS.items()) + ")")
+    values = [*[detail[n].cast("double") for n in _NUMBERS], *[F.coalesce(detail[n].cast("double"), F.lit(0.0)) * 100 for n in _PERCENT]]
+    places = [*[f"{{{n}}}" for n in _NUMBERS], *[f"{{{n}|%}}" for n in _PERCENT]]
+    shown = F.transform(F.array(*values), exact_text)
+    characters = F.when(detail["distance"] == 1, "character").otherwise("characters")
+    drink = F.when(detail["beverage"] == "wine", "wine").when(detail["beverage"] == "distilled-spirits", "distilled spirits").otherwise("this beverage class")
+    section = F.when(detail["beverage"] == "wine", "§ 4.72").otherwise("§ 5.203")
+    named = {"{characters}": characters, "{drink}": drink, "{section}": section}
+
+    def filled(numbers: Column) -> Column:
+        out = F.element_at(texts, kind)
+        for k, place in enumerate(places):
+            out = F.replace(out, F.lit(place), numbers[k])
+        for place, value in named.items():
+            out = F.replace(out, F.lit(place), value)
+        return out
+
+    return let(shown, filled)
+
+
+def _quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def suggested_action(status: Column, poor: Column, validated: Column) -> Column:

@@ -75,36 +75,43 @@ def similarity(a: Column, b: Column) -> Column:
 _CLEAN = {"text": lambda a, b: (a, b), "address": lambda a, b: (normalize_address(a), normalize_address(b)), "origin": lambda a, b: (strip_origin(a), b)}
 
 
-def match_ladders(df: DataFrame, matches: dict[str, tuple[Column, Column, str]]) -> DataFrame:
-    """``df`` with name_result and name_similarity for each match (extracted, expected, kind).
+def ladder_layers(matches: dict[str, tuple[Column, Column, str]]) -> list[dict[str, Column]]:
+    """The columns that lead to name_result and name_similarity for each match (extracted, expected, kind), layer by layer.
 
     Kinds are text, address (postal codes and state names dealt with) and origin (leading
     phrases dropped, names of the United States alike). A result of ``gray`` is for a judge, or
     else a reviewer. The steps are columns of their own, so that no expression is made twice and
     the similarities of all matches are asked for in one go.
     """
-    kept = df.columns
     cleaned = {n: _CLEAN[kind](a, b) for n, (a, b, kind) in matches.items()}
-    df = df.withColumns({f"_{n}_a": c[0] for n, c in cleaned.items()} | {f"_{n}_b": c[1] for n, c in cleaned.items()})
-    df = df.withColumns({f"_{n}_l": normal(F.col(f"_{n}_a"), "ladder") for n in matches} | {f"_{n}_r": normal(F.col(f"_{n}_b"), "ladder") for n in matches})
+    layers = [{f"_{n}_a": c[0] for n, c in cleaned.items()} | {f"_{n}_b": c[1] for n, c in cleaned.items()}]
+    layers.append({f"_{n}_l": normal(F.col(f"_{n}_a"), "ladder") for n in matches} | {f"_{n}_r": normal(F.col(f"_{n}_b"), "ladder") for n in matches})
 
     def decided(n: str) -> Column:
         a, b, left, right = (F.col(f"_{n}_{k}") for k in "ablr")
+        out = F.when(a.isNull(), "missing")
         if matches[n][2] == "origin":
-            both = (left.isin(*fixed.US_ALIASES)) & (right.isin(*fixed.US_ALIASES))
-            return F.when(a.isNull(), "missing").when(both, "pass-normalised").when(a == b, "pass").when(left == right, "pass-normalised")
-        return F.when(a.isNull(), "missing").when(a == b, "pass").when(left == right, "pass-normalised")
+            out = out.when(left.isin(*fixed.US_ALIASES) & right.isin(*fixed.US_ALIASES), "pass-normalised")
+        return out.when(a == b, "pass").when(left == right, "pass-normalised")
 
-    df = df.withColumns({f"_{n}_d": decided(n) for n in matches})
-    df = df.withColumns({f"_{n}_{k}": F.when(F.col(f"_{n}_d").isNull(), F.col(f"_{n}_{k}")) for n in matches for k in "lr"})
-    df = df.withColumns({f"_{n}_s": _similarity(F.col(f"_{n}_l"), F.col(f"_{n}_r")) for n in matches})
+    layers.append({f"_{n}_d": decided(n) for n in matches})
+    layers.append({f"_{n}_{k}": F.when(F.col(f"_{n}_d").isNull(), F.col(f"_{n}_{k}")) for n in matches for k in "lr"})
+    layers.append({f"_{n}_s": _similarity(F.col(f"_{n}_l"), F.col(f"_{n}_r")) for n in matches})
 
     def result(n: str) -> Column:
         near = F.col(f"_{n}_s")
         return F.coalesce(F.col(f"_{n}_d"), F.when(near >= fixed.LIKELY, "likely-match").when(near < fixed.UNLIKELY, "fail").otherwise("gray"))
 
     shown = {n: F.when(F.col(f"_{n}_d") == "missing", 0.0).when(F.col(f"_{n}_d").isNotNull(), 1.0).otherwise(F.col(f"_{n}_s")) for n in matches}
-    df = df.withColumns({f"{n}_result": result(n) for n in matches} | {f"{n}_similarity": shown[n] for n in matches})
+    layers.append({f"{n}_result": result(n) for n in matches} | {f"{n}_similarity": shown[n] for n in matches})
+    return layers
+
+
+def match_ladders(df: DataFrame, matches: dict[str, tuple[Column, Column, str]]) -> DataFrame:
+    """``df`` with the results of ``ladder_layers``."""
+    kept = df.columns
+    for layer in ladder_layers(matches):
+        df = df.withColumns(layer)
     return df.select(*kept, *[f"{n}_{k}" for n in matches for k in ("result", "similarity")])
 
 

@@ -10,6 +10,7 @@ from tallymark.functions.text import trim
 
 
 def _first_number(text: Column, pattern: str) -> Column:
+    """The first group of the first match as a number."""
     return F.nullif(F.regexp_extract(text, f"(?i){pattern}", 1), F.lit("")).try_cast("double")
 
 
@@ -42,8 +43,8 @@ def check_abv(parsed: Column, expected: Column, beverage: Column) -> Column:
 def parse_volume(text: Column) -> Column:
     """The first volume of a text in millilitres; null without one above zero of a known unit."""
     text = trim(text)
-    amount = _first_number(text, fixed.VOLUME_AMOUNT_PATTERN)
-    unit = F.regexp_replace(F.lower(F.regexp_extract(text, f"(?i){fixed.VOLUME_UNIT_PATTERN}", 1)), r"\s+", " ")
+    amount = _first_number(text, fixed.VOLUME_PATTERN)
+    unit = F.regexp_replace(F.lower(F.regexp_extract(text, f"(?i){fixed.VOLUME_PATTERN}", 2)), r"\s+", " ")
     factor = F.create_map(*[F.lit(x) for name, ml in fixed.ML_PER_UNIT.items() for x in (name, float(ml))])[unit]
     return F.when(amount > 0, amount * factor)
 

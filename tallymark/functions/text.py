@@ -17,13 +17,16 @@ from pyspark.sql.types import StringType
 from tallymark.functions import fixed
 
 _SPACE = r"[\s   -     　﻿]"
-_FOLDS = ((r"[‘’‚‛′]", "'"), (r"[“”„‟″]", '"'), (r"[–—‐‑‒−]", "-"), ("…", "..."), (r"[  ]", " "))
+_SINGLE = {mark: to for to, marks in fixed.FOLDED_MARKS.items() if len(to) == 1 for mark in marks}
 
 
 def _fold(text: Column, zero_width: bool) -> Column:
-    for pattern, to in _FOLDS:
-        text = F.regexp_replace(text, pattern, to)
-    return F.regexp_replace(text, r"[​‌‍﻿]", "") if zero_width else text
+    """Marks of print as plain ones: one pass for those that become one character or none."""
+    text = F.translate(text, "".join(_SINGLE) + (fixed.ZERO_WIDTH if zero_width else ""), "".join(_SINGLE.values()))
+    for to, marks in fixed.FOLDED_MARKS.items():
+        for mark in marks if len(to) > 1 else "":
+            text = F.replace(text, F.lit(mark), F.lit(to))
+    return text
 
 
 #: Set between parts of a text; one that was there before becomes a blank.
@@ -188,8 +191,10 @@ def function_phrase(ocr: Column, evidence: Column) -> Column:
 
 def quality_flags(notes: Column) -> Column:
     """The flags that notes on an image give, in order, each once."""
-    text = F.coalesce(notes, F.lit(""))
-    return F.array_distinct(F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), F.lit(flag)) for p, flag in fixed.QUALITY_PATTERNS])))
+    text = F.lower(F.coalesce(notes, F.lit("")))
+    hand = rf"|(?:{'|'.join(fixed.HAND_WORDS)})\s+(?:{'|'.join(fixed.HAND_COVERS)})"
+    found = [F.when(text.rlike(rf"\b(?:{'|'.join(words)}{hand if flag == 'obstruction' else ''})\b"), F.lit(flag)) for flag, words in fixed.QUALITY_WORDS.items()]
+    return F.array_compact(F.array(*found))
 
 
 def filename_key(name: Column) -> Column:

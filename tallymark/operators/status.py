@@ -10,20 +10,17 @@ from tallymark.functions import fixed
 
 def requirement(beverage: Column, field: str, expected_abv: Column, imported: Column, flavours: Column | None = None) -> Column:
     """required, optional or not-applicable, for one field."""
-    k = fixed.FIELDS.index(field)
     if field == "abv":
         asked = F.when(beverage == "wine", expected_abv > 14).when(beverage == "malt-beverage", flavours if flavours is not None else F.lit(False))
     else:
         asked = imported if field == "countryOfOrigin" else F.lit(False)
     resolved = F.when(F.coalesce(asked, F.lit(False)), "required").otherwise("optional")
-    kinds = {"R": F.lit("required"), "N": F.lit("not-applicable"), "C": resolved}
-    return F.coalesce(*[F.when(beverage == b, kinds[row[k]]) for b, row in fixed.REQUIREMENTS.items()])
+    return F.coalesce(*[F.when(beverage == b, resolved if row[field] == "conditional" else F.lit(row[field])) for b, row in fixed.REQUIREMENTS.items()])
 
 
 def requirement_table(spark: SparkSession) -> DataFrame:
     """beverage, field, base: the 32 rows."""
-    names = {"R": "required", "C": "conditional", "N": "not-applicable"}
-    rows = [(b, f, names[row[k]]) for b, row in fixed.REQUIREMENTS.items() for k, f in enumerate(fixed.FIELDS)]
+    rows = [(b, f, base) for b, row in fixed.REQUIREMENTS.items() for f, base in row.items()]
     return spark.createDataFrame(rows, "beverage string, field string, base string")
 
 

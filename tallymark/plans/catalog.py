@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import explain, fixed, fuzzy, strict, text
 from tallymark.operators import evaluate, judge, locate, pairing, quality, redline, review, status
-from tallymark.plans.verify import verify_labels
+from tallymark.plans.verify import spread, verify_labels
 from tallymark.plans.views import frame, over, with_views
 from tallymark.sources import expected as sources
 from tallymark.sources import exports
@@ -167,8 +167,8 @@ def check_abv(spark: SparkSession, d: str) -> DataFrame:
 
 def _ml_sql(column: str) -> str:
     value = f"trim(coalesce({column}, ''))"
-    amount = rf"TRY_CAST(nullif(regexp_extract({value}, '{fixed.VOLUME_AMOUNT_PATTERN}', 1, 'i'), '') AS DOUBLE)"
-    unit = rf"regexp_replace(lower(regexp_extract({value}, '{fixed.VOLUME_UNIT_PATTERN}', 1, 'i')), '\s+', ' ', 'g')"
+    amount = rf"TRY_CAST(nullif(regexp_extract({value}, '{fixed.VOLUME_PATTERN}', 1, 'i'), '') AS DOUBLE)"
+    unit = rf"regexp_replace(lower(regexp_extract({value}, '{fixed.VOLUME_PATTERN}', 2, 'i')), '\s+', ' ', 'g')"
     cases = " ".join(f"WHEN '{u}' THEN {ml}::DOUBLE" for u, ml in fixed.ML_PER_UNIT.items())
     return f"CASE WHEN {amount} > 0 THEN {amount} * CASE {unit} {cases} END END"
 
@@ -317,7 +317,7 @@ def match_address(spark: SparkSession, d: str) -> DataFrame:
     return fuzzy.match_ladder(rows, "address_value", "bottler_address", kind="address").select("label_id", F.col("match_result").alias("result"))
 
 
-_REQUIREMENT_ROWS = _values([(b, f, {"R": "required", "C": "conditional", "N": "not-applicable"}[row[k]]) for b, row in fixed.REQUIREMENTS.items() for k, f in enumerate(fixed.FIELDS)])
+_REQUIREMENT_ROWS = _values([(b, f, base) for b, row in fixed.REQUIREMENTS.items() for f, base in row.items()])
 
 
 @query(f"SELECT a.app_id, t.field, CASE WHEN t.base <> 'conditional' THEN t.base WHEN t.field = 'abv' AND a.beverage = 'wine' AND a.abv > 14 THEN 'required' WHEN t.field = 'countryOfOrigin' AND a.country <> 'United States' THEN 'required' ELSE 'optional' END AS requirement FROM v_app a JOIN {_REQUIREMENT_ROWS} t(beverage, field, base) ON t.beverage = a.beverage")
@@ -369,7 +369,7 @@ def apply_overlays(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _job_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return over(spark, d, _JOB)
+    return spread(over(spark, d, _JOB))
 
 
 _JOB = f"SELECT e.label_id, e.brand_value, e.abv_text, e.net_text, e.bottler_evidence, {_ADDRESS_READ} AS address_value, CASE WHEN e.label_id % 9 <> 0 THEN a.bottler_name END AS bottler_value, CASE WHEN e.label_id % 3 = 0 THEN upper(a.class_type) ELSE a.class_type END AS class_value, CASE WHEN e.label_id % 4 < 3 THEN concat('Made in ', a.country) END AS origin_value, s.statement AS raw_text, CAST(NULL AS STRING) AS statement_text, e.confidence, e.image_poor, a.brand, a.class_type, a.abv, a.net_contents, a.bottler_name, a.bottler_address, a.country, a.warning_required, a.beverage FROM v_ext e JOIN v_app a ON a.app_id = e.label_id % 1000000 JOIN v_statement s ON s.label_id = a.app_id"
