@@ -475,15 +475,14 @@ _TOKEN_SQL = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]', '', 'g')"
 
 
 #: Every item as a whole, and every six words in a row of a longer one (item_pos: where in the item they start).
-_PASSAGE_PARTS = f"d AS (SELECT doc_id, list_transform({_WORDS_SQL}, lambda x: {_TOKEN_SQL.format('x')}) AS w FROM documents), b AS (SELECT item_id, list_transform({_WORDS_SQL}, lambda x: {_TOKEN_SQL.format('x')}) AS w FROM benchmark), p AS (SELECT item_id, 0 AS item_pos, w FROM b WHERE len(w) > 0 UNION ALL SELECT item_id, item_pos, w[item_pos + 1:item_pos + 6] FROM (SELECT item_id, w, unnest(generate_series(0, len(w) - 6)) AS item_pos FROM b WHERE len(w) > 6)), h AS (SELECT item_id, item_pos, w, least(len(w), 6) AS m, array_to_string(w[1:6], ' ') AS head FROM p), g AS (SELECT doc_id, k, m, array_to_string(w[k:k + m - 1], ' ') AS g FROM (SELECT doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS k FROM d JOIN (SELECT DISTINCT m FROM h) ON len(w) >= m))"
+_PASSAGE_PARTS = f"d AS (SELECT doc_id, list_transform({_WORDS_SQL}, lambda x: {_TOKEN_SQL.format('x')}) AS w FROM documents), b AS (SELECT item_id, list_filter(list_transform({_WORDS_SQL}, lambda x: {_TOKEN_SQL.format('x')}), lambda x: x <> '') AS w FROM benchmark), p AS (SELECT item_id, 0 AS item_pos, w FROM b WHERE len(w) > 0 UNION ALL SELECT item_id, item_pos, w[item_pos + 1:item_pos + 6] FROM (SELECT item_id, w, unnest(generate_series(0, len(w) - 6)) AS item_pos FROM b WHERE len(w) > 6)), h AS (SELECT item_id, item_pos, w, least(len(w), 6) AS m, array_to_string(w[1:6], ' ') AS head FROM p), g AS (SELECT doc_id, k, m, array_to_string(w[k:k + m - 1], ' ') AS g FROM (SELECT doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS k FROM d JOIN (SELECT DISTINCT m FROM h) ON len(w) >= m))"
 
 
 @query("SELECT d.doc_id, h.item_id, CAST(h.item_pos AS INTEGER) AS item_pos, CAST(min(g.k) - 1 AS INTEGER) AS first_pos, len(h.w)::BIGINT AS n_words FROM g JOIN h ON h.head = g.g AND h.m = g.m JOIN d ON d.doc_id = g.doc_id WHERE d.w[g.k:g.k + len(h.w) - 1] = h.w GROUP BY ALL", parts=_PASSAGE_PARTS)
 def locate_phrase(spark: SparkSession, d: str) -> DataFrame:
-    token = text.normal(F.col("word"), "token").alias("token")
-    words = locate.words_of(frame(spark, d, "documents"), "doc_id", "text").select("doc_id", "pos", token)
-    items = locate.words_of(frame(spark, d, "benchmark"), "item_id", "text").select("item_id", "pos", token)
-    return locate.locate_phrase(words, locate.passages(items, "item_id", 6), "doc_id", "phrase").select("doc_id", "phrase.item_id", "phrase.item_pos", "first_pos", "n_words")
+    docs = locate.tokens_of(spread(frame(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
+    items = locate.tokens_of(frame(spark, d, "benchmark"), "item_id", "text").select("item_id", F.filter("tokens", lambda t: t != "").alias("tokens"))
+    return locate.locate_phrase(docs, locate.passages(items, "item_id", 6), "doc_id", "phrase").select("doc_id", "phrase.item_id", "phrase.item_pos", "first_pos", "n_words")
 
 
 @query("SELECT case_id, actual, expected = actual AS matched FROM v_golden")

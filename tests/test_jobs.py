@@ -169,9 +169,29 @@ def test_redline_and_phrases(spark):
     df = spark.createDataFrame([(1, GOOD.replace("Surgeon ", "")), (2, GOOD)], "id long, s string")
     rows = redline.redline_summary(redline.statement_redline(df, "id", "s")).collect()
     assert [(r.token, r.op, r.n) for r in rows] == [("Surgeon", "removed", 1)]
-    words = locate.words_of(spark.createDataFrame([(1, "a b a b c d")], "d long, t string"), "d", "t").withColumnRenamed("word", "token")
-    phrases = locate.words_of(spark.createDataFrame([(7, "a b c"), (8, "b a c")], "p long, t string"), "p", "t").withColumnRenamed("word", "token")
-    assert [tuple(r) for r in locate.locate_phrase(words, phrases, "d", "p").collect()] == [(1, 7, 2, 3)]
+    docs = locate.tokens_of(spark.createDataFrame([(1, "a b a b -- c d"), (2, None), (3, "A B, c? a b c")], "d long, t string"), "d", "t")
+    phrases = locate.tokens_of(spark.createDataFrame([(7, "a b c"), (8, "b a c"), (9, " -- "), (10, None)], "p long, t string"), "p", "t")
+    for most in (locate.BROADCAST_BYTES, 100):  # in one part, and in several
+        assert [tuple(r) for r in locate.locate_phrase(docs, phrases, "d", "p", most).collect()] == [(3, 7, 0, 3)]
+    located = locate.locate_phrase(docs, phrases, "d", "p")
+    boxes = locate.layout_words(locate.words_of(spark.createDataFrame([(3, "A B, c? a b c")], "d long, t string"), "d", "t"), "d")
+    assert [tuple(r) for r in locate.phrase_boxes(located, boxes, "d").collect()] == [(3, 7, 0, 3, 10, 10, 98, 40)]
+
+
+def test_documents_keep_their_words_when_phrases_are_located(spark):
+    docs = locate.tokens_of(spark.createDataFrame([(1, "a b")], "d long, t string"), "d", "t")
+    plan = locate.locate_phrase(docs, docs.withColumnRenamed("d", "p"), "d", "p")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_quotes_are_located_in_their_own_label(spark):
+    rows = [("GOVERNMENT WARNING: (1) x y", "(1) X -- y"), ("see government warning: z", "not there"), ("nothing", "at all"), ("", ""), (None, None)]
+    frame_ = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, words string, quote string")
+    tokens, quotes = locate.tokens_of(frame_, "k", "words"), locate.tokens_of(frame_, "k", "quote").withColumnRenamed("tokens", "quote")
+    words = F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.struct((i * 10).alias("x0"), i.alias("y0"), (i * 10 + 9).alias("x1"), (i + 5).alias("y1")))
+    made = tokens.join(quotes, "k").withColumn("place", locate.locate_quote(F.col("tokens"), F.col("quote"), F.array(F.lit("government"), F.lit("warning"))))
+    got = {r.k: (r.place and tuple(r.place), r.box and tuple(r.box)) for r in made.select("k", "place", locate.quote_box(words, F.col("place")).alias("box")).collect()}
+    assert got == {0: ((2, 3), (20, 2, 49, 9)), 1: ((1, 2), (10, 1, 29, 7)), 2: (None, None), 3: (None, None), 4: (None, None)}
 
 
 def test_rollup_matches_the_array_form(spark):
