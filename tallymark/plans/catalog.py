@@ -188,11 +188,6 @@ def check_volume(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("label_id", strict.check_volume(strict.parse_volume(F.col("net_text")), strict.parse_volume(F.col("net_contents"))).alias("result"))
 
 
-@query(r"SELECT app_id, regexp_replace(regexp_replace(bottler_address, '\b\d{5}(-\d{4})?\b', ' ', 'g'), '(?i)\bkentucky\b', 'KY', 'g') AS address FROM v_app")
-def normalize_address(spark: SparkSession, d: str) -> DataFrame:
-    return frame(spark, d, "v_app").select("app_id", text.normalize_address(F.col("bottler_address")).alias("address"))
-
-
 _STRIPPED = r"trim(regexp_replace(regexp_replace(trim(e.origin_value), '^product of\s+', '', 'i'), '^made in\s+', '', 'i'))"
 _US = "('usa', 'u s a', 'us', 'u s', 'united states', 'united states of america', 'america')"
 
@@ -284,37 +279,61 @@ def audit_header(spark: SparkSession, d: str) -> DataFrame:
 # --- matching, status and the verification job ---------------------------------------------------
 
 _RUNG = "CASE WHEN e.brand_value IS NULL THEN 'missing' WHEN e.brand_value = a.brand THEN 'pass' WHEN " + _LADDER.format("e.brand_value") + " = " + _LADDER.format("a.brand") + " THEN 'pass-normalised' WHEN e.brand_value = a.brand || ' llc' THEN 'likely-match' ELSE 'fail' END"
+#: Names of two words, the second cut short by 0 to 11 letters: what a cut word shares with the whole one is its own length,
+#: and "zqj" alone, which both share, has three letters of its own.
+_CUT = "SELECT app_id AS label_id, CASE WHEN app_id % 17 = 0 THEN NULL WHEN app_id % 5 = 0 THEN upper(concat('zqj ', x)) WHEN app_id % 7 = 0 THEN concat(x, ' zqj, ltd') ELSE concat('zqj ', substr(x, 1, greatest(1, CAST(char_length(x) - app_id % 12 AS INT)))) END AS extracted, concat('zqj ', x) AS expected, CASE WHEN app_id % 5 = 0 OR app_id % 7 = 0 THEN char_length(x) ELSE greatest(1, CAST(char_length(x) - app_id % 12 AS INT)) END AS own, char_length(x) AS whole FROM (SELECT app_id, replace(brand, ' ', '') AS x FROM v_app)"
+_CUT_DUCK = _CUT.replace("char_length", "length")
+_CUT_NEAR = "CASE WHEN label_id % 5 = 0 OR label_id % 7 = 0 THEN 1.0::DOUBLE ELSE greatest(floor(600 / (7 + own) + 0.5), floor(600 / (7 + whole) + 0.5), floor(200 * (4 + own) / (8 + own + whole) + 0.5)) / 100 END"
+_CUT_RUNG = f"CASE WHEN extracted IS NULL THEN 'missing' WHEN extracted = expected THEN 'pass' WHEN lower(extracted) = expected THEN 'pass-normalised' WHEN {_CUT_NEAR} >= 0.92 THEN 'likely-match' WHEN {_CUT_NEAR} < 0.78 THEN 'fail' ELSE 'gray' END"
 
 
-@query(f"SELECT e.label_id, NOT (e.brand_value = 'zzzz') AS is_full {_PAIRED} WHERE e.brand_value IS NOT NULL")
+@query(f"SELECT label_id, {_CUT_NEAR} AS similarity FROM c WHERE extracted IS NOT NULL", parts=f"c AS ({_CUT_DUCK})")
 def token_set_similarity(spark: SparkSession, d: str) -> DataFrame:
-    rows = _pairs(spark, d, "e.label_id, e.brand_value, a.brand").filter("brand_value IS NOT NULL")
-    near = fuzzy.similarity(text.normal(F.col("brand_value"), "ladder"), text.normal(F.col("brand"), "ladder"))
-    return rows.select("label_id", (near == 1.0).alias("is_full"))
+    rows = over(spark, d, _CUT).filter("extracted IS NOT NULL")
+    return rows.select("label_id", fuzzy.similarity(text.normal(F.col("extracted"), "ladder"), text.normal(F.col("expected"), "ladder")).alias("similarity"))
 
 
-@query(f"SELECT e.label_id, {_RUNG} AS result {_PAIRED}")
+@query(f"SELECT e.label_id, 'view' AS source, {_RUNG} AS result {_PAIRED} UNION ALL SELECT label_id, 'cut', {_CUT_RUNG} FROM c", parts=f"c AS ({_CUT_DUCK})")
 def match_ladder(spark: SparkSession, d: str) -> DataFrame:
-    rows = _pairs(spark, d, "e.label_id, e.brand_value, a.brand")
-    return fuzzy.match_ladder(rows, "brand_value", "brand").select("label_id", F.col("match_result").alias("result"))
+    rows = _pairs(spark, d, "e.label_id, 'view' AS source, e.brand_value, a.brand").unionByName(over(spark, d, _CUT).select("label_id", F.lit("cut").alias("source"), F.col("extracted").alias("brand_value"), F.col("expected").alias("brand")))
+    return fuzzy.match_ladder(rows, "brand_value", "brand").select("label_id", "source", F.col("match_result").alias("result"))
 
 
-_ORIGIN_RUNG = f"CASE WHEN e.origin_value IS NULL THEN 'missing' WHEN {_LADDER.format(_STRIPPED)} IN {_US} AND a.country = 'United States' THEN 'pass-normalised' WHEN {_STRIPPED} = a.country THEN 'pass' ELSE 'other' END"
+def _shared_letters(word: str, column: str) -> str:
+    """SQL for the length of the longest common subsequence of a short word and a column, by all subsequences of the word."""
+    chosen = {"".join(c for k, c in enumerate(word) if bits >> k & 1) for bits in range(1, 1 << len(word))}
+    return "greatest(0, " + ", ".join(f"CASE WHEN {column} LIKE '%{'%'.join(x)}%' THEN {len(x)} ELSE 0 END" for x in sorted(chosen)) + ")"
 
 
-@query(f"SELECT e.label_id, {_ORIGIN_RUNG} AS result {_PAIRED}")
+_ORIGIN_READ = f"CASE WHEN e.origin_value IS NULL THEN NULL ELSE {_LADDER.format(_STRIPPED)} END"
+#: Where only one side is a name of the United States it is read as "u s a", three tokens that no country's name shares.
+_ORIGIN_NEAR = f"floor(200 * {_shared_letters('a s u', 'want')} / (5 + length(want)) + 0.5) / 100"
+_ORIGIN_RUNG = f"CASE WHEN got IS NULL THEN 'missing' WHEN got IN {_US} AND want IN {_US} THEN 'pass-normalised' WHEN raw = country THEN 'pass' WHEN got = want THEN 'pass-normalised' WHEN got <> 'u s a' THEN 'unforeseen' WHEN {_ORIGIN_NEAR} >= 0.92 THEN 'likely-match' WHEN {_ORIGIN_NEAR} < 0.78 THEN 'fail' ELSE 'gray' END"
+
+
+@query(f"SELECT label_id, {_ORIGIN_RUNG} AS result FROM o", parts=f"o AS (SELECT e.label_id, {_STRIPPED} AS raw, {_ORIGIN_READ} AS got, a.country, {_LADDER.format('a.country')} AS want {_PAIRED})")
 def match_origin(spark: SparkSession, d: str) -> DataFrame:
     rows = fuzzy.match_ladder(_pairs(spark, d, "e.label_id, e.origin_value, a.country"), "origin_value", "country", kind="origin")
-    return rows.select("label_id", F.when(F.col("match_result").isin("missing", "pass", "pass-normalised"), F.col("match_result")).otherwise("other").alias("result"))
+    return rows.select("label_id", F.col("match_result").alias("result"))
 
 
 _ADDRESS_READ = "CASE e.label_id % 4 WHEN 0 THEN replace(a.bottler_address, 'Kentucky', 'KY') WHEN 1 THEN upper(a.bottler_address) WHEN 2 THEN replace(a.bottler_address, ', Kentucky 40004', '') ELSE NULL END"
+#: Every state in turn: its name, its code, other words, nothing.
+_STATES = _values([(k, name, code) for k, (name, code) in enumerate(sorted(fixed.STATE_CODES.items()))])
+_ADDRESSES = f"SELECT e.label_id, e.label_id % 6 AS how, a.bottler_name AS maker, s.code, concat(a.bottler_name, ', ', s.name, ' 40004-1234') AS expected, CASE e.label_id % 6 WHEN 0 THEN concat(a.bottler_name, ', ', s.code, '  ') WHEN 1 THEN concat(a.bottler_name, ' ', upper(s.name), ' 99999') WHEN 2 THEN a.bottler_name WHEN 3 THEN 'zzzz' WHEN 4 THEN concat(a.bottler_name, ', ', s.name, ' 40004-1234') ELSE NULL END AS extracted {_PAIRED} JOIN {_STATES} s(k, name, code) ON s.k = a.app_id % {len(fixed.STATE_CODES)}"
+_ADDRESS_WANT = "maker || ', ' || code || '  '"
 
 
-@query(f"SELECT e.label_id, CASE e.label_id % 4 WHEN 0 THEN 'pass' WHEN 1 THEN CASE WHEN upper(a.bottler_address) = a.bottler_address THEN 'pass' ELSE 'pass' END WHEN 2 THEN 'likely-match' ELSE 'missing' END AS result {_PAIRED}")
+@query(f"SELECT label_id, CASE how WHEN 0 THEN {_ADDRESS_WANT} WHEN 1 THEN maker || ' ' || code || '  ' WHEN 2 THEN maker WHEN 3 THEN 'zzzz' WHEN 4 THEN {_ADDRESS_WANT} END AS got, {_ADDRESS_WANT} AS want, CASE how WHEN 0 THEN 'pass' WHEN 1 THEN 'pass-normalised' WHEN 2 THEN 'likely-match' WHEN 3 THEN 'fail' WHEN 4 THEN 'pass' ELSE 'missing' END AS result FROM w", parts=f"w AS ({_ADDRESSES})")
 def match_address(spark: SparkSession, d: str) -> DataFrame:
-    rows = _pairs(spark, d, f"e.label_id, {_ADDRESS_READ} AS address_value, a.bottler_address")
-    return fuzzy.match_ladder(rows, "address_value", "bottler_address", kind="address").select("label_id", F.col("match_result").alias("result"))
+    rows = over(spark, d, _ADDRESSES)
+    cleaned = rows.withColumns({"got": text.normalize_address(F.col("extracted")), "want": text.normalize_address(F.col("expected"))})
+    return fuzzy.match_ladder(cleaned, "extracted", "expected", kind="address").select("label_id", "got", "want", F.col("match_result").alias("result"))
+
+
+@query(f"SELECT label_id, {_ADDRESS_WANT} AS address FROM w", parts=f"w AS ({_ADDRESSES})")
+def normalize_address(spark: SparkSession, d: str) -> DataFrame:
+    return over(spark, d, _ADDRESSES).select("label_id", text.normalize_address(F.col("expected")).alias("address"))
 
 
 _REQUIREMENT_ROWS = _values([(b, f, base) for b, row in fixed.REQUIREMENTS.items() for f, base in row.items()])
@@ -457,17 +476,28 @@ def hydrate_batch(spark: SparkSession, d: str) -> DataFrame:
     return pairing.hydrate_batch(batches, frame(spark, d, "v_review").select("review_id", "overall"))[0].select("batch_id", "pos", "review_id", "overall")
 
 
-@query("SELECT batch_id, 1::BIGINT AS n_missing FROM v_review GROUP BY batch_id")
+@query("SELECT batch_id, count(*) FILTER (review_id % 7 = 0) AS n_missing FROM v_review GROUP BY batch_id HAVING count(*) FILTER (review_id % 7 = 0) > 0")
 def hydrate_batch_missing(spark: SparkSession, d: str) -> DataFrame:
-    batches = frame(spark, d, "v_review").groupBy("batch_id").agg(F.concat(F.collect_list("review_id"), F.array(F.lit(-1).cast("long"))).alias("review_ids"))
-    return pairing.hydrate_batch(batches, frame(spark, d, "v_review").select("review_id"))[1]
+    batches = frame(spark, d, "v_review").groupBy("batch_id").agg(F.collect_list("review_id").alias("review_ids"))
+    return pairing.hydrate_batch(batches, frame(spark, d, "v_review").filter("review_id % 7 <> 0").select("review_id"))[1]
+
+
+def _by_length(extracted: str, expected: str, field: str) -> tuple[str, str]:
+    """A judge for the query below: its verdict follows from the length of the text, and at some lengths it fails."""
+    k = len(extracted) % 4
+    if k == 3:
+        raise ValueError("no answer")
+    return (("equivalent", "abbreviation"), ("not_equivalent", "different_entity"), ("uncertain", "insufficient_context"))[k]
+
+
+_VERDICT_SQL = "CASE WHEN rung = 'gray' THEN CASE length(extracted) % 4 WHEN 0 THEN 'equivalent' WHEN 1 THEN 'not_equivalent' ELSE 'uncertain' END END"
 
 
-@query(f"SELECT e.label_id, CASE WHEN e.brand_value = a.brand || ' llc' THEN 'manual-review' ELSE {_RUNG} END AS result, CASE WHEN e.brand_value = a.brand || ' llc' THEN 'uncertain' END AS verdict {_PAIRED}")
+@query(f"SELECT label_id, CASE WHEN rung <> 'gray' THEN rung WHEN verdict = 'equivalent' THEN 'likely-match' WHEN verdict = 'not_equivalent' THEN 'fail' ELSE 'manual-review' END AS result, verdict, CASE WHEN rung = 'gray' THEN CASE length(extracted) % 4 WHEN 0 THEN 'abbreviation' WHEN 1 THEN 'different_entity' WHEN 2 THEN 'insufficient_context' ELSE 'judge_failed' END END AS reason FROM v", parts=f"c AS ({_CUT_DUCK}), r AS (SELECT *, {_CUT_RUNG} AS rung FROM c), v AS (SELECT *, {_VERDICT_SQL} AS verdict FROM r)")
 def judge_gray_pairs(spark: SparkSession, d: str) -> DataFrame:
-    rows = fuzzy.match_ladder(_pairs(spark, d, "e.label_id, e.brand_value AS extracted, a.brand AS expected"), "extracted", "expected")
-    gray = rows.select("label_id", "extracted", "expected", F.lit("brand").alias("field"), F.when(F.col("match_result") == "likely-match", "gray").otherwise(F.col("match_result")).alias("result"))
-    return judge.final_result(judge.judge_gray_pairs(gray, None)).select("label_id", "result", "verdict")
+    rows = fuzzy.match_ladder(over(spark, d, _CUT).select("label_id", "extracted", "expected"), "extracted", "expected")
+    asked = rows.select("label_id", "extracted", "expected", F.lit("brand").alias("field"), F.col("match_result").alias("result"))
+    return judge.final_result(judge.judge_gray_pairs(asked, _by_length)).select("label_id", "result", "verdict", "reason")
 
 
 _WORDS_SQL = r"list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda x: x <> '')"
@@ -565,7 +595,7 @@ def image_exposure(spark: SparkSession, d: str) -> DataFrame:
     return quality.pixel_exposure(frame(spark, d, "v_pixel")).withColumn("flags", F.array_join("flags", ","))
 
 
-@query("SELECT image_id, round(var_pop(4 * c.lum - w.lum - e.lum - n.lum - s.lum), 6) AS variance, var_pop(4 * c.lum - w.lum - e.lum - n.lum - s.lum) < 100 AS blurred FROM v_pixel c JOIN v_pixel w USING (image_id) JOIN v_pixel e USING (image_id) JOIN v_pixel n USING (image_id) JOIN v_pixel s USING (image_id) WHERE w.x = c.x - 1 AND w.y = c.y AND e.x = c.x + 1 AND e.y = c.y AND n.y = c.y - 1 AND n.x = c.x AND s.y = c.y + 1 AND s.x = c.x GROUP BY image_id")
+@query("SELECT image_id, round(var_pop(edge), 6) AS variance, var_pop(edge) < 100 AS blurred FROM e WHERE x BETWEEN 1 AND 23 AND y BETWEEN 1 AND 23 GROUP BY image_id", parts="e AS (SELECT image_id, x, y, 4 * lum - lag(lum, 1) OVER w - lead(lum, 1) OVER w - lag(lum, 25) OVER w - lead(lum, 25) OVER w AS edge FROM v_pixel WINDOW w AS (PARTITION BY image_id ORDER BY 25 * y + x))")
 def image_sharpness(spark: SparkSession, d: str) -> DataFrame:
     return quality.pixel_sharpness(frame(spark, d, "v_pixel")).withColumn("variance", F.round("variance", 6))
 

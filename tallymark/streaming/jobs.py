@@ -23,12 +23,16 @@ def verify_stream(labels: DataFrame, applications: DataFrame, key: str = "app_id
 
 
 def start_verification(labels: DataFrame, applications: DataFrame, out: str, checkpoint: str, key: str = "app_id"):
-    """A query that appends verdicts to ``out``; labels that match no application go to ``out``-quarantine."""
+    """A query that writes verdicts to ``out``; labels that match no application go to ``out``-quarantine.
+
+    Each micro-batch has a folder of its own, ``batch=<number>``, which is written anew if the
+    batch is run again after a failure, so no verdict is there twice.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
-        verify_stream(batch, applications, key).write.mode("append").parquet(out)
-        batch.join(applications.select(key), key, "left_anti").write.mode("append").parquet(f"{out}-quarantine")
+        verify_stream(batch, applications, key).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.join(applications.select(key), key, "left_anti").write.mode("overwrite").parquet(f"{out}-quarantine/batch={number}")
         batch.unpersist()
 
     return labels.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
