@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions import fixed
@@ -93,11 +93,40 @@ def review_flags(fields: DataFrame, key: str = "review_id") -> DataFrame:
     return fields.groupBy(key).agg(F.bool_or(F.col("human_status").isNotNull()).alias("has_overrides"), F.bool_or(F.col("ai_status") == "fail").alias("has_failures"))
 
 
+def compose_reviews(reviews: DataFrame, fields: DataFrame, rules_version: str, key: str = "review_id") -> DataFrame:
+    """``reviews`` (key, brand, reviewer and more) with what their fields say: has_overrides, has_failures, boxes, rules_version.
+
+    fields: key, field, ai_status, human_status and box, a struct that is null where nothing was
+    located. ``boxes`` maps each located field to a list of its one box; reviewers are trimmed.
+    A review has at most eight fields.
+    """
+    located = F.sort_array(F.collect_list(F.when(F.col("box").isNotNull(), F.struct("field", F.array("box").alias("boxes")))))
+    told = review_flags(fields, key).join(fields.groupBy(key).agg(F.map_from_entries(located).alias("boxes")), key)
+    made = reviews.withColumn("reviewer", F.trim("reviewer")).join(told, key, "left")
+    return made.withColumns({n: F.coalesce(n, F.lit(False)) for n in ("has_overrides", "has_failures")} | {"rules_version": F.lit(rules_version)})
+
+
 def override_audit(fields: DataFrame, key: str = "field_no") -> DataFrame:
     """How often people replaced each status of each field, and by which."""
     return fields.filter(F.col("human_status").isNotNull()).groupBy(key, "ai_status", "human_status").agg(F.count("*").alias("n"), F.count_if(F.col("ai_status") == F.col("human_status")).alias("n_same"))
 
 
+def override_report(fields: DataFrame, key: str = "review_id", order: str = "field_no") -> DataFrame:
+    """key, line (from 1, in the order of the fields), and of each overridden field both statuses, reason, reviewer and time.
+
+    An override to the same status is a line too. A review has at most eight fields.
+    """
+    line = F.row_number().over(Window.partitionBy(key).orderBy(order)).alias("line")
+    return fields.filter(F.col("human_status").isNotNull()).select(key, line, order, "ai_status", "human_status", F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce("reviewer", F.lit("")).alias("reviewer"), "decided_at")
+
+
+def fill_reviewers(overrides: DataFrame, decisions: DataFrame, key: str = "review_id") -> DataFrame:
+    """``overrides`` whose blank reviewer is the one of the review's decision, where there is one; a decision is one row a review."""
+    named = decisions.select(key, F.col("reviewer").alias("_decided_by"))
+    own = F.nullif(F.trim(F.coalesce("reviewer", F.lit(""))), F.lit(""))
+    return overrides.join(named, key, "left").withColumn("reviewer", F.coalesce(own, F.trim("_decided_by"), F.lit(""))).drop("_decided_by")
+
+
 def validate_decisions(overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid overrides, others): a reason that is not blank and has at most 500 characters."""
     reason = F.trim(F.coalesce("reason", F.lit("")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions import explain, fixed, fuzzy, strict, text
@@ -569,6 +569,52 @@ def review_flags(spark: SparkSession, d: str) -> DataFrame:
     return review.review_flags(frame(spark, d, "v_field"))
 
 
+#: One row for each field of a review.
+_SINGLE = "(SELECT review_id, field_no, min(ai_status) AS ai_status, min(human_status) AS human_status, min(reason) AS reason FROM v_field GROUP BY review_id, field_no)"
+_BOXED = f"SELECT review_id, concat('f', CAST(field_no AS STRING)) AS field, ai_status, human_status, CASE WHEN field_no % 3 <> 0 THEN field_no * 10 END AS x0 FROM {_SINGLE} s"
+
+
+@query("SELECT r.review_id, r.brand, trim(r.reviewer) AS reviewer, bool_or(f.human_status IS NOT NULL) AS has_overrides, coalesce(bool_or(f.ai_status = 'fail'), FALSE) AS has_failures, coalesce(string_agg(f.field || '=' || f.x0, ',' ORDER BY f.field) FILTER (f.x0 IS NOT NULL), '') AS boxes, 'ttb-2026-01-01' AS rules_version FROM v_review r LEFT JOIN b f ON f.review_id = r.review_id GROUP BY ALL", parts=f"b AS ({_BOXED})")
+def compose_reviews(spark: SparkSession, d: str) -> DataFrame:
+    box = F.when(F.col("x0").isNotNull(), F.struct(F.col("x0"), F.lit(0).alias("y0"), (F.col("x0") + 5).alias("x1"), F.lit(9).alias("y1")))
+    made = review.compose_reviews(frame(spark, d, "v_review").select("review_id", "brand", F.concat(F.lit(" "), "reviewer").alias("reviewer")), over(spark, d, _BOXED).withColumn("box", box), "ttb-2026-01-01")
+    shown = F.array_join(F.transform(F.map_entries(F.coalesce("boxes", F.create_map().cast("map<string, array<struct<x0: int, y0: int, x1: int, y1: int>>>"))), lambda e: F.concat(e["key"], F.lit("="), e["value"][0]["x0"].cast("string"))), ",")
+    return made.select("review_id", "brand", "reviewer", "has_overrides", "has_failures", shown.alias("boxes"), "rules_version")
+
+
+_SIGNED = f"SELECT review_id, field_no, ai_status, human_status, reason, CASE WHEN field_no % 2 = 0 THEN ' ' ELSE concat('Reviewer ', CAST(field_no AS STRING)) END AS reviewer, concat('2026-01-0', CAST(field_no AS STRING)) AS decided_at FROM {_SINGLE} s WHERE human_status IS NOT NULL"
+_DECIDED = "SELECT review_id, reviewer FROM v_review WHERE review_id % 3 <> 0"
+
+
+@query("SELECT review_id, CAST(row_number() OVER (PARTITION BY review_id ORDER BY field_no) AS INTEGER) AS line, field_no, ai_status, human_status, coalesce(reason, '') AS reason, reviewer, decided_at FROM s", parts=f"s AS ({_SIGNED})")
+def override_report(spark: SparkSession, d: str) -> DataFrame:
+    return review.override_report(over(spark, d, _SIGNED))
+
+
+@query("SELECT s.review_id, s.field_no, CASE WHEN trim(s.reviewer) <> '' THEN trim(s.reviewer) ELSE coalesce(trim(d.reviewer), '') END AS reviewer FROM s LEFT JOIN d ON d.review_id = s.review_id", parts=f"s AS ({_SIGNED}), d AS ({_DECIDED})")
+def fill_reviewers(spark: SparkSession, d: str) -> DataFrame:
+    return review.fill_reviewers(over(spark, d, _SIGNED), over(spark, d, _DECIDED)).select("review_id", "field_no", "reviewer")
+
+
+_FINAL = "SELECT review_id, CASE WHEN review_id % 4 = 0 THEN ' ' ELSE reviewer END AS reviewer, CASE review_id % 5 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' WHEN 2 THEN 'manual-review' WHEN 3 THEN 'maybe' END AS choice, repeat('n', CAST(review_id % 3 * 501 AS INT)) AS notes FROM v_review"
+
+
+@query("SELECT review_id, trim(reviewer) <> '' AND coalesce(choice IN ('approved', 'rejected', 'manual-review', 'request-better-image'), FALSE) AND length(notes) <= 1000 AS valid FROM f", parts=f"f AS ({_FINAL})")
+def validate_final_decisions(spark: SparkSession, d: str) -> DataFrame:
+    good, bad = review.valid_final(over(spark, d, _FINAL))
+    return good.select("review_id", F.lit(True).alias("valid")).unionByName(bad.select("review_id", F.lit(False).alias("valid")))
+
+
+@query("SELECT batch_id, count(*) FILTER (held) + 1 AS n_files, string_agg(CAST(review_id AS VARCHAR), ',' ORDER BY review_id) FILTER (held) AS listed FROM (SELECT batch_id, review_id, review_id % 7 <> 0 AS held FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY review_id) AS rn FROM v_review) WHERE rn <= 250) GROUP BY batch_id")
+def write_batch_bundle(spark: SparkSession, d: str) -> DataFrame:
+    rows = frame(spark, d, "v_review").select(F.col("review_id").alias("id"), "batch_id", "brand", "overall")
+    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("batch_id").orderBy("id"))).filter(F.col("rn") <= fixed.CAP)
+    batches = ranked.groupBy("batch_id").agg(F.array_sort(F.collect_list("id")).alias("review_ids"))
+    files = exports.batch_bundle(batches, rows.filter("id % 7 <> 0").drop("batch_id"), "2026-01-01T00:00:00.000Z")
+    ids = F.array_join(F.from_json("json", "struct<reviews: array<struct<id: string>>>")["reviews"]["id"], ",")
+    return files.groupBy("batch_id").agg(F.count("*").alias("n_files"), F.max(F.when(F.col("file") == "batch.json", ids)).alias("listed"))
+
+
 @query("SELECT quantile_cont(latency_ms, 0.5) AS p50, quantile_cont(latency_ms, 0.95) AS p95 FROM v_golden")
 def latency_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.latency_quantiles(frame(spark, d, "v_golden"), "latency_ms")

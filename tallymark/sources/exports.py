@@ -10,7 +10,7 @@ from tallymark.functions import fixed
 from tallymark.functions.explain import fixed_two
 from tallymark.functions.text import export_filename
 
-SCHEMA_VERSION = "review/1"
+SCHEMA_VERSION, BATCH_SCHEMA_VERSION = "review/1", "batch/1"
 
 
 def summary_rows(reviews: DataFrame) -> DataFrame:
@@ -45,20 +45,51 @@ def _sorted(value: Column, kind: T.DataType) -> Column:
     return value
 
 
+def _review_body(kind: T.StructType) -> Column:
+    """A review as a struct with its fields in order, the thumbnail as base64."""
+    fields = {f.name: _sorted(F.col(f.name), f.dataType) for f in kind.fields if f.name != "thumbnail"}
+    if "thumbnail" in kind.names:
+        fields |= {"thumbnailBase64": F.coalesce(F.base64("thumbnail"), F.lit("")), "thumbnailMimeType": F.lit("image/jpeg")}
+    return F.struct(*[fields[n].alias(n) for n in sorted(fields)])
+
+
 def review_json(reviews: DataFrame, exported_at: str) -> DataFrame:
     """id, json: one envelope for each review, keys sorted at every level, a thumbnail as base64.
 
     Columns that are null stay out of the text, as keys that a review does not have.
     """
-    kind = reviews.schema
-    fields = {f.name: _sorted(F.col(f.name), f.dataType) for f in kind.fields if f.name != "thumbnail"}
-    if "thumbnail" in kind.names:
-        fields |= {"thumbnailBase64": F.coalesce(F.base64("thumbnail"), F.lit("")), "thumbnailMimeType": F.lit("image/jpeg")}
-    body = F.struct(*[fields[n].alias(n) for n in sorted(fields)])
-    envelope = F.struct(F.lit(exported_at).alias("exportedAt"), body.alias("review"), F.lit(SCHEMA_VERSION).alias("schemaVersion"))
+    envelope = F.struct(F.lit(exported_at).alias("exportedAt"), _review_body(reviews.schema).alias("review"), F.lit(SCHEMA_VERSION).alias("schemaVersion"))
     return reviews.select(F.col("id").alias("id"), F.to_json(envelope, {"pretty": "true"}).alias("json"))
 
 
+def batch_json(batches: DataFrame, reviews: DataFrame, exported_at: str, key: str = "batch_id") -> DataFrame:
+    """key, json: one envelope for each batch with its reviews in the order of ``review_ids``; ids without a review are left out.
+
+    A batch holds at most the cap of one upload (250 labels), so its reviews fit in one text.
+    """
+    listed = batches.select(key, F.posexplode("review_ids").alias("pos", "id"))
+    held = listed.join(reviews.select("id", _review_body(reviews.schema).alias("body")), "id").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "body")), lambda a, b: a["pos"] - b["pos"]).alias("held"))
+    batch = F.struct(*[_sorted(F.col(f.name), f.dataType).alias(f.name) for f in sorted(batches.schema.fields, key=lambda f: f.name)])
+    empty = F.array().cast("array<struct<>>")
+    found = batches.join(held, key, "left")
+    body = F.when(F.col("held").isNotNull(), F.transform("held", lambda h: h["body"]))
+    envelope = F.struct(batch.alias("batch"), F.lit(exported_at).alias("exportedAt"), body.alias("reviews"), F.lit(BATCH_SCHEMA_VERSION).alias("schemaVersion"))
+    bare = F.struct(batch.alias("batch"), F.lit(exported_at).alias("exportedAt"), empty.alias("reviews"), F.lit(BATCH_SCHEMA_VERSION).alias("schemaVersion"))
+    return found.select(key, F.when(F.col("held").isNull(), F.to_json(bare, {"pretty": "true"})).otherwise(F.to_json(envelope, {"pretty": "true"})).alias("json"))
+
+
+def batch_bundle(batches: DataFrame, reviews: DataFrame, exported_at: str, key: str = "batch_id") -> DataFrame:
+    """key, file, json: what a batch is exported as, ``batch.json`` and a file for each of its reviews."""
+    listed = batches.select(key, F.explode("review_ids").alias("id"))
+    each = listed.join(review_json(reviews, exported_at), "id").select(key, F.concat(F.lit("reviews/"), F.col("id").cast("string"), F.lit(".json")).alias("file"), "json")
+    return batch_json(batches, reviews, exported_at, key).select(key, F.lit("batch.json").alias("file"), "json").unionByName(each)
+
+
+def write_batch_bundle(batches: DataFrame, reviews: DataFrame, path: str, exported_at: str, key: str = "batch_id") -> None:
+    """A directory for each batch and in it one for each file, with one text."""
+    batch_bundle(batches, reviews, exported_at, key).write.mode("errorifexists").partitionBy(key, "file").text(path, lineSep="\n")
+
+
 def write_review_json(reviews: DataFrame, path: str, exported_at: str) -> None:
     """A directory for each review id with one text file in it."""
     review_json(reviews, exported_at).write.mode("errorifexists").partitionBy("id").text(path, lineSep="\n")

@@ -49,13 +49,20 @@ def read_extractions(raw: DataFrame, column: str = "json") -> tuple[DataFrame, D
 
 
 def scan_label_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(decoded images, rejected: path, reason). Sizes are read from the listing; contents only of files that pass."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    """(decoded images, rejected: path, reason). Sizes are read from the listing.
+
+    Files without a byte are passed over: no scan of Spark's lists them.
+    """
+    # The two sources write a local path with one slash and with three.
+    def named(path: Column) -> Column:
+        return F.regexp_replace(path, "^([a-z0-9]+):/{2,3}(?=/)", "$1:").alias("path")
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(named(F.col("path")), "length")
     by_name = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin("png", "jpg", "jpeg", "gif", "bmp", "webp")
-    reason = F.when(~by_name, "not an image").when(F.col("length") == 0, "empty file").when(F.col("length") > MAX_IMAGE_BYTES, "larger than 8 MiB")
+    reason = F.when(~by_name, "not an image").when(F.col("length") > MAX_IMAGE_BYTES, "larger than 8 MiB")
     images = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path).filter("image.width > 0 AND image.height > 0")
     accepted = files.withColumn("reason", reason)
-    decoded = images.withColumn("path", F.col("image.origin"))
+    decoded = images.withColumn("path", named(F.col("image.origin")))
     good = decoded.join(accepted.filter("reason IS NULL").select("path"), "path", "left_semi")
     broken = accepted.filter("reason IS NULL").join(decoded.select("path"), "path", "left_anti").withColumn("reason", F.lit("cannot be decoded"))
     return good, accepted.filter("reason IS NOT NULL").unionByName(broken).select("path", "reason")

@@ -233,3 +233,52 @@ def test_whole_items_and_their_passages_are_located(spark, tmp_path):
     spark.createDataFrame([(1, item), (2, "Be it")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {tuple(r) for r in catalog.QUERIES["locate_phrase"](spark, str(tmp_path)).select("doc_id", "item_id", "item_pos", "first_pos", "n_words").collect()}
     assert got == {(0, 1, 0, 1, 10), *((0, 1, k, k + 1, 6) for k in range(5)), (1, 1, 0, 0, 6), (2, 1, 4, 3, 6), (4, 2, 0, 1, 2)}
+
+
+def test_images_are_scanned_and_measured(spark, tmp_path):
+    import struct
+    import zlib
+
+    from tallymark.operators import quality
+
+    def png(rows):
+        def chunk(kind, data):
+            return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+        head = struct.pack(">IIBBBBB", len(rows[0]), len(rows), 8, 0, 0, 0, 0)
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + bytes(r) for r in rows))) + chunk(b"IEND", b"")
+
+    checks = [[255 * ((x + y) % 2) for x in range(8)] for y in range(8)]
+    files = {"a.png": png(checks), "dark.png": png([[10] * 8] * 8), "thin.png": png([[250, 250]]), "empty.png": b"", "broken.jpg": b"no image", "note.txt": b"x", "large.png": b"x" * (8 * 1024 * 1024 + 1)}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    good, rejected = readings.scan_label_images(spark, str(tmp_path))
+    assert {r.path.rsplit("/", 1)[1]: r.reason for r in rejected.collect()} == {"broken.jpg": "cannot be decoded", "note.txt": "not an image", "large.png": "larger than 8 MiB"}
+    got = {r.path.rsplit("/", 1)[1]: r for r in quality.image_signals(good).collect()}
+    edge = np.array([[4 * v - 4 * (255 - v) for v in row[1:-1]] for row in checks[1:-1]])
+    assert got["a.png"].variance == pytest.approx(edge.var()) and got["a.png"].bright_share == 0.5
+    assert (got["dark.png"].mean, got["dark.png"].variance, got["thin.png"].variance, got["thin.png"].bright_share) == (10.0, 0.0, 0.0, 1.0)
+
+
+def test_batch_bundle_is_written_as_files(spark, tmp_path):
+    batches = spark.createDataFrame([("b1", ["r2", "r1", "gone"]), ("b2", [])], "batch_id string, review_ids array<string>")
+    reviews = spark.createDataFrame([("r1", "pass", bytearray(b"img")), ("r2", "fail", None)], "id string, overall string, thumbnail binary")
+    exports.write_batch_bundle(batches, reviews, str(tmp_path / "out"), "2026-01-01T00:00:00.000Z")
+    made = {p.parent.parent.name + "/" + p.parent.name: json.loads(p.read_text()) for p in (tmp_path / "out").rglob("part-*.txt")}
+    assert sorted(made) == ["batch_id=b1/file=batch.json", "batch_id=b1/file=reviews%2Fr1.json", "batch_id=b1/file=reviews%2Fr2.json", "batch_id=b2/file=batch.json"]
+    whole = made["batch_id=b1/file=batch.json"]
+    assert list(whole) == ["batch", "exportedAt", "reviews", "schemaVersion"] and [r["id"] for r in whole["reviews"]] == ["r2", "r1"] and whole["reviews"][1]["thumbnailBase64"] == "aW1n"
+    assert made["batch_id=b2/file=batch.json"]["reviews"] == []
+
+
+def test_a_batch_that_runs_again_is_written_once(spark, tmp_path, monkeypatch):
+    import shutil
+
+    apps = spark.createDataFrame([(1, "wine")], "app_id long, beverage string")
+    monkeypatch.setattr(jobs, "verify_stream", lambda batch, applications, key: batch.join(applications, key))
+    spark.createDataFrame([(1, "x"), (2, "y")], "app_id long, t string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("app_id long, t string").parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        jobs.start_verification(stream, apps, str(tmp_path / "out"), str(tmp_path / "cp"), "app_id").awaitTermination(120)
+        shutil.rmtree(tmp_path / "cp" / "commits")  # as if the driver was lost before it noted the batch
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1 == spark.read.parquet(str(tmp_path / "out-quarantine")).count()
