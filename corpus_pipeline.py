@@ -6,13 +6,12 @@ read again as the next stage's docs. All but the last keep the columns of ``docu
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tallymark.llm import decontam, packing, pii, quality, simhash
-from tallymark.llm._common import table
+from tallymark.llm._common import shared_folder, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,15 +42,15 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SQL has no tokenizer and no EM: the tests hold the operators of near-dedup, decontamination and packing against brute force, and of the
-#: stages the columns and counts, the documents that near-dedup keeps and those that packing holds.
+#: SQL has no tokenizer and no EM. The tests hold each of the first four stages against its operator's result, and the operators
+#: against plain versions: quality by its counts and EM, near-dedup by all pairs of fingerprints, decontamination by all windows,
+#: personal data by a twin of the permutations, packing by the tokenizer and by round-robin step for step.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages over ``documents``."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    """The result of all stages over ``documents``; what they wrote stays in the shared folder, as the last one is read from there."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
