@@ -168,7 +168,8 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
     share = max(2, sample // len(languages))
     # Below this hash a language has its share of rows and some more, which are cut off below.
     limits = rows.sparkSession.createDataFrame([(s, int((1 << 30) * min(1.0, 1.2 * share / sizes[s] + 1e-3))) for s in languages], "lang string, most long")
-    chosen = rows.withColumn("lot", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))).join(limits, "lang").filter("lot < most")
+    # A row for each language, made on the driver: sent out, so that no text is dealt by its language.
+    chosen = rows.withColumn("lot", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))).join(F.broadcast(limits), "lang").filter("lot < most")
     chosen = chosen.repartition(max(1, min(64, sample // 250)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
