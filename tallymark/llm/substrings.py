@@ -192,18 +192,22 @@ def _unpack(blob: bytes) -> list[tuple[int | None, bytes]]:
 
 
 def _groups(docs: DataFrame) -> DataFrame:
-    """group, blob, and for each different text its ids and 128-bit digest: neighbouring documents together."""
+    """group, blob, and for each different text its ids, their places in the group and its 128-bit digest: neighbouring documents together."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
 
         def ended() -> pa.RecordBatch:
             ids: dict[bytes, list[int]] = {}
-            for i, t in held:
+            places: dict[bytes, list[int]] = {}
+            for place, (i, t) in enumerate(held):
                 if i is not None:
-                    ids.setdefault(xxhash.xxh3_128_digest(t), []).append(i)
+                    digest = xxhash.xxh3_128_digest(t)
+                    ids.setdefault(digest, []).append(i)
+                    places.setdefault(digest, []).append(place)
             halves = np.frombuffer(b"".join(ids), ">i8").astype(np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([_pack(held)], pa.binary()), pa.array([list(ids.values())], pa.list_(pa.list_(pa.int64()))), *(pa.array([x], pa.list_(pa.int64())) for x in halves.T)], ["group", "blob", "ids", "h1", "h2"])
+            lists = (pa.array([list(x.values())], pa.list_(pa.list_(pa.int64()))) for x in (ids, places))
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([_pack(held)], pa.binary()), *lists, *(pa.array([x], pa.list_(pa.int64())) for x in halves.T)], ["group", "blob", "ids", "places", "h1", "h2"])
 
         for b in batches:
             for doc in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), strict=True):
@@ -215,18 +219,19 @@ def _groups(docs: DataFrame) -> DataFrame:
         if held:
             yield ended()
 
-    return map_slices(docs, work, "group long, blob binary, ids array<array<long>>, h1 array<long>, h2 array<long>")
+    return map_slices(docs, work, "group long, blob binary, ids array<array<long>>, places array<array<long>>, h1 array<long>, h2 array<long>")
 
 
 def _copies(held: DataFrame) -> DataFrame:
-    """group, copies: the ids in a group whose whole text a smaller id has too.
+    """group, copies: the places in a group of rows whose whole text a smaller id has too.
 
+    Places, not ids: of two rows of one id with different texts, one can be a copy and the other not.
     A text counts once a group, so one with very many copies has no more rows than there are groups.
     """
-    texts = held.select("group", F.explode(F.arrays_zip("ids", "h1", "h2")).alias("t")).select("group", "t.*")
+    texts = held.select("group", F.explode(F.arrays_zip("ids", "places", "h1", "h2")).alias("t")).select("group", "t.*")
     first = texts.groupBy("h1", "h2").agg(F.min(F.array_min("ids")).alias("first"), F.max(F.array_max("ids")).alias("last")).filter("first < last")
-    later = texts.join(first, ["h1", "h2"]).select("group", F.explode(F.filter("ids", lambda i: i > F.col("first"))).alias("id"))
-    return later.groupBy("group").agg(F.collect_list("id").alias("copies"))
+    later = texts.join(first, ["h1", "h2"]).select("group", F.explode(F.filter("places", lambda _, k: F.get("ids", k) > F.col("first"))).alias("place"))
+    return later.groupBy("group").agg(F.collect_list("place").alias("copies"))
 
 
 def _longs(values: np.ndarray) -> pa.Array:
@@ -237,10 +242,11 @@ class Row:
     """The words of a group's documents in one row, a separator after each document."""
 
     def __init__(self, blob: bytes, names: Names, window: int, copies: set[int] | frozenset[int] = frozenset()) -> None:
-        """copies: ids of texts that are left out, as a smaller id has all their windows; ``copied`` has their words."""
+        """copies: places of rows that are left out, as a smaller id has all their windows; ``copied`` has their words."""
         docs = [(doc_id, text.split()) for doc_id, text in _unpack(blob)]
-        self.copied = [d for d in docs if d[0] in copies and len(d[1]) >= window]
-        self.docs = [d for d in docs if not (d[0] in copies and len(d[1]) >= window)]
+        out = [place in copies and len(words) >= window for place, (_, words) in enumerate(docs)]
+        self.copied = [d for d, left in zip(docs, out, strict=True) if left]
+        self.docs = [d for d, left in zip(docs, out, strict=True) if not left]
         if not self.docs:
             self.docs = [(None, [])]
             self.empty = True

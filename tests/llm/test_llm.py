@@ -282,6 +282,18 @@ def test_substrings_against_brute_force(spark, edges, prose):
             assert (got[i].n_words, got[i].n_removed) == (len(w), len(gone)) and got[i].kept == " ".join(x for p, x in enumerate(w) if p not in gone)
 
 
+def test_substrings_of_repeated_ids(spark, prose):
+    """Of two rows of one id, one copies a smaller id's text and the other is its own; a later id copies each."""
+    one, own = prose(30), prose(30)
+    rows = [(1, one), (2, one), (2, own), (3, own), (3, one), (2, own)]
+    want = sorted([(1, 0, one), (2, 30, ""), (2, 0, own), (3, 30, ""), (3, 30, ""), (2, 0, own)])
+    for group in (substrings.GROUP_BYTES, 50):
+        keep, substrings.GROUP_BYTES = substrings.GROUP_BYTES, group
+        got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        substrings.GROUP_BYTES = keep
+        assert sorted((r.doc_id, r.n_removed, r.kept) for r in got) == want
+
+
 def test_language_held_out(spark, edges):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs).filter("held_out").join(docs, "doc_id")
