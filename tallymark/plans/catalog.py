@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions import explain, fixed, fuzzy, strict, text
@@ -12,7 +14,7 @@ from tallymark.operators import evaluate, judge, locate, pairing, quality, redli
 from tallymark.plans.verify import spread, verify_labels
 from tallymark.plans.views import frame, over, with_views
 from tallymark.sources import expected as sources
-from tallymark.sources import exports
+from tallymark.sources import exports, readings
 from tallymark.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +111,96 @@ def write_review_json(spark: SparkSession, d: str) -> DataFrame:
     return exports.review_json(rows, "2026-01-01T00:00:00.000Z")
 
 
+# --- what is written and read again ---------------------------------------------------------------
+
+
+def _new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; without a setting a temporary one, in local mode alone."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{root or tempfile.mkdtemp(prefix='spark-files-')}/{name}-{uuid.uuid4().hex}"
+
+
+_FILED = "SELECT app_id, filename, brand, class_type AS `classType`, abv * 3 AS abv, net_contents AS `netContents`, bottler_name AS `bottlerName`, bottler_address AS `bottlerAddress`, CASE WHEN app_id % 7 = 0 THEN '' ELSE country END AS `countryOfOrigin`, warning_required AS `govWarningRequired`, '' AS `applicationNotes`, CASE WHEN app_id % 10 = 0 THEN 'cider' ELSE beverage END AS `beverageType` FROM v_app"
+_FILED_SQL = _FILED.replace("`", '"')
+
+
+def _read_back(rows: DataFrame, errors: DataFrame) -> DataFrame:
+    """Rows and errors in one, without line numbers, which depend on how the rows were dealt over files."""
+    said = F.regexp_replace("message", "^(?:Line|Row) [0-9]+: ", "")
+    return rows.select("filename", "brand", "abv", F.lit(None).cast("string").alias("message")).unionByName(errors.select(said.alias("message")), allowMissingColumns=True)
+
+
+def _back_sql(message: str) -> str:
+    return f"SELECT CASE WHEN m IS NULL THEN filename END AS filename, CASE WHEN m IS NULL THEN brand END AS brand, CASE WHEN m IS NULL THEN abv END AS abv, m AS message FROM (SELECT *, {message} AS m FROM c)"
+
+
+@query(_back_sql("""CASE WHEN "beverageType" = 'cider' THEN 'beverageType must be one of distilled-spirits|wine|malt-beverage|unknown (got "cider").' WHEN abv > 100 THEN 'abv — ABV cannot exceed 100.' WHEN "countryOfOrigin" = '' THEN 'countryOfOrigin — Country of origin is required.' END"""), parts=f"c AS ({_FILED_SQL})")
+def read_expected_csv(spark: SparkSession, d: str) -> DataFrame:
+    folder = _new_folder(spark, "expected-csv")
+    exports.write_csv(over(spark, d, _FILED).select(*fixed.EXPECTED_COLUMNS), folder)
+    return _read_back(*sources.read_expected_csv(spark, folder))
+
+
+@query(_back_sql("""CASE WHEN abv > 100 THEN 'abv — ABV cannot exceed 100.' WHEN "countryOfOrigin" = '' THEN 'countryOfOrigin — Country of origin is required.' WHEN "beverageType" = 'cider' THEN 'beverageType — Invalid enum value.' END"""), parts=f"c AS ({_FILED_SQL})")
+def read_expected_json(spark: SparkSession, d: str) -> DataFrame:
+    """Files of at most 250 rows, as uploads have them."""
+    folder = _new_folder(spark, "expected-json")
+    entry = F.struct("filename", F.struct(*[c for c in fixed.EXPECTED_COLUMNS if c != "filename"]).alias("expected"))
+    files = over(spark, d, _FILED).groupBy(F.floor(F.col("app_id") / 250).alias("file")).agg(F.to_json(F.collect_list(entry)).alias("value"))
+    files.write.partitionBy("file").text(folder)
+    return _read_back(*sources.read_expected_json(spark, folder))
+
+
+@query("""SELECT label_id, CASE WHEN problems IS NULL THEN CASE WHEN brand_value IS NULL THEN 'null' ELSE 'string' END END AS kind, CASE WHEN problems IS NULL THEN brand_value END AS brand, CASE WHEN problems IS NULL THEN CASE WHEN label_id % 6 = 1 THEN 0 ELSE confidence END END AS confidence, CASE WHEN problems IS NULL THEN abv_text END AS abv_text, problems
+FROM (SELECT *, CASE WHEN label_id % 10 = 3 THEN '(root): not a JSON object' WHEN label_id % 9 = 0 AND label_id % 6 <> 1 THEN 'brand.confidence: must be between 0 and 1' END AS problems FROM v_ext)""")
+def read_extractions(spark: SparkSession, d: str) -> DataFrame:
+    """Readings as JSON: some brands are bare texts, some confidences above 1, some texts cut off."""
+
+    def reading(value: Column, sure: Column) -> Column:
+        return F.struct(value.cast("string").alias("value"), F.lit(None).cast("string").alias("evidenceQuote"), sure.alias("confidence"))
+
+    held = {"alcoholContentText": F.col("abv_text"), "netContents": F.col("net_text"), "countryOfOrigin": F.col("origin_value")}
+    sure = F.when(F.col("label_id") % 9 == 0, F.col("confidence") + 1).otherwise(F.col("confidence"))
+    rest = [reading(held.get(f, F.lit(None)), F.col("confidence")).alias(f) for f in fixed.EXTRACTED_FIELDS if f != "brand"]
+    rest += [F.array(F.col("quality_note")).alias("imageQualityNotes"), F.col("confidence").alias("extractionConfidence")]
+    whole, bare = (F.to_json(F.struct(brand.alias("brand"), *rest), {"ignoreNullFields": "false"}) for brand in (reading(F.col("brand_value"), sure), F.col("brand_value")))
+    json = F.when(F.col("label_id") % 10 == 3, F.left(whole, F.lit(40))).when(F.col("label_id") % 6 == 1, bare).otherwise(whole)
+    folder = _new_folder(spark, "readings")
+    frame(spark, d, "v_ext").select("label_id", json.alias("json")).write.parquet(folder)
+    good, bad = readings.read_extractions(spark.read.parquet(folder))
+    good = good.select("label_id", F.col("brand.value_type").alias("kind"), F.col("brand.value_str").alias("brand"), F.col("brand.confidence").alias("confidence"), F.col("alcoholContentText.value_str").alias("abv_text"))
+    return good.unionByName(bad.select("label_id", "problems"), allowMissingColumns=True)
+
+
+_ENVELOPES = "SELECT CAST(s_suppkey AS STRING) AS id, s_name AS brand, CASE s_suppkey % 5 WHEN 0 THEN 'mead' WHEN 1 THEN 'wine' ELSE 'beer' END AS `beverageType`, CASE s_suppkey % 3 WHEN 0 THEN 'pass' ELSE 'fail' END AS overall, CASE s_suppkey % 4 WHEN 0 THEN 'maybe' ELSE 'pass' END AS status FROM supplier"
+
+
+@query("""SELECT id, CASE WHEN p = '' THEN brand END AS brand, CASE WHEN p = '' THEN "beverageType" END AS beverage, CASE WHEN p = '' THEN overall END AS overall, CASE WHEN p = '' THEN status END AS status, nullif(p, '') AS problems
+FROM (SELECT *, concat_ws('; ', CASE WHEN "beverageType" = 'mead' THEN 'beverageType: Invalid enum value' END, CASE WHEN status = 'maybe' THEN 'fieldResults.status: Invalid enum value' END) AS p FROM c)""", parts=f"c AS ({_ENVELOPES})".replace("`", '"'))
+def read_reviews_json(spark: SparkSession, d: str) -> DataFrame:
+    folder = _new_folder(spark, "reviews-json")
+    field = F.struct(F.lit("brand").alias("field"), F.lit("Brand").alias("label"), F.col("status"), F.lit(0.5).alias("confidence"), F.lit("why").alias("explanation"))
+    rows = over(spark, d, _ENVELOPES).select("id", "brand", "beverageType", "overall", F.lit("2026-01-01").alias("createdAt"), F.lit("Ann").alias("reviewerName"), F.lit("v").alias("rulesVersion"), F.array(field).alias("fieldResults"))
+    exports.write_review_json(rows, folder, "2026-01-01T00:00:00.000Z")
+    good, bad = readings.read_reviews_json(spark, folder)
+    good = good.select("id", "brand", F.col("beverageType").alias("beverage"), "overall", F.get("fieldResults", F.lit(0))["status"].alias("status"))
+    return good.unionByName(bad.select(F.regexp_extract("file", "/id=([^/]+)/", 1).alias("id"), "problems"), allowMissingColumns=True)
+
+
+@query("SELECT review_id, batch_id, CASE WHEN batch_id % 2 = 0 THEN 'v0' ELSE 'v1' END AS version FROM v_review")
+def publish_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Two versions are published; of a third the reviews are written, but not the manifest, as after a crash."""
+    root = _new_folder(spark, "published")
+    reviews = frame(spark, d, "v_review").select("review_id", "batch_id")
+    for k in (0, 1):
+        mine = reviews.filter(F.col("batch_id") % 2 == k)
+        exports.publish_batch(mine.select("batch_id").distinct(), mine, root, f"v{k}")
+    reviews.write.parquet(f"{root}/reviews/version=v2")
+    return exports.read_published(spark, root, "reviews").select("review_id", "batch_id", "version")
+
+
 # --- text, number and rule projections -----------------------------------------------------------
 
 
@@ -422,6 +514,17 @@ def verify_pairs(spark: SparkSession, d: str) -> DataFrame:
     return verify_labels(_job_pairs(spark, d)).select("label_id", F.array_join(F.transform("field_results", lambda r: r["status"]), ",").alias("statuses"), "overall")
 
 
+@query(f"SELECT label_id, array_to_string(s, ',') AS statuses, {_OVERALL_SQL} AS overall FROM j3", parts=_JOB_PARTS)
+def verify_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The job over a stream of the files that hold the readings, joined to the table of applications."""
+    folder = _new_folder(spark, "verify-stream")
+    filed = ("brand", "class_type", "abv", "net_contents", "bottler_name", "bottler_address", "country", "warning_required", "beverage")
+    over(spark, d, _JOB).drop(*filed).withColumn("app_id", F.col("label_id") % 1000000).write.parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
+    jobs.start_verification(arriving, frame(spark, d, "v_app").select("app_id", *filed), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("label_id", F.array_join(F.transform("field_results", lambda r: r["status"]), ",").alias("statuses"), "overall")
+
+
 @query(f"SELECT beverage, overall, count(*) AS n FROM (SELECT beverage, {_OVERALL_SQL} AS overall FROM j3) GROUP BY ALL", parts=_JOB_PARTS)
 def verdicts_by_beverage(spark: SparkSession, d: str) -> DataFrame:
     return verify_labels(_job_pairs(spark, d)).groupBy("beverage", "overall").agg(F.count("*").alias("n"))
