@@ -22,13 +22,18 @@ def _get(where: str, kind: str) -> Column:
     return F.expr(f"try_variant_get(v, '{where}', '{kind}')")
 
 
+def _once(parsed: Column) -> Column:
+    """A parsed text as the row of a generator, which the optimizer does not copy into each expression that reads it."""
+    return F.explode(F.array(parsed)).alias("v")
+
+
 def read_extractions(raw: DataFrame, column: str = "json") -> tuple[DataFrame, DataFrame]:
     """(readings, quarantined): JSON texts as typed readings, the others with their problems joined by ``; ``.
 
     A bare scalar in place of a field becomes a reading of confidence 0. A reading keeps the type
     of its value: later steps treat a number where text belongs as nothing read.
     """
-    parsed = raw.withColumn("v", F.try_parse_json(column))
+    parsed = raw.select("*", _once(F.try_parse_json(column)))
     made, problems = {}, [F.when(F.col("v").isNull(), "(root): not a JSON object")]
     for f in fixed.EXTRACTED_FIELDS:
         own, inner = _kind(f"$.{f}"), _kind(f"$.{f}.value")
@@ -70,7 +75,7 @@ def scan_label_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 def read_reviews_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(reviews, quarantined) of exported review files, one envelope a file; unknown keys stay in ``rest``."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.expr("try_variant_get(try_parse_json(value), '$.review', 'variant')").alias("v"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), _once(F.expr("try_variant_get(try_parse_json(value), '$.review', 'variant')")))
     texts = ("id", "createdAt", "reviewerName", "beverageType", "rulesVersion", "overall", "brand")
     defaults = {"rawText": ("string", ""), "processingTimeMs": ("double", 0.0), "ocrConfidence": ("double", 0.0), "imageWidth": ("double", 0.0), "imageHeight": ("double", 0.0), "hasOverrides": ("boolean", False)}
     problems = [F.when(F.col("v").isNull(), "review: Required")]
