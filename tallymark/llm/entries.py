@@ -23,7 +23,7 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_table(spark))
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_table(spark), digests=licenses.digest_table(spark))
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

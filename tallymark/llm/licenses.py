@@ -89,6 +89,44 @@ KNOWN = (
     *((i, p.format(n)) for i, names in _NAMES.items() for n in names for p in _PHRASES),
 )
 
+#: SHA-256 of the canonical form of long texts, each as a whole and up to the end of its terms, with the two addresses
+#: of the Free Software Foundation and with http and https. A change of the canonical form needs new ones; a test says so.
+DIGESTS = {
+    "Apache-2.0": (
+        "036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b",
+        "f70a2718f78121f2da77cd6afbffffbd668d7c1fd36c85a3ef121e83cb5f48fe",
+        "45c5565dedc03ff2a570c67c5af611f8a3d0a0227c6e81d9fb11fbf0c004b959",
+        "6530dac82be99e5bbcc128a6caf5bfdd0451a21fe23ac3df15ed85a1c550c859",
+    ),
+    "MPL-2.0": (
+        "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",
+        "9eab7902f21bef0326dee4ed0cae1402c781cbf1f8e3dbeed6fbe176d641bb13",
+    ),
+    "CC0-1.0": (
+        "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    ),
+    "GPL-2.0": (
+        "331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6",
+        "1551b61aa183f987ecceedd8966ec1e9b2da3848f8862c2adedc0d82f41904ca",
+        "8d657eea7cb55320b5a1f94aae724b61dd96d5bbef37505b32f0c80ec1f15cca",
+        "448cf8c5c0971f72c82bb38d9ddaa10b773a02e96799f6ee8ade3a5c7ddb3161",
+    ),
+    "GPL-3.0": (
+        "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68",
+        "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636",
+        "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a",
+    ),
+    "LGPL-2.1": (
+        "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+        "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4",
+        "bd06b7347431b0fc243c0e32d1668ab362329b4a591386570abd310334f6fbdb",
+        "a5ac783c64dc7fa3fe7b641692ee7b8da491bd87f613c9bb99618a9469e71c47",
+    ),
+    "LGPL-3.0": (
+        "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    ),
+}
+
 
 def canonical(text: Column) -> Column:
     """The canonical form; empty if no letter or digit is left."""
@@ -104,15 +142,24 @@ def known_table(spark: SparkSession, known: Iterable[tuple[str, str]] = KNOWN) -
     return spark.createDataFrame(list(known), "license_id string, text string")
 
 
-def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digest_table(spark: SparkSession, digests: dict[str, tuple[str, ...]] = DIGESTS) -> DataFrame:
+    """license_id, digest"""
+    return spark.createDataFrame([(i, d) for i, found in digests.items() for d in found], "license_id string, digest string")
+
+
+def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: DataFrame | None = None) -> DataFrame:
     """doc_id, license_id (of the entire text, else null), line_licenses (of its lines, sorted, comma-joined), n_lines.
 
+    Known are the texts of ``known`` and those whose canonical form has one of ``digests``.
     One row for each row of ``docs``. A null or empty text has no licence. Of several identifiers
     of one canonical text the first in order counts. Lines shorter than the shortest known form
     by as much as a spelling can add cannot become one of them and are not hashed.
     """
     listed = known.select("license_id", canonical(F.col("text")).alias("form")).dropna().filter("form <> ''")
-    listed = listed.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"), F.min(F.char_length("form")).alias("size"))
+    listed = listed.select("license_id", F.sha2("form", 256).alias("digest"), F.char_length("form").alias("size"))
+    if digests is not None:
+        listed = listed.unionByName(digests.select("license_id", "digest"), allowMissingColumns=True)
+    listed = listed.groupBy("digest").agg(F.min("license_id").alias("license_id"), F.min("size").alias("size"))
     least = listed.agg(F.min("size")).first()[0] or 0
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("text_digest", F.sha2("text", 256))
     lines = base.filter(F.col("text").isNotNull()).select("doc_id", "text_digest", F.posexplode(F.split("text", "\n")).alias("line", "part")).filter(F.char_length("part") >= least // 2)
@@ -132,12 +179,13 @@ def _sql_form(text: str) -> str:
 
 SQL = f"""
 WITH k(license_id, text) AS (VALUES {", ".join("('" + i + "', '" + t.replace("'", "''") + "')" for i, t in KNOWN)}),
-l AS (SELECT {_sql_form("text")} AS form, min(license_id) AS license_id FROM k GROUP BY 1),
+n(license_id, digest) AS (VALUES {", ".join(f"('{i}', '{d}')" for i, found in DIGESTS.items() for d in found)}),
+l AS (SELECT digest, min(license_id) AS license_id FROM (SELECT license_id, sha256({_sql_form("text")}) AS digest FROM k UNION ALL SELECT * FROM n) GROUP BY 1),
 d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
 p AS (SELECT rid, unnest(string_split(text, chr(10))) AS part FROM d),
-q AS (SELECT rid, {_sql_form("part")} AS form FROM p),
-m AS (SELECT q.rid, string_agg(DISTINCT l.license_id, ',' ORDER BY l.license_id) AS line_licenses, count(*) AS n_lines FROM q JOIN l ON l.form = q.form GROUP BY q.rid),
-w AS (SELECT rid, {_sql_form("text")} AS form FROM d)
+q AS (SELECT rid, sha256({_sql_form("part")}) AS digest FROM p),
+m AS (SELECT q.rid, string_agg(DISTINCT l.license_id, ',' ORDER BY l.license_id) AS line_licenses, count(*) AS n_lines FROM q JOIN l ON l.digest = q.digest GROUP BY q.rid),
+w AS (SELECT rid, sha256({_sql_form("text")}) AS digest FROM d)
 SELECT d.doc_id, l.license_id, coalesce(m.line_licenses, '') AS line_licenses, coalesce(m.n_lines, 0) AS n_lines
-FROM d LEFT JOIN m ON m.rid = d.rid JOIN w ON w.rid = d.rid LEFT JOIN l ON l.form = w.form
+FROM d LEFT JOIN m ON m.rid = d.rid JOIN w ON w.rid = d.rid LEFT JOIN l ON l.digest = w.digest
 """

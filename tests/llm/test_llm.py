@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -158,6 +159,21 @@ def test_licenses_wrapped_and_titled_anew(spark):
     assert got == {0: "Apache-2.0", 1: "GPL-2.0-or-later", 2: "BSD-3-Clause"}
 
 
+def test_licenses_by_digest(spark):
+    """Digests of long texts, against the copies that many systems hold; without these, against a text of our own."""
+    own = "Some Terms\n\nCopyright (c) 2020 A\n\nYou may do as you like, and no favour is owed."
+    form = spark.createDataFrame([(own,)], "text string").select(F.sha2(licenses.canonical(F.col("text")), 256)).first()[0]
+    where = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows, want = [(0, own.upper().replace("\n", "\n# ").replace("DO AS", "DO\n# AS"))], {0: "Own"}
+    for k, (name, i) in enumerate(where.items(), 1):
+        if (file := Path("/usr/share/common-licenses", name)).exists():
+            rows.append((k, "\n".join(" * " + x for x in file.read_text().split("\n"))))
+            want[k] = i
+    digests = licenses.digest_table(spark, licenses.DIGESTS | {"Own": (form,)})
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_table(spark), digests=digests).collect()
+    assert {r.doc_id: r.license_id for r in got} == want
+
+
 def test_html():
     assert htmltext.main_text("<nav>Menu</nav><article><h1>T&amp;x</h1><p>A  b<br>c<p>D.<div class=ad>Buy</div><form>f</form></article><footer>c</footer>") == "T&x\n\nA b c\n\nD."
     assert htmltext.main_text("<body><div class=nav><a>Home</a></div><div><p>A long sentence, with marks. And one more, to be sure.</p><p>Again a long one, with marks.</p></div><ul><li><a>x</a><li><a>y</a></ul></body>") == "A long sentence, with marks. And one more, to be sure.\n\nAgain a long one, with marks."
