@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import decontam, htmltext, langid, licenses, packing, pii, quality, simhash, substrings, urlrules
+from tallymark.llm import decontam, htmltext, langid, licenses, packing, pii, quality, simhash, spelling, substrings, urlrules
 from tallymark.llm._common import table
 
 
@@ -50,6 +50,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_substrings": op9_substrings,
     "op10_langid": op10_langid,
+    "op11_spelling": op11_spelling,
 }
 ORACLES: dict[str, str] = {
     "op3_url_rules": urlrules.SQL,
