@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import alignment, decontam, htmltext, langid, licenses, packing, pii, quality, simhash, spelling, substrings, urlrules
+from tallymark.llm import alignment, decontam, htmltext, langid, licenses, packing, pii, quality, simhash, spelling, substrings, toxicity, urlrules
 from tallymark.llm._common import table
 
 
@@ -54,6 +54,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substrings": op9_substrings,
     "op10_langid": op10_langid,
     "op11_spelling": op11_spelling,
+    "op12_toxicity": op12_toxicity,
     "op13_alignment": op13_alignment,
 }
 ORACLES: dict[str, str] = {
