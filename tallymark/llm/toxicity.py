@@ -38,8 +38,8 @@ MARGIN, ERRORS = 1.0, 1.64
 #: Words between a lexicon word and a second person that count as near.
 NEAR = 5
 TREES, DEPTH, RATE, BINS, LEAST_LEAF, L2 = 80, 3, 0.15, 32, 5.0, 1.0
-#: Words whose weight a task remembers.
-REMEMBERED = 1 << 19
+#: Tokens that a task remembers.
+REMEMBERED = 1 << 18
 
 INSULTS = frozenset(
     "idiot idiots idiotic moron morons moronic stupid dumb dumbass fool loser losers pathetic worthless scum trash garbage clown disgusting "
@@ -51,13 +51,17 @@ INSULTS = frozenset(
 )
 SECOND_PERSON = frozenset("you your yours yourself u ur youre du dich dir dein deine euch ihr tu te toi ton ta tes vous votre usted ustedes tú ti vosotros".split())
 
+_TOLD = INSULTS | SECOND_PERSON
 _WORD = re.compile(r"[^\W\d_]+")
-# A token with marks or digits between or for letters; letters one by one; a letter three times over.
-_MIXED = re.compile(r"[^\W\d_]+[0-9@$!*#.\-_]+[^\W\d_]\w*")
+# A token with marks or digits between or for letters; letters one by one; a letter three times over; three capitals.
+_MIXED = re.compile(r"[^\W\d_]\w*(?:[@$!*#.\-_0-9]+\w+)+")
 _SPACED = re.compile(r"(?<!\w)[^\W\d_](?:[ .\-_*][^\W\d_](?!\w)){3,}")
 _LONG = re.compile(r"([^\W\d_])\1{2,}")
 _BANGS = re.compile(r"[!?]{2,}")
 _PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": "", ".": "", "-": "", "_": "", "#": "", " ": ""})
+_AROUND = ".,;:!?…()[]{}<>\"'«»“”„‘’|/"
+_BETWEEN = np.zeros(256, bool)
+_BETWEEN[[ord(c) for c in " .-_*"]] = True
 
 FEATURES = ("insult_density", "insults", "learned_density", "learned", "learned_most", "near_person", "person_density", "capitals", "shouted", "bangs", "questions", "repeated_marks", "marks", "mixed", "spaced", "lengthened", "hidden", "words")
 
@@ -68,60 +72,85 @@ def stems(word: str) -> list[str]:
 
 
 class Weights:
-    """The learned weight of a word, the most of its own and its beginnings'; words seen before are remembered."""
+    """What a token (without white space, lower-cased) adds to a text's numbers; tokens seen before are remembered."""
 
     def __init__(self, lexicon: dict[str, float]) -> None:
         self.lexicon, self.seen = lexicon, {}
 
-    def __call__(self, word: str) -> float:
-        if (w := self.seen.get(word)) is None:
+    def word(self, word: str) -> float:
+        """The learned weight of a word, the most of its own and its beginnings'."""
+        get, most = self.lexicon.get, self.lexicon.get(word, 0.0)
+        for n in STEMS:
+            if n >= len(word):
+                break
+            if (w := get(word[:n] + "|", 0.0)) > most:
+                most = w
+        return most
+
+    def listed(self, word: str) -> bool:
+        return word in INSULTS or self.word(word) > 0
+
+    def __call__(self, token: str) -> tuple[float, ...]:
+        """Words, letters, insults, learned weight, the most of it, words of the second person, mixed, lengthened, and hidden ones."""
+        if (found := self.seen.get(token)) is None:
             if len(self.seen) >= REMEMBERED:
                 self.seen.clear()
-            w = self.seen[word] = max((self.lexicon.get(s, 0.0) for s in stems(word)), default=0.0)
-        return w
-
-
-def _hidden(text: str, lowered: str, weight: Weights) -> tuple[int, int, int, int]:
-    """Mixed, spaced and lengthened tokens, and how many of these are in the lexicon once cleaned up."""
-    mixed, spaced = _MIXED.findall(lowered), _SPACED.findall(lowered)
-    lengthened = [w for w in _WORD.findall(lowered) if _LONG.search(w)] if _LONG.search(lowered) else []
-    clean = [m.translate(_PLAIN) for m in (*mixed, *spaced)] + [_LONG.sub(r"\1", w) for w in lengthened]
-    return len(mixed), len(spaced), len(lengthened), sum(c in INSULTS or weight(c) > 0 for c in clean)
+            if token.isalpha() and not self.word(token) and token not in _TOLD and not _LONG.search(token):  # most tokens
+                found = self.seen[token] = (1, len(token), 0, 0.0, 0.0, 0, 0, 0, 0)
+                return found
+            words = [token] if token.isalpha() else _WORD.findall(token)
+            weights = [self.word(w) for w in words]
+            bare = token.strip(_AROUND)
+            mixed, long = not bare.isalpha() and _MIXED.fullmatch(bare) is not None, _LONG.search(token) is not None
+            clean = {*([bare.translate(_PLAIN)] if mixed else []), *([_LONG.sub(r"\1", w) for w in words] if long else [])}
+            found = self.seen[token] = (
+                len(words), sum(map(len, words)), sum(w in INSULTS for w in words), sum(weights), max(weights, default=0.0),
+                sum(w in SECOND_PERSON for w in words), int(mixed), int(long), int(any(map(self.listed, clean))),
+            )
+        return found
+
+
+def _near_person(lowered: str, weight: Weights) -> int:
+    """Listed words with a second person at most NEAR words away."""
+    words = _WORD.findall(lowered)
+    listed = {w for w in set(words) if weight.listed(w)}
+    person, said = (np.array([k for k, w in enumerate(words) if w in some]) for some in (SECOND_PERSON, listed))
+    if not len(person) or not len(said):
+        return 0
+    at = np.searchsorted(person, said)
+    gap = np.minimum(np.abs(said - person[np.minimum(at, len(person) - 1)]), np.abs(said - person[np.maximum(at - 1, 0)]))
+    return int((gap <= NEAR).sum())
 
 
 def features(text: str, weight: Weights) -> list[float]:
     """The numbers of ``FEATURES``; an empty text has zeros."""
     lowered = text.lower()
-    words = _WORD.findall(lowered)
-    counts = Counter(words)
-    insults, learned, most, people = 0, 0.0, 0.0, 0
-    flagged = set()
-    for w, n in counts.items():
-        here = weight(w)
-        if w in INSULTS:
-            insults += n
-            flagged.add(w)
-        if here > 0:
-            learned += n * here
-            most = max(most, here)
-            flagged.add(w)
-        if w in SECOND_PERSON:
-            people += n
-    near = 0
-    if flagged and people:
-        person = np.array([k for k, w in enumerate(words) if w in SECOND_PERSON])
-        said = np.array([k for k, w in enumerate(words) if w in flagged])
-        at = np.searchsorted(person, said)
-        gap = np.minimum(np.abs(said - person[np.minimum(at, len(person) - 1)]), np.abs(said - person[np.maximum(at - 1, 0)]))
-        near = int((gap <= NEAR).sum())
-    n, letters = max(len(words), 1), max(sum(map(len, words)), 1)
-    capitals = sum(map(str.isupper, text)) if text != lowered else 0
-    shouted = sum(1 for w in _WORD.findall(text) if len(w) > 2 and w.isupper()) if capitals > 2 else 0
-    mixed, spaced, lengthened, hidden = _hidden(text, lowered, weight)
-    marks = len(text) - letters - text.count(" ") - text.count("\n")
+    n_words = n_letters = insults = people = mixed = lengthened = hidden = 0
+    learned = most = 0.0
+    for token, n in Counter(lowered.split()).items():
+        words, letters, insult, value, top, person, mix, long, hide = weight(token)
+        n_words += n * words
+        n_letters += n * letters
+        if insult or person or value or mix or long:
+            insults += n * insult
+            learned += n * value
+            most = max(most, top)
+            people += n * person
+            mixed += n * mix
+            lengthened += n * long
+            hidden += n * hide
+    near = _near_person(lowered, weight) if people and (insults or learned) else 0
+    points, low = (np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32) for t in (text, lowered))
+    capital = points != low if len(points) == len(low) else np.fromiter(map(str.isupper, text), bool, len(text))
+    shouted = sum(len(w) > 2 and w.isupper() for w in _WORD.findall(text)) if (capital[2:] & capital[1:-1] & capital[:-2]).any() else 0
+    between = _BETWEEN[np.minimum(points, 255)]
+    spaced = _SPACED.findall(lowered) if (between[4:] & between[2:-2] & between[:-4]).any() else []
+    hidden += sum(weight.listed(t.translate(_PLAIN)) for t in spaced)
+    n, asked, called = max(n_words, 1), text.count("?"), text.count("!")
+    marks = len(text) - n_letters - text.count(" ") - text.count("\n")
     return [
-        insults / n, math.log1p(insults), learned / n, math.log1p(learned), most, near / n, people / n, capitals / letters, shouted / n,
-        text.count("!") / n, text.count("?") / n, len(_BANGS.findall(text)) / n, marks / max(len(text), 1), mixed / n, spaced / n, lengthened / n, math.log1p(hidden), math.log1p(len(words)),
+        insults / n, math.log1p(insults), learned / n, math.log1p(learned), most, near / n, people / n, int(capital.sum()) / max(n_letters, 1), shouted / n,
+        called / n, asked / n, len(_BANGS.findall(text)) / n if asked + called > 1 else 0.0, marks / max(len(text), 1), mixed / n, len(spaced) / n, lengthened / n, math.log1p(hidden), math.log1p(n_words),
     ]
 
 

@@ -30,7 +30,7 @@ def test_labels_of_held_out_rows_do_not_count(spark):
 
 def test_features():
     weight = toxicity.Weights({"blorb": 3.0, "quax|": 2.0})
-    f = dict(zip(toxicity.FEATURES, toxicity.features("You IDIOT!! a b c d e f g h i blorb and quaxter st*pid1x m.o.r.o.n l o s e r stuuupid", weight), strict=True))
+    f = dict(zip(toxicity.FEATURES, toxicity.features("You IDIOT!! a b c d e f g h i blorb and quaxter st*pid1x m.o.r.o.n then l o s e r then stuuupid", weight), strict=True))
     assert f["insults"] == np.log1p(1) and f["learned"] == np.log1p(5) and f["learned_most"] == 3
     assert f["near_person"] > 0 and f["shouted"] > 0 and f["repeated_marks"] > 0 and f["spaced"] > 0 and f["lengthened"] > 0
     assert f["hidden"] >= np.log1p(3)  # m.o.r.o.n, l o s e r, stuuupid
