@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import fixed
 from tallymark.functions.text import check_statement
+from tallymark.operators.ranks import order_statistics
 
 
 def score_golden_join(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
@@ -14,17 +15,24 @@ def score_golden_join(expected: DataFrame, actual: DataFrame, keys: list[str]) -
     return expected.join(actual, keys, "left").withColumn("matched", F.coalesce(F.array_contains("allowed", F.col("actual")), F.lit(False)))
 
 
+def _shown(shares: tuple[float, ...], found: dict[float, float | None]) -> list[Column]:
+    return [F.lit(found[q] if found[q] is not None else 0.0).cast("double").alias(f"p{round(q * 100)}") for q in shares]
+
+
 def latency_quantiles(runs: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """p50, p95 and so on, interpolated; 0 for no rows."""
-    return runs.agg(*[F.coalesce(F.percentile(value, F.lit(q)), F.lit(0.0)).alias(f"p{round(q * 100)}") for q in shares])
+    """p50, p95 and so on, interpolated; 0 for no rows. The rows are looked at when this is called."""
+    return runs.sparkSession.range(1).select(*_shown(shares, order_statistics(runs, value, shares)))
 
 
 def score_golden(results: DataFrame) -> DataFrame:
     """Totals, accuracy over cases that ran, latency and cost, of (skipped, matched, latency_ms, cost_usd)."""
     ran = ~F.col("skipped")
     n_ran, passed = F.count_if(ran), F.count_if(ran & F.col("matched"))
-    latency, cost = F.when(ran, F.col("latency_ms")), F.when(ran, F.col("cost_usd"))
-    return results.agg(F.count("*").alias("total"), F.count_if("skipped").alias("skipped"), n_ran.alias("ran"), passed.alias("passed"), (n_ran - passed).alias("failed"), F.coalesce(passed / F.nullif(n_ran, F.lit(0)), F.lit(0.0)).alias("accuracy"), *[F.coalesce(F.percentile(latency, F.lit(q)), F.lit(0.0)).alias(f"p{round(q * 100)}") for q in (0.5, 0.95)], F.round(F.coalesce(F.avg(cost), F.lit(0.0)), 9).alias("avg_cost"), F.round(F.coalesce(F.sum(cost), F.lit(0.0)), 9).alias("total_cost"))
+    cost = F.when(ran, F.col("cost_usd"))
+    shares = (0.5, 0.95)
+    times = _shown(shares, order_statistics(results.filter(ran), "latency_ms", shares))
+    totals = results.agg(F.count("*").alias("total"), F.count_if("skipped").alias("skipped"), n_ran.alias("ran"), passed.alias("passed"), (n_ran - passed).alias("failed"), F.coalesce(passed / F.nullif(n_ran, F.lit(0)), F.lit(0.0)).alias("accuracy"), F.round(F.coalesce(F.avg(cost), F.lit(0.0)), 9).alias("avg_cost"), F.round(F.coalesce(F.sum(cost), F.lit(0.0)), 9).alias("total_cost"))
+    return totals.select("total", "skipped", "ran", "passed", "failed", "accuracy", *times, "avg_cost", "total_cost")
 
 
 def tag_breakdown(cases: DataFrame, tags: str = "tags") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions.text import filename_key
+from tallymark.operators.ranks import with_places
 
 
 def _position(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -68,9 +69,9 @@ def hydrate_batch(batches: DataFrame, reviews: DataFrame) -> tuple[DataFrame, Da
 
 
 def assign_app_ids(df: DataFrame, source: str, order: str) -> DataFrame:
-    """app_id by position within the source: APP-2026-0001, and APP-2026-R001 for photos."""
-    n = F.row_number().over(Window.partitionBy(source).orderBy(order)).cast("string")
-    return df.withColumn("app_id", F.when(F.col(source) == "photo", F.concat(F.lit("APP-2026-R"), F.lpad(n, F.greatest(F.lit(3), F.length(n)), F.lit("0")))).otherwise(F.concat(F.lit("APP-2026-"), F.lpad(n, F.greatest(F.lit(4), F.length(n)), F.lit("0")))))
+    """app_id by position within the source: APP-2026-0001, and APP-2026-R001 for photos. Few sources hold all rows, so places are counted over ranges."""
+    n = F.col("_place").cast("string")
+    return with_places(df, source, order, "_place").withColumn("app_id", F.when(F.col(source) == "photo", F.concat(F.lit("APP-2026-R"), F.lpad(n, F.greatest(F.lit(3), F.length(n)), F.lit("0")))).otherwise(F.concat(F.lit("APP-2026-"), F.lpad(n, F.greatest(F.lit(4), F.length(n)), F.lit("0"))))).drop("_place")
 
 
 def union_queue(synthetic: DataFrame, photos: DataFrame, order: str) -> DataFrame:
@@ -81,10 +82,14 @@ def union_queue(synthetic: DataFrame, photos: DataFrame, order: str) -> DataFram
 
 
 def cap_batch(new: DataFrame, queued: DataFrame, importer: str, order: str, cap: int) -> DataFrame:
-    """Of each importer's new rows, the first that fit under the cap beside those queued."""
+    """Of each importer's new rows, the first that fit under the cap beside those queued.
+
+    No importer has more than ``cap``, whatever is queued: that limit is a number, so each task keeps its first ``cap`` rows of an importer before the shuffle.
+    """
     waiting = queued.groupBy(importer).agg(F.count("*").alias("_queued"))
-    ranked = _position(new, importer, order).join(waiting, importer, "left")
-    return ranked.filter(F.col("_rn") <= F.greatest(F.lit(0), F.lit(cap) - F.coalesce("_queued", F.lit(0)))).drop("_rn", "_queued")
+    first = _position(new, importer, order).filter(F.col("_rn") <= cap)
+    ranked = first.join(waiting, importer, "left")
+    return ranked.filter(F.col("_rn") <= F.lit(cap) - F.coalesce("_queued", F.lit(0))).drop("_rn", "_queued")
 
 
 def longest_match(df: DataFrame, text: str, phrases: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +12,11 @@ from tallymark.operators.pairing import latest_version
 
 
 def upsert_reviews(history: DataFrame, changes: DataFrame, key: str = "review_id") -> DataFrame:
-    """The history with each change put in: a row of the same key is replaced."""
-    both = history.withColumn("_put", F.lit(0)).unionByName(changes.withColumn("_put", F.lit(1)))
-    return latest_version(both, key, "_put").drop("_put")
+    """The history with each change put in: a row of the same key is replaced. Keys of ``changes`` are unique.
+
+    For a stored history, of which only a part should be written again, see ``sources.versions``.
+    """
+    return history.join(changes.select(key), key, "left_anti").unionByName(changes)
 
 
 def delete_reviews(history: DataFrame, ids: DataFrame, key: str = "review_id") -> DataFrame:
@@ -61,6 +65,19 @@ def retry_failed(items: DataFrame) -> DataFrame:
     return items.withColumns({"status": F.when(failed, "queued").otherwise(F.col("status")), "error": F.when(~failed, F.col("error"))})
 
 
+def rerun_failed(items: DataFrame, inputs: DataFrame, check: Callable[[DataFrame], DataFrame], key: str = "review_id") -> DataFrame:
+    """``items`` (key, status, error, version and results) whose failed rows are checked again and merged by version.
+
+    check: from rows of ``inputs`` (key and what is checked) to (key, results); only the failed rows' inputs go through it. A row that it gives back is complete under
+    the next version; one that has no input, or that it leaves out, stays failed. Once nothing is failed, a run changes nothing.
+    """
+    failed = items.filter(F.col("status") == "failed")
+    done = check(inputs.join(failed.select(key), key, "left_semi"))
+    results = [c for c in done.columns if c != key]
+    kept = failed.drop(*results).join(done, key).withColumns({"status": F.lit("complete"), "error": F.lit(None).cast("string"), "version": F.col("version") + 1})
+    return latest_version(items.unionByName(kept.select(items.columns)), key, "version")
+
+
 def snapshot_completed(items: DataFrame, running: bool, started: Column) -> DataFrame:
     """The completed rows as an export of a batch that may still run."""
     reviewer = F.when(F.coalesce(F.trim("reviewer"), F.lit("")) == "", "—").otherwise(F.col("reviewer"))

@@ -14,8 +14,8 @@ from tallymark.operators import evaluate, judge, locate, pairing, quality, redli
 from tallymark.plans.verify import spread, verify_labels
 from tallymark.plans.views import frame, over, with_views
 from tallymark.sources import expected as sources
-from tallymark.sources import exports, readings
-from tallymark.streaming import jobs
+from tallymark.sources import exports, readings, versions
+from tallymark.streaming import jobs, states
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,6 +94,32 @@ def delete_reviews(spark: SparkSession, d: str) -> DataFrame:
     return review.delete_reviews(frame(spark, d, "v_review").select("review_id", "overall"), over(spark, d, "SELECT review_id FROM v_review WHERE review_id % 3 = 0"))
 
 
+_VERSIONS = "SELECT review_id, overall, brand FROM v_review"
+
+
+def _put(version: int) -> str:
+    """The changes of a version: some rows again with another verdict, and as many new ones."""
+    return f"SELECT review_id, concat('again-', overall) AS overall, concat('v{version}') AS brand FROM v_review WHERE review_id % 40 = {version} UNION ALL SELECT -review_id * 10 - {version}, overall, 'new' FROM v_review WHERE review_id > 0 AND review_id % 40 = {version}"
+
+
+@query(
+    "SELECT 1 AS version, * FROM v1 UNION ALL SELECT 2, * FROM v2 UNION ALL SELECT 3, * FROM v3 UNION ALL SELECT 4, * FROM v4 UNION ALL SELECT 5, * FROM v4 WHERE review_id % 3 <> 0",
+    parts=f"v1 AS ({_VERSIONS}), " + ", ".join(f"c{k} AS ({_put(k)}), v{k} AS (SELECT * FROM v{k - 1} WHERE review_id NOT IN (SELECT review_id FROM c{k}) UNION ALL SELECT * FROM c{k})" for k in (2, 3, 4)),
+)
+def versioned_reviews(spark: SparkSession, d: str) -> DataFrame:
+    """A stored history, three sets of changes and a deletion; all five versions as they can be read afterwards."""
+    root = _new_folder(spark, "reviews")
+    versions.create(over(spark, d, _VERSIONS), root, buckets=16)
+    for k in (2, 3, 4):
+        versions.upsert(spark, root, over(spark, d, _put(k)))
+    versions.delete(spark, root, versions.read(spark, root).filter("review_id % 3 = 0"))
+    read = [versions.read(spark, root, k).select(F.lit(k).alias("version"), "review_id", "overall", "brand") for k in versions.versions(spark, root)]
+    out = read[0]
+    for more in read[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 @query("SELECT count(*) AS n FROM v_review")
 def count_reviews(spark: SparkSession, d: str) -> DataFrame:
     return review.count_reviews(frame(spark, d, "v_review"))
@@ -136,6 +162,20 @@ def _back_sql(message: str) -> str:
     return f"SELECT CASE WHEN m IS NULL THEN filename END AS filename, CASE WHEN m IS NULL THEN brand END AS brand, CASE WHEN m IS NULL THEN abv END AS abv, m AS message FROM (SELECT *, {message} AS m FROM c)"
 
 
+@query(
+    f"SELECT filename, brand, abv, NULL AS message FROM c WHERE app_id % 4 <> 3 UNION ALL SELECT NULL, NULL, NULL, 'CSV header row is missing required column(s): beverageType.'",
+    parts="c AS (SELECT app_id, filename, brand, abv FROM v_app)",
+)
+def read_expected_csv_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Files of one folder with columns in three orders, one with a further column, and a file that lacks one, of which no row is read."""
+    folder = _new_folder(spark, "expected-headers")
+    rows = over(spark, d, _FILED.replace("abv * 3", "abv").replace("'cider'", "beverage").replace("WHEN app_id % 7 = 0 THEN '' ELSE country", "WHEN TRUE THEN country")).withColumn("part", F.col("app_id") % 4)
+    names = list(fixed.EXPECTED_COLUMNS)
+    for k, order in enumerate((names, names[::-1], [*names[5:], "internal note", *names[:5]], [n for n in names if n != "beverageType"])):
+        rows.filter(F.col("part") == k).withColumn("internal note", F.lit("x, y")).select(*order).coalesce(1).write.option("header", True).mode("append").csv(folder)
+    return _read_back(*sources.read_expected_csv(spark, folder))
+
+
 @query(_back_sql("""CASE WHEN "beverageType" = 'cider' THEN 'beverageType must be one of distilled-spirits|wine|malt-beverage|unknown (got "cider").' WHEN abv > 100 THEN 'abv — ABV cannot exceed 100.' WHEN "countryOfOrigin" = '' THEN 'countryOfOrigin — Country of origin is required.' END"""), parts=f"c AS ({_FILED_SQL})")
 def read_expected_csv(spark: SparkSession, d: str) -> DataFrame:
     folder = _new_folder(spark, "expected-csv")
@@ -480,7 +520,7 @@ def apply_overlays(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _job_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return spread(over(spark, d, _JOB))
+    return spread(over(spark, d, _JOB), frame(spark, d, "part").select("p_partkey"))
 
 
 _JOB = f"SELECT e.label_id, e.brand_value, e.abv_text, e.net_text, e.bottler_evidence, {_ADDRESS_READ} AS address_value, CASE WHEN e.label_id % 9 <> 0 THEN a.bottler_name END AS bottler_value, CASE WHEN e.label_id % 3 = 0 THEN upper(a.class_type) ELSE a.class_type END AS class_value, CASE WHEN e.label_id % 4 < 3 THEN concat('Made in ', a.country) END AS origin_value, s.statement AS raw_text, CAST(NULL AS STRING) AS statement_text, e.confidence, e.image_poor, a.brand, a.class_type, a.abv, a.net_contents, a.bottler_name, a.bottler_address, a.country, a.warning_required, a.beverage FROM v_ext e JOIN v_app a ON a.app_id = e.label_id % 1000000 JOIN v_statement s ON s.label_id = a.app_id"
@@ -525,6 +565,32 @@ def verify_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select("label_id", F.array_join(F.transform("field_results", lambda r: r["status"]), ",").alias("statuses"), "overall")
 
 
+@query(
+    f"SELECT j3.label_id, array_to_string(s, ',') AS statuses, {_OVERALL_SQL} AS overall, NULL AS reason FROM j3 WHERE label_id % 29 <> 0 AND label_id % 31 <> 0 AND label_id % 37 <> 0"
+    " UNION ALL SELECT CASE WHEN label_id % 29 <> 0 THEN label_id END, NULL, NULL, CASE WHEN label_id % 29 = 0 THEN 'malformed' WHEN label_id % 31 = 0 THEN 'no application' ELSE 'check failed: unreadable' END FROM j3 WHERE label_id % 29 = 0 OR label_id % 31 = 0 OR label_id % 37 = 0",
+    parts=_JOB_PARTS,
+)
+def verify_stream_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """JSON lines in several micro-batches: some lines are cut off, some labels have no application, and a reader raises on others."""
+    folder = _new_folder(spark, "verify-quarantine")
+    filed = ("brand", "class_type", "abv", "net_contents", "bottler_name", "bottler_address", "country", "warning_required", "beverage")
+    labels = over(spark, d, _JOB).drop(*filed)
+    line = F.to_json(F.struct(*labels.columns))
+    labels.select(F.when(F.col("label_id") % 29 == 0, F.substr(line, F.lit(1), F.length(line) - 9)).otherwise(line).alias("value")).repartition(4).write.text(f"{folder}/in")
+    applications = over(spark, d, _JOB).select("label_id", *filed).filter("label_id % 31 <> 0")
+    arriving = jobs.labels_arriving(spark, f"{folder}/in", labels.schema, files=2)
+    jobs.start_verification(arriving, applications, f"{folder}/out", f"{folder}/state", "label_id", _raises_on_some).awaitTermination()
+    done = spark.read.parquet(f"{folder}/out").select("label_id", F.array_join(F.transform("field_results", lambda r: r["status"]), ",").alias("statuses"), "overall", F.lit(None).cast("string").alias("reason"))
+    return done.unionByName(spark.read.parquet(f"{folder}/out-quarantine").select("label_id", "reason"), allowMissingColumns=True)
+
+
+def _raises_on_some(job: dict) -> str:
+    """A reader of labels for the query above."""
+    if job["label_id"] % 37 == 0:
+        raise ValueError("unreadable")
+    return "read"
+
+
 @query(f"SELECT beverage, overall, count(*) AS n FROM (SELECT beverage, {_OVERALL_SQL} AS overall FROM j3) GROUP BY ALL", parts=_JOB_PARTS)
 def verdicts_by_beverage(spark: SparkSession, d: str) -> DataFrame:
     return verify_labels(_job_pairs(spark, d)).groupBy("beverage", "overall").agg(F.count("*").alias("n"))
@@ -573,15 +639,23 @@ def pending_queue(spark: SparkSession, d: str) -> DataFrame:
     return pairing.pending_queue(over(spark, d, "SELECT app_id % 200 AS scenario_id, app_id FROM v_app"), frame(spark, d, "v_review"))
 
 
-@query("SELECT batch_id, rn - 1 AS pos, review_id, overall FROM (SELECT batch_id, review_id, overall, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY review_id) AS INTEGER) AS rn FROM v_review)")
+#: Batches of at most one upload's rows.
+_BATCHED = f"SELECT *, CAST(floor(review_id / {fixed.CAP}) AS BIGINT) AS upload FROM v_review"
+
+
+def _uploads(spark: SparkSession, d: str) -> DataFrame:
+    return over(spark, d, _BATCHED).drop("batch_id").withColumnRenamed("upload", "batch_id")
+
+
+@query("SELECT upload AS batch_id, rn - 1 AS pos, review_id, overall FROM (SELECT upload, review_id, overall, CAST(row_number() OVER (PARTITION BY upload ORDER BY review_id) AS INTEGER) AS rn FROM b)", parts=f"b AS ({_BATCHED})")
 def hydrate_batch(spark: SparkSession, d: str) -> DataFrame:
-    batches = frame(spark, d, "v_review").groupBy("batch_id").agg(F.concat(F.array_sort(F.collect_list("review_id")), F.array(F.lit(-1).cast("long"))).alias("review_ids"))
+    batches = _uploads(spark, d).groupBy("batch_id").agg(F.concat(F.array_sort(F.collect_list("review_id")), F.array(F.lit(-1).cast("long"))).alias("review_ids"))
     return pairing.hydrate_batch(batches, frame(spark, d, "v_review").select("review_id", "overall"))[0].select("batch_id", "pos", "review_id", "overall")
 
 
-@query("SELECT batch_id, count(*) FILTER (review_id % 7 = 0) AS n_missing FROM v_review GROUP BY batch_id HAVING count(*) FILTER (review_id % 7 = 0) > 0")
+@query("SELECT upload AS batch_id, count(*) FILTER (review_id % 7 = 0) AS n_missing FROM b GROUP BY upload", parts=f"b AS ({_BATCHED})")
 def hydrate_batch_missing(spark: SparkSession, d: str) -> DataFrame:
-    batches = frame(spark, d, "v_review").groupBy("batch_id").agg(F.collect_list("review_id").alias("review_ids"))
+    batches = _uploads(spark, d).groupBy("batch_id").agg(F.collect_list("review_id").alias("review_ids"))
     return pairing.hydrate_batch(batches, frame(spark, d, "v_review").filter("review_id % 7 <> 0").select("review_id"))[1]
 
 
@@ -708,11 +782,10 @@ def validate_final_decisions(spark: SparkSession, d: str) -> DataFrame:
     return good.select("review_id", F.lit(True).alias("valid")).unionByName(bad.select("review_id", F.lit(False).alias("valid")))
 
 
-@query("SELECT batch_id, count(*) FILTER (held) + 1 AS n_files, string_agg(CAST(review_id AS VARCHAR), ',' ORDER BY review_id) FILTER (held) AS listed FROM (SELECT batch_id, review_id, review_id % 7 <> 0 AS held FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY review_id) AS rn FROM v_review) WHERE rn <= 250) GROUP BY batch_id")
+@query("SELECT upload AS batch_id, count(*) FILTER (held) + 1 AS n_files, string_agg(CAST(review_id AS VARCHAR), ',' ORDER BY review_id) FILTER (held) AS listed FROM (SELECT upload, review_id, review_id % 7 <> 0 AS held FROM b) GROUP BY upload", parts=f"b AS ({_BATCHED})")
 def write_batch_bundle(spark: SparkSession, d: str) -> DataFrame:
-    rows = frame(spark, d, "v_review").select(F.col("review_id").alias("id"), "batch_id", "brand", "overall")
-    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("batch_id").orderBy("id"))).filter(F.col("rn") <= fixed.CAP)
-    batches = ranked.groupBy("batch_id").agg(F.array_sort(F.collect_list("id")).alias("review_ids"))
+    rows = _uploads(spark, d).select(F.col("review_id").alias("id"), "batch_id", "brand", "overall")
+    batches = rows.groupBy("batch_id").agg(F.array_sort(F.collect_list("id")).alias("review_ids"))
     files = exports.batch_bundle(batches, rows.filter("id % 7 <> 0").drop("batch_id"), "2026-01-01T00:00:00.000Z")
     ids = F.array_join(F.from_json("json", "struct<reviews: array<struct<id: string>>>")["reviews"]["id"], ",")
     return files.groupBy("batch_id").agg(F.count("*").alias("n_files"), F.max(F.when(F.col("file") == "batch.json", ids)).alias("listed"))
@@ -871,6 +944,19 @@ def retry_failed(spark: SparkSession, d: str) -> DataFrame:
     return review.retry_failed(over(spark, d, _ITEMS)).select("review_id", "status", "error")
 
 
+@query(f"SELECT label_id, CASE WHEN label_id % 9 = 4 AND label_id % 27 = 4 THEN 'failed' ELSE 'complete' END AS status, CASE WHEN label_id % 27 = 4 THEN 'timeout' END AS error, CASE WHEN label_id % 27 = 4 THEN NULL WHEN label_id % 9 = 4 THEN {_OVERALL_SQL} ELSE 'as before' END AS overall, CASE WHEN label_id % 9 = 4 AND label_id % 27 <> 4 THEN 2 ELSE 1 END AS version FROM j3", parts=_JOB_PARTS)
+def rerun_failed(spark: SparkSession, d: str) -> DataFrame:
+    """Failed rows of a batch are verified again, those that have a label by now; a second run changes nothing."""
+    items = over(spark, d, "SELECT label_id, CASE WHEN label_id % 9 = 4 THEN 'failed' ELSE 'complete' END AS status, CASE WHEN label_id % 9 = 4 THEN 'timeout' END AS error, CASE WHEN label_id % 9 <> 4 THEN 'as before' END AS overall, 1 AS version FROM v_ext")
+    labels = _job_pairs(spark, d).filter("label_id % 27 <> 4")
+    for _ in range(2):
+        items = review.rerun_failed(items, labels, lambda failed: verify_labels(failed).select("label_id", "overall"), "label_id")
+        folder = _new_folder(spark, "rerun")
+        items.write.parquet(folder)
+        items = spark.read.parquet(folder)
+    return items
+
+
 @query("SELECT review_id, 'processing' AS batch_status, CASE WHEN review_id % 5 = 0 THEN '—' ELSE reviewer END AS reviewer, DATE '2026-01-01' AS created_at FROM i WHERE status = 'complete'", parts=f"i AS ({_ITEMS})")
 def snapshot_completed(spark: SparkSession, d: str) -> DataFrame:
     items = over(spark, d, _ITEMS).withColumn("reviewer", F.when(F.col("review_id") % 5 == 0, " ").otherwise(F.col("reviewer")))
@@ -888,3 +974,46 @@ def fold_row_status(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT batch_id, {_SUMMARY_SQL} FROM (SELECT * EXCLUDE (ok), status = 'complete' AS ok FROM i) GROUP BY batch_id", parts=f"i AS ({_ITEMS})")
 def live_summary(spark: SparkSession, d: str) -> DataFrame:
     return jobs.live_summary(over(spark, d, _ITEMS))
+
+
+def _in_parts(spark: SparkSession, events: DataFrame, name: str, run: Callable[[DataFrame, str], object], parts: int = 3) -> str:
+    """Feeds the events to a query in parts that overlap in time, each after a restart from the checkpoint; returns its folder."""
+    folder = _new_folder(spark, name)
+    for k in range(parts):
+        events.filter(F.col("event_id") % parts == k).write.mode("append").parquet(f"{folder}/in")
+        run(spark.readStream.schema(events.schema).parquet(f"{folder}/in"), folder).awaitTermination()
+    return folder
+
+
+@query(_FOLD_SQL)
+def fold_row_status_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The states of rows, read back from the state of a stream that was stopped and started twice."""
+
+    def run(arriving: DataFrame, folder: str):
+        return states.start(jobs.discard(states.row_states(arriving), f"{folder}/state"), spark)
+
+    folder = _in_parts(spark, frame(spark, d, "v_event").drop("ts"), "row-states", run)
+    return states.stored_rows(spark, f"{folder}/state")
+
+
+_LIVE = "SELECT event_id, item_id, item_id % 20 AS batch_id, kind, duration_ms, CASE item_id % 5 WHEN 0 THEN 'pass' WHEN 1 THEN 'pass-with-warnings' WHEN 2 THEN 'fail' WHEN 3 THEN 'needs-manual-review' ELSE 'request-better-image' END AS overall, event_id % 6 = 0 AS quality_issue FROM v_event"
+_LIVE_PARTS = (
+    f"e AS ({_LIVE}), m AS (SELECT unnest([0, 1, 2]) AS micro_batch), "
+    "l AS (SELECT micro_batch, batch_id, item_id, arg_max(kind, event_id) AS kind, arg_max(duration_ms, event_id) AS took, arg_max(overall, event_id) AS overall, arg_max(quality_issue, event_id) AS quality_issue, bool_or(event_id % 3 = micro_batch) AS new FROM e JOIN m ON event_id % 3 <= micro_batch GROUP BY ALL), "
+    "s AS (SELECT *, kind = 'complete' AS ok, kind IN ('complete', 'error') AS ended FROM l)"
+)
+
+
+@query(
+    "SELECT micro_batch, batch_id, count(*) AS total, " + ", ".join(f"count(*) FILTER (ok AND overall = '{s}') AS n_{s.replace('-', '_')}" for s in fixed.OVERALL_STATUSES) + ", count(*) FILTER (NOT ok) AS failures, count(*) FILTER (ok AND quality_issue) AS quality_issues, count(*) FILTER (ended) AS done, count(*) FILTER (kind = 'error') AS failed,"
+    " CAST(floor(count(*) FILTER (ended) * 100 / count(*) + 0.5) AS BIGINT) AS percent, CAST(coalesce(floor(avg(took) FILTER (ok) + 0.5), 0) AS BIGINT) AS avg_ms, coalesce(sum(CAST(round(took * 1000) AS BIGINT)) FILTER (ended), 0) / 1000 AS total_ms, CASE WHEN count(*) FILTER (kind = 'error') > 0 THEN 'partial-failed' ELSE 'complete' END AS batch_status FROM s GROUP BY ALL HAVING bool_or(new)",
+    parts=_LIVE_PARTS,
+)
+def live_summary_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The running summary after each of three micro-batches, between which the query is stopped and started again."""
+
+    def run(arriving: DataFrame, folder: str):
+        return states.start_summary(arriving, f"{folder}/out", f"{folder}/state")
+
+    folder = _in_parts(spark, over(spark, d, _LIVE), "live-summary", run)
+    return spark.read.parquet(f"{folder}/out")

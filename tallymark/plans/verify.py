@@ -32,10 +32,10 @@ def verify_labels(pairs: DataFrame, judged: str | None = None) -> DataFrame:
     return done.select(*kept, told.alias("field_results"), overall.alias("overall"))
 
 
-def spread(pairs: DataFrame) -> DataFrame:
-    """``pairs`` dealt evenly over all cores where fewer files than cores hold them; larger inputs stay as their scan splits them."""
+def spread(pairs: DataFrame, scan: DataFrame) -> DataFrame:
+    """``pairs`` dealt evenly over all cores where the scan they come from has fewer partitions than there are cores; larger inputs stay as it splits them."""
     cores = pairs.sparkSession.sparkContext.defaultParallelism
-    return pairs.repartition(cores) if len(pairs.inputFiles()) < cores else pairs
+    return pairs.repartition(cores) if scan.rdd.getNumPartitions() < cores else pairs
 
 
 @lru_cache(maxsize=16)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tallymark.functions import fixed
 from tallymark.functions.text import trim
@@ -41,20 +42,40 @@ def _split(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     return good, rows.filter("error IS NOT NULL").select("file", "line", F.concat(F.lit(f"{label} "), F.col("line").cast("string"), F.lit(": "), F.col("error")).alias("message"))
 
 
+def _rows_by_header(spark: SparkSession, path: str, width: int) -> DataFrame:
+    """file, line, missing (required columns that the file's header lacks), and the columns by the names of each file's own header.
+
+    A file is one task (rows may run over lines), so many files are read at once. The first row of a file names its
+    columns; a name that stands there twice is the first of the two. The row of the header itself has line 1.
+    """
+    cells = StructType([StructField(f"_c{k}", StringType()) for k in range(width)])
+    raw = spark.read.schema(cells).csv(path, header=False, multiLine=True, mode="PERMISSIVE")
+    only_blanks = (F.trim("_c0") == "") & F.coalesce(*[F.col(c) for c in cells.names[1:]], F.lit(None)).isNull()
+    raw = raw.filter(~F.coalesce(only_blanks, F.lit(False)))
+    placed = raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_n"), F.array(*cells.names).alias("_cells"))
+    in_file = Window.partitionBy("file").orderBy("_n")
+    names = F.transform("_head", lambda h: F.regexp_replace(trim(F.coalesce(h, F.lit(""))), "^\ufeff", ""))
+    read = placed.select("file", F.row_number().over(in_file).alias("line"), "_cells", F.first("_cells").over(in_file).alias("_head")).withColumn("_names", names)
+    required = F.array(*map(F.lit, fixed.EXPECTED_COLUMNS))
+    values = [F.coalesce(F.get("_cells", F.array_position("_names", F.lit(c)) - 1), F.lit("")).alias(c) for c in fixed.EXPECTED_COLUMNS]
+    return read.select("file", F.col("line").cast("int").alias("line"), F.array_except(required, "_names").alias("missing"), *values)
+
+
 def read_expected_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, errors). Line n is the row's place among those read plus the header's; blank lines do not count.
+    """(rows, errors) of one file or of all files of a folder, each read by its own header.
 
-    A file is one task (rows may run over lines), so many files are read at once, and the lines
-    are counted in each.
+    Line n is the row's place among those read plus the header's; blank lines do not count. A file whose header lacks a column gives one error
+    and no row; the others are not affected.
     """
-    raw = spark.read.csv(path, header=True, multiLine=True, mode="PERMISSIVE")
-    if not raw.columns:
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    # No line has more cells than commas and one; a bound on the width that takes one pass.
+    width = lines.filter(F.trim("value") != "").agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(","), F.lit(""))) + 1)).first()[0]
+    if not width:
         return spark.createDataFrame([], "file string, line int, " + ", ".join(f"{c} string" for c in fixed.EXPECTED_COLUMNS)), spark.createDataFrame([(path, 0, "CSV is empty.")], ERRORS)
-    here = {c.strip(): c for c in raw.columns}
-    if missing := [c for c in fixed.EXPECTED_COLUMNS if c not in here]:
-        return spark.createDataFrame([], "file string, line int, " + ", ".join(f"{c} string" for c in fixed.EXPECTED_COLUMNS)), spark.createDataFrame([(path, 1, f"CSV header row is missing required column(s): {', '.join(missing)}.")], ERRORS)
-    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_n"), *[F.coalesce(F.col(f"`{here[c]}`"), F.lit("")).alias(c) for c in fixed.EXPECTED_COLUMNS])
-    rows = rows.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("_n")) + 1)
+    every = _rows_by_header(spark, path, width)
+    blank = lines.groupBy("file").agg(F.max(F.trim("value") != "").alias("any")).filter("NOT any").select("file", F.lit(0).alias("line"), F.lit("CSV is empty.").alias("message"))
+    headless = every.filter("line = 1 AND size(missing) > 0").select("file", "line", F.concat(F.lit("CSV header row is missing required column(s): "), F.array_join("missing", ", "), F.lit(".")).alias("message"))
+    rows = every.filter("line > 1 AND size(missing) = 0").drop("missing")
     value = {c: trim(F.col(c)) for c in fixed.EXPECTED_COLUMNS}
     abv = F.when(value["abv"].rlike(NUMBER), value["abv"].try_cast("double"))
     flag = F.when(F.lower(value["govWarningRequired"]).isin("true", "yes", "y", "1"), True).when(F.lower(value["govWarningRequired"]).isin("false", "no", "n", "0"), False)
@@ -72,7 +93,8 @@ def read_expected_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
         .when(first.isNotNull(), F.concat(first["path"], F.lit(" — "), first["msg"], F.lit(".")))
     )
     checked = rows.select("file", "line", error.alias("error"), *[typed[c].alias(c) for c in fixed.EXPECTED_COLUMNS])
-    return _split(checked, "Line")
+    good, bad = _split(checked, "Line")
+    return good, bad.unionByName(headless).unionByName(blank)
 
 
 def read_expected_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

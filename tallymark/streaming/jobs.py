@@ -6,10 +6,13 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType, StructField, StructType
 
+from tallymark.operators.judge import Extractor, run_extractor
 from tallymark.operators.review import summary_columns
 from tallymark.plans.verify import verify_labels
 
@@ -22,17 +25,48 @@ def verify_stream(labels: DataFrame, applications: DataFrame, key: str = "app_id
     return verify_labels(labels.join(applications, key))
 
 
-def start_verification(labels: DataFrame, applications: DataFrame, out: str, checkpoint: str, key: str = "app_id"):
-    """A query that writes verdicts to ``out``; labels that match no application go to ``out``-quarantine.
+#: The column that the JSON reader puts a line into that it cannot read.
+MALFORMED = "_corrupt_record"
+
+
+def labels_arriving(spark: SparkSession, path: str, schema: StructType, files: int = 100) -> DataFrame:
+    """A stream of labels from JSON lines, at most so many files a micro-batch; lines that are no label keep their text in ``MALFORMED``."""
+    read = StructType([*schema.fields, StructField(MALFORMED, StringType())])
+    return spark.readStream.schema(read).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED).option("maxFilesPerTrigger", files).json(path)
+
+
+def checked(batch: DataFrame, applications: DataFrame, key: str, extractor: Extractor | None) -> tuple[DataFrame, DataFrame]:
+    """(labels to verify, others with their ``reason``): malformed lines, labels without an application, and those that the extractor raises on.
+
+    The extractor is the user's reading of a label; its answer is the column ``extracted``, and what it raises is the reason.
+    """
+    malformed = F.col(MALFORMED).isNotNull() if MALFORMED in batch.columns else F.lit(False)
+    columns = [c for c in batch.columns if c != MALFORMED]
+    text = F.col(MALFORMED) if MALFORMED in batch.columns else F.lit(None).cast("string")
+    broken = batch.filter(malformed).select(F.lit(None).cast(dict(batch.dtypes)[key]).alias(key), F.lit("malformed").alias("reason"), text.alias("line"))
+    whole = batch.filter(~malformed).select(*columns)
+    none = whole.join(applications.select(key), key, "left_anti").select(key, F.lit("no application").alias("reason"), F.lit(None).cast("string").alias("line"))
+    known = whole.join(applications.select(key), key, "left_semi")
+    if extractor is None:
+        return known, broken.unionByName(none)
+    read = run_extractor(known, extractor, key)
+    raised = read.filter(~F.col("ok")).select(key, F.concat(F.lit("check failed: "), "error").alias("reason"), F.lit(None).cast("string").alias("line"))
+    return known.join(read.filter("ok").select(key, F.col("result").alias("extracted")), key), broken.unionByName(none).unionByName(raised)
+
+
+def start_verification(labels: DataFrame, applications: DataFrame, out: str, checkpoint: str, key: str = "app_id", extractor: Extractor | None = None):
+    """A query that writes verdicts to ``out`` and the labels that cannot be checked, with the reason, to ``out``-quarantine.
 
     Each micro-batch has a folder of its own, ``batch=<number>``, which is written anew if the
-    batch is run again after a failure, so no verdict is there twice.
+    batch is run again after a failure, so no verdict is there twice. With an extractor keys are
+    unique in a micro-batch.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
-        verify_stream(batch, applications, key).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        batch.join(applications.select(key), key, "left_anti").write.mode("overwrite").parquet(f"{out}-quarantine/batch={number}")
+        good, bad = checked(batch, applications, key, extractor)
+        verify_stream(good, applications, key).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        bad.write.mode("overwrite").parquet(f"{out}-quarantine/batch={number}")
         batch.unpersist()
 
     return labels.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -80,3 +114,8 @@ def fold_stream(events: DataFrame, key: str = "item_id", order: str = "event_id"
 def live_summary(rows: DataFrame, key: str = "batch_id") -> DataFrame:
     """The running summary: a row that is not complete counts as not ok. Batch or stream."""
     return rows.withColumn("ok", F.col("status") == "complete").groupBy(key).agg(*summary_columns())
+
+
+def discard(rows: DataFrame, checkpoint: str) -> DataStreamWriter:
+    """A writer that keeps nothing but the state: for queries whose result is read from there."""
+    return rows.writeStream.format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True)
