@@ -6,14 +6,17 @@ Both ratios are smoothed twice, with the paths before and after in page order an
 containers above (a heading or a list beside long paragraphs takes part of their ratio), and
 fused by their product. Paths are content by two thresholds, shares of the page's mean weighted
 by text: the higher one selects content nodes anywhere; the smallest element that holds most
-of their text is the root of the content, and under it the lower threshold is enough. Paths
-whose text is mostly links never are content.
-
-Mark-up is a weak feature. Forms and elements with a word in class or id that marks side matter
-weigh their text down by the share of the page they hold, so one that holds nearly all of it
-changes nothing; text outside articles is weighed down where articles hold at least half of the
-text. Only what HTML itself declares to be no content (head, navigation, footers, asides,
-controls, scripts, hidden parts and such roles, and headers outside the main part) is left out before.
+of their text is the root of the content, and under it the lower threshold is enough. Links are
+judged block by block: one that is nothing but links is left out where its path is mostly links
+or it has no punctuation, unless it is a heading or a paragraph of an article; and where that
+would leave nothing of what has a score, links do not count.
+
+Forms and elements with a word in class or id that marks side matter (adverts, notices, comments and
+so on) are no content, however much of the page they hold. Only a wrapper is forgiven its class: one
+that holds the title or main part and at least half of the text; and, where a page has no other text, one
+whose class does not name comments, adverts or notices. Text outside articles is weighed down where articles
+hold at least half of the text. What HTML itself declares to be no content (head, navigation, footers,
+asides, controls, scripts, hidden parts and such roles, and headers outside the main part) is left out before.
 
 The block elements of content paths are the blocks of the text. A page is one row, so all of
 this is a narrow step; pages are never shuffled. The work is linear in the page, however deep
@@ -41,8 +44,10 @@ ROOT = 0.8
 UP = 0.5
 #: Articles with this share of the text weigh the text outside by OUTSIDE.
 MOST, OUTSIDE = 0.5, 0.25
-#: Text in a marked element counts by this power of the share of the page that the element holds; by the share itself if it has a title.
-MARK_POWER = 8
+#: A marked element with the title that holds this share of the text is a wrapper.
+WRAPPER = 0.5
+#: A block with this share of its text in links is nothing but links; a path with this share is mostly links.
+LINKED, MOSTLY = 0.9, 0.5
 
 #: Fixed values of HTML: elements without an end tag, with raw text, that end a block, that close an open paragraph.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,8 +65,15 @@ _HOLDS = frozenset("table ul ol dl body html article section main div aside nav
 #: Elements and roles that are no main text.
 _AWAY = frozenset("head nav footer aside button select dialog menu".split())
 _AWAY_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
-#: Words in a class or id that mark side matter.
-_SIDE_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|header|masthead|footer|sidebar\w*|side|aside|breadcrumbs?|comments?|commentlist|disqus|replies|responses?|cookies?|consent|gdpr|notice\w*|newsletter|subscribe|signup|login|popup|modal|overlay|share|sharing|social|related|recommended|widget\w*|toolbar|pagination|pager|search(?![\s_-]*results?)\w*|tags|copyright|disclaimer|hidden)(?:$|[\s_-])")
+#: Words in a class or id that mark side matter: of adverts, notices and comments, and of other parts.
+_OTHERS_WORDS = r"ads?|advert\w*|adbox|sponsor\w*|promo\w*|comments?|commentlist|disqus|discussions?|replies|responses?|cookies?|consent|gdpr|notice\w*|newsletter|subscribe|popup|modal|overlay"
+_PARTS_WORDS = r"banner|nav\w*|menu\w*|header|masthead|footer|sidebar\w*|side|aside|breadcrumbs?|signup|login|share|sharing|social|related|recommended|widget\w*|toolbar|pagination|pager|search(?![\s_-]*results?)\w*|tags|copyright|disclaimer|hidden"
+_OTHERS = re.compile(rf"(?:^|[\s_-])(?:{_OTHERS_WORDS})(?:$|[\s_-])")
+_SIDE_WORDS = re.compile(rf"(?:^|[\s_-])(?:{_OTHERS_WORDS}|{_PARTS_WORDS})(?:$|[\s_-])")
+#: A class that begins so says what a wrapper has, not what it is.
+_TELLS = ("has-", "no-", "with-", "without-", "show-", "hide-", "is-")
+#: Class names that make an article a reader's comment.
+_COMMENT = frozenset("comment reply".split())
 
 # An attribute's name runs up to white space, a slash, "=" or ">"; quotes count only right after "=". Possessive, so that no input is read twice.
 _VALUE = r"\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^\s>]*+))?"
@@ -79,14 +91,17 @@ class Page:
         self.above: list[int] = []  # of each path; a path's number is higher than that of the one above
         self.outer: list[int] = []  # the element around each block element, numbered as they open
         self.holder: list[int] = []  # each element itself, or for a paragraph and the like the element around it
+        self.tags: list[str] = []  # of each path
         self.marks: list[int] = []  # the marked element around each marked element
-        self.titled: list[bool] = []  # whether a marked element has an h1, main or article
+        self.others: list[bool] = []  # whether its mark is one of adverts, notices or comments
+        self.titled: list[bool] = []  # whether a marked element has an h1 or main, or, if it is not one of those, an article
         self.blocks: list[Block] = []
 
     def path(self, above: int, tag: str) -> int:
         found = self.paths.setdefault((above, tag), len(self.above))
         if found == len(self.above):
             self.above.append(above)
+            self.tags.append(tag)
         return found
 
 
@@ -106,11 +121,11 @@ class _Open:
         self.tag, self.path, self.element, self.mark, self.away, self.article, self.ended = tag, path, element, mark, away, article, False
 
 
-def _kind(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
-    """Whether an element is no main text by its kind, role or style, and whether it may be side matter."""
+def _kind(tag: str, attributes: str, in_main: bool) -> tuple[bool, int]:
+    """Whether an element is no main text by its kind, role or style, and whether it is side matter (1; 2: by a word of adverts, notices or comments)."""
     if tag in _AWAY or tag == "header" and not in_main:
-        return True, False
-    side = tag == "form"
+        return True, 0
+    side = int(tag == "form")
     if not attributes:
         return False, side
     seen = set()
@@ -120,11 +135,16 @@ def _kind(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
             continue
         seen.add(name)
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _AWAY_ROLES:
-            return True, False
+            return True, 0
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True, False
-        if name in ("class", "id") and tag not in _NEVER_BY_WORD and _SIDE_WORDS.search(value):
-            side = True
+            return True, 0
+        if name not in ("class", "id"):
+            continue
+        if tag not in _NEVER_BY_WORD:
+            named = " ".join(c for c in value.split() if not c.startswith(_TELLS))
+            side = 2 if _OTHERS.search(named) else max(side, int(_SIDE_WORDS.search(value) is not None))
+        elif tag == "article" and name == "class" and not _COMMENT.isdisjoint(value.split()):
+            side = 2
     return False, side
 
 
@@ -216,7 +236,7 @@ def parse(page: str) -> Page:
         if shut and shut > (holds[-1] if holds else 0):
             cut(shut)
         top = stack[-1]
-        away, side = _kind(tag, m[3], top.article) if not top.away else (True, False)
+        away, side = _kind(tag, m[3], top.article) if not top.away else (True, 0)
         block = tag in _BLOCK
         path, element, mark = top.path, top.element, top.mark
         if block and not away:
@@ -228,10 +248,11 @@ def parse(page: str) -> Page:
             now = None
             mark = len(out.marks)
             out.marks.append(top.mark)
+            out.others.append(side == 2)
             out.titled.append(False)
         if away != top.away:
             now = None
-        if tag in ("h1", "main", "article") and mark >= 0 and not away:
+        if mark >= 0 and not away and (tag in ("h1", "main") or tag == "article" and not out.others[mark] and not side):
             out.titled[mark] = True
         k = len(stack)
         places.setdefault(tag, []).append(k)
@@ -285,20 +306,8 @@ def main_text(page: str | None) -> str:
     link = np.minimum([b.link for b, _ in shown], size)
     punctuation = np.array([len(_PUNCTUATION.findall(t)) for _, t in shown], float)
     element = np.array([b.element for b, _ in shown])
-    # Marks: text of each marked element, and what weight that leaves its text.
-    marked = np.ones(len(shown))
-    if found.marks:
-        mark = np.array([b.mark for b, _ in shown])
-        held, titled = np.zeros(len(found.marks)), found.titled[:]
-        np.add.at(held, mark[mark >= 0], size[mark >= 0])
-        held = _add_up(held, found.marks) / size.sum()
-        factor = np.ones(len(found.marks) + 1)
-        for k in range(len(found.marks) - 1, -1, -1):
-            if titled[k] and found.marks[k] >= 0:
-                titled[found.marks[k]] = True
-        for k, outer in enumerate(found.marks):
-            factor[k] = factor[outer] * held[k] ** (1 if titled[k] else MARK_POWER)
-        marked = factor[mark]
+    mark = np.array([b.mark for b, _ in shown])
+    marked = _unmarked(found, mark, size)
     inside = np.array([b.article for b, _ in shown])
     said = size - link
     weight = marked
@@ -309,14 +318,18 @@ def main_text(page: str | None) -> str:
     at = np.array([order.setdefault((b.path, b.mark), len(order)) for b, _ in shown])
     nodes, length, marks, linked = (np.bincount(at, x, len(order)) for x in (np.ones(len(shown)), size, punctuation, link))
     leaf, plain = np.array([p for p, _ in order], int), np.ones(len(order), bool)
-    plain[at] = marked >= 0.5
+    plain[at] = marked > 0
     above = np.append(np.array(found.above, int), -1)
     n_paths = len(found.above)
     smooth = (_smooth(x / nodes, length, leaf, plain, above, n_paths) for x in (length - linked, marks))
     fused = next(smooth) * (1 + next(smooth))
     score = fused[at] * weight
     mean = (score * size).sum() / size.sum()
-    text_like = (linked < 0.5 * length)[at] & (score > 0)
+    text_like = score > 0
+    heading = np.array([b.path >= 0 and (found.tags[b.path] in _HEADINGS or b.article and found.tags[b.path] == "p") for b, _ in shown])
+    links = (link >= LINKED * size) & ~heading & ((linked >= MOSTLY * length)[at] | (punctuation == 0))
+    if (text_like & ~links).any():
+        text_like &= ~links
     high = text_like & (score >= HIGH * mean)
     content = high
     if high.any() and len(found.outer):
@@ -331,6 +344,30 @@ def main_text(page: str | None) -> str:
     return "\n\n".join(t for (_, t), c in zip(shown, content.tolist(), strict=True) if c)
 
 
+def _unmarked(found: Page, mark: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """1 for each block that no marked element holds but forgiven wrappers, else 0. mark: the innermost marked element around each block; size: its text."""
+    if not found.marks:
+        return np.ones(len(mark))
+    held = np.zeros(len(found.marks))
+    np.add.at(held, mark[mark >= 0], size[mark >= 0])
+    held = _add_up(held, found.marks)
+    titled = found.titled[:]
+    for k in range(len(found.marks) - 1, -1, -1):
+        outer = found.marks[k]
+        if titled[k] and outer >= 0 and (found.others[k] or not found.others[outer]):
+            titled[outer] = True
+
+    def kept(forgiven: list[bool]) -> np.ndarray:
+        factor = np.ones(len(found.marks) + 1)  # the last is what no mark holds
+        for k, outer in enumerate(found.marks):
+            factor[k] = factor[outer] * forgiven[k]
+        return factor[mark]
+
+    wrapper = [t and h >= WRAPPER * size.sum() for t, h in zip(titled, held.tolist(), strict=True)]
+    out = kept(wrapper)
+    return out if out.any() else kept([w or not o for w, o in zip(wrapper, found.others, strict=True)])
+
+
 def _root(held: np.ndarray, outer: list[int], least: float) -> int:
     """The innermost element that holds at least so much; -1, the page, if none does."""
     enough = np.flatnonzero(held >= least)

@@ -62,46 +62,64 @@ def test_windows_hold_the_target_shares(spark):
 
 
 def _plain_main_text(page):
-    """The definition on well-formed pages without inline elements, by walks over the tree."""
-    blocks, titled = [], set()
+    """The definition on well-formed pages, by walks over the tree. Inline elements are a, b and span, without class."""
+    blocks, titled, now = [], set(), None
 
-    def walk(e, path, holders, marks, inside):
+    def others(m):
+        return bool(htmltext._OTHERS.search(m.get("class", "")))
+
+    def walk(e, path, holders, marks, inside, linked):
+        nonlocal now
         if e.tag in htmltext._AWAY or e.tag == "header" and not inside:
+            now = None
             return
-        if e.tag == "form" or htmltext._SIDE_WORDS.search(e.get("class", "")) and e.tag not in htmltext._NEVER_BY_WORD:
-            marks = (*marks, e)
-        if e.tag in ("h1", "main", "article"):
-            titled.update(marks)
-        path, inside = (*path, e.tag), inside or e.tag in ("article", "main")
-        holders = holders if e.tag in htmltext._LEAVES else (*holders, e)
+        block = e.tag not in ("a", "b", "span")
+        if block:
+            now = None
+            if e.tag == "form" or htmltext._SIDE_WORDS.search(e.get("class", "")) and e.tag not in htmltext._NEVER_BY_WORD:
+                marks = (*marks, e)
+            if e.tag in ("h1", "main", "article") and marks and (e.tag != "article" or not others(marks[-1])):
+                titled.add(marks[-1])
+                for inner, outer in zip(marks[::-1], marks[-2::-1], strict=False):
+                    if not others(inner) and others(outer):
+                        break
+                    titled.add(outer)
+            path, inside = (*path, e.tag), inside or e.tag in ("article", "main")
+            holders = holders if e.tag in htmltext._LEAVES else (*holders, e)
+        linked = linked or e.tag == "a"
         for text, child in [(e.text, None), *((c.tail, c) for c in e)]:
             if child is not None:
-                walk(child, path, holders, marks, inside)
-            if t := " ".join((text or "").split()):
-                blocks.append((path, holders, marks, inside, t))
-
-    walk(ET.fromstring(page), (), (), (), False)
+                walk(child, path, holders, marks, inside, linked)
+            if text and (now is not None or text.strip()):
+                if now is None:
+                    now = [path, holders, marks, inside, "", 0]
+                    blocks.append(now)
+                now[4] += text
+                now[5] += len(text.strip()) if linked else 0
+        if block:
+            now = None
+
+    walk(ET.fromstring(page), (), (), (), False, False)
+    for x in blocks:
+        x[4] = " ".join(x[4].split())
+        x[5] = min(x[5], len(x[4]))
     if not blocks:
         return ""
-    everything = sum(len(t) for *_, t in blocks)
-
-    def factor(marks):
-        out = 1.0
-        for m in marks:
-            share = sum(len(b[4]) for b in blocks if m in b[2]) / everything
-            out *= share if m in titled else share**htmltext.MARK_POWER
-        return out
-
-    marked = [factor(b[2]) for b in blocks]
-    outside = htmltext.OUTSIDE if sum(len(b[4]) for b in blocks if b[3]) >= htmltext.MOST * everything and any(b[3] for b in blocks) else 1
+    everything = sum(len(b[4]) for b in blocks)
+    wrappers = {m for m in titled if sum(len(b[4]) for b in blocks if m in b[2]) >= htmltext.WRAPPER * everything}
+    marked = [all(m in wrappers for m in b[2]) for b in blocks]
+    if not any(marked):
+        marked = [all(m in wrappers or not others(m) for m in b[2]) for b in blocks]
+    said = sum(len(b[4]) - b[5] for b in blocks)
+    outside = htmltext.OUTSIDE if any(b[3] for b in blocks) and sum(len(b[4]) - b[5] for b in blocks if b[3]) >= htmltext.MOST * said else 1
     weight = [f if b[3] else f * outside for f, b in zip(marked, blocks, strict=True)]
     keys = [(b[0], b[2][-1:]) for b in blocks]
     leaves = list(dict.fromkeys(keys))
     mine = {k: [b for b, x in zip(blocks, keys, strict=True) if x == k] for k in leaves}
-    plain = [k for k in leaves if [f for f, x in zip(marked, keys, strict=True) if x == k][-1] >= 0.5]
+    plain = [k for k in leaves if [f for f, x in zip(marked, keys, strict=True) if x == k][-1]]
 
     def smooth(measure):
-        own = {k: sum(measure(b[4]) for b in mine[k]) / len(mine[k]) for k in leaves}
+        own = {k: sum(measure(b) for b in mine[k]) / len(mine[k]) for k in leaves}
         mass = {k: sum(len(b[4]) for b in mine[k]) for k in leaves}
 
         def container(path):
@@ -126,14 +144,24 @@ def _plain_main_text(page):
                 out[k] = max(out[k], (own[k] + htmltext.UP * up) / (1 + htmltext.UP))
         return out
 
-    length, marks = smooth(len), smooth(lambda t: len(htmltext._PUNCTUATION.findall(t)))
+    length, marks = smooth(lambda b: len(b[4]) - b[5]), smooth(lambda b: len(htmltext._PUNCTUATION.findall(b[4])))
     score = [length[k] * (1 + marks[k]) * w for k, w in zip(keys, weight, strict=True)]
     mean = sum(s * len(b[4]) for s, b in zip(score, blocks, strict=True)) / everything
-    high = [s > 0 and s >= htmltext.HIGH * mean for s in score]
+
+    def only_links(b, key):
+        if b[5] < htmltext.LINKED * len(b[4]) or b[0][-1] in htmltext._HEADINGS or b[3] and b[0][-1] == "p":
+            return False
+        mostly = sum(x[5] for x in mine[key]) >= htmltext.MOSTLY * sum(len(x[4]) for x in mine[key])
+        return mostly or not htmltext._PUNCTUATION.search(b[4])
+
+    good = [s > 0 and not only_links(b, k) for s, b, k in zip(score, blocks, keys, strict=True)]
+    if not any(good):
+        good = [s > 0 for s in score]
+    high = [g and s >= htmltext.HIGH * mean for g, s in zip(good, score, strict=True)]
     total = sum(len(b[4]) for b, h in zip(blocks, high, strict=True) if h)
     root = [e for b in blocks for e in b[1] if sum(len(x[4]) for x, h in zip(blocks, high, strict=True) if h and e in x[1]) >= htmltext.ROOT * total]
-    root = max(root, key=lambda e: max(len(b[1][: b[1].index(e)]) for b in blocks if e in b[1])) if root else None
-    return "\n\n".join(b[4] for b, s, h in zip(blocks, score, high, strict=True) if h or s >= htmltext.LOW * mean and s > 0 and (root is None or root in b[1]))
+    root = max(root, key=lambda e: max(len(b[1][: b[1].index(e)]) for b in blocks if e in b[1])) if root and any(high) else None
+    return "\n\n".join(b[4] for b, g, s, h in zip(blocks, good, score, high, strict=True) if h or any(high) and g and s >= htmltext.LOW * mean and (root is None or root in b[1]))
 
 
 def test_html_against_a_plain_version():
@@ -141,11 +169,19 @@ def test_html_against_a_plain_version():
     words = "one two three, four. five; six seven! eight".split()
 
     def said(n):
-        return " ".join(rng.choice(words) for _ in range(n))
+        out = []
+        for _ in range(n):
+            w = rng.choice(words)
+            if (k := rng.random()) < linked:
+                w = f"<a>{w}</a>"
+            elif k > 0.95:
+                w = rng.choice(["<b>{}</b>", "<span>{}</span>", "<b><a>{}</a> {}</b>"]).replace("{}", w)
+            out.append(w)
+        return rng.choice([" ", "\n "]).join(out)
 
     def part(depth):
         tag = rng.choice(["div", "div", "section", "article", "form", "aside", "nav", "footer", "header", "table"])
-        mark = rng.choice(["", "", "", ' class="ad"', ' class="sidebar x"', ' class="content"'])
+        mark = rng.choice(["", "", "", "", ' class="ad"', ' class="comments"', ' class="sidebar x"', ' class="content"'])
         if depth == 0 or rng.random() < 0.4:
             return f"<p{mark}>{said(rng.choice([1, 3, 8, 40, 90]))}</p>"
         inner = "".join(part(depth - 1) for _ in range(rng.randint(1, 4)))
@@ -154,7 +190,8 @@ def test_html_against_a_plain_version():
         return f"<{tag}{mark}>{rng.choice(['', said(4)])}{rng.choice(['', '<h1>' + said(3) + '</h1>', '<h2>' + said(2) + '</h2>'])}{inner}</{tag}>"
 
     seen = set()
-    for _ in range(400):
+    for _ in range(600):
+        linked = rng.choice([0.0, 0.0, 0.2, 0.6, 0.95])
         page = f"<html><body>{''.join(part(3) for _ in range(rng.randint(1, 5)))}</body></html>"
         want = _plain_main_text(page)
         assert htmltext.main_text(page) == want, page
@@ -170,6 +207,30 @@ def test_html_ratios_decide(spark):
     assert sum(a == b for a, b in zip(marked, bare, strict=True)) >= 0.97 * len(pages)
 
 
+PROSE = "One two three, four five six seven. Eight nine ten, eleven twelve."
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 12, 20, 40, 60, 80, 160])
+@pytest.mark.parametrize("thread", ['<article>{0}<section class="comments">{1}</section></article>', '<article>{0}</article><section id="comments">{1}</section>', '<div>{0}</div><div class="discussion">{1}</div>', '<article>{0}</article><section class="comments"><article class="comment">{1}</article></section>', '<article>{0}</article><article class="comment">{1}</article>', '<article>{0}<div class="ad">{1}</div></article>', '<article>{0}</article><div class="cookie-notice">{1}</div>'])
+def test_html_threads_of_any_length(thread, n):
+    """Comments, adverts and notices are out, however many."""
+    page = thread.format("<h1>Title</h1>" + f"<p>{PROSE}</p>" * 4, "<p>Nice post, I really enjoyed it. Thanks for this!</p>" * n)
+    assert htmltext.main_text(page) == "\n\n".join(["Title", *[PROSE] * 4])
+
+
+def test_html_articles_of_links():
+    """Text with many links is text; an article is never emptied by them."""
+    linked = '<p>The <a href="x">quick brown fox jumps</a> over <a href="y">the very lazy old dog</a>, <a href="z">and runs away far</a>.</p>'
+    whole = "The quick brown fox jumps over the very lazy old dog, and runs away far."
+    assert htmltext.main_text(f"<article>{linked * 5}</article>") == "\n\n".join([whole] * 5)
+    assert htmltext.main_text(f"<div>{linked * 5}</div>") == "\n\n".join([whole] * 5)
+    assert htmltext.main_text("<article><p>text</p><p><a>more more more more</a></p></article>").startswith("text")
+    assert htmltext.main_text(f"<article><h2><a>Its title</a></h2><p>{PROSE}</p></article>") == f"Its title\n\n{PROSE}"
+    assert htmltext.main_text(f"<ul><li><a>Home</a></li><li><a>About us</a></li></ul><div><p>{PROSE}</p></div>") == PROSE
+    assert htmltext.main_text(f'<article><p>{PROSE}</p><div class="ad">{"Buy now, our great offer is here. " * 40}</div></article>') == PROSE
+    assert htmltext.main_text(f'<div class="comments"><p>{PROSE}</p></div>') == ""
+
+
 def test_html_class_words_and_attributes():
     said, more = "A long sentence, with marks. And one more, to be sure.", "Again a long one, with marks, and so on."
     for start, end in (('<body class="has-sidebar">', "</body>"), ('<div class="post has-comments">', "</div>"), ('<div class="social-science">', "</div>"), ('<main id="search">', "</main>"), ('<body class="no-header">', "</body>"), ('<form id="all">', "</form>")):
