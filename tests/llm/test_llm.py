@@ -28,23 +28,40 @@ def prose():
     return lambda n: " ".join(rng.choice(words) for _ in range(n))
 
 
-def test_schedule_is_deficit_round_robin():
+def test_schedule_is_deficit_round_robin(spark):
+    """Step by step: every queue earns its credit and sends what it covers; the rests follow, queue by queue."""
     rng = random.Random(1)
-    for _ in range(40):
+    for case in range(6):
         k = rng.randint(1, 6)
-        totals, weights = [rng.randint(0, 3000) for _ in range(k)], [rng.random() + 0.01 for _ in range(k)]
-        schedule = packing.Schedule(totals, weights, 16, 64)
-        left, credit, sent, place = [t // 16 for t in totals], [0] * k, [0] * k, {}
+        totals, weights = [rng.randint(1, 3000) for _ in range(k)], [rng.random() + 0.01 for _ in range(k)]
+        counts = spark.createDataFrame([(f"q{q}", t) for q, t in enumerate(totals)], "source string, n long")
+        made = packing.queues(counts, dict(zip([f"q{q}" for q in range(k)], weights, strict=True)) if case % 2 else None, 64)
+        earned = {r.source: r.credit for r in made.collect()}
+        runs, at = [], [0] * k  # each queue cut into documents of any length
+        for q in range(k):
+            while at[q] < totals[q]:
+                n = min(rng.randint(1, 200), totals[q] - at[q])
+                runs.append((len(runs), f"q{q}", at[q], n, totals[q], earned[f"q{q}"]))
+                at[q] += n
+        left, credit, order = [t // 16 for t in totals], [0] * k, []
         while any(left):
             for q in range(k):
-                credit[q] += int(schedule.credit[q])
-                while credit[q] >= schedule.need and left[q]:
-                    credit[q] -= schedule.need
+                credit[q] += earned[f"q{q}"]
+                while credit[q] >= 16 * packing.CREDIT and left[q]:
+                    credit[q] -= 16 * packing.CREDIT
                     left[q] -= 1
-                    place[q, sent[q]] = 16 * len(place)
-                    sent[q] += 1
-        for q in range(k):
-            assert schedule.places(q, 0, totals[q] // 16).tolist() == [place[q, n] for n in range(totals[q] // 16)]
+                    order += [q] * 16
+        order += [q for q in range(k) for _ in range(totals[q] % 16)]
+        df = spark.createDataFrame(runs, "row long, source string, at long, n long, total long, credit long")
+        place, queue = {}, {r[0]: (int(r[1][1:]), r[2]) for r in runs}
+        for r in packing.places(packing.turns(df, 16)).collect():
+            q, base = queue[r.row]
+            place |= {r.place + j: (q, base + r.start + j) for j in range(r.length)}
+        sent = [0] * k
+        for where, q in enumerate(order):
+            assert place[where] == (q, sent[q])
+            sent[q] += 1
+        assert len(place) == len(order)
 
 
 def test_packing_keeps_every_id_once(spark, edges, prose):
