@@ -36,14 +36,16 @@ _LABELS = 127
 _LEFT, _RIGHT = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _MONTH = "(?:" + "|".join(MONTHS) + ")"
+_SHORT_MONTH = "(?:" + "|".join(m[:3] for m in MONTHS) + ")"
 KINDS = {
     "email": rf"(?<![\p{{L}}\p{{N}}._%+-])[\p{{L}}\p{{N}}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){{1,{_LABELS}}}",
     "secret": rf"{_LEFT}(?:(?:AKIA|ASIA)[0-9A-Z]{{16}}|(?:sk|pk|ghp|gho|ghs|xoxb|xoxp)[-_][0-9A-Za-z]{{20,64}}){_RIGHT}",
     "token": rf"{_LEFT}[0-9A-Fa-f]{{32,64}}{_RIGHT}",
-    "account": rf"{_LEFT}[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{2,7}}(?: ?[0-9A-Z]{{1,3}})?{_RIGHT}",
-    "date": rf"(?<![0-9A-Za-z./-])(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}|[0-9]{{2}}\.[0-9]{{2}}\.[0-9]{{4}}|[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}|{_MONTH} [0-9]{{1,2}}, [0-9]{{4}}|[0-9]{{1,2}} {_MONTH} [0-9]{{4}})(?![0-9A-Za-z]|[./-][0-9])",
+    "account": rf"{_LEFT}[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{2,7}}(?: ?[0-9A-Z]{{1,3}})?{_RIGHT}|{_LEFT}[a-z]{{2}}[0-9]{{2}}[0-9a-z]{{11,30}}{_RIGHT}",
+    # A time may follow a date, as in 2020-01-02T10:00.
+    "date": rf"(?<![0-9A-Za-z./-])(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}|[0-9]{{1,2}}\.[0-9]{{1,2}}\.[0-9]{{4}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}|(?:{_MONTH}|{_SHORT_MONTH}) [0-9]{{1,2}}, [0-9]{{4}}|[0-9]{{1,2}} (?:{_MONTH}|{_SHORT_MONTH}) [0-9]{{4}})(?!(?!T[0-9]{{2}}:)[0-9A-Za-z]|[./-][0-9])",
     "address": rf"(?<![0-9A-Za-z.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])",
-    "insurance": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
+    "insurance": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])|(?<![0-9A-Za-z-]|[0-9] )[0-9]{3} [0-9]{2} [0-9]{4}(?![0-9A-Za-z]|[ -][0-9])",
     "phone": r"(?:(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?)?(?<![0-9A-Za-z])\([0-9]{3}\)[ -]?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?:(?<![0-9A-Za-z+])\+1[ .-])?(?<![0-9A-Za-z.-]|[0-9] )[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}(?![0-9A-Za-z]| [0-9])|(?<![0-9A-Za-z+])\+[1-9](?:[ .()/-]{0,2}[0-9]){7,14}(?![0-9A-Za-z])",
     "card": rf"{_LEFT}(?:[0-9]{{13,19}}|[0-9]{{4}}([ -])[0-9]{{4}}\2[0-9]{{4}}\2[0-9]{{4}}|[0-9]{{4}}([ -])[0-9]{{6}}\3[0-9]{{5}}){_RIGHT}",
 }
@@ -117,9 +119,14 @@ def pseudonym(m: str, key: str = KEY) -> str:
     email = f"concat('u', substr({_digest(key, 'email', _sql(''), f'lower({m})')}, 1, 16), '@example.invalid')"
     token = permute_string(f"lower({m})", "token", key, _HEX)
     token = f"IF({m} = upper({m}), upper({token}), {token})"
-    forms = (("____-__-__", "yyyy-MM-dd"), ("____/__/__", "yyyy/MM/dd"), ("__.__.____", "dd.MM.yyyy"), ("__/__/____", "MM/dd/yyyy"), ("__/__/____", "dd/MM/yyyy"), ("%,%", "MMMM d, yyyy"), ("% %", "d MMMM yyyy"))
+    short = f"{m} RLIKE '^(?:[0-9]+ )?(?!May){_SHORT_MONTH} '"
+    forms = (
+        (f"{m} LIKE '____-__-__'", "yyyy-MM-dd"), (f"{m} LIKE '____/__/__'", "yyyy/MM/dd"), (f"{m} LIKE '__.__.____'", "dd.MM.yyyy"), (f"{m} LIKE '__/__/____'", "MM/dd/yyyy"), (f"{m} LIKE '__/__/____'", "dd/MM/yyyy"),
+        (f"{m} LIKE '%.%.____'", "d.M.yyyy"), (f"{m} LIKE '%/%/____' AND NOT {m} LIKE '__/__/____'", "M/d/yyyy"), (f"{m} LIKE '%/%/____' AND NOT {m} LIKE '__/__/____'", "d/M/yyyy"),
+        (f"{m} LIKE '%,%' AND {short}", "MMM d, yyyy"), (f"{m} LIKE '% %' AND NOT {m} LIKE '%,%' AND {short}", "d MMM yyyy"), (f"{m} LIKE '%,%' AND NOT {short}", "MMMM d, yyyy"), (f"{m} LIKE '% %' AND NOT {m} LIKE '%,%' AND NOT {short}", "d MMMM yyyy"),
+    )
     # A slash date is read with the month first and, where that is no date, with the day first.
-    taken = [f"{m} LIKE '{like}' AND try_to_date({m}, '{form}') IS NOT NULL THEN" for like, form in forms]
+    taken = [f"{is_form} AND try_to_date({m}, '{form}') IS NOT NULL THEN" for is_form, form in forms]
     parsed = "CASE " + " ".join(f"WHEN {t} try_to_date({m}, '{form}')" for t, (_, form) in zip(taken, forms, strict=True)) + " END"
     day = permute_pair(f"datediff(d, DATE'{FIRST_DAY}')", "date", key, *DAYS)
     shown = "CASE " + " ".join(f"WHEN {t} date_format(e, '{form}')" for t, (_, form) in zip(taken, forms, strict=True)) + " END"
@@ -131,17 +138,18 @@ def pseudonym(m: str, key: str = KEY) -> str:
     valid = f"{area} BETWEEN 1 AND 899 AND {area} <> 666 AND {group} > 0 AND {serial} > 0"
     index = f"(({area} - 1 - IF({area} > 666, 1, 0)) * 989901 + ({group} - 1) * 9999 + {serial} - 1)"
     number = "(v DIV 989901 + 1 + IF(v DIV 989901 >= 665, 1, 0))"
-    insurance = _with(permute_pair(index, "insurance", key, 898, 989901), "v", f"concat(lpad({number}, 3, '0'), '-', lpad(v % 989901 DIV 9999 + 1, 2, '0'), '-', lpad(v % 9999 + 1, 4, '0'))")
+    insurance = _with(permute_pair(index, "insurance", key, 898, 989901), "v", f"concat(lpad({number}, 3, '0'), substr({m}, 4, 1), lpad(v % 989901 DIV 9999 + 1, 2, '0'), substr({m}, 4, 1), lpad(v % 9999 + 1, 4, '0'))")
     # The calling code stays: its digits are skipped. A number of the North American plan is ten digits with or without +1.
     code = f"IF({m} LIKE '+%' AND NOT {m} RLIKE '[(]', length(coalesce(nullif(regexp_extract({_digits(m)}, '^({_SHORT_CODES})', 1), ''), '...')), greatest(0, length({_digits(m)}) - 10))"
     phone = _with(code, "k", _with(permute_string(f"substr({_digits(m)}, k + 1)", "phone", key), "v", _refill(m, "v", "k")))
     mark = f"regexp_extract({m}, '^(?:A[KS]IA|[a-z]+[-_])', 0)"
     secret = _with(f"substr({m}, length({mark}) + 1)", "b", f"concat({mark}, IF({m} RLIKE '^A[KS]IA', {permute_string('b', 'secret', key, _UPPER)}, {permute_string('b', 'secret', key, _ALNUM)}))")
     # An account: country and letters stay, the digits of the account are permuted, the two check digits follow from the rest.
-    plain = f"replace({m}, ' ', '')"
+    plain = "replace(a, ' ', '')"
     own = _digits("substr(c, 5)")
-    filled = _with(f"concat('00', {permute_string(own, 'account', key)})", "v", _refill(m, "v"))
-    account = _with(plain, "c", f"IF({_mod97('concat(substr(c, 5), left(c, 4))')} <> 1 OR length({own}) < 6, {m}, {_with(filled, 'w', _checked('w'))})")
+    filled = _with(f"concat('00', {permute_string(own, 'account', key)})", "v", _refill("a", "v"))
+    account = _with(plain, "c", f"IF({_mod97('concat(substr(c, 5), left(c, 4))')} <> 1 OR length({own}) < 6, a, {_with(filled, 'w', _checked('w'))})")
+    account = _with(f"upper({m})", "a", _with(account, "x", f"IF(a = {m}, x, lower(x))"))
     body = permute_string("left(c, length(c) - 1)", "card", key)
     check = f"pmod(10 - {_luhn('y')}, 10)"
     whole = _with(body, "v", _with("concat(v, '0')", "y", f"concat(v, {check})"))
@@ -149,10 +157,10 @@ def pseudonym(m: str, key: str = KEY) -> str:
     return f"""CASE WHEN {m} LIKE '%@%' THEN {email}
         WHEN {m} RLIKE '^A[KS]IA|^[a-z]+[-_]' THEN {secret}
         WHEN {m} RLIKE '^[0-9A-Fa-f]{{32,64}}$' THEN {token}
-        WHEN {m} RLIKE '^[A-Z]{{2}}[0-9]{{2}}' THEN {account}
-        WHEN {m} RLIKE '[a-z]|^(?:[0-9]{{4}}[-/][0-9]{{2}}[-/][0-9]{{2}}|[0-9]{{2}}[./][0-9]{{2}}[./][0-9]{{4}})$' THEN {date}
+        WHEN {m} RLIKE '^[A-Z]{{2}}[0-9]{{2}}|^[a-z]{{2}}[0-9]{{2}}' THEN {account}
+        WHEN {m} RLIKE '[a-z]|^(?:[0-9]{{4}}[-/][0-9]{{2}}[-/][0-9]{{2}}|[0-9]{{1,2}}([./])[0-9]{{1,2}}\\\\1[0-9]{{4}})$' THEN {date}
         WHEN {m} RLIKE '^[0-9]+(?:\\\\.[0-9]+){{3}}$' THEN {address}
-        WHEN {m} RLIKE '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN IF({valid}, {insurance}, {m})
+        WHEN {m} RLIKE '^[0-9]{{3}}[- ][0-9]{{2}}[- ][0-9]{{4}}$' THEN IF({valid}, {insurance}, {m})
         WHEN {m} RLIKE '^[+(]|^[0-9]{{3}}[ .-][0-9]{{3}}[ .-]' THEN {phone}
         ELSE {card} END"""
 

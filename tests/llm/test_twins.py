@@ -330,6 +330,20 @@ def test_pii_kinds_and_what_stays(spark):
     assert got[6].text[:4] == "AKIA" and len(got[6].text) == 20 and got[7].text[:3] == "sk-"
 
 
+def test_pii_dates_of_all_spellings_stay_linked(spark):
+    """One day in each spelling, alone and before a time: the same other day in the same spelling. Numbers in other spellings likewise."""
+    texts = ["2020-01-02", "2020-01-02T10:00:00Z", "2020-01-02 10:00", "2020/01/02", "02.01.2020", "2.1.2020", "01/02/2020", "1/2/2020", "Jan 2, 2020", "January 2, 2020", "2 Jan 2020", "2 January 2020"]
+    got = [r.text for r in pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()]
+    new = datetime.date.fromisoformat(got[0])
+    assert new != datetime.date(2020, 1, 2)
+    y, month, day, name = f"{new:%Y}", new.month, new.day, f"{new:%B}"
+    assert got == [f"{new}", f"{new}T10:00:00Z", f"{new} 10:00", f"{new:%Y/%m/%d}", f"{new:%d.%m.%Y}", f"{day}.{month}.{y}", f"{new:%m/%d/%Y}", f"{month}/{day}/{y}", f"{name[:3]} {day}, {y}", f"{name} {day}, {y}", f"{day} {name[:3]} {y}", f"{day} {name} {y}"]
+    more = ["25/1/1999", "May 3, 2021", "078-05-1120", "078 05 1120", "DE89370400440532013000", "de89370400440532013000", "2020-01-02Tx", "1.2.3.2020", "31/2/2020", "de99370400440532013000", "1 078 05 1120"]
+    got = [r.text for r in pii.scan(spark.createDataFrame(list(enumerate(more)), "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()]
+    assert all(a != b for a, b in zip(got[:6], more[:6], strict=True)) and got[6:] == more[6:]
+    assert got[3] == got[2].replace("-", " ") and got[5] == got[4].lower() and re.fullmatch(r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", got[0])
+
+
 def test_pii_long_texts_of_each_alphabet(spark):
     pieces = ["a@b" + ".c" * 500_000, "9" * (1 << 20), "a" * (1 << 20), "1.1" * 350_000, "+1 " * 350_000, "5 " * 500_000, "DE89 3704 " * 100_000, "a.b@" * 250_000, "2001-01-01" * 100_000, "((" * 500_000, "123-" * 250_000, "0a" * 500_000, "sk-" * 350_000, "May 3, " * 150_000]
     got = pii.scan(spark.createDataFrame(list(enumerate(pieces)), "doc_id long, text string").repartition(4)).select("doc_id", F.length("text").alias("n")).collect()
