@@ -125,6 +125,32 @@ DIGESTS = {
     "LGPL-3.0": (
         "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
     ),
+    "Artistic-1.0-Perl": (
+        "de5e8896b763918701eb91e7bf8bf81f20a97c9f8dd1cacc44519e47d3462bf8",
+    ),
+    "BSD-3-Clause": (
+        "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651",
+    ),
+    "GFDL-1.2": (
+        "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71",
+        "8d636e2e2f248f9b102e9d9f78337901ec8bca3bfe91434cdcf261a01bf305b1",
+    ),
+    "GFDL-1.3": (
+        "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6",
+        "8b8b57bd195ed50d50edb5da1dd173b409fb9b075910c69726be7d0363c40008",
+    ),
+    "GPL-1.0": (
+        "ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a",
+        "74d0cd23803c9754c36f6ca0e1af411b418ed6b6564e757472bf0d870a1b5d1b",
+    ),
+    "LGPL-2.0": (
+        "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+        "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260",
+    ),
+    "MPL-1.1": (
+        "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986",
+        "80cd52a1836f5ea3706bd2afa402fc448999d4a22581ee62d4041bd8a08efd87",
+    ),
 }
 
 
