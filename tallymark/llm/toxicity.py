@@ -76,6 +76,8 @@ class Weights:
 
     def __init__(self, lexicon: dict[str, float]) -> None:
         self.lexicon, self.seen = lexicon, {}
+        #: A token of letters that begins with none of these adds nothing but itself.
+        self.heads = {s[: min(STEMS)].removesuffix("|") for s in (*lexicon, *_TOLD)}
 
     def word(self, word: str) -> float:
         """The learned weight of a word, the most of its own and its beginnings'."""
@@ -95,9 +97,6 @@ class Weights:
         if (found := self.seen.get(token)) is None:
             if len(self.seen) >= REMEMBERED:
                 self.seen.clear()
-            if token.isalpha() and not self.word(token) and token not in _TOLD and not _LONG.search(token):  # most tokens
-                found = self.seen[token] = (1, len(token), 0, 0.0, 0.0, 0, 0, 0, 0)
-                return found
             words = [token] if token.isalpha() else _WORD.findall(token)
             weights = [self.word(w) for w in words]
             bare = token.strip(_AROUND)
@@ -127,7 +126,16 @@ def features(text: str, weight: Weights) -> list[float]:
     lowered = text.lower()
     n_words = n_letters = insults = people = mixed = lengthened = hidden = 0
     learned = most = 0.0
+    points, low = (np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32) for t in (text, lowered))
+    heads, first = weight.heads, min(STEMS)
+    lengthening = ((low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & (low[2:] > 64)).any()
     for token, n in Counter(lowered.split()).items():
+        if not lengthening:  # most tokens are a word, with marks around it or without, that adds nothing else
+            bare = token if token.isalpha() else token.strip(_AROUND)
+            if bare[:first] not in heads and bare.isalpha():
+                n_words += n
+                n_letters += n * len(bare)
+                continue
         words, letters, insult, value, top, person, mix, long, hide = weight(token)
         n_words += n * words
         n_letters += n * letters
@@ -140,7 +148,6 @@ def features(text: str, weight: Weights) -> list[float]:
             lengthened += n * long
             hidden += n * hide
     near = _near_person(lowered, weight) if people and (insults or learned) else 0
-    points, low = (np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32) for t in (text, lowered))
     capital = points != low if len(points) == len(low) else np.fromiter(map(str.isupper, text), bool, len(text))
     shouted = sum(len(w) > 2 and w.isupper() for w in _WORD.findall(text)) if (capital[2:] & capital[1:-1] & capital[:-2]).any() else 0
     between = _BETWEEN[np.minimum(points, 255)]
