@@ -687,7 +687,8 @@ _PASSAGE_PARTS = f"d AS (SELECT doc_id, list_transform({_WORDS_SQL}, lambda x: {
 
 @query("SELECT d.doc_id, h.item_id, CAST(h.item_pos AS INTEGER) AS item_pos, CAST(min(g.k) - 1 AS INTEGER) AS first_pos, len(h.w)::BIGINT AS n_words FROM g JOIN h ON h.head = g.g AND h.m = g.m JOIN d ON d.doc_id = g.doc_id WHERE d.w[g.k:g.k + len(h.w) - 1] = h.w GROUP BY ALL", parts=_PASSAGE_PARTS)
 def locate_phrase(spark: SparkSession, d: str) -> DataFrame:
-    docs = locate.tokens_of(spread(frame(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
+    texts = frame(spark, d, "documents").select("doc_id", "text")
+    docs = locate.tokens_of(spread(texts, texts), "doc_id", "text")
     items = locate.tokens_of(frame(spark, d, "benchmark"), "item_id", "text").select("item_id", F.filter("tokens", lambda t: t != "").alias("tokens"))
     return locate.locate_phrase(docs, locate.passages(items, "item_id", 6), "doc_id", "phrase").select("doc_id", "phrase.item_id", "phrase.item_pos", "first_pos", "n_words")
 
