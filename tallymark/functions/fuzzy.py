@@ -1,16 +1,15 @@
 """The ladder of text matches: equal, equal in normal form, similar by token sets, judged.
 
-The similarity is the one step that needs Python (a longest common subsequence). It is an Arrow
-function that sees a pair of normal forms where the cheaper rungs left a row open, and null
-elsewhere; equal pairs of a batch are computed once.
+The similarity is a longest common subsequence by bits, in built-in expressions: it sees a pair of
+normal forms where the cheaper rungs left a row open, and null elsewhere.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from tallymark.functions import fixed
 from tallymark.functions.text import normal, normalize_address, strip_origin
@@ -18,46 +17,57 @@ from tallymark.functions.text import normal, normalize_address, strip_origin
 RESULTS = ("missing", "pass", "pass-normalised", "likely-match", "gray", "fail")
 
 
-def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by bits of one integer."""
-    places: dict[str, int] = {}
-    for k, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << k
-    full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        hit = row & places.get(c, 0)
-        row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
-
-
-def _ratio(a: str, b: str) -> int:
-    both = len(a) + len(b)
-    return int(200 * common_length(a, b) / both + 0.5) if a and b else 0
-
-
-def token_set_ratio(a: str, b: str) -> float:
-    """Similarity of two normal forms, in whole hundredths; 0 if either has no tokens."""
-    left, right = set(a.split()), set(b.split())
-    if not left or not right:
-        return 0.0
-    shared = " ".join(sorted(left & right))
-    one, two = (" ".join([shared, *sorted(x)]).strip() for x in (left - right, right - left))
-    return max(_ratio(shared, one), _ratio(shared, two), _ratio(one, two)) / 100
-
-
-@F.pandas_udf(DoubleType())
-def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    known: dict[tuple[str, str], float] = {}
-    out = []
-    for pair in zip(a, b, strict=True):
-        if pair[0] is None or pair[1] is None:
-            out.append(None)
-            continue
-        if pair not in known:
-            known[pair] = token_set_ratio(*pair)
-        out.append(known[pair])
-    return pd.Series(out, dtype="float64")
+#: Bits of a word of the subsequence's state: with the carry a sum of two of them stays within a long.
+_BITS = 62
+_FULL = (1 << _BITS) - 1
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once, however often it is read."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+
+
+def _letter_bits(letters: Column, words: Column) -> Column:
+    """Map from each letter to its places in the text, as one long for each word of ``_BITS`` letters."""
+    def places(letter: Column, word: Column) -> Column:
+        here = F.transform(F.slice(letters, word * _BITS + 1, _BITS), lambda x, k: F.when(x == letter, _bit(k)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(here, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    return _bound(F.array_distinct(letters), lambda known: F.map_from_arrays(known, F.transform(known, lambda letter: F.transform(words, lambda word: places(letter, word)))))
+
+
+def _with_letter(row: Column, places: Column) -> Column:
+    """The state after a letter that stands at ``places``: row + hit | row - hit, word by word with the carry."""
+    def word(done: Column, k: Column) -> Column:
+        added = row[k] + row[k].bitwiseAND(places[k]) + done["carry"]
+        new = added.bitwiseAND(F.lit(_FULL)).bitwiseOR(row[k] - row[k].bitwiseAND(places[k]))
+        return F.struct(F.shiftright(added, _BITS).alias("carry"), F.concat(done["words"], F.array(new)).alias("words"))
+
+    start = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<long>").alias("words"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(row) - 1), start, word)["words"]
+
+
+def common_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two texts, in code points; the time is that of the longer one's length times the words of 62 letters of the shorter one."""
+    def count(two: Column) -> Column:
+        words = F.sequence(F.lit(0), F.floor((F.size(two["short"]) - 1) / _BITS).cast("int"))
+
+        def found(bits: Column) -> Column:
+            def step(row: Column, letter: Column) -> Column:
+                return _bound(F.try_element_at(bits, letter), lambda places: F.when(places.isNull(), row).otherwise(_with_letter(row, places)))
+
+            last = F.aggregate(F.split(two["long"], ""), F.transform(words, lambda _: F.lit(_FULL)), step)
+            return F.aggregate(last, F.lit(0), lambda n, x: n + _BITS - F.bit_count(x))
+
+        return _bound(_letter_bits(two["short"], words), found)
+
+    swap = F.char_length(a) > F.char_length(b)
+    two = F.struct(F.split(F.when(swap, b).otherwise(a), "").alias("short"), F.when(swap, a).otherwise(b).alias("long"))
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("int")).when((a == "") | (b == ""), 0).otherwise(_bound(two, count))
 
 
 def token_sets(a: Column, b: Column) -> Column:
@@ -67,8 +77,27 @@ def token_sets(a: Column, b: Column) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Token-set similarity of two normal forms, 0 to 1."""
-    return _similarity(a, b)
+    """Token-set similarity of two normal forms, 0 to 1 in whole hundredths; 0 if either has no tokens, null if either is null.
+
+    It is the best of three ratios: of the shared tokens with each side, and of both sides, each
+    written as its shared tokens and then its own. What is shared begins all three, so only the
+    sides' own tokens need a common subsequence.
+    """
+    def ratio(common: Column, both: Column) -> Column:
+        return F.floor(common * 200 / both + 0.5)
+
+    def best(x: Column) -> Column:
+        shared, left, right = (F.char_length(x[n]) for n in ("shared", "only_left", "only_right"))
+        some = shared > 0
+        one, two = (shared + n + F.when(some & (n > 0), 1).otherwise(0) for n in (left, right))
+        own = common_length(x["only_left"], x["only_right"]) + F.when(some & (left > 0) & (right > 0), 1).otherwise(0)
+        sides = [F.when(some, ratio(shared, shared + n)).otherwise(0) for n in (one, two)]
+        return F.when((one == 0) | (two == 0), 0.0).otherwise(F.greatest(*sides, ratio(shared + own, one + two)) / 100)
+
+    def joined(sets: Column) -> Column:
+        return F.struct(*[F.array_join(sets[n], " ").alias(n) for n in ("shared", "only_left", "only_right")])
+
+    return F.when(a.isNotNull() & b.isNotNull(), _bound(token_sets(a, b), lambda sets: _bound(joined(sets), best)))
 
 
 #: How a kind of field is brought in form before the ladder: (extracted, expected) to the same.
@@ -96,7 +125,7 @@ def ladder_layers(matches: dict[str, tuple[Column, Column, str]]) -> list[dict[s
 
     layers.append({f"_{n}_d": decided(n) for n in matches})
     layers.append({f"_{n}_{k}": F.when(F.col(f"_{n}_d").isNull(), F.col(f"_{n}_{k}")) for n in matches for k in "lr"})
-    layers.append({f"_{n}_s": _similarity(F.col(f"_{n}_l"), F.col(f"_{n}_r")) for n in matches})
+    layers.append({f"_{n}_s": similarity(F.col(f"_{n}_l"), F.col(f"_{n}_r")) for n in matches})
 
     def result(n: str) -> Column:
         near = F.col(f"_{n}_s")

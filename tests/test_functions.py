@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,17 +17,52 @@ def column(spark, rows, expression, kind="string"):
 
 
 @pytest.mark.parametrize(("a", "b", "want"), [("stones drow", "stones throw", 87), ("stone mountain", "stones throw", 38), ("a b", "a b c", 100), ("whisky", "whiskey", 92), ("", "x", 0)])
-def test_similarity_anchors(a, b, want):
-    assert round(100 * fuzzy.token_set_ratio(a, b)) == want
+def test_similarity_anchors(spark, a, b, want):
+    got = spark.createDataFrame([(a, b)], "a string, b string").select(fuzzy.similarity(F.col("a"), F.col("b"))).collect()[0][0]
+    assert round(100 * got) == want
 
 
-@given(st.text("abcd", max_size=12), st.text("abcd", max_size=12))
-def test_common_length_is_the_textbook_one(a, b):
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, x in enumerate(a, 1):
+def _table_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before, row = row, [0]
         for j, y in enumerate(b, 1):
-            table[i][j] = table[i - 1][j - 1] + 1 if x == y else max(table[i - 1][j], table[i][j - 1])
-    assert fuzzy.common_length(a, b) == table[-1][-1]
+            row.append(before[j - 1] + 1 if x == y else max(before[j], row[j - 1]))
+    return row[-1]
+
+
+def _plain_ratio(a, b):
+    """The similarity as its definition has it, over the whole sides."""
+    left, right = set(a.split()), set(b.split())
+    if not left or not right:
+        return 0.0
+    shared = " ".join(sorted(left & right))
+    one, two = (" ".join([shared, *sorted(x)]).strip() for x in (left - right, right - left))
+    return max(int(200 * _table_length(x, y) / (len(x) + len(y)) + 0.5) if x and y else 0 for x, y in ((shared, one), (shared, two), (one, two))) / 100
+
+
+def test_common_length_is_the_textbook_one(spark):
+    rng = random.Random(11)
+    pairs = [("".join(rng.choices(letters, k=rng.randrange(most))), "".join(rng.choices(letters, k=rng.randrange(most)))) for letters in ("ab", "abcdefgh", "aé𝛼b ü") for most in (3, 12, 70, 200) for _ in range(25)]
+    pairs += [("a" * n, "a" * m) for n in (61, 62, 63, 124, 125) for m in (1, 62, 124, 300)] + [("", ""), ("", "a"), ("xy" * 400, "yx" * 500)]
+    got = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string").select("k", fuzzy.common_length(F.col("a"), F.col("b")).alias("n")).collect()
+    assert {r.k: r.n for r in got} == {k: _table_length(*p) for k, p in enumerate(pairs)}
+
+
+def test_similarity_is_the_best_of_three_ratios(spark):
+    rng = random.Random(7)
+    words = ["old", "tom", "toms", "stone", "stones", "a", "b", "distillery", "co", "ñandú"]
+    pairs = [(" ".join(rng.choices(words, k=rng.randrange(7))), " ".join(rng.choices(words, k=rng.randrange(7)))) for _ in range(400)]
+    got = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string").select("k", fuzzy.similarity(F.col("a"), F.col("b")).alias("s")).collect()
+    assert {r.k: r.s for r in got} == {k: _plain_ratio(*p) for k, p in enumerate(pairs)}
+    nulls = spark.createDataFrame([(None, "a"), ("a", None)], "a string, b string").select(fuzzy.similarity(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in nulls] == [None, None]
+
+
+def test_no_python_in_the_verification_job(spark):
+    from tallymark.plans import catalog
+
+    assert "Python" not in catalog.QUERIES["verify_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
 
 
 def test_ladder(spark):
