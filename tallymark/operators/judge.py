@@ -23,13 +23,18 @@ class Extractor(Protocol):
     def __call__(self, job: dict[str, Any]) -> str: ...
 
 
-def judge_gray_pairs(df: DataFrame, judge: Judge | None, extracted: str = "extracted", expected: str = "expected", field: str = "field", result: str = "result") -> DataFrame:
-    """``df`` with ``verdict`` and ``reason`` for gray rows; each distinct pair is judged once.
+def judge_gray_pairs(df: DataFrame, judge: Judge | None, extracted: str = "extracted", expected: str = "expected", field: str = "field", result: str = "result", memo: str | None = None, blocks: int = 1) -> DataFrame:
+    """``df`` with ``verdict`` and ``reason`` for gray rows; each distinct pair is judged once, and only gray rows are joined.
 
     Without a judge, and where it fails or answers out of the list, the verdict is uncertain.
+    ``memo`` is a shared folder of verdicts kept over runs: what it holds is not asked, and new
+    verdicts are written there before any row is joined, so that no later task asks again. With
+    ``blocks`` the pairs are asked in so many parts, one written before the next is asked: what a
+    lost run has to ask again is at most one part. Failures are not kept.
     """
     keys = [extracted, expected, field]
-    asked = df.filter(F.col(result) == "gray").select(*keys).distinct()
+    gray = F.coalesce(F.col(result) == "gray", F.lit(False))
+    asked = df.filter(gray).select(*keys).distinct()
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -43,9 +48,30 @@ def judge_gray_pairs(df: DataFrame, judge: Judge | None, extracted: str = "extra
                 out.append((*row, verdict if ok else "uncertain", reason if ok else FAILED))
             yield pd.DataFrame(out, columns=[*keys, "verdict", "reason"])
 
-    told = asked.mapInPandas(work, f"`{extracted}` string, `{expected}` string, `{field}` string, verdict string, reason string")
-    out = df.join(told, keys, "left")
-    return out.withColumns({c: F.when(F.col(result) == "gray", F.col(c)) for c in ("verdict", "reason")})
+    schema = f"`{extracted}` string, `{expected}` string, `{field}` string, verdict string, reason string"
+    told = asked.mapInPandas(work, schema)
+    if memo is not None:
+        told = _remembered(asked, lambda some: some.mapInPandas(work, schema), keys, memo, blocks)
+    judged = df.filter(gray).join(told, keys, "left").withColumns({"verdict": F.coalesce("verdict", F.lit("uncertain")), "reason": F.coalesce("reason", F.lit(FAILED))})
+    none = F.lit(None).cast("string")
+    return judged.select(*df.columns, "verdict", "reason").unionByName(df.filter(~gray).withColumns({"verdict": none, "reason": none}))
+
+
+def _remembered(asked: DataFrame, ask: Callable[[DataFrame], DataFrame], keys: list[str], memo: str, blocks: int) -> DataFrame:
+    """The verdicts in ``memo`` after what it lacks has been asked and written there, block by block."""
+    spark = asked.sparkSession
+    names, held = ["extracted", "expected", "field"], "extracted string, expected string, field string, verdict string, reason string"
+    spark.createDataFrame([], held).write.mode("ignore").parquet(memo)
+
+    def kept() -> DataFrame:
+        return spark.read.schema(held).parquet(memo).select(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)], "verdict", "reason")
+
+    for block in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64(*keys), F.lit(blocks)) == block)
+        fresh = ask(part.join(kept().select(*keys), keys, "left_anti")).filter(F.col("reason") != FAILED)
+        fresh.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], "verdict", "reason").write.mode("append").parquet(memo)
+    # Two runs at a time may both have asked a pair; one verdict of it is taken.
+    return kept().groupBy(*keys).agg(F.min(F.struct("verdict", "reason")).alias("_told")).select(*keys, "_told.*")
 
 
 def final_result(df: DataFrame, result: str = "result") -> DataFrame:

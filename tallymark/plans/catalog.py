@@ -274,7 +274,25 @@ def statement_distance(spark: SparkSession, d: str) -> DataFrame:
     return frame(spark, d, "v_statement").select("label_id", text.statement_distance(F.col("statement")).cast("long").alias("distance"))
 
 
-@query(None)
+_WANTED_SQL = "string_split('" + f"{fixed.STATEMENT_PREFIX} {fixed.STATEMENT_BODY}" + "', ' ')"
+#: The table of common words is filled from its last cell to its first, one cell a step: the last row's values stand in
+#: ``last``, and ``ops`` collects for each cell what is done there. Then the way is followed from the first cell.
+_REDLINE_SQL = f"""SELECT token, op, CAST(sum(n) AS BIGINT) AS n FROM (
+WITH RECURSIVE cells AS (
+  SELECT s, have, wanted, 0 AS k, list_transform(range(len(have) + 2), lambda x: 0) AS last, '' AS ops FROM t
+  UNION ALL
+  SELECT s, have, wanted, k + 1, list_prepend(CASE WHEN j > len(have) THEN 0 WHEN wanted[i] = have[j] THEN last[len(have) + 2] + 1 ELSE greatest(last[1], last[len(have) + 1]) END, last[:len(have) + 1]),
+    CASE WHEN j <= len(have) AND wanted[i] = have[j] THEN 'k' WHEN j > len(have) OR last[len(have) + 1] >= last[1] THEN 'r' ELSE 'a' END || ops
+  FROM (SELECT *, len(wanted) - k // (len(have) + 1) AS i, len(have) + 1 - k % (len(have) + 1) AS j FROM cells WHERE k < len(wanted) * (len(have) + 1))),
+way AS (
+  SELECT s, have, wanted, ops, 0 AS i, 0 AS j, '' AS op, '' AS token FROM cells WHERE k = len(wanted) * (len(have) + 1)
+  UNION ALL
+  SELECT s, have, wanted, ops, i + (o <> 'a')::INT, j + (o <> 'r')::INT, CASE o WHEN 'k' THEN 'kept' WHEN 'r' THEN 'removed' ELSE 'added' END, CASE WHEN o = 'a' THEN have[j + 1] ELSE wanted[i + 1] END
+  FROM (SELECT *, CASE WHEN i = len(wanted) THEN 'a' ELSE substr(ops, i * (len(have) + 1) + j + 1, 1) END AS o FROM way WHERE i < len(wanted) OR j < len(have)))
+SELECT op, token, n FROM way JOIN t USING (s) WHERE op IN ('removed', 'added')) GROUP BY token, op"""
+
+
+@query(_REDLINE_SQL, parts=f"t AS (SELECT s, list_filter(string_split_regex(s, '\\s+'), lambda x: x <> '') AS have, {_WANTED_SQL} AS wanted, n FROM (SELECT statement AS s, count(*) AS n FROM v_statement GROUP BY statement))")
 def statement_redline(spark: SparkSession, d: str) -> DataFrame:
     return redline.redline_summary(redline.statement_redline(frame(spark, d, "v_statement"), "label_id", "statement"))
 
@@ -670,11 +688,33 @@ def _by_length(extracted: str, expected: str, field: str) -> tuple[str, str]:
 _VERDICT_SQL = "CASE WHEN rung = 'gray' THEN CASE length(extracted) % 4 WHEN 0 THEN 'equivalent' WHEN 1 THEN 'not_equivalent' ELSE 'uncertain' END END"
 
 
-@query(f"SELECT label_id, CASE WHEN rung <> 'gray' THEN rung WHEN verdict = 'equivalent' THEN 'likely-match' WHEN verdict = 'not_equivalent' THEN 'fail' ELSE 'manual-review' END AS result, verdict, CASE WHEN rung = 'gray' THEN CASE length(extracted) % 4 WHEN 0 THEN 'abbreviation' WHEN 1 THEN 'different_entity' WHEN 2 THEN 'insufficient_context' ELSE 'judge_failed' END END AS reason FROM v", parts=f"c AS ({_CUT_DUCK}), r AS (SELECT *, {_CUT_RUNG} AS rung FROM c), v AS (SELECT *, {_VERDICT_SQL} AS verdict FROM r)")
-def judge_gray_pairs(spark: SparkSession, d: str) -> DataFrame:
+_JUDGED_SQL = f"SELECT label_id, CASE WHEN rung <> 'gray' THEN rung WHEN verdict = 'equivalent' THEN 'likely-match' WHEN verdict = 'not_equivalent' THEN 'fail' ELSE 'manual-review' END AS result, verdict, CASE WHEN rung = 'gray' THEN CASE length(extracted) % 4 WHEN 0 THEN 'abbreviation' WHEN 1 THEN 'different_entity' WHEN 2 THEN 'insufficient_context' ELSE 'judge_failed' END END AS reason FROM v"
+_JUDGED_PARTS = f"c AS ({_CUT_DUCK}), r AS (SELECT *, {_CUT_RUNG} AS rung FROM c), v AS (SELECT *, {_VERDICT_SQL} AS verdict FROM r)"
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
     rows = fuzzy.match_ladder(over(spark, d, _CUT).select("label_id", "extracted", "expected"), "extracted", "expected")
-    asked = rows.select("label_id", "extracted", "expected", F.lit("brand").alias("field"), F.col("match_result").alias("result"))
-    return judge.final_result(judge.judge_gray_pairs(asked, _by_length)).select("label_id", "result", "verdict", "reason")
+    return rows.select("label_id", "extracted", "expected", F.lit("brand").alias("field"), F.col("match_result").alias("result"))
+
+
+@query(_JUDGED_SQL, parts=_JUDGED_PARTS)
+def judge_gray_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return judge.final_result(judge.judge_gray_pairs(_asked(spark, d), _by_length)).select("label_id", "result", "verdict", "reason")
+
+
+def _not_again(extracted: str, expected: str, field: str) -> tuple[str, str]:
+    """A judge that fails wherever the first run had an answer."""
+    if len(extracted) % 4 != 3:
+        raise ValueError("asked again")
+    return _by_length(extracted, expected, field)
+
+
+@query(_JUDGED_SQL, parts=_JUDGED_PARTS)
+def judge_with_memo(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs are judged in a run that keeps its verdicts; a second run has only a judge that could not give them."""
+    memo = _new_folder(spark, "verdicts")
+    judge.judge_gray_pairs(_asked(spark, d), _by_length, memo=memo, blocks=2)
+    return judge.final_result(judge.judge_gray_pairs(_asked(spark, d), _not_again, memo=memo)).select("label_id", "result", "verdict", "reason")
 
 
 _WORDS_SQL = r"list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda x: x <> '')"
@@ -813,14 +853,18 @@ def recall_gate(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.recall_gate(cases)
 
 
+#: The images of v_pixel as they come from a decoder: one array of brightness an image.
+_GRIDS = "SELECT p_partkey AS image_id, 25 AS width, transform(sequence(0, 624), k -> CAST((p_partkey * 31 + (k % 25) * 17 + (k div 25) * 13 * (p_partkey % 3)) % 256 AS INT)) AS lum FROM part"
+
+
 @query("SELECT image_id, avg(lum) AS mean, avg((lum >= 248)::INT) AS bright_share, CASE WHEN avg(lum) <= 50 THEN 'low-light' WHEN avg(lum) >= 220 OR avg((lum >= 248)::INT) >= 0.4 THEN 'glare' ELSE '' END AS flags FROM v_pixel GROUP BY image_id")
 def image_exposure(spark: SparkSession, d: str) -> DataFrame:
-    return quality.pixel_exposure(frame(spark, d, "v_pixel")).withColumn("flags", F.array_join("flags", ","))
+    return quality.grid_signals(over(spark, d, _GRIDS)).select("image_id", "mean", "bright_share", F.array_join("flags", ",").alias("flags"))
 
 
 @query("SELECT image_id, round(var_pop(edge), 6) AS variance, var_pop(edge) < 100 AS blurred FROM e WHERE x BETWEEN 1 AND 23 AND y BETWEEN 1 AND 23 GROUP BY image_id", parts="e AS (SELECT image_id, x, y, 4 * lum - lag(lum, 1) OVER w - lead(lum, 1) OVER w - lag(lum, 25) OVER w - lead(lum, 25) OVER w AS edge FROM v_pixel WINDOW w AS (PARTITION BY image_id ORDER BY 25 * y + x))")
 def image_sharpness(spark: SparkSession, d: str) -> DataFrame:
-    return quality.pixel_sharpness(frame(spark, d, "v_pixel")).withColumn("variance", F.round("variance", 6))
+    return quality.grid_signals(over(spark, d, _GRIDS)).select("image_id", F.round("variance", 6).alias("variance"), "blurred")
 
 
 _EXPOSED = "CASE label_id % 3 WHEN 0 THEN 'glare' WHEN 1 THEN 'low-light' ELSE '' END"

@@ -12,12 +12,14 @@ _NUMBER = "^(?:BIGINT|DOUBLE|DECIMAL|FLOAT|INT|TINYINT|SMALLINT)"
 MAX_IMAGE_BYTES = 8 * 1024 * 1024
 
 
-def _kind(where: str) -> Column:
-    at = f"try_variant_get(v, '{where}', 'variant')"
-    schema = F.expr(f"schema_of_variant({at})")
+def _kind_of(schema: Column) -> Column:
     return F.when(schema == "STRING", "string").when(schema.rlike(_NUMBER), "number").when(schema == "BOOLEAN", "boolean").when(schema == "VOID", "null").when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array")
 
 
+def _kind(where: str) -> Column:
+    return _kind_of(F.schema_of_variant(F.try_variant_get("v", where, "variant")))
+
+
 def _get(where: str, kind: str) -> Column:
     return F.expr(f"try_variant_get(v, '{where}', '{kind}')")
 
@@ -33,24 +35,25 @@ def read_extractions(raw: DataFrame, column: str = "json") -> tuple[DataFrame, D
     A bare scalar in place of a field becomes a reading of confidence 0. A reading keeps the type
     of its value: later steps treat a number where text belongs as nothing read.
     """
-    parsed = raw.select("*", _once(F.try_parse_json(column)))
-    made, problems = {}, [F.when(F.col("v").isNull(), "(root): not a JSON object")]
-    for f in fixed.EXTRACTED_FIELDS:
-        own, inner = _kind(f"$.{f}"), _kind(f"$.{f}.value")
-        bare = own.isin("string", "number", "boolean")
-        kind = F.when(bare, own).otherwise(inner)
-
-        def value(cast: str, f: str = f, bare: Column = bare) -> Column:
-            return F.when(bare, _get(f"$.{f}", cast)).otherwise(_get(f"$.{f}.value", cast))
-
-        sure = F.when(bare, 0.0).otherwise(_get(f"$.{f}.confidence", "double"))
-        made[f] = F.struct(kind.alias("value_type"), F.when(kind == "string", value("string")).alias("value_str"), F.when(kind == "number", value("double")).alias("value_num"), F.when(kind == "boolean", value("boolean")).alias("value_bool"), F.when(~bare, _get(f"$.{f}.evidenceQuote", "string")).alias("evidence"), sure.alias("confidence"))
-        here = F.col("v").isNotNull()
-        problems += [F.when(here & ~F.coalesce(bare | (own == "object"), F.lit(False)), f"{f}: Required"), F.when((own == "object") & ~F.coalesce(kind.isin("string", "number", "boolean", "null"), F.lit(False)), f"{f}.value: Invalid input"), F.when((own == "object") & ~F.coalesce(_kind(f"$.{f}.confidence") == "number", F.lit(False)), f"{f}.confidence: Required"), F.when((sure < 0) | (sure > 1), f"{f}.confidence: must be between 0 and 1")]
+    # Each step's columns are made once and read by the next: as one expression a field's path would be read anew wherever its type matters.
+    step = raw.select("*", _once(F.try_parse_json(column)))
+    fields, at = fixed.EXTRACTED_FIELDS, F.try_variant_get
+    step = step.withColumns({f"_own_{f}": at("v", f"$.{f}", "variant") for f in fields})
+    step = step.withColumns({f"_inner_{f}": at(f"_own_{f}", "$.value", "variant") for f in fields} | {f"_own_schema_{f}": F.schema_of_variant(f"_own_{f}") for f in fields} | {f"_sure_schema_{f}": F.schema_of_variant(at(f"_own_{f}", "$.confidence", "variant")) for f in fields})
+    step = step.withColumns({f"_own_kind_{f}": _kind_of(F.col(f"_own_schema_{f}")) for f in fields} | {f"_inner_schema_{f}": F.schema_of_variant(f"_inner_{f}") for f in fields})
+    step = step.withColumns({f"_bare_{f}": F.coalesce(F.col(f"_own_kind_{f}").isin("string", "number", "boolean"), F.lit(False)) for f in fields})
+    step = step.withColumns({f"_kind_{f}": F.when(F.col(f"_bare_{f}"), F.col(f"_own_kind_{f}")).otherwise(_kind_of(F.col(f"_inner_schema_{f}"))) for f in fields} | {f"_value_{f}": F.when(F.col(f"_bare_{f}"), F.col(f"_own_{f}")).otherwise(F.col(f"_inner_{f}")) for f in fields} | {f"_sure_{f}": F.when(F.col(f"_bare_{f}"), 0.0).otherwise(at(f"_own_{f}", "$.confidence", "double")) for f in fields})
+    made, problems, here = {}, [F.when(F.col("v").isNull(), "(root): not a JSON object")], F.col("v").isNotNull()
+    for f in fields:
+        own, bare, kind, value, sure = (F.col(f"_{n}_{f}") for n in ("own_kind", "bare", "kind", "value", "sure"))
+        told = [F.when(kind == k, at(value, "$", cast)).alias(f"value_{n}") for n, k, cast in (("str", "string", "string"), ("num", "number", "double"), ("bool", "boolean", "boolean"))]
+        made[f] = F.struct(kind.alias("value_type"), *told, F.when(~bare, at(f"_own_{f}", "$.evidenceQuote", "string")).alias("evidence"), sure.alias("confidence"))
+        problems += [F.when(here & ~F.coalesce(bare | (own == "object"), F.lit(False)), f"{f}: Required"), F.when((own == "object") & ~F.coalesce(kind.isin("string", "number", "boolean", "null"), F.lit(False)), f"{f}.value: Invalid input"), F.when((own == "object") & ~F.coalesce(F.col(f"_sure_schema_{f}").rlike(_NUMBER), F.lit(False)), f"{f}.confidence: Required"), F.when((sure < 0) | (sure > 1), f"{f}.confidence: must be between 0 and 1")]
     sure = _get("$.extractionConfidence", "double")
     problems += [F.when(F.col("v").isNotNull() & (sure.isNull() | (sure < 0) | (sure > 1)), "extractionConfidence: must be between 0 and 1"), F.when(F.col("v").isNotNull() & ~F.coalesce(_kind("$.imageQualityNotes") == "array", F.lit(False)), "imageQualityNotes: Required")]
-    out = parsed.withColumns(made | {"rawText": _get("$.rawText", "string"), "imageQualityNotes": _get("$.imageQualityNotes", "array<string>"), "extractionConfidence": sure, "problems": F.array_join(F.array_compact(F.array(*problems)), "; ")}).drop("v")
-    return out.filter("problems = ''").drop("problems"), out.filter("problems <> ''").select(*raw.columns, "problems")
+    out = step.withColumns(made | {"rawText": _get("$.rawText", "string"), "imageQualityNotes": _get("$.imageQualityNotes", "array<string>"), "extractionConfidence": sure, "problems": F.array_join(F.array_compact(F.array(*problems)), "; ")})
+    kept = [*raw.columns, *made, "rawText", "imageQualityNotes", "extractionConfidence"]
+    return out.filter("problems = ''").select(*kept), out.filter("problems <> ''").select(*raw.columns, "problems")
 
 
 def scan_label_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

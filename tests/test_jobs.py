@@ -142,6 +142,84 @@ def test_judge(spark):
     assert [r.ok for r in sorted(ran, key=lambda r: r.id)] == [False, True, True, True]
 
 
+def test_judged_pairs_are_kept_over_runs(spark, tmp_path):
+    asked_file, memo = tmp_path / "asked", str(tmp_path / "memo")
+    df = spark.createDataFrame([(k, None if k == 9 else f"e{k % 6}", "b", "brand", "gray" if k < 10 else "pass") for k in range(12)], "id long, extracted string, expected string, field string, result string")
+
+    def says(extracted, expected, field):
+        with asked_file.open("a") as f:
+            f.write(f"{extracted}\n")
+        if extracted == "e5":
+            raise ValueError("no answer")
+        return "equivalent", "same_entity"
+
+    def lost(extracted, expected, field):
+        if extracted == "e3":
+            raise SystemExit("the task is lost")
+        return says(extracted, expected, field)
+
+    def count():
+        made = sorted(asked_file.read_text().split())
+        asked_file.write_text("")
+        return made
+
+    with pytest.raises(Exception, match="lost|crashed|Job aborted|SystemExit"):
+        judge.judge_gray_pairs(df, lost, memo=memo, blocks=6).count()
+    first = [x for x in count() if x not in ("e5", "None")] if asked_file.exists() else []
+    told = judge.judge_gray_pairs(df, says, memo=memo, blocks=6)
+    again = count()
+    done = {r.extracted for r in spark.read.parquet(memo).collect()}
+    assert done >= {"e0", "e1", "e2", "e3", "e4"} and len(again) == len(set(again)) and "e3" in again
+    assert set(first) | set(again) >= done - {None}
+    got = {r.id: (r.verdict, r.reason) for r in told.collect()}
+    yes, no = ("equivalent", "same_entity"), ("uncertain", "judge_failed")
+    assert {k: v for k, v in got.items() if k != 9} == {k: (None, None) if k >= 10 else no if k % 6 == 5 else yes for k in range(12) if k != 9}
+    assert count() == []  # reading the answer twice asks nothing
+    judge.judge_gray_pairs(df, says, memo=memo)
+    assert set(count()) == {"e5", "None"}  # what failed, and a null, which no key equals
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan
+
+
+def test_word_diff_keeps_most_and_leads_from_one_text_to_the_other():
+    rng = np.random.default_rng(5)
+
+    def kept_at_most(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before, row = row, [0]
+            for j, y in enumerate(b, 1):
+                row.append(before[j - 1] + 1 if x == y else max(before[j], row[j - 1]))
+        return row[-1]
+
+    for _ in range(300):
+        a, b = ([str(x) for x in rng.integers(0, 4, rng.integers(0, 9))] for _ in range(2))
+        steps = list(redline.word_diff(a, b))
+        assert [t for op, t in steps if op != "added"] == a and [t for op, t in steps if op != "removed"] == b
+        assert sum(op == "kept" for op, _ in steps) == kept_at_most(a, b)
+    assert list(redline.word_diff(["a", "b"], ["b", "a"])) == [("removed", "a"), ("kept", "b"), ("added", "a")]
+
+
+def test_grids_of_any_shape_are_measured(spark):
+    from tallymark.operators import quality
+
+    rng = np.random.default_rng(3)
+    grids = {k: rng.integers(0, 256, shape) for k, shape in enumerate([(3, 3), (4, 7), (7, 4), (2, 9), (9, 2), (1, 1), (25, 25)])}
+    rows = [(k, g.shape[1], [int(v) for v in g.ravel()]) for k, g in grids.items()] + [(90, 3, []), (91, 3, None), (92, 4, [1] * 18), (93, 0, [1]), (94, None, [1]), (95, 1, [1, None])]
+    df = spark.createDataFrame(rows, "image_id int, width int, lum array<int>")
+    sharp = light = {r.image_id: r for r in quality.grid_signals(df).collect()}
+    pixels = spark.createDataFrame([(k, x, y, int(v)) for k, g in grids.items() for (y, x), v in np.ndenumerate(g)], "image_id int, x int, y int, lum int").repartition(5)
+    by_pixel = {r.image_id: r for r in quality.pixel_sharpness(pixels).collect()}
+    for k, g in grids.items():
+        edge = 4 * g[1:-1, 1:-1] - g[:-2, 1:-1] - g[2:, 1:-1] - g[1:-1, :-2] - g[1:-1, 2:]
+        want = edge.var() if edge.size else 0.0
+        assert sharp[k].variance == pytest.approx(want) == by_pixel[k].variance and sharp[k].blurred == (want < 100) == by_pixel[k].blurred
+        assert light[k].mean == pytest.approx(g.mean()) and light[k].bright_share == pytest.approx((g >= 248).mean())
+    assert all(tuple(sharp[k]) == (k, None, None, None, None, None) for k in range(90, 96))
+    plan = quality.pixel_sharpness(pixels)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 1 and "Window" not in plan
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = frame(spark, SMALL, "v_event")
     events.repartition(3).write.parquet(str(tmp_path / "in"))
