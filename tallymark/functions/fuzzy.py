@@ -27,17 +27,13 @@ def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _bit(place: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
-
-
-def _letter_bits(letters: Column, words: Column) -> Column:
-    """Map from each letter to its places in the text, as one long for each word of ``_BITS`` letters."""
+def _letter_bits(letters: Column, others: Column, words: Column) -> Column:
+    """Map from each letter that the other text has too to its places in the text, as one long for each word of ``_BITS`` letters."""
     def places(letter: Column, word: Column) -> Column:
-        here = F.transform(F.slice(letters, word * _BITS + 1, _BITS), lambda x, k: F.when(x == letter, _bit(k)).otherwise(F.lit(0).cast("long")))
-        return F.aggregate(here, F.lit(0).cast("long"), lambda a, x: a + x)
+        # A sum over the places: a letter's bit doubles with each step to the right, so it is added from the right.
+        return F.aggregate(F.reverse(F.slice(letters, word * _BITS + 1, _BITS)), F.lit(0).cast("long"), lambda a, x: a + a + (x == letter).cast("long"))
 
-    return _bound(F.array_distinct(letters), lambda known: F.map_from_arrays(known, F.transform(known, lambda letter: F.transform(words, lambda word: places(letter, word)))))
+    return _bound(F.array_intersect(letters, others), lambda known: F.map_from_arrays(known, F.transform(known, lambda letter: F.transform(words, lambda word: places(letter, word)))))
 
 
 def _with_letter(row: Column, places: Column) -> Column:
@@ -60,14 +56,23 @@ def common_length(a: Column, b: Column) -> Column:
             def step(row: Column, letter: Column) -> Column:
                 return _bound(F.try_element_at(bits, letter), lambda places: F.when(places.isNull(), row).otherwise(_with_letter(row, places)))
 
-            last = F.aggregate(F.split(two["long"], ""), F.transform(words, lambda _: F.lit(_FULL)), step)
+            last = F.aggregate(two["long"], F.transform(words, lambda _: F.lit(_FULL)), step)
             return F.aggregate(last, F.lit(0), lambda n, x: n + _BITS - F.bit_count(x))
 
-        return _bound(_letter_bits(two["short"], words), found)
+        return _bound(_letter_bits(two["short"], two["long"], words), found)
+
+    def count_short(two: Column) -> Column:
+        """The same where the shorter text fits one word: the state is a long, and no carry leaves it."""
+        def found(bits: Column) -> Column:
+            places = F.transform(two["long"], lambda letter: F.coalesce(F.try_element_at(bits, letter)[0], F.lit(0).cast("long")))
+            last = F.aggregate(places, F.lit(_FULL), lambda row, at: (row + row.bitwiseAND(at)).bitwiseAND(F.lit(_FULL)).bitwiseOR(row.bitwiseAND(F.bitwise_not(at))))
+            return _BITS - F.bit_count(last)
+
+        return _bound(_letter_bits(two["short"], two["long"], F.array(F.lit(0))), found)
 
     swap = F.char_length(a) > F.char_length(b)
-    two = F.struct(F.split(F.when(swap, b).otherwise(a), "").alias("short"), F.when(swap, a).otherwise(b).alias("long"))
-    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("int")).when((a == "") | (b == ""), 0).otherwise(_bound(two, count))
+    two = F.struct(F.split(F.when(swap, b).otherwise(a), "").alias("short"), F.split(F.when(swap, a).otherwise(b), "").alias("long"))
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("int")).when((a == "") | (b == ""), 0).otherwise(_bound(two, lambda two: F.when(F.size(two["short"]) <= _BITS, count_short(two)).otherwise(count(two))))
 
 
 def token_sets(a: Column, b: Column) -> Column:

@@ -66,10 +66,12 @@ def _remembered(asked: DataFrame, ask: Callable[[DataFrame], DataFrame], keys: l
     def kept() -> DataFrame:
         return spark.read.schema(held).parquet(memo).select(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)], "verdict", "reason")
 
+    asked = asked.persist()  # only distinct pairs; lost parts are made again
     for block in range(blocks):
         part = asked.filter(F.pmod(F.xxhash64(*keys), F.lit(blocks)) == block)
         fresh = ask(part.join(kept().select(*keys), keys, "left_anti")).filter(F.col("reason") != FAILED)
         fresh.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], "verdict", "reason").write.mode("append").parquet(memo)
+    asked.unpersist()
     # Two runs at a time may both have asked a pair; one verdict of it is taken.
     return kept().groupBy(*keys).agg(F.min(F.struct("verdict", "reason")).alias("_told")).select(*keys, "_told.*")
 
