@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tallymark.functions.text import filename_key
 from tallymark.operators.ranks import with_places
 
+#: Phrases that are broadcast: no more than so many, none of more characters.
+FEW_PHRASES, LONG_PHRASE = 200, 1000
+
 
 def _position(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(order)))
@@ -93,7 +96,18 @@ def cap_batch(new: DataFrame, queued: DataFrame, importer: str, order: str, cap:
 
 
 def longest_match(df: DataFrame, text: str, phrases: DataFrame, key: str) -> DataFrame:
-    """key, phrase: the longest of the phrases (phrase, ordinal) in the text; of equal ones the first listed."""
-    # The phrases are a fixed list of the rules.
-    hits = df.join(F.broadcast(phrases), F.contains(F.col(text), F.col("phrase")))
+    """key, phrase: the longest of the phrases (phrase, ordinal) in the text; of equal ones the first listed. An empty phrase is in no text.
+
+    Up to ``FEW_PHRASES`` short ones are sent to every task and looked for one after the other. More are joined by their first characters, as many as the
+    shortest has, to those that stand in the text, and then looked for.
+    """
+    named = phrases.filter("phrase <> ''").select("phrase", "ordinal")
+    n, least, longest = named.agg(F.count("*"), F.min(F.char_length("phrase")), F.max(F.char_length("phrase"))).first()
+    df, found = df.select(key, text), F.contains(F.col(text), F.col("phrase"))
+    if n <= FEW_PHRASES and (longest or 0) <= LONG_PHRASE:
+        hits = df.join(F.broadcast(named), found)
+    else:
+        places = F.sequence(F.lit(1), F.char_length(text) - least + 1)
+        heads = F.when(F.char_length(text) >= least, F.array_distinct(F.transform(places, lambda k: F.substring(F.col(text), k, F.lit(least)))))
+        hits = df.withColumn("_head", F.explode(heads)).join(named.withColumn("_head", F.substring("phrase", 1, least)), "_head").filter(found)
     return hits.groupBy(key).agg(F.max_by("phrase", F.struct(F.char_length("phrase"), -F.col("ordinal"))).alias("phrase"))

@@ -360,3 +360,16 @@ def test_a_batch_that_runs_again_is_written_once(spark, tmp_path, monkeypatch):
         jobs.start_verification(stream, apps, str(tmp_path / "out"), str(tmp_path / "cp"), "app_id").awaitTermination(120)
         shutil.rmtree(tmp_path / "cp" / "commits")  # as if the driver was lost before it noted the batch
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1 == spark.read.parquet(str(tmp_path / "out-quarantine")).count()
+
+
+def test_longest_match_of_few_and_many_phrases(spark, monkeypatch):
+    words = [f"w{k}" for k in range(40)]
+    phrases = spark.createDataFrame([(w, k) for k, w in enumerate([*words, "w1 w2", "w2 w1", "", "é w3"])], "phrase string, ordinal int")
+    texts = [None, "", "w", "nothing", "w1 w2", "w2 w1 w2 w1", "x w39x", "é w3 w1 w2", "w1 " * 500 + "w39"]
+    df = spark.createDataFrame([(k, t, "other") for k, t in enumerate(texts)], "id int, t string, phrase string").repartition(3)
+    few = {r.id: r.phrase for r in pairing.longest_match(df, "t", phrases, "id").collect()}
+    assert few == {4: "w1 w2", 5: "w1 w2", 6: "w39", 7: "w1 w2", 8: "w39"}
+    monkeypatch.setattr(pairing, "FEW_PHRASES", 10)
+    many = pairing.longest_match(df, "t", phrases, "id")
+    assert {r.id: r.phrase for r in many.collect()} == few
+    assert pairing.longest_match(df, "t", phrases.limit(0), "id").count() == 0
