@@ -44,6 +44,7 @@ def judge(urls: DataFrame, rules: DataFrame, keep: tuple[str, ...] = ("page_id",
     ``rules`` has host, path and verdict (allow or block); rows with a null in them, and all but
     one of repeated rules, are left out. Which shapes rules have (labels of the host, length of
     the path) comes to the driver: at most as many as hosts have labels times the longest path.
+    A url is only expanded by the shapes of as many labels as its host has or fewer.
     The join is left to the planner, which broadcasts the rules only below its size threshold.
     """
     text = F.concat(ascii_lower(F.col("host")), F.col("path"))
@@ -53,10 +54,19 @@ def judge(urls: DataFrame, rules: DataFrame, keep: tuple[str, ...] = ("page_id",
     shapes = [tuple(r) for r in known.select("labels", "size").distinct().collect()]
     base = urls.select(*[F.col(f"`{c}`") for c in keep], host_of(F.col(f"`{url_col}`")).alias("host"), path_of(F.col(f"`{url_col}`")).alias("path"))
     labels = F.split("host", r"\.")
-    # One expression whatever the rules: the shapes are a literal list.
-    listed = F.from_json(F.lit(json.dumps([{"k": k, "n": n} for k, n in shapes])), "array<struct<k: int, n: int>>")
-    fitting = F.filter(listed, lambda s: (F.size(labels) >= s["k"]) & (F.char_length("path") >= s["n"]))
-    made = F.transform(fitting, lambda s: F.concat(F.array_join(F.slice(labels, F.size(labels) - s["k"] + 1, s["k"]), "."), F.substring(F.col("path"), F.lit(1), s["n"])))
+    # One expression whatever the rules: a literal map from labels to lengths, looked up only for suffixes that the host has.
+    lengths: dict[int, list[int]] = {}
+    for k, n in sorted(shapes):
+        lengths.setdefault(k, []).append(n)
+    by_labels = F.from_json(F.lit(json.dumps(lengths)), "map<string, array<int>>")
+    suffixes = F.sequence(F.lit(1), F.least(F.size(labels), F.lit(max(lengths, default=1))))
+
+    def prefixes(k: Column) -> Column:
+        fitting = F.filter(F.coalesce(F.try_element_at(by_labels, k.cast("string")), F.array().cast("array<int>")), lambda n: n <= F.char_length("path"))
+        suffix = F.array_join(F.slice(labels, F.size(labels) - k + 1, k), ".")
+        return F.transform(fitting, lambda n: F.concat(suffix, F.substring(F.col("path"), F.lit(1), n)))
+
+    made = F.flatten(F.transform(suffixes, prefixes))
     best = F.struct(F.char_length("rule").alias("size"), F.col("host_size"), (F.col("verdict") == "block").alias("block"), "rule", "verdict")
     fit = base.withColumn("expression", F.explode(made))
     fit = fit.withColumn("digest", F.sha2("expression", 256)).withColumn("prefix", F.substring("digest", 1, PREFIX_HEX))

@@ -351,3 +351,31 @@ def test_pipeline_stages(spark):
         docs = after
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_url_rules_of_many_shapes(spark):
+    rng = random.Random(5)
+    names = ["a", "b", "example", "org", "net"]
+    rules = {(".".join(rng.choices(names, k=rng.randint(1, 4))), "/" + "".join(rng.choices("xy/", k=rng.randint(0, 6)))): rng.choice(["allow", "block"]) for _ in range(400)}
+    urls = [f"http://{'.'.join(rng.choices(names, k=rng.randint(1, 6)))}/{''.join(rng.choices('xy/', k=rng.randint(0, 9)))}?q" for _ in range(300)] + ["http://" + "a." * 3000 + "org/x", "none", None, "http://"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urlrules.judge(pages, urlrules.rule_table(spark, [(*k, v) for k, v in rules.items()])).collect()}
+    for k, url in enumerate(urls):
+        host, _, path = (url or "").partition("://")[2].partition("?")[0].partition("/")
+        path = "/" + path if "://" in (url or "") and url != "http://" else ""
+        fit = [(len(h + p), len(h), v == "block", h + p, v) for (h, p), v in rules.items() if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert got[k] == (max(fit)[3:] if fit else (None, "allow")), url
+
+
+def test_quality_in_either_mix(spark):
+    """Good rules that go together and corpora of mostly junk do not turn the verdicts of labelled documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
+    rows = [(quality.stats((r.text or "").encode()), r.quality) for r in docs.select("text", "quality").collect()]
+    rows = [(quality.pattern_of(quality.votes(s)), label) for s, label in rows if s[0] and not quality.base_failed(s)]
+    good, junk = [p for p, label in rows if label], [p for p, label in rows if not label]
+    for times in (1, 4 * len(good) // len(junk)):  # as it is, and four fifths junk
+        counts = collections.Counter(good)
+        counts.update(junk * times)
+        found = quality.fit(counts)
+        assert sum(found[p] >= quality.THRESHOLD for p in good) >= 0.99 * len(good)
+        assert sum(found[p] < quality.THRESHOLD for p in junk) >= 0.95 * len(junk)
