@@ -55,10 +55,10 @@ def words_of(doc_id: int | None, text: bytes) -> Counter[bytes]:
     """The words of a document (UTF-8) and how often each occurs, after the deletions."""
     found = Counter(_RUN.findall(text.lower()))  # of bytes: A-Z only
     start = zlib.crc32(b"%d:" % doc_id if doc_id is not None else b":")
-    for run in [r for r in found if zlib.crc32(r, start) % EVERY == 0]:
+    # All are taken out before any is put back: what a deletion leaves may itself be a run that loses a letter.
+    for run, n in [(r, found.pop(r)) for r in list(found) if zlib.crc32(r, start) % EVERY == 0]:
         said = run.decode()
         at = zlib.crc32(run, start) % len(said)
-        n = found.pop(run)
         found[(said[:at] + said[at + 1 :]).encode()] += n
     return found
 
