@@ -373,3 +373,10 @@ def test_longest_match_of_few_and_many_phrases(spark, monkeypatch):
     many = pairing.longest_match(df, "t", phrases, "id")
     assert {r.id: r.phrase for r in many.collect()} == few
     assert pairing.longest_match(df, "t", phrases.limit(0), "id").count() == 0
+
+
+def test_a_filter_on_two_tables_is_no_join_of_them(spark):
+    """Readings are filtered by texts of part and supplier; the two are joined by their keys all the same, not each row with each."""
+    read = frame(spark, SMALL, "v_ext").filter("lower(bottler_evidence) IS NOT NULL")
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and "Inner, " not in "".join(x for x in plan.splitlines(True) if "NestedLoop" in x)
