@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.functions import fixed
+from tallymark.functions.text import let
 
 READING = "struct<value_type: string, value_str: string, value_num: double, value_bool: boolean, evidence: string, confidence: double>"
 _NUMBER = "^(?:BIGINT|DOUBLE|DECIMAL|FLOAT|INT|TINYINT|SMALLINT)"
@@ -16,6 +17,10 @@ def _kind_of(schema: Column) -> Column:
     return F.when(schema == "STRING", "string").when(schema.rlike(_NUMBER), "number").when(schema == "BOOLEAN", "boolean").when(schema == "VOID", "null").when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array")
 
 
+def _kind_of_variant(value: Column) -> Column:
+    return let(F.schema_of_variant(value), _kind_of)
+
+
 def _kind(where: str) -> Column:
     return _kind_of(F.schema_of_variant(F.try_variant_get("v", where, "variant")))
 
@@ -29,29 +34,44 @@ def _once(parsed: Column) -> Column:
     return F.explode(F.array(parsed)).alias("v")
 
 
+def _reading(held: Column) -> Column:
+    """struct(reading, problems) of a struct(field, own): what a model's JSON has for a field."""
+    def parts(own: Column) -> Column:
+        at = F.try_variant_get
+        return F.struct(own.alias("own"), _kind_of_variant(own).alias("own_kind"), at(own, "$.value", "variant").alias("inner"), at(own, "$.confidence", "variant").alias("told"))
+
+    def typed(p: Column) -> Column:
+        bare = F.coalesce(p["own_kind"].isin("string", "number", "boolean"), F.lit(False))
+        sure = F.when(bare, 0.0).otherwise(F.try_variant_get(p["told"], "$", "double"))
+        return F.struct(p["own"].alias("own"), p["own_kind"].alias("own_kind"), bare.alias("bare"), F.when(bare, p["own_kind"]).otherwise(_kind_of_variant(p["inner"])).alias("kind"), F.when(bare, p["own"]).otherwise(p["inner"]).alias("value"), sure.alias("sure"), F.schema_of_variant(p["told"]).rlike(_NUMBER).alias("is_sure"))
+
+    def made(t: Column) -> Column:
+        own, bare, kind, sure, name = t["own_kind"], t["bare"], t["kind"], t["sure"], held["field"]
+        told = [F.when(kind == k, F.try_variant_get(t["value"], "$", cast)).alias(f"value_{n}") for n, k, cast in (("str", "string", "string"), ("num", "number", "double"), ("bool", "boolean", "boolean"))]
+        reading = F.struct(kind.alias("value_type"), *told, F.when(~bare, F.try_variant_get(t["own"], "$.evidenceQuote", "string")).alias("evidence"), sure.alias("confidence"))
+        problems = [F.when(~F.coalesce(bare | (own == "object"), F.lit(False)), F.concat(name, F.lit(": Required"))), F.when((own == "object") & ~F.coalesce(kind.isin("string", "number", "boolean", "null"), F.lit(False)), F.concat(name, F.lit(".value: Invalid input"))), F.when((own == "object") & ~F.coalesce(t["is_sure"], F.lit(False)), F.concat(name, F.lit(".confidence: Required"))), F.when((sure < 0) | (sure > 1), F.concat(name, F.lit(".confidence: must be between 0 and 1")))]
+        return F.struct(reading.alias("reading"), F.array(*problems).alias("problems"))
+
+    return let(let(let(held["own"], parts), typed), made)
+
+
 def read_extractions(raw: DataFrame, column: str = "json") -> tuple[DataFrame, DataFrame]:
     """(readings, quarantined): JSON texts as typed readings, the others with their problems joined by ``; ``.
 
     A bare scalar in place of a field becomes a reading of confidence 0. A reading keeps the type
     of its value: later steps treat a number where text belongs as nothing read.
     """
-    # Each step's columns are made once and read by the next: as one expression a field's path would be read anew wherever its type matters.
+    # One expression for all fields: written out field by field it makes methods that the JVM does not compile, and a path is read anew wherever its type matters.
     step = raw.select("*", _once(F.try_parse_json(column)))
-    fields, at = fixed.EXTRACTED_FIELDS, F.try_variant_get
-    step = step.withColumns({f"_own_{f}": at("v", f"$.{f}", "variant") for f in fields})
-    step = step.withColumns({f"_inner_{f}": at(f"_own_{f}", "$.value", "variant") for f in fields} | {f"_own_schema_{f}": F.schema_of_variant(f"_own_{f}") for f in fields} | {f"_sure_schema_{f}": F.schema_of_variant(at(f"_own_{f}", "$.confidence", "variant")) for f in fields})
-    step = step.withColumns({f"_own_kind_{f}": _kind_of(F.col(f"_own_schema_{f}")) for f in fields} | {f"_inner_schema_{f}": F.schema_of_variant(f"_inner_{f}") for f in fields})
-    step = step.withColumns({f"_bare_{f}": F.coalesce(F.col(f"_own_kind_{f}").isin("string", "number", "boolean"), F.lit(False)) for f in fields})
-    step = step.withColumns({f"_kind_{f}": F.when(F.col(f"_bare_{f}"), F.col(f"_own_kind_{f}")).otherwise(_kind_of(F.col(f"_inner_schema_{f}"))) for f in fields} | {f"_value_{f}": F.when(F.col(f"_bare_{f}"), F.col(f"_own_{f}")).otherwise(F.col(f"_inner_{f}")) for f in fields} | {f"_sure_{f}": F.when(F.col(f"_bare_{f}"), 0.0).otherwise(at(f"_own_{f}", "$.confidence", "double")) for f in fields})
-    made, problems, here = {}, [F.when(F.col("v").isNull(), "(root): not a JSON object")], F.col("v").isNotNull()
-    for f in fields:
-        own, bare, kind, value, sure = (F.col(f"_{n}_{f}") for n in ("own_kind", "bare", "kind", "value", "sure"))
-        told = [F.when(kind == k, at(value, "$", cast)).alias(f"value_{n}") for n, k, cast in (("str", "string", "string"), ("num", "number", "double"), ("bool", "boolean", "boolean"))]
-        made[f] = F.struct(kind.alias("value_type"), *told, F.when(~bare, at(f"_own_{f}", "$.evidenceQuote", "string")).alias("evidence"), sure.alias("confidence"))
-        problems += [F.when(here & ~F.coalesce(bare | (own == "object"), F.lit(False)), f"{f}: Required"), F.when((own == "object") & ~F.coalesce(kind.isin("string", "number", "boolean", "null"), F.lit(False)), f"{f}.value: Invalid input"), F.when((own == "object") & ~F.coalesce(F.col(f"_sure_schema_{f}").rlike(_NUMBER), F.lit(False)), f"{f}.confidence: Required"), F.when((sure < 0) | (sure > 1), f"{f}.confidence: must be between 0 and 1")]
+    fields = fixed.EXTRACTED_FIELDS
+    step = step.withColumn("_own", F.array(*[F.struct(F.lit(f).alias("field"), F.try_variant_get("v", f"$.{f}", "variant").alias("own")) for f in fields]))
+    step = step.withColumn("_read", F.transform("_own", _reading))
+    made = {f: F.col("_read")[k]["reading"] for k, f in enumerate(fields)}
+    problems = [F.when(F.col("v").isNull(), "(root): not a JSON object")]
+    of_fields = F.when(F.col("v").isNotNull(), F.flatten(F.transform("_read", lambda r: r["problems"]))).otherwise(F.array().cast("array<string>"))
     sure = _get("$.extractionConfidence", "double")
     problems += [F.when(F.col("v").isNotNull() & (sure.isNull() | (sure < 0) | (sure > 1)), "extractionConfidence: must be between 0 and 1"), F.when(F.col("v").isNotNull() & ~F.coalesce(_kind("$.imageQualityNotes") == "array", F.lit(False)), "imageQualityNotes: Required")]
-    out = step.withColumns(made | {"rawText": _get("$.rawText", "string"), "imageQualityNotes": _get("$.imageQualityNotes", "array<string>"), "extractionConfidence": sure, "problems": F.array_join(F.array_compact(F.array(*problems)), "; ")})
+    out = step.withColumns(made | {"rawText": _get("$.rawText", "string"), "imageQualityNotes": _get("$.imageQualityNotes", "array<string>"), "extractionConfidence": sure, "problems": F.array_join(F.array_compact(F.concat(F.array(problems[0]), of_fields, F.array(*problems[1:]))), "; ")})
     kept = [*raw.columns, *made, "rawText", "imageQualityNotes", "extractionConfidence"]
     return out.filter("problems = ''").select(*kept), out.filter("problems <> ''").select(*raw.columns, "problems")
 

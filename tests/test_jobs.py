@@ -1,4 +1,5 @@
 import json
+import re
 
 import numpy as np
 import pytest
@@ -380,3 +381,11 @@ def test_a_filter_on_two_tables_is_no_join_of_them(spark):
     read = frame(spark, SMALL, "v_ext").filter("lower(bottler_evidence) IS NOT NULL")
     plan = read._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin" in plan and "Inner, " not in "".join(x for x in plan.splitlines(True) if "NestedLoop" in x)
+
+
+def test_methods_made_for_readings_are_compiled(spark):
+    """The JVM leaves methods of more than 8,000 bytes to its interpreter."""
+    made, left = readings.read_extractions(spark.createDataFrame([(1, "{}")], "label_id long, json string"))
+    for rows in (made, left):
+        told = rows._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+        assert all(int(x) < 8000 for x in re.findall(r"maxMethodCodeSize:([0-9]+)", told))
