@@ -146,9 +146,18 @@ def match_ladders(df: DataFrame, matches: dict[str, tuple[Column, Column, str]])
     kept = df.columns
     for layer in ladder_layers(matches):
         df = df.withColumns(layer)
-    return df.select(*kept, *[f"{n}_{k}" for n in matches for k in ("result", "similarity")])
+    # As the row of a generator: a filter on a result would else be moved below the layers, with all of them written into it.
+    told = [f"{n}_{k}" for n in matches for k in ("result", "similarity")]
+    return df.select(*kept, F.explode(F.array(F.struct(*told))).alias("_told")).select(*kept, *[F.col(f"_told.{t}").alias(t) for t in told])
 
 
 def match_ladder(df: DataFrame, extracted: str, expected: str, kind: str = "text", to: str = "match") -> DataFrame:
     """``match_ladders`` for one pair of columns."""
     return match_ladders(df, {to: (F.col(extracted), F.col(expected), kind)})
+
+
+def match_distinct(df: DataFrame, extracted: str, expected: str, kind: str = "text", to: str = "match") -> DataFrame:
+    """``match_ladder`` where pairs recur: each distinct pair goes through the ladder once, and rows are joined to its result."""
+    pairs = match_ladder(df.select(F.col(extracted).alias("_a"), F.col(expected).alias("_b")).distinct(), "_a", "_b", kind, to)
+    same = F.col(extracted).eqNullSafe(F.col("_a")) & F.col(expected).eqNullSafe(F.col("_b"))
+    return df.join(pairs, same).drop("_a", "_b")
