@@ -60,10 +60,10 @@ def mutation_audit(statements: DataFrame, column: str = "statement") -> DataFram
 
     Eleven kinds: the prefix's case and absence, commas, words, sentences and marks exchanged, a
     character put in or taken out at every place of the body, text added. All must fail. A blank
-    is not taken out: beside another blank that would change nothing. Equal statements are edited
+    is not taken out: beside another blank that would change nothing. Equal statements are checked and edited
     once and counted as often as they occur; the edits are dealt out by their place.
     """
-    good = statements.filter(check_statement(F.col(column)) == "pass").groupBy(F.trim(column).alias("s")).agg(F.count("*").alias("times"))
+    good = statements.groupBy(F.trim(column).alias("s")).agg(F.count("*").alias("times")).filter(check_statement(F.col("s")) == "pass")
     body = F.substr(F.col("s"), F.lit(len(fixed.STATEMENT_PREFIX) + 1))
     whole = [("prefix-title", F.concat(F.lit("Government Warning:"), body)), ("prefix-lower", F.concat(F.lower(F.lit(fixed.STATEMENT_PREFIX)), body)), ("prefix-drop", F.trim(body))]
     whole += [("comma-drop-general", F.replace("s", F.lit("General,"), F.lit("General"))), ("comma-drop-machinery", F.replace("s", F.lit("machinery,"), F.lit("machinery")))]
