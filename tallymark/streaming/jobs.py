@@ -49,17 +49,19 @@ def checked(batch: DataFrame, applications: DataFrame, key: str, extractor: Extr
     known = whole.join(applications.select(key), key, "left_semi")
     if extractor is None:
         return known, broken.unionByName(none)
-    read = run_extractor(known, extractor, key)
-    raised = read.filter(~F.col("ok")).select(key, F.concat(F.lit("check failed: "), "error").alias("reason"), F.lit(None).cast("string").alias("line"))
-    return known.join(read.filter("ok").select(key, F.col("result").alias("extracted")), key), broken.unionByName(none).unionByName(raised)
+    # Labels may share a key: the answer belongs to the whole label, and equal ones are read once.
+    known = known.withColumn("_job", F.to_json(F.struct(*columns)))
+    read = run_extractor(known.dropDuplicates(["_job"]), lambda job: extractor({c: job[c] for c in columns}), "_job").select("_job", "ok", "result", "error")
+    answered = known.join(read, "_job")
+    raised = answered.filter(~F.col("ok")).select(key, F.concat(F.lit("check failed: "), "error").alias("reason"), F.lit(None).cast("string").alias("line"))
+    return answered.filter("ok").select(*columns, F.col("result").alias("extracted")), broken.unionByName(none).unionByName(raised)
 
 
 def start_verification(labels: DataFrame, applications: DataFrame, out: str, checkpoint: str, key: str = "app_id", extractor: Extractor | None = None):
     """A query that writes verdicts to ``out`` and the labels that cannot be checked, with the reason, to ``out``-quarantine.
 
     Each micro-batch has a folder of its own, ``batch=<number>``, which is written anew if the
-    batch is run again after a failure, so no verdict is there twice. With an extractor keys are
-    unique in a micro-batch.
+    batch is run again after a failure, so no verdict is there twice. Labels may share a key.
     """
 
     def write(batch: DataFrame, number: int) -> None:
