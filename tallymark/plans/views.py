@@ -105,15 +105,27 @@ FROM (SELECT p_partkey AS image_id, explode(sequence(0, 624)) AS k FROM part)
 #: Joins with a hint are not reordered. Without it a filter on columns of part and supplier would join all of the two with each
 #: other, before the count that pairs them up is there.
 _COUNTED = ("\nSELECT p.p_partkey AS app_id", "\nSELECT /*+ BROADCAST(c) */ p.p_partkey AS app_id")
+#: Views whose made-up texts are many times as large as the columns they come from, by which the planner would broadcast them.
+_WIDE = ("v_statement",)
+#: Small tables of which each row gives a label, an image or a statement that takes long.
+_SEEDS = ("part",)
 
 _NAMES = re.compile(rf"\b(FROM|JOIN) ({'|'.join((*TABLES, *VIEWS))})\b")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """A table dealt over all cores, where its file has few splits: one row group is one task, however many splits its bytes make."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < 4 * cores else rows
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table or a view."""
     if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return over(spark, sf_dir, VIEWS[name].replace(*_COUNTED))
+        read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return dealt(read) if name in _SEEDS else read
+    made = over(spark, sf_dir, VIEWS[name].replace(*_COUNTED))
+    return made.hint("merge") if name in _WIDE else made
 
 
 def over(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
