@@ -65,7 +65,7 @@ def read_extractions(raw: DataFrame, column: str = "json") -> tuple[DataFrame, D
     step = raw.select("*", _once(F.try_parse_json(column)))
     fields = fixed.EXTRACTED_FIELDS
     step = step.withColumn("_own", F.array(*[F.struct(F.lit(f).alias("field"), F.try_variant_get("v", f"$.{f}", "variant").alias("own")) for f in fields]))
-    step = step.withColumn("_read", F.transform("_own", _reading))
+    step = step.select("*", F.explode(F.array(F.transform("_own", _reading))).alias("_read"))
     made = {f: F.col("_read")[k]["reading"] for k, f in enumerate(fields)}
     problems = [F.when(F.col("v").isNull(), "(root): not a JSON object")]
     of_fields = F.when(F.col("v").isNotNull(), F.flatten(F.transform("_read", lambda r: r["problems"]))).otherwise(F.array().cast("array<string>"))
