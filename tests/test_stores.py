@@ -2,10 +2,12 @@
 
 import os
 import random
+import time
 from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tallymark.functions import fixed
@@ -142,6 +144,33 @@ def test_running_summary_over_restarts(spark, tmp_path):
     assert spark.conf.get(states._PROVIDER, "") != states._ROCKSDB or "RocksDB" in os.environ.get("SPARK_CONF", ""), "the session keeps its own setting"
 
 
+def test_many_keys_of_few_events_are_gone_over_as_rows():
+    """A frame for each key took some 4 ms a call; the rows of 20,000 keys are folded in a few seconds."""
+    class Held:
+        at, rows = None, {}
+
+        def get(self):
+            return self.rows.get(self.at)
+
+        def update(self, row):
+            self.rows[self.at] = row
+
+    folded = states.RowState("item_id", "event_id", "batch_id", None)
+    folded.row = held = Held()
+    event = Row("event_id", "item_id", "kind", "duration_ms", "overall", "quality_issue", "batch_id")
+    began = time.process_time()
+    for item in range(20000):
+        held.at = item
+        out = list(folded.handleInputRows((item,), iter([event(7, item, "complete", 1.5, "pass", True, 3), event(None, item, "error", 9.0, None, None, 3), event(2, item, "start", None, None, None, 3)]), None))
+        assert [r.asDict() for r in out] == [{"batch_id": 3, **states.counts_for((7, "complete", 1.5, "pass", True, 3))}]
+    assert time.process_time() - began < 10
+    held.at = 5
+    (change,) = folded.handleInputRows((5,), iter([event(8, 5, "error", float("nan"), "pass", True, 3)]), None)
+    assert held.rows[5] == (8, "failed", None, None, None, 4) and (change.total, change.n_pass, change.failed, change.ok_time) == (0, -1, 1, -1500)
+    (change,) = folded.handleInputRows((5,), iter([event(1, 5, "complete", 1.0, "pass", True, 3)]), None)
+    assert held.rows[5] == (8, "failed", None, None, None, 5) and not any(change[c] for c in states.COUNTS), "a late event undoes nothing"
+
+
 def test_row_states_survive_a_restart(spark, tmp_path):
     schema = "event_id long, item_id long, kind string, duration_ms double"
     rows = [e[:4] for e in EVENTS]
