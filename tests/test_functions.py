@@ -1,11 +1,15 @@
 import random
+import re
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from __spark_entry__ import SMOKE_DIR
 from tallymark.functions import explain, fixed, fuzzy, strict, text
+from tallymark.plans import catalog
 
 
 def one(spark, value, kind="string"):
@@ -59,6 +63,31 @@ def test_similarity_is_the_best_of_three_ratios(spark):
     assert [r[0] for r in nulls] == [None, None]
 
 
+def test_readings_of_other_applications_are_measured(spark, tmp_path):
+    """From 1,000,000 parts on ids meet, and readings are paired with other applications: unlike brands go through the ladder as well."""
+    for table, key, by in (("part", "p_partkey", 1000003), ("supplier", "s_suppkey", None), ("nation", None, None)):
+        rows = spark.read.parquet(f"{SMOKE_DIR}/{table}.parquet")
+        twice = rows.unionByName(rows.withColumn(key, F.col(key) + (by or rows.count()))) if key else rows
+        twice.write.parquet(str(tmp_path / f"{table}.parquet"))
+    pairs = catalog._pairs(spark, str(tmp_path), "e.label_id, e.brand_value, a.brand").collect()
+
+    def form(brand):
+        return " ".join(re.sub("[^a-z0-9]", " ", re.sub("['\"]", "", brand.lower())).split())
+
+    def plain(read, brand):
+        if read is None or read == brand:
+            return "missing" if read is None else "pass"
+        if form(read) == form(brand):
+            return "pass-normalised"
+        near = _plain_ratio(form(read), form(brand))
+        return "likely-match" if near >= fixed.LIKELY else "fail" if near < fixed.UNLIKELY else "gray"
+
+    want = Counter((r.label_id, plain(r.brand_value, r.brand)) for r in pairs)
+    got = catalog.QUERIES["match_ladder"](spark, str(tmp_path)).filter("source = 'view'").collect()
+    assert Counter((r.label_id, r.result) for r in got) == want
+    assert any(r.label_id > 1000003 and r.brand_value and form(r.brand_value) != form(r.brand) for r in pairs)
+
+
 def test_no_python_in_the_verification_job(spark):
     from tallymark.plans import catalog
 
