@@ -1,7 +1,7 @@
 """Text: normal forms, statements, names and parsers, as column expressions.
 
 Everything but Unicode compatibility forms is a built-in expression. For those one Arrow
-function exists, and ``to_nfkc`` runs it on the distinct texts that are not plain ASCII alone.
+function exists, and ``to_nfkc`` shows it the texts that are not plain ASCII alone.
 """
 
 from __future__ import annotations
@@ -82,10 +82,14 @@ def _decompose(texts: pd.Series) -> pd.Series:
 
 
 def to_nfkc(df: DataFrame, column: str, form: str = "NFKC") -> DataFrame:
-    """``df`` with ``column`` in a compatibility form; plain ASCII texts never leave the JVM."""
-    plain = F.col(column).isNull() | ~F.col(column).rlike(r"[^\x00-\x7F]")
-    other = df.filter(~plain).withColumn(column, (_compose if form == "NFKC" else _decompose)(column))
-    return df.filter(plain).unionByName(other)
+    """``df`` with ``column`` in a compatibility form; plain ASCII texts never leave the JVM.
+
+    It is a column, not a union of filtered parts: ``df`` is read once, and no filter on texts moves into the joins below.
+    """
+    text = F.col(column)
+    plain = text.isNull() | ~text.rlike(r"[^\x00-\x7F]")
+    other = (_compose if form == "NFKC" else _decompose)(F.when(~plain, text))
+    return df.withColumn(column, F.when(plain, text).otherwise(other))
 
 
 def normalize_text(df: DataFrame, column: str, profile: str, to: str | None = None) -> DataFrame:

@@ -139,6 +139,17 @@ def test_unicode_forms(spark):
     assert df.first()[0] == "brand abc é"
 
 
+def test_unicode_forms_read_their_input_once(spark):
+    """A column is brought in form without a filter on texts, which would go below the joins, and without reading the rows again."""
+    values = ["Ｂｒａｎｄ “ＡＢＣ” – é", "Plain 'ab' C", "", None, "ﬁne", "\u212b\u00a0x"]
+    df = spark.createDataFrame([(i, v, values[-1 - i]) for i, v in enumerate(values)], "i int, v string, w string")
+    both = text.normalize_text(text.normalize_text(df, "v", "ladder", "a"), "w", "token", "b")
+    assert [tuple(r) for r in both.orderBy("i").select("a", "b").collect()] == [("brand abc é", "åx"), ("plain ab c", "fine"), ("", None), (None, ""), ("fine", "plainabc"), ("å x", "brandabcé")]
+    plan = catalog.QUERIES["normalize_text"](spark, SMOKE_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [p_partkey#") == 2  # the view has two parts
+    assert not [line for line in plan.splitlines() if "RLIKE" in line and ("Filter" in line or "Join" in line)]
+
+
 def test_function_phrase(spark):
     df = spark.createDataFrame([("x", "Bottled by Acme"), ("brewed and bottled by Acme in town", "Acme"), ("Acme", None), ("made by us " + "z" * 200 + " Acme", "Acme")], "o string, e string")
     assert [r[0] for r in df.select(text.function_phrase(F.col("o"), F.col("e"))).collect()] == ["bottled by", "brewed and bottled by", None, None]
